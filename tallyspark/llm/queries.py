@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality_rules, token_files, url_rules
+from . import mixing, ppm, quality_rules, ranking, token_files, url_rules
 from .common import scratch, table
 
 #: The site rules that the URL query applies.
@@ -34,6 +34,23 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, manifest)
 
 
+def op5_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score_texts(table(spark, sf_dir, "documents"))
+
+
+def op7_pairwise_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_model(spark, sf_dir)
+    held = F.coalesce(ranking.fold_of(F.col("doc_id")) == 0, F.lit(False))
+    return ranking.score_quality(docs, model).select("doc_id", held.alias("held_out"), "score", "predicted")
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> ranking.Model:
+    """Fitted on the labels of the documents that are not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return ranking.fit(*ranking.training_rows(docs, labels, ranking.fold_of(F.col("doc_id")) != 0))
+
+
 def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.judge_urls(pages, "url", SITE_RULES).select("page_id", "host", "path", "rule", "verdict")
@@ -48,6 +65,8 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op6_token_files": op6_token_files,
+    "op5_ppm": op5_ppm,
+    "op7_pairwise_quality": op7_pairwise_quality,
     "op8_url_rules": op8_url_rules,
     "op10_quality_rules": op10_quality_rules,
 }
