@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, ppm, quality_rules, ranking, token_files, url_rules
+from . import mixing, pieces, ppm, quality_rules, ranking, token_files, url_rules
 from .common import scratch, table
 
 #: The site rules that the URL query applies.
@@ -25,6 +25,13 @@ def word_bpe() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def piece_bpe() -> str:
+    """Where the public piece model lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
 
@@ -56,6 +63,10 @@ def op8_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(pages, "url", SITE_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode_documents(table(spark, sf_dir, "documents"), piece_bpe())
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     judged = quality_rules.quality_rules(docs)
@@ -68,6 +79,7 @@ QUERIES = {
     "op5_ppm": op5_ppm,
     "op7_pairwise_quality": op7_pairwise_quality,
     "op8_url_rules": op8_url_rules,
+    "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
 }
 
