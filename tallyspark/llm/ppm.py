@@ -11,7 +11,8 @@ Pretrained (``score_texts``): counts come from the training documents, so what a
 by Spark; the trie is cut into shards by the last two context bytes, below which all longer contexts lie; only orders 0 and 1
 (65,792 counts at most) go to every task. Documents are dealt into blocks of about ``BLOCK_BYTES``; a block asks each shard once
 for its distinct strings (and for its distinct words, for the unigram base), and sums the answers per document. No step
-holds more than a block, or a shard with the questions of ``BLOCKS_A_SALT`` blocks. Results do not depend on the cutting.
+holds more than a block, or a shard with the questions of ``BLOCKS_A_SALT`` blocks. Answers travel as 32-bit floats (a relative
+error below 1e-7); results do not depend on the cutting.
 
 Adaptive (``adaptive_scores``): the trie starts empty in every document and counts grow as it is read.
 
@@ -22,29 +23,31 @@ documents all bytes are equally likely and the base has only its prior. Other co
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_table, small_batches
 
-ORDER = 6
+ORDER = 5
 #: What an escape takes from each distinct symbol of a context.
 ESCAPE = 0.5
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 6 << 20
 BLOCKS_A_SALT = 1024
 WORD_SHARDS = 64
 TRIE_SHARDS = 64
 END = b"\n"
-#: Positions whose strings are sorted at once.
-CHUNK = 1 << 20
-#: Distinct words or strings a training task holds before it passes them on.
-HELD = 1_000_000
+#: Positions that are looked up at once: their places fit into 16 bits.
+CHUNK = 1 << 16
+#: Distinct words, and distinct strings, that a training task holds before it passes them on.
+HELD_WORDS, HELD_CODES = 600_000, 4_000_000
 
 
 def words_of_bytes(text: bytes | None) -> list[bytes]:
@@ -52,31 +55,64 @@ def words_of_bytes(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _chunks(docs: list[list[bytes]], order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Documents in runs of about CHUNK bytes: number of documents, the code of every position, where each document starts."""
-    at = 0
-    while at < len(docs):
-        parts, lengths, total = [], [], 0
-        pad = END * order
-        while at < len(docs) and (total < CHUNK or not parts):
-            body = b" ".join(docs[at])
-            parts += [pad, body, END]
-            lengths.append(len(body) + 1)
-            total += len(body) + 1
-            at += 1
-        flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
-        n = len(flat) - order
-        codes = np.zeros(n, dtype=np.uint64)
-        for j in range(order + 1):
-            codes <<= np.uint64(8)
-            codes |= flat[j : j + n]
-        sizes = np.asarray(lengths, dtype=np.int64)
-        starts = np.cumsum(sizes) - sizes
-        # The codes that end in the padding of the second and later documents are no positions.
-        keep = np.ones(n, dtype=bool)
-        for j in range(order):
-            keep[starts[1:] + order * np.arange(len(sizes) - 1) + j] = False
-        yield len(lengths), codes[keep], starts
+def _codes(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The code (context and symbol as one integer) of every position of all documents, and where each document starts."""
+    pad, parts, lengths = END * order, [], []
+    for words in docs:
+        body = b" ".join(words)
+        parts += (pad, body, END)
+        lengths.append(len(body) + 1)
+    flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    n = len(flat) - order
+    codes = np.zeros(n, dtype=np.uint64)
+    for j in range(order + 1):
+        codes <<= np.uint64(8)
+        codes |= flat[j : j + n]
+    sizes = np.asarray(lengths, dtype=np.int64)
+    starts = np.cumsum(sizes) - sizes
+    # The codes that end in the padding of the second and later documents are no positions.
+    keep = np.ones(n, dtype=bool)
+    for j in range(order):
+        keep[starts[1:] + order * np.arange(len(sizes) - 1) + j] = False
+    return codes[keep], starts
+
+
+def _distinct(codes: np.ndarray) -> np.ndarray:
+    """Sorted distinct codes (by sorting: much faster here than by hashing)."""
+    s = np.sort(codes)
+    return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
+
+
+def _look_up(codes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The value of each code among sorted keys that hold all of them.
+
+    Sorts a few codes at a time, each with its place in the low bits if there is room, so that neighbours look up neighbours.
+    """
+    out = np.empty(len(codes))
+    packed = len(codes) and int(keys[-1]) < 1 << 48
+    places = np.arange(CHUNK, dtype=np.uint64)
+    for at in range(0, len(codes), CHUNK):
+        own = codes[at : at + CHUNK]
+        if packed:
+            s = np.sort(own << np.uint64(16) | places[: len(own)])
+            order, s = (s & np.uint64(0xFFFF)).astype(np.int64), s >> np.uint64(16)
+        else:
+            order = np.argsort(own)
+            s = own[order]
+        first = np.concatenate([[True], s[1:] != s[:-1]])
+        out[at + order] = values[np.searchsorted(keys, s[first])][np.cumsum(first) - 1]
+    return out
+
+
+def _pack(codes: np.ndarray) -> bytes:
+    """Sorted codes as compressed differences, byte planes apart."""
+    steps = np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def _shard_of(codes: np.ndarray) -> np.ndarray:
@@ -86,13 +122,16 @@ def _shard_of(codes: np.ndarray) -> np.ndarray:
 
 
 def _word_shard(word: bytes) -> int:
-    return (sum(word[:4]) * 31 + len(word) * 7 + (word[-1] if word else 0)) % WORD_SHARDS
+    return zlib.crc32(word) % WORD_SHARDS
 
 
 def _add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Two tables of sorted codes and counts as one."""
-    codes, back = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
-    return codes, np.bincount(back, weights=np.concatenate([a[1], b[1]]), minlength=len(codes)).astype(np.int64)
+    codes = _distinct(np.concatenate([a[0], b[0]]))
+    n = np.zeros(len(codes), dtype=np.int64)
+    for keys, counts in (a, b):
+        n[np.searchsorted(codes, keys)] += counts
+    return codes, n
 
 
 def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
@@ -101,7 +140,13 @@ def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
         empty = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        codes = empty
+        codes, new = empty, []
+
+        def merge() -> None:
+            nonlocal codes, new
+            if new:
+                codes = _add(codes, np.unique(np.concatenate(new), return_counts=True))
+            new = []
 
         def rows() -> Iterator[pa.RecordBatch]:
             names = ["shard", "key", "n"]
@@ -117,12 +162,15 @@ def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for w in split:
                 words.update(w)
             words[END] += len(split)
-            for _, code, _ in _chunks(split, order):
-                codes = _add(codes, np.unique(code, return_counts=True))
-            if len(words) > HELD or len(codes[0]) > HELD:
+            new.append(_codes(split, order)[0])
+            if sum(map(len, new)) > 8 << 20:
+                merge()
+            if len(words) > HELD_WORDS or len(codes[0]) > HELD_CODES:
+                merge()
                 yield from rows()
                 words.clear()
                 codes = empty
+        merge()
         yield from rows()
 
     return docs.mapInArrow(count, "shard int, key binary, n long").groupBy("shard", "key").agg(F.sum("n").alias("n"))
@@ -203,10 +251,10 @@ def _questions(order: int):
             by: list[list[bytes]] = [[] for _ in range(WORD_SHARDS)]
             for w in sorted(words | {END}):
                 by[_word_shard(w)].append(w)
-            asked = [(k, b" ".join(w)) for k, w in enumerate(by) if w]
-            all_ = np.unique(np.concatenate(codes))
+            asked = [(k, zstandard.compress(b" ".join(w), 1)) for k, w in enumerate(by) if w]
+            all_ = _distinct(np.concatenate(codes))
             shards = _shard_of(all_)
-            asked += [(int(k), all_[shards == k].tobytes()) for k in np.unique(shards)]
+            asked += [(int(k), _pack(all_[shards == k])) for k in np.unique(shards)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in asked], pa.int32()), pa.array([now] * len(asked), pa.int64()), pa.array([x for _, x in asked], pa.binary())], names=["shard", "block", "asked"])
 
         for batch in batches:
@@ -219,9 +267,9 @@ def _questions(order: int):
                 now = blocks[first]
                 split = [words_of_bytes(x) for x in texts[first:last]]
                 words.update(*split)
-                codes += [np.unique(c) for _, c, _ in _chunks(split, order)]
-                if sum(map(len, codes)) > 4 * CHUNK:
-                    codes = [np.unique(np.concatenate(codes))]
+                codes.append(_distinct(_codes(split, order)[0]))
+                if sum(map(len, codes)) > 2 << 20:
+                    codes = [_distinct(np.concatenate(codes))]
         if now is not None:
             yield from rows()
 
@@ -237,13 +285,13 @@ def _answers(low: np.ndarray, order: int):
         elif shards[0] < WORD_SHARDS:
             n = dict(zip(model.column("key").to_pylist(), model.column("n").to_pylist(), strict=True))
             for x in asked.column("asked").to_pylist():
-                keys = x.split(b" ")
-                out.append(np.fromiter((n.get(k, 0) for k in keys), dtype=np.int64, count=len(keys)).tobytes())
+                keys = zstandard.decompress(x).split(b" ")
+                out.append(zstandard.compress(np.fromiter((n.get(k, 0) for k in keys), dtype=np.int64, count=len(keys)).tobytes(), 1))
         else:
             codes = np.frombuffer(b"".join(model.column("key").to_pylist()), dtype=">u8").astype(np.uint64)
             trie = Trie(codes, np.asarray(model.column("n"), dtype=np.int64), low, order)
             for x in asked.column("asked").to_pylist():
-                out.append(trie.log10(np.frombuffer(x, dtype=np.uint64)).tobytes())
+                out.append(trie.log10(_unpack(x)).astype(np.float32).tobytes())
         return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array(shards, pa.int32()), "answer": pa.array(out, pa.binary())})
 
     return answer
@@ -262,16 +310,14 @@ def _sums(order: int, tokens: int, kinds: int):
             by[_word_shard(w)].append(w)
         log, known = {}, {}
         for k, own in enumerate(by):
-            for w, c in zip(own, np.frombuffer(got[k], dtype=np.int64).tolist() if own else [], strict=True):
+            for w, c in zip(own, np.frombuffer(zstandard.decompress(got[k]), dtype=np.int64).tolist() if own else [], strict=True):
                 log[w], known[w] = math.log10((c + 0.5) / den), c > 0
-        codes = np.unique(np.concatenate([np.unique(c) for _, c, _ in _chunks(split, order)]))
+        positions, starts = _codes(split, order)
+        codes = _distinct(positions)
         shards, p = _shard_of(codes), np.zeros(len(codes))
         for k in np.unique(shards):
-            p[shards == k] = np.frombuffer(got[int(k)], dtype=np.float64)
-        total = []
-        for _, c, starts in _chunks(split, order):
-            own, back = np.unique(c, return_inverse=True)
-            total.append(np.add.reduceat(p[np.searchsorted(codes, own)][back], starts))
+            p[shards == k] = np.frombuffer(got[int(k)], dtype=np.float32)
+        total = np.add.reduceat(_look_up(positions, codes, p), starts)
         return pa.table(
             {
                 "doc_id": docs.column("doc_id"),
@@ -280,7 +326,7 @@ def _sums(order: int, tokens: int, kinds: int):
                 "n_known": pa.array([sum(map(known.__getitem__, w)) + known[END] for w in split], pa.int64()),
                 "train_tokens": pa.array([tokens] * len(split), pa.int64()),
                 "base_score": pa.array([math.fsum(map(log.__getitem__, w)) + log[END] for w in split], pa.float64()),
-                "score": pa.array(np.concatenate(total)),
+                "score": pa.array(total),
             }
         )
 

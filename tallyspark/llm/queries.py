@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, mixing, neardup, pieces, ppm, quality_rules, ranking, token_files, url_rules
+from . import ann, html_text, mixing, neardup, pieces, ppm, quality_rules, ranking, token_files, url_rules
 from .common import scratch, table
 
 #: The site rules that the URL query applies.
@@ -32,6 +32,10 @@ def piece_bpe() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract_text(table(spark, sf_dir, "pages"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), keep=("doc_id", "source"))
 
@@ -82,6 +86,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_text": op1_html_text,
     "op2_mixing": op2_mixing,
     "op6_token_files": op6_token_files,
     "op3_ann": op3_ann,

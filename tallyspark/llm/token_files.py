@@ -42,7 +42,7 @@ TRAILER = struct.Struct("<Q8s")
 DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("first", "<u8"), ("n", "<u8")])
 BLOCK = 1 << 16
 #: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 #: Ids that a reader unpacks at once, unless one document has more.
 READ_IDS = 1 << 21
 
@@ -172,35 +172,86 @@ class Reader:
         self.file.close()
 
 
-_encoders: dict[str, tuple] = {}
+_encoders: dict[str, Encoder] = {}
 #: The white space at which the tokenizer may be split without changing its ids: it drops white space and merges nothing across.
-_SPLIT = str.maketrans({"\t": " ", "\n": " ", "\x0b": " ", "\x0c": " ", "\r": " "})
+_BLANKS = "\t\n\x0b\x0c\r"
+#: Marks that this tokenizer sets apart from letters before them.
+_MARKS = ".,"
+_JOINED = 500
 
 
-def encode_texts(texts: list[str], path: str) -> list[bytes]:
-    """Ids of each text as little-endian 32-bit integers.
+class Encoder:
+    """A tokenizer whose ids of a text are those of its space-separated runs in turn, each encoded once and remembered.
 
-    The tokenizer of this file drops white space and never joins across it, so the ids of a text are those of its
-    space-separated runs in turn. Each distinct run is encoded once by the library and remembered.
+    That holds for tokenizers that drop white space and never join across it. Runs of letters (but for the capital sigma, whose lower case depends on its place), perhaps with one mark at the
+    end, are encoded many to a call: the ids that end a word show where each run ends, and if their number is not
+    that of the runs, the call is repeated run by run.
     """
-    if path not in _encoders:
+
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _encoders[path] = (Tokenizer.from_file(path), {})
-    tokenizer, cache = _encoders[path]
-    runs = [t.translate(_SPLIT).split(" ") for t in texts]
-    missing = set().union(*runs).difference(cache) if runs else set()
-    if len(cache) + len(missing) > CACHE_WORDS:
-        cache.clear()
-        missing = set().union(*runs)
-    new = list(missing)
-    for i in range(0, len(new), 4096):
-        part = new[i : i + 4096]
-        for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-            cache[w] = np.asarray(e.ids, dtype="<u4").tobytes()
-    get = cache.__getitem__
-    return [b"".join(map(get, x)) for x in runs]
+        self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.runs: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.marks = {m: self._ids(m) for m in _MARKS} | {"": b""}
+
+    def _ids(self, run: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(run, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _letters(self, words: list[str]) -> None:
+        calls = [words[i : i + _JOINED] for i in range(0, len(words), _JOINED)]
+        for own, found in zip(calls, self.tokenizer.encode_batch_fast([" ".join(x) for x in calls], add_special_tokens=False), strict=True):
+            ids = np.asarray(found.ids, dtype="<u4")
+            cuts = (np.flatnonzero(self.ends[ids]) + 1) * 4
+            if len(cuts) != len(own):
+                self.letters.update((w, self._ids(w)) for w in own)
+                continue
+            data, at = ids.tobytes(), 0
+            for w, cut in zip(own, cuts.tolist(), strict=True):
+                self.letters[w] = data[at:cut]
+                at = cut
+
+    def _add(self, runs: set[str]) -> None:
+        plain, rest = [], []
+        for run in runs:
+            core = run[:-1] if run and run[-1] in _MARKS else run
+            low = core.lower()
+            (plain if core.isalpha() and low.isalpha() and len(low) == len(core) and "Σ" not in core else rest).append((run, low, run[len(core) :]))
+        self._letters(list({low for _, low, _ in plain}.difference(self.letters)))
+        self.runs.update((run, self.letters[low] + self.marks[mark]) for run, low, mark in plain)
+        names = [run for run, _, _ in rest]
+        for i in range(0, len(names), 4096):
+            part = names[i : i + 4096]
+            for run, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.runs[run] = np.asarray(found.ids, dtype="<u4").tobytes()
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian 32-bit integers."""
+        split = []
+        for text in texts:
+            for blank in _BLANKS:
+                text = text.replace(blank, " ")
+            split.append(text.split(" "))
+        missing = set().union(*split).difference(self.runs)
+        if len(self.runs) + len(missing) > CACHE_WORDS:
+            self.runs.clear()
+            self.letters.clear()
+            missing = set().union(*split)
+        self._add(missing)
+        get = self.runs.__getitem__
+        return [b"".join(map(get, x)) for x in split]
+
+
+def encode_texts(texts: list[str], path: str) -> list[bytes]:
+    """Ids of each text as little-endian 32-bit integers, with one encoder per worker and file."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path].encode(texts)
 
 
 def vocabulary_of(path: str) -> int:
