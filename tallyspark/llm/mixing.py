@@ -6,9 +6,9 @@ its cap. With sources ordered by cap/weight, the water level is the greatest of
 before), so the redistribution is one window over the (few) sources instead of a loop.
 
 A source taken ``e`` epochs takes every document ``floor(e)`` times, and documents in seeded order once more until the rest
-of its target is met as nearly as whole documents allow. That running total is not one sort per source: documents go to
-``CELLS`` cells by the leading digits of their hash, cell totals give every cell its start, and only within a cell are
-documents ordered, so a source with a third of all rows is spread over ``CELLS`` partitions.
+of its target is met as nearly as whole documents allow. That running total is no sort of the source: documents fall into
+4096 cells by the leading digits of their hash, and cell totals show in which cell the rest ends. Cells before it are
+taken whole, cells after it not; only in that one are documents ordered. So texts are not shuffled, but for one cell in 4096.
 
 Null texts have size 0; null sources are one source; a null doc_id is hashed as the word ``null``. Rows that repeat are
 documents of their own (equal ones are interchangeable). An empty table, or one without words, gives targets of 0. Reruns agree.
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name
+from .common import fits_broadcast, free_name, kept_table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -55,25 +55,36 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     """The columns ``keep`` (default: all) with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for every row."""
     keep = tuple(docs.columns) if keep is None else keep
     new = ("size", "source_size", "target", "copies", "taken")
-    key, rank, cell, before, at = (free_name([*docs.columns, *new], x) for x in ("key_", "rank_", "cell_", "before_", "at_"))
+    key, rank, cell = (free_name([*docs.columns, *new], x) for x in ("key_", "rank_", "cell_"))
     base = docs.drop(*new) if set(new) & set(docs.columns) else docs
-    base = base.select(*[c for c in dict.fromkeys([*keep, source, doc_id]) if c in base.columns], word_count(F.col(text)).alias("size"))
-    base = base.withColumns(
+    keep = tuple(c for c in keep if c in base.columns)
+    base = base.select(*dict.fromkeys([*keep, source, doc_id]), word_count(F.col(text)).alias("size")).withColumns(
         {
             key: F.coalesce(F.concat(F.lit("v"), F.col(source)), F.lit("n")),
             rank: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))),
         }
-    ).withColumn(cell, F.substring(rank, 1, CELL_DIGITS))
+    )
+    base = base.withColumn(cell, F.substring(rank, 1, CELL_DIGITS))
+    plan = kept_table(_plan(base, key, cell, source, weights, share, max_epochs), "mix")
+    placed = base.join(F.broadcast(plan) if fits_broadcast(plan) else plan, F.col(key) == F.col("k"))
+    order = Window.partitionBy(key).orderBy(F.col(rank), F.col(doc_id).asc_nulls_last(), F.col("size"))
+    upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    more = F.when(2 * (F.col("start") + upto) - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
+    last = placed.where(F.col(cell) == F.col("last_cell")).withColumn("more", more)
+    others = placed.where(F.col(cell) != F.col("last_cell")).withColumn("more", F.when(F.col(cell) < F.col("last_cell"), 1).otherwise(0))
+    out = others.unionByName(last).withColumn("copies", F.col("whole") + F.when(F.col("whole") < max_epochs, F.col("more")).otherwise(F.lit(0)))
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *new)
+
+
+def _plan(base: DataFrame, key: str, cell: str, source: str, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
+    """Per source: its size and target, the whole repetitions, the rest, and the cell in which it ends with the words before that."""
     cells = base.groupBy(F.col(key).alias("k"), F.col(cell).alias("c")).agg(F.sum("size").alias("words"), F.first(source).alias("source"))
     sources = cells.groupBy("k").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
-    targets = water_fill(sources, weights, share, max_epochs).select(F.col("k").alias("tk"), "source_size", "target")
-    starts = cells.withColumn("start", F.sum("words").over(Window.partitionBy("k").orderBy("c")) - F.col("words")).join(targets, F.col("k") == F.col("tk")).select("k", "c", "start", F.col("source_size"), "target")
-    order = Window.partitionBy(key, cell).orderBy(F.col(rank), F.col(doc_id).asc_nulls_last(), F.col("size"))
-    placed = base.withColumn(before, F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
-    placed = placed.join(starts, (F.col(key) == F.col("k")) & (F.col(cell) == F.col("c")), "left")
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    placed = placed.withColumn(at, whole)
-    rest = F.col("target") - F.col(at) * F.col("source_size")
-    more = 2 * (F.col("start") + F.col(before)) + F.col("size") <= 2 * rest
-    out = placed.withColumn("copies", F.col(at) + F.when(more & (F.col(at) < max_epochs), F.lit(1)).otherwise(F.lit(0)))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*[c for c in keep if c in base.columns], *new)
+    targets = water_fill(sources, weights, share, max_epochs).withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
+    upto = cells.withColumn("upto", F.sum("words").over(Window.partitionBy("k").orderBy("c"))).join(targets.select(F.col("k").alias("tk"), "rest"), F.col("k") == F.col("tk"))
+    ends = upto.where(F.col("upto") > F.col("rest")).groupBy("k").agg(F.min(F.struct("c", (F.col("upto") - F.col("words")).alias("start"))).alias("end"))
+    ends = ends.select(F.col("k").alias("ek"), F.col("end.c").alias("c"), F.col("end.start").alias("start"))
+    # A source without words ends nowhere: all its (empty) documents count as taken.
+    joined = targets.join(ends, F.col("k") == F.col("ek"), "left")
+    return joined.select("k", "source_size", "target", "whole", "rest", F.coalesce("c", F.lit("g")).alias("last_cell"), F.coalesce("start", F.lit(0)).cast("long").alias("start"))
