@@ -70,7 +70,7 @@ def word_distance(a: Column, b: Column) -> Column:
     words = F.array_distinct(F.concat(a, b))
     at = lambda w: F.array_position(words, w)
     code = lambda p: F.when(p + 255 < 0xD800, p + 255).otherwise(p + 255 + 0x800)
-    coded = lambda c: F.decode(F.unhex(F.array_join(F.transform(c, lambda w: F.lpad(F.hex(code(at(w))), 4, "0")), "")), F.lit("UTF-16BE"))
+    coded = lambda c: F.decode(F.unhex(F.array_join(F.transform(c, lambda w: F.lpad(F.hex(code(at(w))), 4, "0")), "")), "UTF-16BE")
     return F.when(F.size(words) < 0xF000, F.levenshtein(coded(a), coded(b)))
 
 

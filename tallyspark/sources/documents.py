@@ -35,7 +35,7 @@ def recent_documents(spark: SparkSession, root: str, n: int) -> DataFrame:
     names = files.select(evaluation_id(path).alias("evaluation_id"), "path").where("evaluation_id is not null")
     if n > 0:
         names = names.orderBy(F.col("evaluation_id").desc()).limit(n)
-    return files.select("path", F.decode("content", F.lit("UTF-8")).alias("content")).join(F.broadcast(names), "path").select("evaluation_id", "content")
+    return files.select("path", F.decode("content", "UTF-8").alias("content")).join(F.broadcast(names), "path").select("evaluation_id", "content")
 
 
 def participant_rows(docs: DataFrame) -> DataFrame:
@@ -105,11 +105,11 @@ def tensor_rows(paths: DataFrame) -> DataFrame:
 
 def scale_text(raw: Column) -> Column:
     """The text of a length-prefixed hexadecimal string: one, two or four prefix bytes, or a length of its own."""
-    hexes = F.when(raw.startswith("0x"), F.substring(raw, 3, F.length(raw))).otherwise(F.hex(F.encode(raw, F.lit("ISO-8859-1"))))
+    hexes = F.when(raw.startswith("0x"), F.substring(raw, 3, F.length(raw))).otherwise(F.hex(F.encode(raw, "ISO-8859-1")))
     first = F.conv(F.substring(hexes, 1, 2), 16, 10).cast("int")
     mode = first.bitwiseAND(3)
     skip = F.when(mode == 0, 1).when(mode == 1, 2).when(mode == 2, 4).otherwise(F.shiftright(first, 2) + 5)
-    return F.trim(F.decode(F.unhex(F.substring(hexes, skip * 2 + 1, F.length(hexes))), F.lit("UTF-8")))
+    return F.trim(F.decode(F.unhex(F.substring(hexes, skip * 2 + 1, F.length(hexes))), "UTF-8"))
 
 
 def weight_files(files: Column, least: int = 0) -> Column:
