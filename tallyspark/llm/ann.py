@@ -9,8 +9,9 @@ the queue; the next leaf starts from the queue's best. How many leaves are visit
 true neighbours among all rows are found by comparing with every row, in blocks, and visits widen until the leaves visited
 hold the ``target`` share of them. On data without structure that takes most leaves; recall is what is promised.
 
-Leaves are compared block by block: a leaf of more than ``ROWS`` rows (copies of one vector, say) is cut into several, each of
-which gets the leaf's queries, and returns only its ``k`` best a query. Scores are inner products of the original vectors in
+Neighbouring leaves are packed into groups of about ``ROWS`` rows, and a leaf of more (copies of one vector, say) is cut into
+several blocks. A task compares the rows of one group or block with up to ``QUERIES`` queries that visit leaves of it, as one
+matrix product with the other leaves masked, and returns only the ``k`` best a query. Scores are inner products of the original vectors in
 double precision, so the index decides which rows are compared, never how they score.
 
 Vectors that are null, of another length than most, zero, or that hold null or non-finite components take no part, as query or
@@ -34,8 +35,8 @@ from .common import kept_table, small_batches
 SAMPLE = 40_000
 BRANCH = 8
 LEAF = 256
-ROWS = 2048
-#: Queries that are compared with one block of a leaf at a time.
+ROWS = 16_384
+#: Queries that are compared with one group at a time.
 QUERIES = 1024
 PROBES = 200
 TARGET = 0.97
@@ -148,16 +149,17 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best(queries: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _best(queries: np.ndarray, y: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int, seen: tuple[np.ndarray, np.ndarray] | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the ids and scores of its ``k`` best rows but its own, nearest first, ties to the smaller id.
 
-    A matrix product finds the rows that may be among them; those are scored again, one way for all.
+    A matrix product finds the rows that may be among them; those are scored again, one way for all. ``seen``: which leaves
+    each query visits (a matrix), and the leaf of each row.
     """
     for at in range(0, len(queries), 256):
         rough = y[at : at + 256] @ x.T
         slack = 1e-9 * (1.0 + np.abs(rough).max(initial=0.0))
         for i, (q, near) in enumerate(zip(queries[at : at + 256], rough, strict=True)):
-            other = np.flatnonzero(ids != q)
+            other = np.flatnonzero(ids != q) if seen is None else np.flatnonzero((ids != q) & seen[0][at + i][seen[1]])
             if len(other) > k:
                 edge = np.partition(near[other], len(other) - k)[len(other) - k]
                 other = other[near[other] >= edge - slack]
@@ -179,7 +181,11 @@ def _block_best(k: int, dim: int):
             return pa.table(_found(iter(())))
         ids, x = np.asarray(rows.column("id")), _matrix(rows.column("v").combine_chunks(), dim)
         queries, y = np.asarray(asked.column("query")), _matrix(asked.column("w").combine_chunks(), dim)
-        return pa.table(_found(_best(queries, y, ids, x, k)))
+        leaves, at = np.unique(np.asarray(rows.column("leaf")), return_inverse=True)
+        visits = np.zeros((len(queries), len(leaves)), dtype=bool)
+        for i, own in enumerate(asked.column("leaves").to_pylist()):
+            visits[i, np.searchsorted(leaves, np.intersect1d(own, leaves))] = True
+        return pa.table(_found(_best(queries, y, ids, x, k, (visits, at))))
 
     return best
 
@@ -248,25 +254,41 @@ def nearest(vectors: DataFrame, queries: Column, k: int = 20, vector: str = "emb
     for r in load.collect():  # one number a leaf of a tree over a bounded sample
         held[r["leaf"]] = r["rows"]
 
+    # Groups of leaves in tree order; a leaf above ROWS is a group of its own, in blocks.
+    blocks = np.maximum(1, -(-held // ROWS))
+    group = np.zeros(tree.n_leaves, dtype=np.int64)
+    now = filled = 0
+    for leaf in range(tree.n_leaves):
+        if filled and filled + held[leaf] > ROWS:
+            now, filled = now + 1, 0
+        group[leaf] = now
+        filled += int(held[leaf])
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
             for i, q in enumerate(_matrix(b.column(1), dim) if b.num_rows else ()):
                 most = visits
-                leaves = tree.visit(np.append(q, 0.0), most)
+                leaves = np.asarray(tree.visit(np.append(q, 0.0), most))
                 while len(leaves) < tree.n_leaves and held[leaves].sum() <= k:
                     most *= 2
-                    leaves = tree.visit(np.append(q, 0.0), most)
-                yield pa.RecordBatch.from_arrays([pa.array(leaves, pa.int64()), b.column(0).take(pa.array([i] * len(leaves)))], names=["leaf", "query"])
-
-    asked = kept_table(rows.where(queries).mapInArrow(ask, "leaf long, query long"), "asked")
-    # A leaf is cut into blocks of rows and its queries into parts, so that no task gets all of either.
-    cuts = load.join(asked.groupBy("leaf").agg(F.count("*").alias("queries")), "leaf")
-    cuts = cuts.select(F.col("leaf").alias("l2"), F.ceil(F.col("rows") / ROWS).cast("long").alias("blocks"), F.ceil(F.col("queries") / QUERIES).cast("long").alias("parts"))
+                    leaves = np.asarray(tree.visit(np.append(q, 0.0), most))
+                for g in np.unique(group[leaves]):
+                    out[0].append(int(g))
+                    out[1].append(b.column(0)[i].as_py())
+                    out[2].append(leaves[group[leaves] == g])
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.int64()))], names=["group", "query", "leaves"])
+
+    asked = kept_table(rows.where(queries).mapInArrow(ask, "group long, query long, leaves array<long>"), "asked")
+    places = spark.createDataFrame([(i, int(group[i]), int(blocks[i])) for i in range(tree.n_leaves)], "l2 long, group long, blocks long")
+    parts = asked.groupBy("group").agg(F.ceil(F.count("*") / QUERIES).cast("long").alias("parts")).select(F.col("group").alias("g2"), "parts")
+    cuts = places.join(parts, F.col("group") == F.col("g2"))  # a row a leaf
     spread = lambda c, m: F.pmod(F.xxhash64(c), m)
     each = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), m - 1))
-    left = filed.join(F.broadcast(cuts), F.col("leaf") == F.col("l2")).withColumn("block", spread("id", F.col("blocks"))).withColumn("part", each(F.col("parts"))).select("leaf", "block", "part", "id", "v")
-    right = asked.join(F.broadcast(cuts), F.col("leaf") == F.col("l2")).withColumn("part", spread("query", F.col("parts"))).withColumn("block", each(F.col("blocks")))
-    right = right.join(rows.where(queries).select(F.col("id").alias("q2"), F.col("v").alias("w")), F.col("query") == F.col("q2")).select("leaf", "block", "part", "query", "w")
-    keys = ["leaf", "block", "part"]
+    left = filed.join(F.broadcast(cuts), F.col("leaf") == F.col("l2")).withColumn("block", spread("id", F.col("blocks"))).withColumn("part", each(F.col("parts"))).select("group", "block", "part", "leaf", "id", "v")
+    by_group = cuts.groupBy(F.col("group").alias("g3")).agg(F.max("blocks").alias("blocks"), F.max("parts").alias("parts"))
+    right = asked.join(F.broadcast(by_group), F.col("group") == F.col("g3")).withColumn("part", spread("query", F.col("parts"))).withColumn("block", each(F.col("blocks")))
+    right = right.join(rows.where(queries).select(F.col("id").alias("q2"), F.col("v").alias("w")), F.col("query") == F.col("q2")).select("group", "block", "part", "query", "leaves", "w")
+    keys = ["group", "block", "part"]
     found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_block_best(k, dim), "query long, id long, score double")
     return _top(found, k).select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
