@@ -57,9 +57,10 @@ def repeat_words(df: DataFrame, text: str, out: str = "n_repeat_words") -> DataF
     A window is represented by a 64-bit hash of its words. Only texts in which two hashes agree are sorted; the words
     covered are then added up along the sorted window starts. Linear but for that sort, and all inside the row.
     """
+    before = df.columns
     w, h, s, q = (free_name(df.columns, x) for x in ("words_", "hashes_", "sorted_", "starts_"))
     df = df.withColumn(w, words_of(F.col(text)))
-    df = df.withColumns({"n_words": F.size(w).cast("long"), "word_chars": F.length(F.array_join(w, "")).cast("long")})
+    df = df.withColumns({f"{w}n": F.size(w).cast("long"), f"{w}c": F.length(F.array_join(w, "")).cast("long")})
     # A hash of one word, then of 2, 4 and 8 words from there: three passes over longs instead of eight words a window.
     df = df.withColumn(f"{h}1", F.when(F.size(w) > WINDOW, F.expr(f"transform({w}, x -> xxhash64(x))")))
     for k in (1, 2, 4):
@@ -69,7 +70,10 @@ def repeat_words(df: DataFrame, text: str, out: str = "n_repeat_words") -> DataF
     df = df.withColumn(s, F.when(repeated, F.expr(f"sort_array(transform({h}, (x, i) -> struct(x as h, i as p)))")))
     df = df.withColumn(q, F.when(F.col(s).isNotNull(), F.expr(f"sort_array(transform(filter({s}, (x, i) -> get({s}, i - 1).h = x.h or get({s}, i + 1).h = x.h), x -> x.p))")))
     covered = F.expr(f"aggregate({q}, struct(0L as n, 0 as upto), (a, p) -> struct(a.n + (p + {WINDOW} - greatest(a.upto, p)) as n, p + {WINDOW} as upto), a -> a.n)")
-    return df.withColumn(out, F.coalesce(F.when(F.col(q).isNotNull(), covered), F.lit(0).cast("long"))).drop(w, h, s, q, *[f"{h}{k}" for k in (1, 2, 4, 8)])
+    repeats = F.coalesce(F.when(F.col(q).isNotNull(), covered), F.lit(0).cast("long"))
+    # A one-row generator: filters on these columns stay above it. Pushed below, each would be expanded into its whole expression.
+    new = F.inline(F.array(F.struct(F.col(f"{w}n").alias("n_words"), F.col(f"{w}c").alias("word_chars"), repeats.alias(out))))
+    return df.select(*[c for c in before if c not in ("n_words", "word_chars", out)], new)
 
 
 def ratio_bins() -> dict[str, Column]:
