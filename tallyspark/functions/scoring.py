@@ -8,6 +8,7 @@ import json
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The closed trait enums, their defaults and aliases, and the raw element weights.
 TRAITS = {
@@ -179,13 +180,13 @@ def percent(x: Column) -> Column:
     return F.format_string("%.1f%%", x * 100)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def exact_round4(x: pd.Series) -> pd.Series:
     """Four decimals by the exact binary value, half to even; Spark's own rounding works on the shortest decimal."""
     return x.map(lambda v: None if pd.isna(v) else round(float(v), 4))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def canonical_json(x: pd.Series) -> pd.Series:
     """JSON with sorted keys and no blanks; null for what is no JSON."""
 
