@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, mixing, neardup, pieces, ppm, quality_rules, ranking, token_files, url_rules
+from . import ann, html_text, mixing, neardup, oracles, pieces, ppm, quality_rules, ranking, token_files, url_rules
 from .common import scratch, table
 
 #: The site rules that the URL query applies.
@@ -98,4 +98,4 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_mixing": oracles.OP2, "op4_neardup": oracles.OP4, "op8_url_rules": oracles.op8(SITE_RULES), "op10_quality_rules": oracles.op10()}
