@@ -40,8 +40,8 @@ def op10() -> str:
     m = quality_rules.MIN_ROWS
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_W.format("text")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 c AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(text) AS n_text_chars, length(text) - length(translate(text, '{quality_rules.SYMBOLS}', '')) AS n_symbols, length(text) - length(replace(text, '!', '')) AS n_shouts, len(lines) AS n_lines, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM d),
-x AS (SELECT doc_id, unnest(range(greatest(len(w) - 7, 0))) AS p, w FROM d), y AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, array_to_string(w[p + 1:p + 8], ' ')) AS k FROM x),
-z AS (SELECT doc_id, count(DISTINCT p + o) AS n_repeat_words FROM y CROSS JOIN range(8) AS t(o) WHERE k > 1 GROUP BY doc_id),
+x AS (SELECT doc_id, unnest(range(greatest(len(w) - 7, 0))) AS p, unnest(list_transform(range(greatest(len(w) - 7, 0)), lambda p: md5(array_to_string(w[p + 1:p + 8], ' ')))) AS g FROM d),
+y AS (SELECT doc_id, g FROM x GROUP BY 1, 2 HAVING count(*) > 1), z AS (SELECT doc_id, count(DISTINCT p + o) AS n_repeat_words FROM x JOIN y USING (doc_id, g) CROSS JOIN range(8) AS t(o) GROUP BY doc_id),
 b AS (SELECT lang, source, 'symbol_pm' AS ratio, {ratio("symbol_pm")} AS bin FROM c WHERE n_lines > 0 UNION ALL SELECT lang, source, 'shout_pm', {ratio("shout_pm")} FROM c WHERE n_lines > 0 UNION ALL SELECT lang, source, 'dup_line_pm', {ratio("dup_line_pm")} FROM c WHERE n_lines > 0),
 f1 AS ({quartiles("lang, source, ")}), f2 AS ({quartiles("lang, ")}), f3 AS ({quartiles("")}),
 u AS (SELECT f1.lang, f1.source, f1.ratio, CASE WHEN f1.n >= {m} THEN f1.q1 WHEN f2.n >= {m} THEN f2.q1 ELSE f3.q1 END AS q1, CASE WHEN f1.n >= {m} THEN f1.q3 WHEN f2.n >= {m} THEN f2.q3 ELSE f3.q3 END AS q3 FROM f1 JOIN f2 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.ratio = f2.ratio JOIN f3 ON f1.ratio = f3.ratio),
