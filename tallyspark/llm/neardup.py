@@ -43,7 +43,7 @@ NODE = 256
 BLOCK = 1000
 #: Coordinates of 64 that must agree for a pair to be looked at: 4.6 standard deviations below the threshold.
 AGREE = 32
-CACHE_WORDS = 600_000
+CACHE_WORDS = 250_000
 SEED = 20_260_101
 
 _rng = np.random.default_rng(SEED)

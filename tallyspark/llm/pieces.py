@@ -36,8 +36,8 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words, and pairs of pieces, that a worker remembers before it starts afresh.
-CACHE_WORDS = 800_000
-CACHE_PAIRS = 1_000_000
+CACHE_WORDS = 400_000
+CACHE_PAIRS = 400_000
 #: How far below the worst piece an unknown character scores in a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -82,6 +82,7 @@ class PieceModel:
     def __init__(self, pieces: list[tuple[str, float, int]], kind: int, byte_fallback: bool = False, dummy_prefix: bool = True, normalize=None) -> None:
         self.kind, self.byte_fallback, self.dummy_prefix, self.normalize = kind, byte_fallback, dummy_prefix, normalize
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER, UNUSED)}
+        self.names = {p: p for p in self.ids}  # one object for each piece, so that remembered pairs are small
         self.score = {p: s for p, s, t in pieces if t in (NORMAL, USER, UNUSED)}
         self.unknown = next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
@@ -195,8 +196,8 @@ class PieceModel:
                             s = best[j] + score[piece]
                             if found is None or s > top:
                                 found, top = piece, s
-                        elif self._fits(last[j], piece) if j else self._alone(piece):
-                            found = piece
+                        elif self._fits(last[j], self.names[piece]) if j else self._alone(piece):
+                            found = self.names[piece]
                             break
                     elif j == i - 1:
                         s = best[j] + self.worst
