@@ -221,7 +221,7 @@ def tokenize(s, d):
 @query("wer", f"""WITH t AS (SELECT conv_id, turn, list_slice(regexp_extract_all(lower(text), '{LETTERS}'), 1, {T.SCRIPT_WORDS}) AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS r, b.w AS h, list_distinct(list_concat(a.w, b.w)) AS u FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
 SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN (CASE WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END) ELSE round(least(1.0, levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(33 + list_position(u, x) AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(33 + list_position(u, x) AS INTEGER))), '')) / len(r)), 6) END AS wer FROM p""")
 def wer(s, d):
-    t = T.load(s, d, "conversations").select("conv_id", "turn", F.slice(S.tokens(F.col("text")), 1, T.SCRIPT_WORDS).alias("w"))
+    t = T.load(s, d, "conversations").select("conv_id", "turn", S.tokens(F.col("text")).alias("w"))
     n = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("h"))
     return t.join(n, ["conv_id", "turn"]).select("conv_id", "turn", F.round(S.word_error_rate(F.col("w"), F.col("h")), 6).alias("wer"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ID_FORMAT = "yyyy-MM-dd_HH-mm-ss"
-#: Words a script comparison reads of each turn: the oracle codes words in one byte each.
+#: Words that the SQL of wer reads of each turn (it codes words in one byte each); the query reads whole turns.
 SCRIPT_WORDS = 40
 
 
