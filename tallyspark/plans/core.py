@@ -313,7 +313,7 @@ def near_dup_greedy(s, d):
         import tempfile
 
         s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-"))
-    return D.near_duplicates(D.overlap_pairs(T.tensors(s, d), DEFAULTS.clone_share)).select("uid", "earliest", r6("ratio"), "reason")
+    return D.near_clones(T.tensors(s, d), DEFAULTS.clone_share).select("uid", "earliest", r6("ratio"), "reason")
 
 
 @query("fingerprint_collision", """WITH m AS (SELECT doc_id, text FROM documents) SELECT a.doc_id AS model, min(b.doc_id) AS collides_with, max(CASE WHEN a.doc_id > 0 AND a.doc_id < b.doc_id THEN 0 ELSE 1 END) = 1 AS rejected FROM m a JOIN m b ON a.text = b.text AND a.doc_id <> b.doc_id GROUP BY 1""")

@@ -46,6 +46,6 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tensors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines of documents of four lines or more as tensors: place and hash."""
-    lines = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines")).where(F.size("lines") >= 4)
+    """Lines of documents as tensors: place and hash. Null texts have none."""
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.split("text", "\n").alias("lines"))
     return lines.select(F.col("doc_id").alias("uid"), F.col("doc_id").alias("block"), F.posexplode("lines").alias("name", "line")).select("uid", "block", "name", F.sha2(F.col("line"), 256).alias("hash"))
