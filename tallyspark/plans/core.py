@@ -318,8 +318,7 @@ def near_dup_greedy(s, d):
 
 @query("fingerprint_collision", """WITH m AS (SELECT doc_id, text FROM documents) SELECT a.doc_id AS model, min(b.doc_id) AS collides_with, max(CASE WHEN a.doc_id > 0 AND a.doc_id < b.doc_id THEN 0 ELSE 1 END) = 1 AS rejected FROM m a JOIN m b ON a.text = b.text AND a.doc_id <> b.doc_id GROUP BY 1""")
 def fingerprint_collision(s, d):
-    m = T.models(s, d).select(F.col("uid").alias("model"), F.col("block").alias("commit_block"), F.col("model_hash").alias("fingerprint"))
-    return D.collisions(m, m)
+    return D.collisions(T.tensors(s, d), T.tensors(s, d), DEFAULTS.clone_share)
 
 
 @query("blocklist_mark", "SELECT doc_id AS uid, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS blocked FROM documents")
