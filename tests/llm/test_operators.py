@@ -37,29 +37,31 @@ def words(n, seed=0):
 PAGE = '<html><head><title>t</title><script>var a="</p>";</script></head><body><header>Top</header><nav><a href=x>Menu</a></nav>{}<aside>Side</aside><footer>&copy; End</footer></body></html>'
 
 
-@pytest.mark.parametrize(
-    ("body", "text"),
-    [
-        ("<article><h1>A &amp; B</h1><p>one  <b>two</b>\n three<br>four<p>five</article>", "A & B\n\none two three four\n\nfive"),
-        ("<main><div class='cookie-notice'>Yes?</div><article><p>x<form>f</form></p><div class=ad>buy</div><section id=comments><p>me</p></section></article></main>", "x"),
-        ("<article><p>a&lt;b</p><!-- <p>no</p> --><style>p{}</style><ul><li>i<li>j</ul></article>", "a<b\n\ni\n\nj"),
-        ("<article></article>", ""),
-    ],
-)
-def test_page_text(body, text):
-    assert html_text.group_texts([html_text.page_blocks(PAGE.format(body))]) == [text]
+BODIES = [
+    ("<article><h1>A &amp; B</h1><p>one  <b>two</b>\n three<br>four<p>five</article>", "A & B\n\none two three four\n\nfive"),
+    ("<main><div class='cookie-notice'>Yes?</div><article><p>x<form>f</form></p><div class=ad>buy</div><section id=comments><p>me</p></section></article></main>", "x"),
+    ("<article><p>a&lt;b</p><!-- <p>no</p> --><!--><style>p{}</style><ul><li>i<li>j</ul></article>", "a<b\n\ni\n\nj"),
+    ("<article></article>", ""),
+    ("<p title=it's>Hello, don't go</p>", "Hello, don't go"),
+    ('<p data-x="5>two</p>', "two"),
+    ('<article><div class="search-results-story">kept</div><div class="content share-price">this too</div><p>and <span class=ad>not</span> this</p></article>', "kept\n\nthis too\n\nand this"),
+    ("<article><p>a&am<b>p;</b></p></article>", "a&amp;"),
+    ("<div>" + "long " * 20_000 + "</div>", ("long " * 20_000).strip()),
+]
 
 
-def test_truncated_and_missing_pages():
-    assert html_text.page_blocks(None) == html_text.page_blocks("") == []
-    assert html_text.page_blocks("<article><p>abc &am") == [("abc &am", 2)]
-    assert html_text.page_blocks("<article><p>abc<foot") == [("abc", 2)]
+def pages_of(spark, rows):
+    return frame(spark, rows, "page_id long, url string, html string")
 
 
-def test_repeated_runs_of_a_host_go():
-    shared = "this very long sentence stands on all pages of the host indeed"
-    pages = [html_text.page_blocks(f"<div>{shared} {words(9, i)}</div><div>short line</div>") for i in range(3)]
-    assert html_text.group_texts(pages) == [words(9, i) for i in range(3)]
+def texts_of(spark, rows, **more):
+    return {r["page_id"]: r["text"] for r in html_text.extract_text(pages_of(spark, rows), **more).collect()}
+
+
+def test_page_texts(spark):
+    rows = [(i, f"http://h{i}/", PAGE.format(body)) for i, (body, _) in enumerate(BODIES)]
+    rows += [(100, "http://x/", "<article><p>abc &am"), (101, None, "<article><p>abc<foot"), (102, None, None), (103, "http://x/", "")]
+    assert texts_of(spark, rows) == {i: text for i, (_, text) in enumerate(BODIES)} | {100: "abc &am", 101: "abc", 102: "", 103: ""}
 
 
 def test_suffix_array_finds_brute_force_runs():
@@ -67,7 +69,7 @@ def test_suffix_array_finds_brute_force_runs():
     for _ in range(20):
         tokens = rng.integers(0, 3, 60)
         pages = np.repeat(np.arange(6), 10)
-        (got,), order = html_text.repeated_places(pages, pages, tokens, (2,), 4)
+        got, order = html_text.repeated_places(pages, pages, tokens, 4)
         runs = {}
         for i in range(57):
             if pages[i] == pages[i + 3]:
@@ -79,12 +81,63 @@ def test_suffix_array_finds_brute_force_runs():
         assert (got == want).all() and sorted(order) == list(range(60))
 
 
+def test_runs_of_a_host_without_articles(spark):
+    """300 distinct pages are several groups; runs that stand on two pages only, wherever these lie, go too."""
+    bare = lambda body: f"<body>{body}</body>"
+    own = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    rows, want = [], {}
+    for i in range(300):
+        pair = own(5_000 + i // 2, 10)  # on two pages of the host
+        rows.append((i, f"http://h/{i}", bare(f"<div>home</div><div>all news</div><div>about us</div><div>contact</div><div>The {own(i, 6)} {pair} {own(900 + i, 5)}</div>")))
+        want[i] = f"The {own(i, 6)}\n\n{own(900 + i, 5)}"
+    rows.append((300, "http://other/", bare(f"<div>home</div><div>{own(5_000, 10)}</div>")))
+    want[300] = f"home\n\n{own(5_000, 10)}"
+    assert texts_of(spark, rows) == want
+
+
+@pytest.mark.parametrize("n", [1, 9, 10, 200])
+def test_equal_pages_keep_their_text(spark, n):
+    body = f"<div>{words(12, 0)}</div><div>{words(3, 1)}</div>"
+    rows = [(i, "http://same/", body) for i in range(n)] + [(1000 + i, f"http://many/{i}", f"<article><p>{words(30, 2)}</p></article><p>{i}</p>") for i in range(n)]
+    assert texts_of(spark, rows) == {i: f"{words(12, 0)}\n\n{words(3, 1)}" if i < 1000 else words(30, 2) for i, *_ in rows}
+
+
+def test_slots_follow_the_array(spark):
+    """On a host of 80 pages a side word means nothing where the text differs; elsewhere it settles the block."""
+    page = lambda i, own: f"<body><div class=promo>{own}</div><div class=notice>{words(12, i % 7)}</div><article>{words(9, 300 + i)}</article></body>"
+    rows = [(i, f"http://h/{i}", page(i, words(12, 100 + i))) for i in range(80)] + [(99, "http://small/", page(99, "buy this"))]
+    got = texts_of(spark, rows)
+    assert all(got[i] == f"{words(12, 100 + i)}\n\n{words(9, 300 + i)}" for i in range(80))
+    assert got[99] == f"buy this\n\n{words(9, 399)}"  # the larger host tells what this slot holds
+    assert texts_of(spark, rows[:10] + rows[80:]) == {i: words(9, 300 + i) for i, *_ in rows[:10] + rows[80:]}
+
+
+def plain_article(source):
+    """What stands in the first article element, by its paragraphs: independent of the operator's parser."""
+    import html
+
+    inner = re.search(r"<article>(.*?)(</article>|$)", source or "", re.DOTALL)
+    parts = re.split(r"</?(?:p|h1)>", inner[1]) if inner else []
+    found = [" ".join(html.unescape(re.sub(r"</?b>", "", p.replace("<br>", " "))).split()) for p in parts]
+    return "\n\n".join(x for x in found if x)
+
+
+def test_supplied_pages(spark):
+    pages = table(spark, "/root/testdata/sf0.01", "pages")
+    source = {r["page_id"]: r["html"] for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(pages).collect()}
+    assert got == {i: plain_article(x) for i, x in source.items()}
+    off = {r["page_id"]: r["text"] for r in html_text.extract_text(pages, run=1 << 20).collect()}
+    assert sum(off[i] != got[i] for i in got) > 200  # without repetition, the adverts read as the pages' own text
+
+
 def test_extract_text_rows(spark):
-    rows = [(1, "http://h/a", PAGE.format("<article><p>é</p></article>"), 7), (2, None, None, 7), (2, "http://h/a", "", 7)]
-    pages = frame(spark, rows, "page_id long, url string, html string, text int")
+    rows = [(1, "http://h/a", PAGE.format("<article><p>é</p></article>"), 7), (2, None, None, 7), (2, "http://h/a", "", 7), (2, "http://h/a", "", 7), (None, "", "x", None)]
+    pages = frame(spark, rows, "page_id long, url string, html string, text int").withColumn("host", F.lit("clash")).withColumn("blocks", F.lit(1))
     got = html_text.extract_text(pages)
     assert got.columns == ["page_id", "url", "text", "n_chars"]
-    assert sorted(tuple(r)[2:] for r in got.collect()) == [("", 0), ("", 0), ("é", 1)]
+    assert sorted(tuple(r)[2:] for r in got.collect()) == [("", 0), ("", 0), ("", 0), ("x", 1), ("é", 1)]
+    assert html_text.extract_text(pages, keep=("page_id", "host", "blocks")).columns == ["page_id", "host", "blocks", "text", "n_chars"]
     assert html_text.extract_text(pages.limit(0)).count() == 0
 
 
