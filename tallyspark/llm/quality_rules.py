@@ -1,13 +1,17 @@
 """Quality rules with thresholds that follow the data: mergeable quantile sketches per language and source.
 
-Each rule compares one ratio of a text, in whole per mille (``RATIOS``), with a fence derived from the quartiles of that
-ratio among the documents of the same language and source. The quantile sketch of a group is its count per bin over the
+Each rule compares one ratio of a text (``RATIOS``, whole numbers) with a fence on either side, derived from the quartiles of that
+ratio among the documents of the same language and source: ``REACH`` times the spread below the lower quartile and above the
+upper one. The quantile sketch of a group is its count per bin over the
 fixed universe 0..``BINS``; two sketches merge by adding counts, so partial sketches combine before the shuffle, those of
 sources add up to those of languages, and those to the corpus. A group of fewer than ``min_rows`` documents uses the merged
 sketch of its language, and a language with fewer that of the corpus. Quantiles are exact to one bin, and equal on every run.
+The spread is the quartile range of the sketch in use, or the greater one of its language or of the corpus, so that a group half of
+which is copies of one text (range 0) does not reject its other documents; ``LEAST`` only counts where all of these are less.
 
 Nulls: a null text has no words and fails the base rule; null languages and sources are groups of their own. Repeated
-rows count as often as they stand. Extra columns are kept; columns added here take precedence over those of the same name.
+rows count as often as they stand, and are judged alike; ties share a bin. An empty table gives no rows. Extra columns are kept;
+columns added here take precedence over those of the same name.
 """
 
 from __future__ import annotations
@@ -19,36 +23,34 @@ from pyspark.sql.window import Window
 from .common import fits_broadcast, free_name, kept_table, words_of
 
 SYMBOLS = "#*$%&|<>"
+MARKS = ".,;:!?" + SYMBOLS
 WINDOW = 8
-BINS = 1000
-#: Ratios that the sketches describe, and the least distance of a fence from the upper quartile, in per mille.
-RATIOS = {"symbol_pm": 20, "shout_pm": 20, "dup_line_pm": 300}
-#: Where a fence stands: the upper quartile plus this many times the quartile range.
-REACH = 3
+BINS = 2000
+#: What the sketches describe: name to (how many, of what, out of). Mean word length in hundredths; marks a thousand words; capitals a thousand characters.
+RATIOS = {"word_len": (100, "word_chars", "n_words"), "mark_pm": (1000, "n_marks", "n_words"), "upper_pm": (1000, "n_upper", "word_chars")}
+LEAST = {"word_len": 10, "mark_pm": 10, "upper_pm": 2}
+#: Where a fence stands: beyond the quartile by this many times the spread.
+REACH = 4
 MIN_ROWS = 50
 MIN_WORDS = 20
 MAX_REPEAT_PC = 30
 
 
-def line_stats(text: Column) -> tuple[Column, Column]:
-    """Number of lines that hold a word, and of those equal to an earlier one."""
+def dup_lines(text: Column) -> Column:
+    """How many lines with a word are equal to an earlier one."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
-    return F.size(lines).cast("long"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
+    return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def cheap_stats(df: DataFrame, text: str) -> DataFrame:
-    """Adds the counts that need no array of words."""
+def how_many(text: Column, letters: str) -> Column:
+    """How many characters of a text are in a class, given as the inside of brackets of a pattern."""
+    return F.regexp_count(text, F.lit(f"[{letters}]")).cast("long")
+
+
+def mark_counts(df: DataFrame, text: str) -> DataFrame:
+    """Adds the marks and capitals of a text."""
     t = F.coalesce(F.col(text), F.lit(""))
-    lines, dup = line_stats(t)
-    return df.withColumns(
-        {
-            "n_text_chars": F.length(t).cast("long"),
-            "n_symbols": (F.size(F.split(t, f"[{SYMBOLS}]")) - 1).cast("long"),
-            "n_shouts": (F.size(F.split(t, "!")) - 1).cast("long"),
-            "n_lines": lines,
-            "n_dup_lines": dup,
-        }
-    )
+    return df.withColumns({"n_marks": how_many(t, MARKS), "n_upper": how_many(t, "A-Z")})
 
 
 def repeat_words(df: DataFrame, text: str, out: str = "n_repeat_words") -> DataFrame:
@@ -77,16 +79,17 @@ def repeat_words(df: DataFrame, text: str, out: str = "n_repeat_words") -> DataF
 
 
 def ratio_bins() -> dict[str, Column]:
-    """The ratios in whole per mille, from the counts of ``cheap_stats``; none of an empty text."""
-    per_mille = lambda a, b: F.when(F.col(b) > 0, F.least(F.expr(f"(1000 * {a}) div {b}"), F.lit(BINS).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return {"symbol_pm": per_mille("n_symbols", "n_text_chars"), "shout_pm": per_mille("n_shouts", "n_text_chars"), "dup_line_pm": per_mille("n_dup_lines", "n_lines")}
+    """The ratios as bins, from the counts; 0 where there is nothing to divide by."""
+    return {k: F.when(F.col(of) > 0, F.least(F.expr(f"({times} * {n}) div {of}"), F.lit(BINS).cast("long"))).otherwise(F.lit(0).cast("long")) for k, (times, n, of) in RATIOS.items()}
 
 
 def sketches(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """Counts per (lang, source, ratio, bin) over all documents with a word."""
-    base = cheap_stats(df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source")), "text").where("n_lines > 0")
+    t = F.coalesce(F.col("text"), F.lit(""))
+    base = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
+    base = mark_counts(base, "text").withColumns({"n_words": F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), "word_chars": F.length(t) - how_many(t, "\\x20\\x09-\\x0D")})
     pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("bin")) for k, v in ratio_bins().items()])
-    return base.select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n"))
+    return base.where("word_chars > 0").select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n"))
 
 
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
@@ -98,33 +101,35 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
-    """One row per language and source with a fence per ratio: ``lang, source, <ratio>_max``."""
+    """One row per language and source with two fences per ratio: ``lang, source, <ratio>_min, <ratio>_max``."""
     fine, mid, top = _quartiles(sketch, ["lang", "source"]), _quartiles(sketch, ["lang"]), _quartiles(sketch, [])
     m = mid.select(F.col("lang").alias("l2"), F.col("ratio").alias("r2"), F.struct("n", "q1", "q3").alias("mid"))
     t = top.select(F.col("ratio").alias("r3"), F.struct("n", "q1", "q3").alias("top"))
     all_ = fine.join(m, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("ratio") == F.col("r2"))).join(t, F.col("ratio") == F.col("r3"))
     use = F.when(F.col("n") >= min_rows, F.struct("n", "q1", "q3")).when(F.col("mid.n") >= min_rows, F.col("mid")).otherwise(F.col("top"))
     all_ = all_.withColumn("use", use)
-    least = F.create_map(*[x for k, v in RATIOS.items() for x in (F.lit(k), F.lit(v).cast("long"))])
-    fence = F.col("use.q3") + F.greatest(F.lit(REACH) * (F.col("use.q3") - F.col("use.q1")), F.element_at(least, F.col("ratio")))
-    all_ = all_.select("lang", "source", "ratio", fence.alias("fence"))
-    return all_.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col("fence"))).alias(f"{k}_max") for k in RATIOS])
+    least = F.create_map(*[x for k, v in LEAST.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    ranges = [F.col(f"{x}.q3") - F.col(f"{x}.q1") for x in ("use", "mid", "top")]
+    spread = F.lit(REACH) * F.greatest(*ranges, F.element_at(least, F.col("ratio")))
+    all_ = all_.select("lang", "source", "ratio", (F.col("use.q1") - spread).alias("low"), (F.col("use.q3") + spread).alias("high"))
+    return all_.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col(x))).alias(f"{k}_{end}") for k in RATIOS for x, end in (("low", "min"), ("high", "max"))])
 
 
 def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
     """All rows of ``df`` with the counts, ``base_failed``, the ratios, their fences and ``kept``.
 
     Base rule: fewer than ``MIN_WORDS`` words, or more than ``MAX_REPEAT_PC`` per cent of them in repeated windows. A document
-    is kept if it passes the base rule and no ratio is above its group's fence. Two passes over the texts: one for the
+    is kept if it passes the base rule and no ratio is beyond its group's fences. Two passes over the texts: one for the
     sketches, one to judge; between them go only the fences, which are broadcast if they are few and else joined on salted keys.
     """
     limits = kept_table(fences(sketches(df, text, lang, source), min_rows), "fences")
-    out = repeat_words(cheap_stats(df, text), text)
-    out = out.withColumns(ratio_bins())
+    ends = [f"{k}_{end}" for k in RATIOS for end in ("min", "max")]
+    t = F.coalesce(F.col(text), F.lit(""))
+    out = mark_counts(df, text).withColumns({"n_symbols": how_many(t, SYMBOLS), "n_dup_lines": dup_lines(t)})
+    out = repeat_words(out, text).withColumns(ratio_bins()).drop(*ends)
     taken = [*out.columns, *limits.columns]
     l, s, salt = free_name(taken, "lang_"), free_name(taken, "source_"), free_name(taken, "salt_")
-    limits = limits.select(F.col("lang").alias(l), F.col("source").alias(s), *[f"{k}_max" for k in RATIOS])
-    out = out.drop(*[f"{k}_max" for k in RATIOS])
+    limits = limits.select(F.col("lang").alias(l), F.col("source").alias(s), *ends)
     same = F.col(lang).eqNullSafe(F.col(l)) & F.col(source).eqNullSafe(F.col(s))
     if fits_broadcast(limits):
         out = out.join(F.broadcast(limits), same, "left")
@@ -134,9 +139,7 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
         other = free_name(taken, "salt2_")
         out = out.withColumn(other, F.pmod(F.xxhash64(text), F.lit(salts)).cast("int")).join(limits, same & (F.col(salt) == F.col(other)), "left").drop(salt, other)
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PC * F.col("n_words"))
-    within = [F.col(k) <= F.coalesce(F.col(f"{k}_max"), F.lit(BINS)) for k in RATIOS]
     kept = ~failed
-    for x in within:
-        kept = kept & x
+    for k in RATIOS:
+        kept = kept & (F.col(k) >= F.coalesce(F.col(f"{k}_min"), F.lit(0))) & (F.col(k) <= F.coalesce(F.col(f"{k}_max"), F.lit(BINS)))
     return out.withColumns({"base_failed": failed, "kept": kept}).drop(l, s)
-

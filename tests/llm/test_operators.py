@@ -472,9 +472,27 @@ def test_quality_counts_and_verdicts(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (n, chars, symbols, dup, repeat)
         assert r["base_failed"] == (n < 20 or 100 * repeat > 30 * n)
     assert all(got[i]["kept"] for i in range(10, 70)) and not got[9]["kept"] and not got[9]["base_failed"]
+    twice = quality_rules.quality_rules(d.unionByName(d)).collect()
+    assert len(twice) == 2 * len(texts) and all(r["kept"] == got[r["doc_id"]]["kept"] for r in twice)
     assert quality_rules.quality_rules(d.limit(0)).count() == 0
 
 
+def test_one_ratio_two_verdicts(spark):
+    """A mean word length that is odd in one language and common in the other; copies do not narrow the fences."""
+    text = lambda n, k: " ".join(f"{'x' * (n + (j + k) % 3)}{k}y{j}" for j in range(30))
+    rows = [(i, text(3, i), "en", "s", 0) for i in range(100)] + [(100 + i, text(20, i), "de", "s", 0) for i in range(100)]
+    rows += [(200, text(20, 7), "en", "s", 0), (201, text(20, 7), "de", "s", 0)] + [(300 + i, rows[0][1], "en", "s", 0) for i in range(300)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert got[200]["word_len"] == got[201]["word_len"] and not got[200]["kept"] and got[201]["kept"] and not got[200]["base_failed"]
+    assert got[200]["word_len_max"] != got[201]["word_len_max"] and all(r["kept"] for i, r in got.items() if i != 200)
+
+
+def test_fences_of_the_supplied_documents_differ(spark):
+    sketch = quality_rules.sketches(table(spark, "/root/testdata/sf0.01", "documents"), "text", "lang", "source")
+    limits = quality_rules.fences(sketch).collect()
+    assert all(len({r[f"{k}_max"] for r in limits}) > 1 for k in quality_rules.RATIOS)
+
+
 def test_sketches_merge(spark):
     texts = [words(30, i) + " #" * (i % 4) for i in range(80)]
     rows = [(i, t, ["en", None][i % 2], f"s{i % 3}", 0) for i, t in enumerate(texts)]
