@@ -58,28 +58,30 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     key, rank, cell = (free_name([*docs.columns, *new], x) for x in ("key_", "rank_", "cell_"))
     base = docs.drop(*new) if set(new) & set(docs.columns) else docs
     keep = tuple(c for c in keep if c in base.columns)
-    base = base.select(*dict.fromkeys([*keep, source, doc_id]), word_count(F.col(text)).alias("size")).withColumns(
+    base = base.select(*dict.fromkeys([*keep, source, doc_id, text])).withColumns(
         {
             key: F.coalesce(F.concat(F.lit("v"), F.col(source)), F.lit("n")),
             rank: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))),
         }
     )
     base = base.withColumn(cell, F.substring(rank, 1, CELL_DIGITS))
-    plan = kept_table(_plan(base, key, cell, source, weights, share, max_epochs), "mix")
+    cells = base.groupBy(F.col(key).alias("k"), F.col(cell).alias("c")).agg(F.sum(word_count(F.col(text))).alias("words"), F.min(source).alias("source"))
+    plan = kept_table(_plan(kept_table(cells, "cells"), weights, share, max_epochs), "mix")
+    # Words are counted after the rows of a source's last cell are told from the others: once a row.
     placed = base.join(F.broadcast(plan) if fits_broadcast(plan) else plan, F.col(key) == F.col("k"))
+    ends = F.col(cell) == F.col("last_cell")
+    last, others = (placed.where(x).withColumn("size", word_count(F.col(text))) for x in (ends, ~ends))
     order = Window.partitionBy(key).orderBy(F.col(rank), F.col(doc_id).asc_nulls_last(), F.col("size"))
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     more = F.when(2 * (F.col("start") + upto) - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
-    last = placed.where(F.col(cell) == F.col("last_cell")).withColumn("more", more)
-    others = placed.where(F.col(cell) != F.col("last_cell")).withColumn("more", F.when(F.col(cell) < F.col("last_cell"), 1).otherwise(0))
-    out = others.unionByName(last).withColumn("copies", F.col("whole") + F.when(F.col("whole") < max_epochs, F.col("more")).otherwise(F.lit(0)))
+    others = others.withColumn("more", F.when(F.col(cell) < F.col("last_cell"), 1).otherwise(0))
+    out = others.unionByName(last.withColumn("more", more)).withColumn("copies", F.col("whole") + F.when(F.col("whole") < max_epochs, F.col("more")).otherwise(F.lit(0)))
     return out.withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *new)
 
 
-def _plan(base: DataFrame, key: str, cell: str, source: str, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
-    """Per source: its size and target, the whole repetitions, the rest, and the cell in which it ends with the words before that."""
-    cells = base.groupBy(F.col(key).alias("k"), F.col(cell).alias("c")).agg(F.sum("size").alias("words"), F.first(source).alias("source"))
-    sources = cells.groupBy("k").agg(F.sum("words").alias("source_size"), F.first("source").alias("source"))
+def _plan(cells: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
+    """Per source, from the words of its cells: its size and target, the whole repetitions, the rest, and the cell in which it ends with the words before that."""
+    sources = cells.groupBy("k").agg(F.sum("words").alias("source_size"), F.min("source").alias("source"))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = water_fill(sources, weights, share, max_epochs).withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     upto = cells.withColumn("upto", F.sum("words").over(Window.partitionBy("k").orderBy("c"))).join(targets.select(F.col("k").alias("tk"), "rest"), F.col("k") == F.col("tk"))
