@@ -4,15 +4,17 @@ A document is its set of distinct five-word shingles (as 64-bit hashes), lower-c
 shingle. Documents are linked if the Jaccard similarity of their sets is at least 0.75, and grouped by connected components.
 
 1. Equal sets are one class, represented by its least doc_id; only classes go on. A class of any size is one row.
-2. ``TREES`` independent trees: a document branches by the minwise token at the coordinate the tree chooses for the level. A node
+2. ``TREES`` independent trees: a document branches by the minwise token at the coordinate that belongs to the tree and level alone. A node
    with one document ends; one with at most ``NODE`` is compared exhaustively by signature, and yields a spanning forest of
    the pairs that may reach the threshold (never all pairs); a larger one branches on, down to ``DEPTH`` levels. What is still
    larger there is joined to its least document without comparison: a superset, so nothing is lost. Node sizes come from partial
-   counts, and large nodes exist only as rows. A pair of similarity s ends in one node with probability s**depth per tree: 0.75 at
-   the first level, where almost all nodes are small, so 24 trees miss one pair in 1e14 there, and 1 in 1e4 at the fourth level.
+   counts; large nodes are told by their (few) sizes, broadcast or on salted keys, and never gathered. A pair of similarity s ends in one
+   node with probability s**level per tree, so ``TREES`` trees miss it with (1 - s**level)**TREES: at 0.75 with 4e-15 at the first level,
+   where almost all nodes are small, 3e-9 at the second, 4e-6 at the third, 1e-4 at the fourth, 2e-3 at the fifth and nothing at the last.
 3. The forests' components gather documents that may be linked. Only these documents' texts are read again, and links are
    confirmed on full shingle sets: every pair of a component is compared unless it is connected already. Components of
-   more than ``BLOCK`` documents are cut into blocks, and each pair of blocks is a task of its own.
+   more than ``BLOCK`` documents (or ``BLOCK_SHINGLES``) are dealt into blocks twice, by two hashes, and compared within the blocks; only where
+   that leaves more than one cluster are blocks compared with each other, each pair of blocks a task, and only across clusters.
 4. Components of the confirmed links.
 
 Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows with equal doc_id have
@@ -36,21 +38,21 @@ from .graph import components
 SHINGLE = 5
 #: A link: PART * intersection >= WHOLE * union.
 PART, WHOLE = 100, 75
-COORDINATES = 64
 TREES = 24
 DEPTH = 6
+#: One for each tree and level.
+COORDINATES = TREES * DEPTH
 NODE = 256
-BLOCK = 1000
-#: Coordinates of 64 that must agree for a pair to be looked at: 4.6 standard deviations below the threshold.
-AGREE = 32
+BLOCK, BLOCK_SHINGLES = 1000, 4_000_000
+#: Coordinates whose low bytes are compared, and how many must agree for a pair to be looked at: 5.8 standard deviations below the threshold.
+LOW, AGREE = 64, 28
+SALTS = 64
 CACHE_WORDS = 250_000
 SEED = 20_260_101
 
 _rng = np.random.default_rng(SEED)
 _MULTIPLY = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _FLIP = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
-#: The coordinate that each tree chooses at each level, without repetition within a tree.
-PATHS = [[int(x) for x in _rng.permutation(COORDINATES)[:DEPTH]] for _ in range(TREES)]
 _hashes: dict[bytes, bytes] = {}
 
 
@@ -110,7 +112,7 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sig[full] = signatures([sets[i] for i in full])
             n = len(sets)
             values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * COORDINATES), pa.array(sig.reshape(-1).view(np.int32)))
-            low = sig.astype(np.uint8)
+            low = sig[:, :LOW].astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, n),
@@ -182,7 +184,7 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         reps = np.asarray(node.column(1))
         if len(reps) < 2:
             continue
-        low = np.frombuffer(b"".join(node.column(2).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+        low = np.frombuffer(b"".join(node.column(2).to_pylist()), dtype=np.uint8).reshape(-1, LOW)
         forest = Forest(len(reps))
         for i in range(len(reps) - 1):
             alike = np.flatnonzero((low[i + 1 :] == low[i]).sum(axis=1) >= AGREE)
@@ -193,13 +195,19 @@ def _compare_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield _edges(out)
 
 
-def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that reach the threshold; with ``side``, only pairs from different sides are compared."""
+def linked(sets: list[np.ndarray], side: np.ndarray | None = None, cluster: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that reach the threshold; with ``side``, only pairs from different sides are compared.
+
+    Sets of equal ``cluster`` count as connected.
+    """
     n = len(sets)
     sizes = np.asarray([len(s) for s in sets], dtype=np.int64)
     _, flat = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.cumsum(sizes) - sizes
     forest, out = Forest(n), []
+    if cluster is not None:
+        _, first, back = np.unique(cluster, return_index=True, return_inverse=True)
+        forest.root = first[back]
     for i in range(n - 1):
         roots = forest.labels()
         todo = (roots[i + 1 :] != roots[i]) & (PART * np.minimum(sizes[i + 1 :], sizes[i]) >= WHOLE * np.maximum(sizes[i + 1 :], sizes[i]))
@@ -221,28 +229,40 @@ def linked(sets: list[np.ndarray], side: np.ndarray | None = None) -> list[tuple
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (component, first block, second block, block, doc_id, text) sorted by the first three: confirmed links."""
+    """Rows (component, first block, second block, block, cluster, doc_id, text) sorted by the first three: confirmed links."""
     for group in runs(batches, 3):
         if group.num_rows < 2:
             continue
-        sets = shingle_sets(group.column(5).to_pylist())
-        ids = np.asarray(group.column(4))
+        sets = shingle_sets(group.column(6).to_pylist())
+        ids = np.asarray(group.column(5))
         full = [i for i, s in enumerate(sets) if len(s)]
         side = np.asarray(group.column(3))[full] if group.column(1)[0].as_py() != group.column(2)[0].as_py() else None
-        found = linked([sets[i] for i in full], side) if len(full) > 1 else []
+        found = linked([sets[i] for i in full], side, np.asarray(group.column(4))[full]) if len(full) > 1 else []
         yield _edges([(int(ids[full[i]]), int(ids[full[j]])) for i, j in found if ids[full[i]] != ids[full[j]]])
 
 
+def _with_sizes(rows: DataFrame, level: int) -> DataFrame:
+    """Rows of nodes with two documents or more, with ``size`` and the least document."""
+    sizes = kept_table(rows.groupBy(F.col("node").alias("n2")).agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1"), f"sizes{level}")
+    big, small = sizes.where(F.col("size") > NODE), sizes.where(F.col("size") <= NODE)
+    same = F.col("node") == F.col("n2")
+    if fits_broadcast(big):
+        told = rows.join(F.broadcast(big), same, "left")
+    else:
+        salted = big.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        told = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own") == F.col("salt")), "left").drop("own", "salt")
+    rest = told.where("size is null").drop("n2", "size", "least").join(small, same)
+    return kept_table(told.where("size is not null").unionByName(rest).drop("n2"), f"level{level}")
+
+
 def _candidates(reps: DataFrame) -> DataFrame:
     """Edges (a, b) whose components hold every pair that may be linked; ``reps``: rep, sig, low."""
     spark = reps.sparkSession
-    coordinate = F.array(*[F.array(*[F.lit(c + 1) for c in path]) for path in PATHS])
+    at = lambda level: F.element_at("sig", F.col("tree") * DEPTH + level)
     found = []
-    rows = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig")
-    rows = rows.select("rep", "tree", F.xxhash64(F.col("tree"), F.element_at("sig", F.element_at(F.element_at(coordinate, F.col("tree") + 1), 1))).alias("node"))
+    rows = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select("rep", "tree", F.xxhash64("tree", at(1)).alias("node"))
     for level in range(1, DEPTH + 1):
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("rep").alias("least")).where("size > 1").withColumnRenamed("node", "n2")
-        rows = kept_table(rows.join(sizes, F.col("node") == F.col("n2")).drop("n2"), f"level{level}")
+        rows = _with_sizes(rows, level)
         leaves = rows.where(F.col("size") <= NODE).join(reps.select(F.col("rep").alias("r2"), "low"), F.col("rep") == F.col("r2")).select("node", "rep", "low")
         found.append(kept_table(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes, "a long, b long").distinct(), "pairs"))
         large = rows.where(F.col("size") > NODE)
@@ -251,14 +271,50 @@ def _candidates(reps: DataFrame) -> DataFrame:
         if level == DEPTH:
             found.append(large.select(F.col("rep").alias("a"), F.col("least").alias("b")))
         else:
-            at = F.element_at(F.element_at(coordinate, F.col("tree") + 1), level + 1)
-            rows = large.join(reps.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2")).select("rep", "tree", F.xxhash64("node", F.element_at("sig", at)).alias("node"))
+            rows = large.join(reps.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2")).select("rep", "tree", F.xxhash64("node", at(level + 1)).alias("node"))
     out = spark.createDataFrame([], "a long, b long")
     for f in found:
         out = out.unionByName(f)
     return out
 
 
+def _links(rows: DataFrame, dealt: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) of documents (doc_id, t), from ``dealt``: node, component, one, two, block, cluster."""
+    texts = rows.join(F.broadcast(dealt) if fits_broadcast(dealt) else dealt, F.col("doc_id") == F.col("node")).select("component", "one", "two", "block", "cluster", "doc_id", "t")
+    return texts.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInArrow(_confirm, "a long, b long")
+
+
+def _clusters(maybe: DataFrame, links: DataFrame) -> DataFrame:
+    """``maybe`` (node, component, blocks) with the cluster of each document, only of components that hold more than one."""
+    groups = components(links).select(F.col("node").alias("g_node"), F.col("component").alias("cluster"))
+    told = maybe.join(groups, F.col("node") == F.col("g_node"), "left").select(*maybe.columns, F.coalesce("cluster", "node").alias("cluster"))
+    open_ = told.groupBy(F.col("component").alias("o")).agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("o")
+    return kept_table(told.join(open_, F.col("component") == F.col("o"), "left_semi"), "clusters")
+
+
+def _confirmed(rows: DataFrame, maybe: DataFrame) -> DataFrame:
+    """All links (a spanning forest of them) within the components of ``maybe``: node, component, blocks."""
+    zero = F.lit(0).cast("long")
+    links = _links(rows, maybe.where("blocks = 1").select("node", "component", zero.alias("one"), zero.alias("two"), zero.alias("block"), F.col("node").alias("cluster")))
+    large = maybe.where("blocks > 1")
+    if large.isEmpty():
+        return links
+    open_ = large.withColumn("cluster", F.col("node"))
+    found = None
+    for turn in (1, 2):
+        block = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks"))
+        dealt = open_.withColumn("block", block).select("node", "component", F.col("block").alias("one"), F.col("block").alias("two"), "block", "cluster")
+        new = kept_table(_links(rows, dealt), "links")
+        found = new if found is None else found.unionByName(new)
+        open_ = _clusters(large, found)
+        if open_.isEmpty():
+            return links.unionByName(found)
+    other = F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other")
+    pairs = open_.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).select("node", "component", "block", "cluster", other).where("block <> other")
+    pairs = kept_table(pairs.select("node", "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cluster"), "blocks")
+    return links.unionByName(found).unionByName(_links(rows, pairs))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id reachable) and kept (doc_id = component_id)."""
     spark = docs.sparkSession
@@ -266,17 +322,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     every = kept_table(rows.mapInArrow(_profile, "doc_id long, n long, key binary, sig array<int>, low binary"), "sets")
     some = every.where("n > 0 and doc_id is not null")
-    classes = kept_table(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("low").alias("low")), "classes")
+    classes = kept_table(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")), "classes")
     maybe = components(_candidates(classes.select("rep", "sig", "low")))
     maybe = maybe.unionByName(maybe.select(F.col("component").alias("node"), "component").distinct())
-    size = maybe.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks")).withColumnRenamed("component", "c2")
-    dealt = maybe.join(size, F.col("component") == F.col("c2")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = kept_table(dealt.select("node", "component", "blocks", "block"), "maybe")
-    texts = rows.join(F.broadcast(dealt) if fits_broadcast(dealt) else dealt, F.col("doc_id") == F.col("node"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
-    texts = texts.select("component", "block", "doc_id", "t", other).select("component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "doc_id", "t")
-    links = texts.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInArrow(_confirm, "a long, b long")
-    groups = components(links)
+    maybe = maybe.join(classes.select(F.col("rep").alias("r2"), "n"), F.col("node") == F.col("r2")).select("node", "component", "n")
+    size = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("long")
+    size = maybe.groupBy(F.col("component").alias("c2")).agg(size.alias("blocks"))
+    maybe = kept_table(maybe.join(size, F.col("component") == F.col("c2")).select("node", "component", "blocks"), "maybe")
+    groups = components(_confirmed(rows, maybe))
     least = classes.select("key", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = every.select("doc_id", F.col("n").alias("n_shingles"), "key").join(least.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2"), "left")
     known = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

@@ -258,6 +258,19 @@ def test_large_nodes_and_blocks(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in enumerate(brute_components(texts))}
 
 
+def test_signatures_keep_pairs_at_the_threshold():
+    """Pairs at the threshold pass the comparison of low bytes; every coordinate agrees as often as they are similar."""
+    rng = np.random.default_rng(8)
+    least, together = neardup.LOW, np.zeros(neardup.COORDINATES)
+    for _ in range(400):
+        flat = rng.integers(0, 1 << 63, 70, dtype=np.uint64)
+        sig = neardup.signatures([flat, flat[:53]])
+        same = sig[0] == sig[1]
+        together += same
+        least = min(least, int((sig[0, : neardup.LOW].astype(np.uint8) == sig[1, : neardup.LOW].astype(np.uint8)).sum()))
+    assert least >= neardup.AGREE and abs(together.mean() / 400 - 53 / 70) < 0.02
+
+
 def test_near_duplicates_null_ids_and_empty(spark):
     d = frame(spark, [(None, words(9), "en", "s", 0), (5, words(9), "en", "s", 0), (5, words(9), "en", "s", 0)])
     assert sorted(map(tuple, neardup.near_duplicates(d).collect()), key=str) == [(5, 5, 5, True), (5, 5, 5, True), (None, 5, None, True)]
