@@ -10,8 +10,11 @@ Fitting takes at most ``SAMPLE`` labelled documents, those with the smallest has
 thousand) are all that reaches the driver. Scoring is one pass over the text column in Arrow batches, without shuffle.
 
 Features come from the text alone: shares of classes of bytes, word lengths, repetition of words and lines. An empty or null
-text has the features of an empty string and is scored. Labels that are null or stand for no document are ignored;
-an id with several labels takes the greatest. Without documents of both labels every score is 0.5.
+text has the features of an empty string and is scored; so are texts of any length, whole. Labels that are null or stand for no document
+are ignored; an id with several labels takes the greatest. A labelled id with several rows is one training document (the row with the
+least features), so the driver gets ``SAMPLE`` rows at most; in scoring, repeated rows and null ids are rows of their own with
+equal scores for equal texts. Equal strengths are equal scores; a score of ``CUT`` itself is accepted. Without documents of both
+labels every score is 0.5. An empty table gives no rows. Other columns are kept; ones named like the score and prediction are replaced.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import small_batches
 
@@ -55,7 +59,7 @@ def _class_table() -> np.ndarray:
 
 CLASSES = _class_table()
 N_CLASSES = 11
-N_FEATURES = N_CLASSES + 9
+N_FEATURES = N_CLASSES + 8
 
 
 def features(texts: list[bytes]) -> np.ndarray:
@@ -80,7 +84,6 @@ def features(texts: list[bytes]) -> np.ndarray:
             np.log1p(n / (len(lines) + 1)),
             k < 5,
             np.log1p(max(map(len, words), default=0)),
-            sum(w[0] == 124 for w in words) / (k + 1),
         )
     return out
 
@@ -96,7 +99,8 @@ class Model:
     slope: float
 
     def strengths(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights
+        # Row by row: a matrix product's last bits depend on where in a batch a row stands.
+        return ((x - self.mean) / self.scale * self.weights).sum(axis=1)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
         if not self.weights.any():
@@ -145,14 +149,16 @@ def training_rows(docs: DataFrame, labels: DataFrame, use: Column, text: str = "
         .limit(sample)
         .select(F.col("doc_id").alias("labelled_id"), "label")
     )
-    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("labelled_id")).select("t", "label")
+    rows = docs.select(F.col(doc_id).alias("d"), F.col(text).cast("binary").alias("t")).join(F.broadcast(chosen), F.col("d") == F.col("labelled_id")).select("t", "label", "d")
 
     def measure(batches):
         for b in batches:
             x = features([v or b"" for v in b.column(0).to_pylist()])
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1)], names=["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), pa.list_(pa.float64())), b.column(1), b.column(2)], names=["x", "y", "d"])
 
-    got = rows.mapInArrow(measure, "x array<double>, y int").toArrow()
+    # Every kind of id has an order; the least features of an id are one row of it.
+    measured = rows.mapInArrow(measure, T.StructType([T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("y", T.IntegerType()), T.StructField("d", docs.schema[doc_id].dataType)]))
+    got = measured.groupBy("d").agg(F.min("x").alias("x"), F.first("y").alias("y")).select("x", "y").toArrow()
     if not got.num_rows:
         return np.zeros((0, N_FEATURES)), np.zeros(0)
     x, y = np.stack(got.column("x").to_numpy(zero_copy_only=False)), np.asarray(got.column("y"))

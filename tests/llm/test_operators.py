@@ -392,6 +392,38 @@ def test_ranking_on_held_out_labels(spark):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.3) for r in rows)
 
 
+def test_fit_minimises_the_pairwise_loss():
+    """The gradient of the loss over the very pairs is zero, and plain gradient descent orders other documents alike."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, ranking.N_FEATURES))
+    y = (x[:, 0] - 2 * x[:, 3] + rng.normal(size=300) > 0).astype(int)
+    model = ranking.fit(x, y, pairs=4000, seed=5)
+    draw = np.random.default_rng(5)
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = z[draw.choice(np.flatnonzero(y == 1), 4000)] - z[draw.choice(np.flatnonzero(y == 0), 4000)]
+    slope = lambda w: -(d / (1 + np.exp(d @ w))[:, None]).mean(axis=0) + ranking.RIDGE * w
+    assert np.abs(slope(model.weights)).max() < 1e-6
+    w = np.zeros(ranking.N_FEATURES)
+    for _ in range(20_000):
+        w -= 0.2 * slope(w)
+    assert np.abs(w - model.weights).max() < 1e-3
+    fresh = rng.normal(size=(200, ranking.N_FEATURES))
+    want = ((fresh - x.mean(axis=0)) / x.std(axis=0)) @ w
+    assert np.corrcoef(np.argsort(np.argsort(want)), np.argsort(np.argsort(model.scores(fresh))))[0, 1] > 0.9999
+
+
+def test_ranking_rows(spark):
+    """Repeated ids, long and missing texts, columns of other names and of the same."""
+    d = docs(spark, [words(30, 1), "|# " * 40, None, "", "é" * 300_000, words(30, 1)]).withColumn("score", F.lit("clash")).withColumn("predicted", F.lit(7)).withColumn("t", F.lit(1))
+    labels = frame(spark, [(0, 1), (1, 0), (1, None)], "doc_id long, quality int")
+    x, y = ranking.training_rows(d.unionByName(d).unionByName(d), labels, F.lit(True))
+    assert x.shape == (2, ranking.N_FEATURES) and sorted(y) == [0, 1]
+    got = {r["doc_id"]: r for r in ranking.score_quality(d, ranking.fit(x, y)).collect()}
+    assert len(got) == 6 and got[0]["score"] == got[5]["score"] > got[1]["score"] and got[2]["score"] == got[3]["score"]
+    assert set(d.columns) == set(ranking.score_quality(d, ranking.fit(x, y)).columns)
+    assert ranking.score_quality(d.limit(0), ranking.fit(x, y)).count() == 0
+
+
 def test_ranking_without_labels(spark):
     d = docs(spark, ["abc", "", None])
     labels = frame(spark, [(0, None), (9, 1)], "doc_id long, quality int")
