@@ -218,8 +218,16 @@ def tokenize(s, d):
     return T.load(s, d, "documents").select("doc_id", F.size(t).cast("long").alias("n_tokens"), F.get(t, F.lit(0)).alias("first_token"))
 
 
-@query("wer", f"""WITH t AS (SELECT conv_id, turn, list_slice(regexp_extract_all(lower(text), '{LETTERS}'), 1, {T.SCRIPT_WORDS}) AS w FROM conversations), p AS (SELECT a.conv_id, a.turn, a.w AS r, b.w AS h, list_distinct(list_concat(a.w, b.w)) AS u FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN (CASE WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END) ELSE round(least(1.0, levenshtein(array_to_string(list_transform(r, lambda x: chr(CAST(33 + list_position(u, x) AS INTEGER))), ''), array_to_string(list_transform(h, lambda x: chr(CAST(33 + list_position(u, x) AS INTEGER))), '')) / len(r)), 6) END AS wer FROM p""")
+_WER = f"""WITH RECURSIVE t AS (SELECT conv_id, turn, regexp_extract_all(lower(coalesce(text, '')), '{LETTERS}') AS w FROM conversations),
+p AS MATERIALIZED (SELECT row_number() OVER () AS k, a.conv_id, a.turn, a.w AS r, b.w AS h FROM t a JOIN t b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+rw AS MATERIALIZED (SELECT k, unnest(range(1, len(r) + 1)) AS i, unnest(r) AS word FROM p), hw AS MATERIALIZED (SELECT k, unnest(range(1, len(h) + 1)) AS j, unnest(h) AS word FROM p),
+d AS (SELECT k, 0 AS i, unnest(range(len(h) + 1)) AS j, unnest(range(len(h) + 1)) AS v FROM p UNION ALL
+ SELECT k, i, j, j + min(c - j) OVER (PARTITION BY k ORDER BY j) FROM (SELECT d.k, d.i + 1 AS i, d.j, least(d.v + 1, coalesce(lag(d.v) OVER (PARTITION BY d.k ORDER BY d.j) + CASE WHEN rw.word = hw.word THEN 0 ELSE 1 END, d.v + 1)) AS c
+  FROM d JOIN rw ON rw.k = d.k AND rw.i = d.i + 1 LEFT JOIN hw ON hw.k = d.k AND hw.j = d.j))
+SELECT conv_id, turn, CASE WHEN len(r) = 0 THEN (CASE WHEN len(h) > 0 THEN 1.0 ELSE 0.0 END) ELSE round(least(1.0, v / len(r)), 6) END AS wer FROM p JOIN d ON d.k = p.k AND d.i = len(r) AND d.j = len(h)"""
+
+
+@query("wer", _WER)
 def wer(s, d):
     t = T.load(s, d, "conversations").select("conv_id", "turn", S.tokens(F.col("text")).alias("w"))
     n = t.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("w").alias("h"))
@@ -298,8 +306,9 @@ def canonical_hash(s, d):
     return T.load(s, d, "events").select("event_id", D.canonical_map_hash(m).alias("hash"))
 
 
-_PAIRS = f"""t AS (SELECT doc_id AS uid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS name FROM documents WHERE len(string_split(text, chr(10))) >= 4), z AS (SELECT uid, count(*) AS size FROM t GROUP BY 1),
-x AS (SELECT a.uid AS earlier, b.uid AS later, count(*) AS shared FROM t a JOIN t b ON a.name = b.name AND a.line = b.line AND a.uid < b.uid GROUP BY 1, 2), pairs AS (SELECT earlier, later, shared, shared / size AS ratio FROM x JOIN z ON uid = later WHERE shared / size >= {DEFAULTS.clone_share})"""
+_OVERLAP = """t AS (SELECT doc_id AS uid, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS name FROM documents), z AS (SELECT uid, count(*) AS size FROM t GROUP BY 1),
+o AS (SELECT a.uid AS one, b.uid AS other, count(*) AS shared FROM t a JOIN t b ON a.name = b.name AND a.line = b.line AND a.uid <> b.uid GROUP BY 1, 2)"""
+_PAIRS = f"""{_OVERLAP}, pairs AS (SELECT one AS earlier, other AS later, shared, shared / size AS ratio FROM o JOIN z ON uid = other WHERE one < other AND shared / size >= {DEFAULTS.clone_share})"""
 
 
 @query("near_dup_pairs", f"WITH {_PAIRS} SELECT earlier, later, shared, round(ratio, 6) AS ratio FROM pairs")
@@ -307,16 +316,15 @@ def near_dup_pairs(s, d):
     return D.overlap_pairs(T.tensors(s, d), DEFAULTS.clone_share).select("earlier", "later", "shared", r6("ratio"))
 
 
-@query("near_dup_greedy")
+@query("near_dup_greedy", f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT later, row_number() OVER (ORDER BY later) AS n, list({{'e': earlier, 'r': ratio}} ORDER BY earlier) AS found FROM pairs GROUP BY later),
+s AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS fallen, NULL::BIGINT AS uid, NULL::STRUCT(e BIGINT, r DOUBLE) AS hit UNION ALL
+ SELECT n, CASE WHEN hit IS NULL THEN fallen ELSE list_append(fallen, later) END, later, hit FROM (SELECT l.n, s.fallen, l.later, list_filter(l.found, lambda x: NOT list_contains(s.fallen, x.e))[1] AS hit FROM s JOIN l ON l.n = s.n + 1))
+SELECT uid, hit.e AS earliest, round(hit.r, 6) AS ratio, CASE WHEN hit.r >= 1 THEN 'tensor_clone_of:earliest_uid=' || hit.e ELSE 'tensor_near_clone_of:earliest_uid=' || hit.e || ':ratio=' || format('{{:.3f}}', hit.r) END AS reason FROM s WHERE hit IS NOT NULL""")
 def near_dup_greedy(s, d):
-    if not s.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
-
-        s.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tallyspark-"))
     return D.near_clones(T.tensors(s, d), DEFAULTS.clone_share).select("uid", "earliest", r6("ratio"), "reason")
 
 
-@query("fingerprint_collision", """WITH m AS (SELECT doc_id, text FROM documents) SELECT a.doc_id AS model, min(b.doc_id) AS collides_with, max(CASE WHEN a.doc_id > 0 AND a.doc_id < b.doc_id THEN 0 ELSE 1 END) = 1 AS rejected FROM m a JOIN m b ON a.text = b.text AND a.doc_id <> b.doc_id GROUP BY 1""")
+@query("fingerprint_collision", f"""WITH {_OVERLAP} SELECT one AS model, min(other) AS collides_with, NOT (one > 0 AND one < min(other)) AS rejected FROM o JOIN z ON uid = one WHERE shared / size >= {DEFAULTS.clone_share} GROUP BY one""")
 def fingerprint_collision(s, d):
     return D.collisions(T.tensors(s, d), T.tensors(s, d), DEFAULTS.clone_share)
 
@@ -474,11 +482,19 @@ def _requests(s, d):
     return T.load(s, d, "events").select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("ts"), F.col("event_type").alias("nonce"))
 
 
-@query("rate_limit")
+_EVENTS = "q AS MATERIALIZED (SELECT CAST(user_id AS VARCHAR) AS key, event_type AS nonce, event_id AS seq, epoch_us(ts) / 1e6 AS ts, row_number() OVER ({}) AS n FROM events)"
+
+
+@query("rate_limit", f"""WITH RECURSIVE {_EVENTS.format("PARTITION BY user_id ORDER BY ts, event_id")}, f AS (SELECT key, 0::BIGINT AS n, []::DOUBLE[] AS times, NULL::BIGINT AS seq, NULL::BOOLEAN AS allowed, NULL::BIGINT AS retry_after FROM q WHERE n = 1 UNION ALL
+ SELECT key, n, CASE WHEN len(kept) < 3 THEN list_append(kept, ts) ELSE kept END, seq, len(kept) < 3, CASE WHEN len(kept) < 3 THEN 0 ELSE greatest(1, CAST(trunc(kept[1] + 86400.0 - ts) AS BIGINT)) END
+ FROM (SELECT q.key, q.n, q.seq, q.ts, list_filter(f.times, lambda x: x >= q.ts - 86400.0) AS kept FROM f JOIN q ON q.key = f.key AND q.n = f.n + 1))
+SELECT key, seq, allowed, retry_after FROM f WHERE n > 0""")
 def rate_limit(s, d):
     return L.limit_batch(_requests(s, d).drop("nonce"), 3, 86_400.0).select("key", "seq", "allowed", "retry_after")
 
 
-@query("replay_dedup")
+@query("replay_dedup", f"""WITH RECURSIVE {_EVENTS.format("PARTITION BY user_id, event_type ORDER BY ts, event_id")}, f AS (SELECT key, nonce, 0::BIGINT AS n, NULL::DOUBLE AS last, NULL::BIGINT AS seq, NULL::BOOLEAN AS accepted FROM q WHERE n = 1 UNION ALL
+ SELECT q.key, q.nonce, q.n, CASE WHEN f.last IS NOT NULL AND q.ts - f.last <= 86400.0 THEN f.last ELSE q.ts END, q.seq, NOT (f.last IS NOT NULL AND q.ts - f.last <= 86400.0) FROM f JOIN q ON q.key = f.key AND q.nonce IS NOT DISTINCT FROM f.nonce AND q.n = f.n + 1)
+SELECT key, nonce, seq, accepted FROM f WHERE n > 0""")
 def replay_dedup(s, d):
     return L.replay_batch(_requests(s, d), 86_400.0).select("key", "nonce", "seq", "accepted")

@@ -6,8 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ID_FORMAT = "yyyy-MM-dd_HH-mm-ss"
-#: Words that the SQL of wer reads of each turn (it codes words in one byte each); the query reads whole turns.
-SCRIPT_WORDS = 40
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

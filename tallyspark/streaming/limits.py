@@ -1,17 +1,23 @@
 """Sliding-window limiter, replay protection and leases: the same decisions in batch and as a stream.
 
-A key's state is bounded: at most ``most`` times for the limiter, nonces of one time-to-live for the replay check. As a stream,
-events of a micro-batch are handled in time order within their key.
+A key's state is bounded: at most ``most`` times for the limiter, nonces of one time-to-live for the replay check. In batch, rows are
+sorted by key and time and read in Arrow batches with the state of one key at a time, so a key of any size is never
+held; its decisions depend on each other and are one task. As a stream, events of a micro-batch are handled in time order within their key,
+and a key's state goes when the event-time watermark has passed its last event by the window.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
 
 DECISIONS = "key string, seq long, ts double, allowed boolean, retry_after int"
 VERDICTS = "key string, nonce string, seq long, ts double, accepted boolean"
@@ -26,57 +32,104 @@ def limiter_step(times: list[float], now: float, most: int, window: float) -> tu
     return [*times, now], True, 0
 
 
-def _limit(key: str, rows: pd.DataFrame, times: list[float], most: int, window: float) -> tuple[pd.DataFrame, list[float]]:
-    out = []
-    for seq, ts in rows.sort_values(["ts", "seq"])[["seq", "ts"]].itertuples(index=False):
-        times, ok, wait = limiter_step(times, float(ts), most, window)
-        out.append((key, int(seq), float(ts), ok, wait))
-    return pd.DataFrame(out, columns=["key", "seq", "ts", "allowed", "retry_after"]), times
+def replay_step(seen: dict[str, float], nonce: str, now: float, ttl: float) -> bool:
+    """Whether a nonce is new within the time to live; a rejected repeat does not refresh it."""
+    if nonce in seen and now - seen[nonce] <= ttl:
+        return False
+    seen[nonce] = now
+    return True
+
+
+def _in_order(events: DataFrame, keys: list[str], order: list[str], step: Callable[[list, tuple], tuple], out: str) -> DataFrame:
+    """Folds rows sorted by ``keys`` and ``order``: ``step`` gets the key's state (a list, empty at first) and a row, and returns the row's decision."""
+    names = [*keys, *order, *[c for c in events.columns if c not in keys and c not in order]]
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: object = object()
+        state: list = []
+        for b in batches:
+            found = []
+            for row in zip(*[c.to_pylist() for c in b.columns], strict=True):
+                if row[: len(keys)] != now:
+                    now, state = row[: len(keys)], []
+                found.append(step(state, row))
+            yield pa.RecordBatch.from_pylist(found, schema=schema)
+
+    schema = to_arrow_schema(T.StructType.fromDDL(out))
+    return events.select(*names).repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(fold, out)
 
 
 def limit_batch(events: DataFrame, most: int, window: float) -> DataFrame:
-    """Decisions for (key, seq, ts); one group per key."""
-    return events.groupBy("key").applyInPandas(lambda k, rows: _limit(k[0], rows, [], most, window)[0], DECISIONS)
+    """Decisions for (key, seq, ts)."""
+
+    def step(times: list, row: tuple) -> dict:
+        times[:], ok, wait = limiter_step(times, row[1], most, window)
+        return {"key": row[0], "seq": row[2], "ts": row[1], "allowed": ok, "retry_after": wait}
+
+    return _in_order(events.select("key", F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq")), ["key"], ["ts", "seq"], step, DECISIONS)
 
 
 def limit_stream(events: DataFrame, most: int, window: float) -> DataFrame:
-    """The same over a streaming DataFrame."""
+    """The same over a streaming DataFrame; with a watermark on a column ``at``, idle keys are forgotten after ``window`` seconds of event time."""
+    timed = "at" in events.columns
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
-        out, times = _limit(k[0], pd.concat(list(batches)), times, most, window)
+        out = []
+        for seq, ts in pd.concat(list(batches)).sort_values(["ts", "seq"])[["seq", "ts"]].itertuples(index=False):
+            times, ok, wait = limiter_step(times, float(ts), most, window)
+            out.append((k[0], int(seq), float(ts), ok, wait))
         state.update((times,))
-        yield out
+        _expire(state, timed, max(x[2] for x in out) + window)
+        yield pd.DataFrame(out, columns=["key", "seq", "ts", "allowed", "retry_after"])
 
-    return events.groupBy("key").applyInPandasWithState(step, DECISIONS, "times array<double>", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("key").applyInPandasWithState(step, DECISIONS, "times array<double>", "append", _timeout(events))
 
 
-def _replay(key: str, rows: pd.DataFrame, seen: dict[str, float], ttl: float) -> tuple[pd.DataFrame, dict[str, float]]:
-    out = []
-    for nonce, seq, ts in rows.sort_values(["ts", "seq"])[["nonce", "seq", "ts"]].itertuples(index=False):
-        ok = nonce not in seen or ts - seen[nonce] > ttl
-        if ok:
-            seen[nonce] = float(ts)
-        out.append((key, nonce, int(seq), float(ts), ok))
-    last = float(rows["ts"].max())
-    return pd.DataFrame(out, columns=["key", "nonce", "seq", "ts", "accepted"]), {n: t for n, t in seen.items() if last - t <= ttl}
+def replay_batch(events: DataFrame, ttl: float) -> DataFrame:
+    """Whether each (key, nonce) is new within the time to live; a rejected repeat does not refresh it. Tasks are dealt by single nonces."""
 
+    def step(last: list, row: tuple) -> dict:
+        seen = {row[1]: last[0]} if last else {}
+        ok = replay_step(seen, row[1], row[2], ttl)
+        last[:] = [seen[row[1]]]
+        return {"key": row[0], "nonce": row[1], "seq": row[3], "ts": row[2], "accepted": ok}
 
-def replay_batch(events: DataFrame, ttl: float) -> DataFrame:
-    """Whether each (key, nonce) is new within the time to live; a rejected repeat does not refresh it. Groups are single nonces."""
-    return events.groupBy("key", "nonce").applyInPandas(lambda k, rows: _replay(k[0], rows, {}, ttl)[0], VERDICTS)
+    return _in_order(events.select("key", "nonce", F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq")), ["key", "nonce"], ["ts", "seq"], step, VERDICTS)
 
 
 def replay_stream(events: DataFrame, ttl: float) -> DataFrame:
-    """The same over a streaming DataFrame."""
+    """The same over a streaming DataFrame; with a watermark on a column ``at``, idle keys are forgotten after ``ttl`` seconds of event time."""
+    timed = "at" in events.columns
 
     def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         seen = dict(zip(*state.get, strict=True)) if state.exists else {}
-        out, seen = _replay(k[0], pd.concat(list(batches)), seen, ttl)
+        out = []
+        for nonce, seq, ts in pd.concat(list(batches)).sort_values(["ts", "seq"])[["nonce", "seq", "ts"]].itertuples(index=False):
+            out.append((k[0], nonce, int(seq), float(ts), replay_step(seen, nonce, float(ts), ttl)))
+        last = max(x[3] for x in out)
+        seen = {n: t for n, t in seen.items() if last - t <= ttl}
         state.update((list(seen), list(seen.values())))
-        yield out
+        _expire(state, timed, last + ttl)
+        yield pd.DataFrame(out, columns=["key", "nonce", "seq", "ts", "accepted"])
+
+    return events.groupBy("key").applyInPandasWithState(step, VERDICTS, "nonces array<string>, times array<double>", "append", _timeout(events))
+
 
-    return events.groupBy("key").applyInPandasWithState(step, VERDICTS, "nonces array<string>, times array<double>", "append", GroupStateTimeout.NoTimeout)
+def _timeout(events: DataFrame) -> str:
+    """Event-time expiry where the stream has a watermark column ``at``, else none."""
+    return GroupStateTimeout.EventTimeTimeout if "at" in events.columns else GroupStateTimeout.NoTimeout
+
+
+def _expire(state: GroupState, timed: bool, seconds: float) -> None:
+    if timed:
+        state.setTimeoutTimestamp(max(int(seconds * 1000) + 1, state.getCurrentWatermarkMs() + 1))
 
 
 def limited_scope(requests: DataFrame, prefixes: tuple[str, ...]) -> DataFrame:
@@ -95,3 +148,83 @@ def fresh(requests: DataFrame, now: float, ttl: float) -> DataFrame:
 def append_latest(stream: DataFrame, path: str, checkpoint: str):
     """Starts a query that appends every micro-batch to a parquet log; ``operators.state.latest`` reads the view."""
     return stream.writeStream.foreachBatch(lambda df, epoch: df.withColumn("epoch", F.lit(epoch)).write.mode("append").parquet(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _merged(stream: DataFrame, path: str, checkpoint: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame]):
+    """Starts a query that merges every micro-batch into a table: a new version ``v=<batch>`` from the last one and the batch.
+
+    A batch that is repeated after a failure writes the same version again; readers take the greatest whole one (``last_version``).
+    """
+
+    def write(df: DataFrame, epoch: int) -> None:
+        old = last_version(df.sparkSession, path, epoch)
+        merge(old, df).write.mode("overwrite").parquet(f"{path}/v={epoch:012d}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_version(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """The newest whole version of a merged table (older than ``before``); null if there is none."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    names = sorted(x.getPath().getParent().toString() for x in found or [])
+    names = [n for n in names if before is None or int(n.rsplit("=", 1)[1]) < before]
+    return spark.read.parquet(names[-1]) if names else None
+
+
+def pending_stream(events: DataFrame, path: str, checkpoint: str, keys: list[str]):
+    """Open requests as a stream of ``kind`` (pending or submission) with ``keys``: a submission resolves its key, whichever comes first.
+
+    The table holds the keys seen, with ``submitted``; ``open_rows`` reads those still open.
+    """
+
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        new = new.select(*keys, (F.col("kind") == "submission").alias("submitted"))
+        every = new if old is None else old.unionByName(new)
+        return every.groupBy(*keys).agg(F.max("submitted").alias("submitted"))
+
+    return _merged(events, path, checkpoint, merge)
+
+
+def open_rows(table: DataFrame) -> DataFrame:
+    """The keys of a pending table without submission."""
+    return table.where("not submitted").drop("submitted")
+
+
+def recent_stream(evals: DataFrame, path: str, checkpoint: str, n: int, key: str = "validator", id_: str = "evaluation_id"):
+    """The rows of the newest ``n`` ids per key as a stream: every micro-batch is merged and what falls out of the window goes."""
+
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        every = new if old is None else old.unionByName(new)
+        ids = every.select(key, id_).distinct()
+        newest = ids.withColumn("id_rank", F.row_number().over(Window.partitionBy(key).orderBy(F.col(id_).desc()))).where(F.col("id_rank") <= n).drop("id_rank")
+        return every.join(newest, [key, id_], "left_semi")
+
+    return _merged(evals, path, checkpoint, merge)
+
+
+def lease_stream(refreshes: DataFrame, path: str, checkpoint: str, now: Callable[[], float]):
+    """Leases as a stream of refreshes (activity_key, status, at, ttl): last status and first start per key; each batch drops what has expired at ``now()``."""
+
+    def merge(old: DataFrame | None, new: DataFrame) -> DataFrame:
+        ends = F.timestamp_seconds(F.unix_micros("at") / 1e6 + F.greatest(F.lit(1), F.col("ttl")))
+        new = new.select("activity_key", "status", F.col("at").alias("started_at"), F.col("at").alias("updated_at"), ends.alias("expires_at"))
+        every = new if old is None else old.unionByName(new)
+        out = every.groupBy("activity_key").agg(F.min("started_at").alias("started_at"), F.max_by(F.struct("status", "updated_at", "expires_at"), F.struct("updated_at", "expires_at", "status")).alias("x"))
+        return out.select("activity_key", "x.status", "started_at", "x.updated_at", "x.expires_at").where(F.col("expires_at") >= F.timestamp_seconds(F.lit(now())))
+
+    return _merged(refreshes, path, checkpoint, merge)
+
+
+def once_per_slot(blocks: DataFrame, path: str, checkpoint: str, act: Callable[[DataFrame], None], length: int, offset: int):
+    """Runs ``act`` once for every slot that a stream of blocks (``block``) reaches; a slot whose run fails is not recorded and is tried again."""
+
+    def write(df: DataFrame, epoch: int) -> None:
+        slots = df.select((F.floor((F.col("block") - offset) / length) * length + offset).cast("long").alias("slot")).distinct()
+        old = last_version(df.sparkSession, path, epoch)
+        new = slots if old is None else slots.join(old, "slot", "left_anti")
+        act(new)
+        (new if old is None else old.unionByName(new)).write.mode("overwrite").parquet(f"{path}/v={epoch:012d}")
+
+    return blocks.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

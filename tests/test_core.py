@@ -135,14 +135,14 @@ def test_registry(spark):
     assert (files("a", "b"), files("a", "b", "z", "y"), files("a", "a")) == (None, "extra_files:y,z", "missing_required_files:b")
 
 
-def test_duplicates(spark):
+def test_duplicates(spark, tmp_path):
     rows = spark.createDataFrame([(9, 5, "h"), (3, 5, "h"), (1, 7, "h"), (2, 1, ""), (4, 1, None)], "uid long, block long, model_hash string")
     got = {r["uid"]: r["invalid_reason"] for r in D.exact_duplicates(rows).collect()}
     assert got == {9: "duplicate_model:earliest_uid=3", 3: None, 1: "duplicate_model:earliest_uid=3", 2: None, 4: None}
     a = {i: "x" for i in range(20)}
     b, c = a | {0: "y"}, a | {0: "y", 1: "z"}
     t = spark.createDataFrame([(u, u, n, h) for u, m in ((1, a), (2, b), (3, c)) for n, h in m.items()], "uid long, block long, name int, hash string")
-    spark.sparkContext.setCheckpointDir("/tmp/tallyspark-tests")
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
     lost = [tuple(r) for r in D.near_duplicates(D.overlap_pairs(t, 0.95)).select("uid", "reason").collect()]
     assert lost == [(2, "tensor_near_clone_of:earliest_uid=1:ratio=0.950")]
 
