@@ -1,7 +1,8 @@
 """From evaluations to a winner: recent windows, stake weights, global rates, margin rule, ranking.
 
 Every function maps DataFrames to a DataFrame; ``now`` and block heights are arguments. Rows of a window are ranked per
-validator, so the widest shuffle is by validator; everything after the first aggregate has a row per (validator, miner).
+validator, so the widest shuffle is by validator; everything after the first aggregate has a row per (validator, miner). Participants and validators are bounded (a network
+has a fixed number of places), so windows over all participants are small.
 """
 
 from __future__ import annotations
@@ -39,8 +40,8 @@ def miner_stats(evals: DataFrame, *keys: str) -> DataFrame:
 def stake_weights(stakes: DataFrame, exponent: float) -> DataFrame:
     """``validator, stake, weight``: max(0, stake) ** exponent, or 1 for all if no weight is positive."""
     raw = stakes.withColumn("weight", F.pow(F.greatest(F.coalesce(F.col("stake"), F.lit(0.0)), F.lit(0.0)), F.lit(float(exponent))))
-    best = F.max("weight").over(Window.partitionBy())
-    return raw.withColumn("weight", F.when(best > 0, F.col("weight")).otherwise(F.lit(1.0)))
+    best = F.broadcast(raw.agg(F.max("weight").alias("best_weight")))
+    return raw.crossJoin(best).withColumn("weight", F.when(F.col("best_weight") > 0, F.col("weight")).otherwise(F.lit(1.0))).drop("best_weight")
 
 
 def ordered_sum(validator: Column, value: Column) -> Column:
@@ -92,16 +93,34 @@ def margin_passes(standing: DataFrame, margin: float) -> DataFrame:
     return out.withColumn("passed", F.col("eligible") & (F.col("prior_best").isNull() | (F.col("win_rate") >= F.col("prior_best") + margin)))
 
 
+def first_failures(standing: DataFrame, margin: float) -> DataFrame:
+    """``f_miner, prior_miner, prior_block``: for each candidate that fails, the first prior (by block, name) that it does not beat.
+
+    That prior sets a record among the priors before it, so only record setters are asked: one row of an array in block order, which
+    is at most as long as the participants are many (a network has a fixed number of places) and in general much shorter.
+    """
+    p = standing.where(_is_prior()).select(F.col("block").cast("long").alias("b"), F.col("miner").alias("m"), F.col("win_rate").alias("r"))
+    items = F.array_sort(F.collect_list(F.struct("b", "m", "r")))
+    higher = lambda a, x: (F.size(a) == 0) | (F.get(a, F.size(a) - 1).getField("r") < x["r"])
+    records = F.aggregate("items", F.expr("cast(array() as array<struct<b: bigint, m: string, r: double>>)"), lambda a, x: F.when(higher(a, x), F.concat(a, F.array(x))).otherwise(a))
+    steps = F.broadcast(p.agg(items.alias("items")).select(records.alias("records")))
+    c = standing.where("eligible").select("miner", "block", "win_rate").crossJoin(steps)
+    hit = F.get(F.filter("records", lambda x: (x["b"] < F.col("block")) & ~(F.col("win_rate") >= x["r"] + margin)), F.lit(0))
+    return c.select(F.col("miner").alias("f_miner"), hit.alias("hit")).where("hit is not null").select("f_miner", F.col("hit.m").alias("prior_miner"), F.col("hit.b").alias("prior_block"))
+
+
 def margin_checks(standing: DataFrame, margin: float) -> DataFrame:
     """One row per recorded comparison (miner, prior_miner, needed, passed), in block order up to the first failure.
 
-    A theta join over participants, for reports; ``margin_passes`` decides.
+    A report: a candidate that beats all is listed with all earlier ones, so it is as long as these pairs are many; the others
+    are paired only up to their first failure. ``margin_passes`` decides.
     """
-    c = standing.where("eligible").select("miner", "block", "win_rate")
+    lost = first_failures(standing, margin).withColumnRenamed("prior_miner", "lost_to").withColumnRenamed("prior_block", "lost_block")
+    c = standing.where("eligible").select("miner", "block", "win_rate").join(lost, F.col("miner") == F.col("f_miner"), "left")
     p = standing.where(_is_prior()).select(F.col("miner").alias("prior_miner"), F.col("block").alias("prior_block"), F.col("win_rate").alias("prior_rate"))
-    pairs = c.join(p, F.col("prior_block") < F.col("block")).withColumn("needed", F.col("prior_rate") + margin).withColumn("passed", F.col("win_rate") >= F.col("needed"))
-    before = Window.partitionBy("miner").orderBy("prior_block", "prior_miner").rowsBetween(Window.unboundedPreceding, -1)
-    return pairs.withColumn("failed_before", F.coalesce(F.max((~F.col("passed")).cast("int")).over(before), F.lit(0))).where("failed_before = 0").drop("failed_before")
+    upto = F.col("lost_to").isNull() | (F.struct(F.col("prior_block").cast("long"), F.col("prior_miner")) <= F.struct("lost_block", "lost_to"))
+    pairs = c.join(p, (F.col("prior_block") < F.col("block")) & upto).withColumn("needed", F.col("prior_rate") + margin)
+    return pairs.withColumn("passed", F.col("win_rate") >= F.col("needed")).drop("f_miner", "lost_to", "lost_block")
 
 
 def winner(passes: DataFrame) -> DataFrame:
@@ -139,9 +158,10 @@ def bucket_activity(buckets: DataFrame, now: Column, window_seconds: float, leas
     return buckets.withColumn("status", status)
 
 
-def active_since(evals: DataFrame, at: str, cutoff: Column) -> DataFrame:
-    """Validators whose newest evaluation is not older than the cutoff."""
-    return evals.where("validator is not null and validator <> ''").groupBy("validator").agg(F.max(at).alias("last_seen")).where(F.col("last_seen") >= cutoff)
+def active_since(evals: DataFrame, at: str, cutoff: Column, clock: DataFrame | None = None) -> DataFrame:
+    """Validators whose newest evaluation is not older than the cutoff; ``clock``: one row with columns that the cutoff names."""
+    out = evals.where("validator is not null and validator <> ''").groupBy("validator").agg(F.max(at).alias("last_seen"))
+    return (out if clock is None else out.crossJoin(clock)).where(F.col("last_seen") >= cutoff).select("validator", "last_seen")
 
 
 def snapshot(ranked: DataFrame, checks: DataFrame, per_validator: DataFrame) -> DataFrame:

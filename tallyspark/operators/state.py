@@ -41,11 +41,19 @@ def open_pending(pending: DataFrame, submitted: DataFrame, keys: list[str]) -> D
     return pending.join(submitted.select(*keys).distinct(), keys, "left_anti")
 
 
-def leases(log: DataFrame, now: Column) -> DataFrame:
-    """Current leases from refreshes (activity_key, status, at, ttl): the last status, the first start, unexpired at ``now``."""
+def leases(log: DataFrame, now: Column, clock: DataFrame | None = None) -> DataFrame:
+    """Current leases from refreshes (activity_key, status, at, ttl): the last status, the first start, unexpired at ``now``.
+
+    ``clock``: one row with columns that ``now`` names.
+    """
     ends = F.timestamp_seconds(F.unix_micros("at") / 1e6 + F.greatest(F.lit(1), F.col("ttl")))
     out = log.groupBy("activity_key").agg(F.min("at").alias("started_at"), F.max_by(F.struct("status", ends.alias("expires_at"), F.col("at").alias("updated_at")), F.struct("at", "seq")).alias("x")).select("activity_key", "started_at", "x.*")
-    return out.where(F.col("expires_at") >= now)
+    return (out if clock is None else out.crossJoin(clock)).where(F.col("expires_at") >= now)
+
+
+def live_leases(leases: DataFrame, now: Column) -> DataFrame:
+    """Leases that have not expired, latest start first, then greater id."""
+    return leases.where(F.col("expires_at") >= now).orderBy(F.desc("started_at"), F.desc("id"))
 
 
 def newest_rows(rows: DataFrame, where: Column, order: list[Column], limit: int) -> DataFrame:
@@ -63,9 +71,13 @@ def beyond_newest(files: DataFrame, keep: int, order: list[Column]) -> DataFrame
 
 
 def submission_groups(rows: DataFrame) -> DataFrame:
-    """Per evaluation id: its miners in arrival order (once each) and the first bucket."""
-    items = F.array_sort(F.collect_list(F.struct("pos", "miner")))
-    return rows.groupBy("evaluation_id").agg(F.array_distinct(F.transform(items, lambda x: x["miner"])).alias("miners"), F.min_by("bucket", "pos").alias("bucket"))
+    """Per evaluation id: its miners in arrival order (once each) and the first bucket.
+
+    Rows are reduced to the first of each (id, miner) before they are gathered, so a group is as long as its miners are many.
+    """
+    first = rows.groupBy("evaluation_id", "miner").agg(F.min(F.struct("pos", "bucket")).alias("first"))
+    items = F.array_sort(F.collect_list(F.struct(F.col("first.pos").alias("pos"), "miner")))
+    return first.groupBy("evaluation_id").agg(F.transform(items, lambda x: x["miner"]).alias("miners"), F.min("first").getField("bucket").alias("bucket"))
 
 
 def update_where(rows: DataFrame, condition: Column, values: dict[str, Column]) -> DataFrame:
@@ -80,9 +92,56 @@ def expired(rows: DataFrame, now: Column) -> DataFrame:
 
 
 def snapshot_changes(history: DataFrame, ignore: list[str]) -> DataFrame:
-    """Snapshots (seq, ...) that differ from the one before, hashed without the ignored columns (the time of writing)."""
+    """Snapshots (seq, ...) that differ from the one before, hashed without the ignored columns (the time of writing).
+
+    Only (seq, hash) are put in order, in one task: a row a snapshot, of which there is one a cycle. The snapshots are joined back.
+    """
     used = [c for c in history.columns if c not in (*ignore, "seq")]
     hashed = history.withColumn("snapshot_hash", F.sha2(F.to_json(F.struct(*used)), 256))
     before = F.lag("snapshot_hash").over(Window.orderBy("seq"))
-    out = hashed.withColumn("changed", before.isNull() | (before != F.col("snapshot_hash"))).where("changed")
-    return out.withColumn("is_latest", F.col("seq") == F.max("seq").over(Window.partitionBy())).drop("changed")
+    marks = hashed.select("seq", "snapshot_hash").withColumn("changed", before.isNull() | (before != F.col("snapshot_hash"))).select(F.col("seq").alias("m_seq"), "changed")
+    last = F.broadcast(history.agg(F.max("seq").alias("last_seq")))
+    return hashed.join(marks.where("changed"), F.col("seq") == F.col("m_seq")).crossJoin(last).withColumn("is_latest", F.col("seq") == F.col("last_seq")).drop("changed", "m_seq", "last_seq")
+
+
+def one_row(rows: DataFrame, key: str, value: object) -> dict | None:
+    """The row whose unique key has the value; none if there is none, an error if there are several."""
+    found = rows.where(F.col(key) == F.lit(value)).limit(2).collect()
+    if len(found) > 1:
+        raise ValueError(f"several rows with {key} = {value!r}")
+    return found[0].asDict(recursive=True) if found else None
+
+
+def in_order_asked(rows: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of the wanted keys (with ``pos``, their place) in that order; keys without a row are left out."""
+    return rows.join(wanted, keys).orderBy("pos")
+
+
+def without_keys(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows after a delete by key."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def upsert_bulk(old: DataFrame, new: DataFrame, key: str, defaults: dict[str, object]) -> DataFrame:
+    """A table after rows (with ``pos``) are put in by key: the last of equal keys wins; a missing column is null, or its default."""
+    last = new.groupBy(key).agg(F.max_by(F.struct(*[c for c in new.columns if c != key]), "pos").alias("r")).select(key, "r.*").drop("pos")
+    cols = [c for c in old.columns if c != key]
+    have = lambda c: F.col(c) if c in last.columns else F.lit(None)
+    types = dict(old.dtypes)
+    last = last.select(key, *[F.coalesce(have(c).cast(types[c]), F.lit(defaults[c])).alias(c) if c in defaults else have(c).cast(types[c]).alias(c) for c in cols])
+    return without_keys(old, last, [key]).unionByName(last)
+
+
+def broken_constraints(rows: DataFrame, unique: list[list[str]]) -> DataFrame:
+    """``columns, n``: how many keys of each unique constraint stand more than once (nulls are no key)."""
+    out = None
+    for cols in unique:
+        some = rows.where(" and ".join(f"`{c}` is not null" for c in cols)).groupBy(*cols).agg(F.count("*").alias("k")).where("k > 1")
+        own = some.agg(F.count("*").alias("n")).select(F.lit(",".join(cols)).alias("columns"), "n")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+def delete_expired(rows: DataFrame, now: Column) -> DataFrame:
+    """What a clean-up of leases leaves."""
+    return rows.where(~(F.col("expires_at") < now))

@@ -14,6 +14,7 @@ from tallyspark.operators import duplicates as D
 from tallyspark.operators import registry as R
 from tallyspark.operators import state as K
 from tallyspark.plans import tables as T
+from tallyspark.shared import kept_table
 from tallyspark.sources import documents as J
 from tallyspark.streaming import limits as L
 
@@ -78,11 +79,11 @@ def _global(s, d):
     return C.global_scores(_stats(s, d), _weights(s, d), COMPETE_ABOVE, DEFAULTS.least_per_validator)
 
 
-def _standings(s, d):
+def _standings(s, d, scores=None):
     people = T.participants(s, d)
     first = people.agg(F.min("block").alias("owner_block"))
     people = people.crossJoin(F.broadcast(first))
-    return C.standings(people, _global(s, d), LEAST, F.col("block") == F.col("owner_block"))
+    return C.standings(people, _global(s, d) if scores is None else scores, LEAST, F.col("block") == F.col("owner_block"))
 
 
 def _passes(s, d):
@@ -115,9 +116,9 @@ def recent_n_rows(s, d):
 @query("active_validators", f"WITH {EV}, n AS (SELECT max(l_shipdate) AS now FROM ev) SELECT validator, strftime(max(l_shipdate), '%Y-%m-%d_%H-%M-%S') AS last_seen FROM ev GROUP BY validator HAVING max(l_shipdate) >= (SELECT now FROM n) - INTERVAL {DEFAULTS.active_hours} HOUR")
 def active_validators(s, d):
     ev = T.evaluations(s, d).withColumn("validator", F.col("validator").cast("string"))
-    now = ev.agg(F.max("l_shipdate")).first()[0]
-    cutoff = F.lit(now) - F.expr(f"INTERVAL {DEFAULTS.active_hours} HOURS")
-    return C.active_since(ev, "l_shipdate", cutoff).select(F.col("validator").cast("long").alias("validator"), F.date_format("last_seen", T.ID_FORMAT).alias("last_seen"))
+    now = F.broadcast(ev.agg(F.max("l_shipdate").alias("now")))
+    cutoff = F.col("now") - F.expr(f"INTERVAL {DEFAULTS.active_hours} HOURS")
+    return C.active_since(ev, "l_shipdate", cutoff, now).select(F.col("validator").cast("long").alias("validator"), F.date_format("last_seen", T.ID_FORMAT).alias("last_seen"))
 
 
 @query("bucket_activity", f"""WITH {EV}, n AS (SELECT max(l_shipdate) AS now FROM ev), b AS (SELECT validator, max(l_shipdate) AS newest FROM ev GROUP BY 1)
@@ -125,9 +126,9 @@ SELECT s_suppkey AS validator, CASE WHEN s_acctbal IS NULL THEN 'not_on_metagrap
 FROM supplier LEFT JOIN b ON validator = s_suppkey CROSS JOIN n""")
 def bucket_activity(s, d):
     ev = T.evaluations(s, d)
-    now = F.lit(ev.agg(F.max("l_shipdate")).first()[0])
+    now = F.broadcast(ev.agg(F.max("l_shipdate").alias("now")))
     newest = ev.groupBy(F.col("validator").alias("v")).agg(F.max("evaluation_id").alias("newest"))
-    return C.bucket_activity(T.stakes(s, d).join(newest, F.col("validator") == F.col("v"), "left"), now, 172_800, 0.0).select("validator", "status")
+    return C.bucket_activity(T.stakes(s, d).join(newest, F.col("validator") == F.col("v"), "left").crossJoin(now), F.col("now"), 172_800, 0.0).select("validator", "status")
 
 
 # Consensus
@@ -150,7 +151,7 @@ def eligible_miners(s, d):
 
 @query("threshold_checks", f"WITH {GLOBAL} SELECT miner, prior_miner, round(needed, 6) AS needed, passed FROM recorded")
 def threshold_checks(s, d):
-    return C.margin_checks(_standings(s, d), MARGIN).select("miner", "prior_miner", r6("needed"), "passed")
+    return C.margin_checks(kept_table(_standings(s, d), "standings"), MARGIN).select("miner", "prior_miner", r6("needed"), "passed")
 
 
 @query("threshold_runmax", f"WITH {GLOBAL} SELECT miner, block, round(prior_best, 6) AS prior_best, passed FROM passed")
@@ -172,8 +173,8 @@ def global_ranking(s, d):
  WHEN NOT p.passed THEN coalesce('Did not clear threshold vs ' || substr(r.prior_miner, 1, 8), 'Eligible but did not clear threshold checks') WHEN p.miner = (SELECT winner FROM lead_) THEN 'Winner' ELSE 'Eligible' END AS reason
 FROM passed p LEFT JOIN (SELECT miner, prior_miner FROM recorded WHERE NOT passed) r ON r.miner = p.miner""")
 def status_reasons(s, d):
-    failed = C.margin_checks(_standings(s, d), MARGIN).where("not passed").select(F.col("miner").alias("f_miner"), "prior_miner")
-    passes = _passes(s, d)
+    passes = kept_table(_passes(s, d), "standings")
+    failed = C.first_failures(passes, MARGIN).select("f_miner", "prior_miner")
     return C.status_reasons(passes, failed, C.winner(passes), COMPETE_ABOVE, LEAST).select("miner", "reason")
 
 
@@ -185,8 +186,10 @@ def weight_vector(s, d):
 @query("snapshot_miners", f"""WITH {GLOBAL}, k AS (SELECT miner, count(*) AS n_checks, sum(CASE WHEN passed THEN 1 ELSE 0 END) AS n_passed FROM recorded GROUP BY 1), v AS (SELECT miner, count(*) AS n_validators, sum(total) AS evaluations FROM stats GROUP BY 1)
 SELECT miner, row_number() OVER (ORDER BY coalesce(known_rate, -1) DESC, eligible_validator_count DESC, weighted_evals DESC, block, miner) AS rank, coalesce(n_checks, 0) AS n_checks, coalesce(n_passed, 0) AS n_passed, coalesce(n_validators, 0) AS n_validators, coalesce(evaluations, 0) AS evaluations FROM st LEFT JOIN k USING (miner) LEFT JOIN v USING (miner)""")
 def snapshot_miners(s, d):
-    st = _standings(s, d)
-    out = C.snapshot(C.ranking(st), C.margin_checks(st, MARGIN), _stats(s, d))
+    stats = kept_table(_stats(s, d), "stats")
+    scores = C.global_scores(stats, _weights(s, d), COMPETE_ABOVE, DEFAULTS.least_per_validator)
+    st = kept_table(_standings(s, d, scores), "standings")
+    out = C.snapshot(C.ranking(st), C.margin_checks(st, MARGIN), stats)
     n = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
     return out.select("miner", F.col("rank").cast("long").alias("rank"), n("threshold_checks").alias("n_checks"), F.coalesce(F.size(F.filter("threshold_checks", lambda x: x["passed"])), F.lit(0)).cast("long").alias("n_passed"), n("per_validator").alias("n_validators"), F.coalesce(F.aggregate("per_validator", F.lit(0).cast("long"), lambda a, x: a + x["total"]), F.lit(0)).cast("long").alias("evaluations"))
 
@@ -435,9 +438,9 @@ _TTL = 86_400
 @query("lease_current", f"WITH n AS (SELECT max(ts) AS now FROM events), k AS (SELECT user_id, min(ts) AS started, max(ts) AS last FROM events GROUP BY 1) SELECT user_id, CAST(floor(epoch(started)) AS BIGINT) AS started, CAST(floor(epoch(last)) AS BIGINT) AS last FROM k, n WHERE epoch(last) + {_TTL} >= epoch(now)")
 def lease_current(s, d):
     e = T.load(s, d, "events")
-    now = F.lit(e.agg(F.max("ts")).first()[0])
+    now = F.broadcast(e.agg(F.max("ts").cast("timestamp").alias("now")))
     log = e.select(F.col("user_id").alias("activity_key"), F.col("event_type").alias("status"), F.col("ts").alias("at"), F.lit(_TTL).alias("ttl"), F.col("event_id").alias("seq"))
-    return K.leases(log.withColumn("at", F.col("at").cast("timestamp")), now.cast("timestamp")).select(F.col("activity_key").alias("user_id"), F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("updated_at").alias("last"))
+    return K.leases(log.withColumn("at", F.col("at").cast("timestamp")), F.col("now"), now).select(F.col("activity_key").alias("user_id"), F.unix_timestamp("started_at").alias("started"), F.unix_timestamp("updated_at").alias("last"))
 
 
 @query("by_stake", "SELECT s_suppkey, s_acctbal FROM supplier WHERE s_acctbal >= 5000")
