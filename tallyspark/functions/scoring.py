@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import decimal
 import json
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -119,9 +120,22 @@ def weighted_score(scores: dict[str, Column]) -> Column:
     return F.when(bottom > 0, top / bottom).otherwise(0.0)
 
 
+def least_rounding_to(limit: float, places: int = 4) -> float:
+    """The least number that rounds to ``limit`` or more at so many places (exact binary value, half to even)."""
+    low, high = limit - 10.0**-places, limit
+    while math.nextafter(low, high) < high:
+        middle = (low + high) / 2
+        low, high = (low, middle) if round(middle, places) >= limit else (middle, high)
+    return high
+
+
 def weak_elements(scores: dict[str, Column], below: float = 0.5) -> Column:
-    """Names of elements that score below the limit, in order, with commas between."""
-    return F.array_join(F.array_compact(F.array(*[F.when(scores[n] < below, n) for n in RAW_WEIGHTS if n in scores])), ",")
+    """Names of elements whose score, rounded to four places, is below the limit, in order, with commas between.
+
+    Rounding is monotone, so one comparison with the least number that rounds up to the limit does it.
+    """
+    least = least_rounding_to(below)
+    return F.array_join(F.array_compact(F.array(*[F.when(scores[n] < least, n) for n in RAW_WEIGHTS if n in scores])), ",")
 
 
 def score_from_json(raw: Column, flag: Column) -> Column:
@@ -170,12 +184,44 @@ def trait_object(response: Column) -> Column:
     return F.when(F.contains(t, F.lit("```")), F.coalesce(fenced, t)).otherwise(t)
 
 
+def parsed_traits(response: Column) -> Column:
+    """A reply as a struct: transcription, the traits as enums, instruction; ``failed`` where the reply is JSON but no object.
+
+    What is no JSON gives the defaults. The caller drops failed rows (``where("not x.failed")``).
+    """
+    raw = trait_object(response)
+    kind = F.schema_of_variant(F.try_parse_json(raw))
+    found = F.from_json(F.when(kind.startswith("OBJECT"), raw), "map<string,string>")
+    text = lambda k: strip(F.coalesce(F.element_at(found, k), F.lit("")))
+    traits = [normalize_trait(k, F.element_at(found, k)).alias(k) for k in TRAITS]
+    failed = F.coalesce(~kind.startswith("OBJECT"), F.lit(False))
+    return F.struct(text("transcription").alias("transcription"), *traits, text("instruction").alias("instruction"), failed.alias("failed"))
+
+
+def kept_scores(breakdown: Column) -> Column:
+    """A map of element to (score, ...) as a map of the scores that are there; null if there are none."""
+    kept = F.map_filter(F.transform_values(breakdown, lambda k, v: v["score"].cast("double")), lambda k, v: v.isNotNull())
+    return F.when(F.size(kept) > 0, kept)
+
+
+def payload(fields: dict[str, Column]) -> Column:
+    """JSON of the fields that are not null."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), {"ignoreNullFields": "true"})
+
+
 def judge_verdict(reply: Column, own_position: Column) -> Column:
     """Whether the judge preferred the entry: FIRST in the first line means first, anything else second."""
     first = F.contains(F.upper(F.get(F.split(strip(F.coalesce(reply, F.lit(""))), "\n"), F.lit(0))), F.lit("FIRST"))
     return F.when(first, F.lit("first")).otherwise(F.lit("second")) == own_position
 
 
+def slot_pin(block: Column, last_boundary: Column, length: int, most_lag: int) -> Column:
+    """The block at which a slot's work is pinned, once a boundary: the boundary while it is recent, the block itself on a first start, else null."""
+    boundary = F.floor(block / length).cast("long") * length
+    pin = F.when(block - boundary <= most_lag, boundary).when(last_boundary.isNull(), block)
+    return F.when(last_boundary.isNull() | (boundary != last_boundary), pin)
+
+
 def cycle_slot(block: Column, length: int, offset: int, tolerance: int) -> dict[str, Column]:
     """The start of a block's cycle, the distance to it, and whether the block is within the tolerance."""
     start = F.floor((block - offset) / length).cast("long") * length + offset
@@ -187,9 +233,27 @@ def file_label(name: Column, prefix: str) -> Column:
     return F.regexp_replace(name, f"^{prefix}", "")
 
 
-def percent(x: Column) -> Column:
-    """One decimal and a per cent sign."""
-    return F.format_string("%.1f%%", x * 100)
+@F.pandas_udf(T.StringType())
+def percent(x: pd.Series) -> pd.Series:
+    """One decimal and a per cent sign, half to even on the exact value (Spark's own format rounds half up)."""
+    return x.map(lambda v: None if pd.isna(v) else f"{float(v):.1%}")
+
+
+@F.pandas_udf(T.StringType())
+def two_places(x: pd.Series) -> pd.Series:
+    """Two decimals, half to even on the exact value."""
+    return x.map(lambda v: None if pd.isna(v) else f"{float(v):.2f}")
+
+
+@F.pandas_udf(T.LongType())
+def whole_percent(x: pd.Series) -> pd.Series:
+    """A share as a whole number of hundredths, half to even."""
+    return pd.Series([None if pd.isna(v) else round(float(v) * 100) for v in x], dtype="Int64")
+
+
+def number_or_zero(c: Column) -> Column:
+    """A number from text; 0 for what is none."""
+    return F.coalesce(c.try_cast("double"), F.lit(0.0))
 
 
 @F.pandas_udf(T.DoubleType())

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyspark.functions.scoring import file_label
+from tallyspark.sources.documents import participant_rows
+
 
 def recent_rows(evals: DataFrame, n: int, tie: Column) -> DataFrame:
     """The newest ``n`` rows per validator by evaluation_id (ties by ``tie``); all rows if n is not positive."""
@@ -64,6 +67,9 @@ def global_scores(stats: DataFrame, weights: DataFrame, compete_above: int, leas
         F.count("*").alias("validator_count"),
         F.count_if(F.col("total") > compete_above).alias("eligible_validator_count"),
         ordered_sum(v, F.col("weight") * F.col("total")).alias("weighted_evals"),
+        F.array_sort(F.collect_list(v)).alias("validators"),
+        F.array_sort(F.collect_list(F.when(F.col("total") > compete_above, v))).alias("eligible_validators"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct(v, F.struct("wins", "total", "rate", "weight"))))).alias("per_validator_stats"),
     )
     out = out.withColumn("win_rate", F.when(F.col("weight_sum") > 0, F.col("weighted_sum") / F.col("weight_sum")).otherwise(0.0))
     return out.withColumn("raw_win_rate", F.when(F.col("total") > 0, F.col("wins") / F.col("total")).otherwise(0.0))
@@ -170,3 +176,63 @@ def snapshot(ranked: DataFrame, checks: DataFrame, per_validator: DataFrame) ->
     v = per_validator.groupBy(F.col("miner").alias("v_miner")).agg(F.array_sort(F.collect_list(F.struct("validator", "total", "wins"))).alias("per_validator"))
     out = ranked.join(c, F.col("miner") == F.col("c_miner"), "left").join(v, F.col("miner") == F.col("v_miner"), "left").drop("c_miner", "v_miner")
     return out.withColumn("snapshot_hash", F.sha2(F.to_json(F.struct(*out.columns)), 256))
+
+
+def document_stats(docs: DataFrame, valid: DataFrame, n: int) -> DataFrame:
+    """Per bucket and valid miner: total, wins, win_rate, mean_score and slug, over the newest ``n`` documents of each bucket (all if n is not positive).
+
+    ``docs``: bucket, evaluation_id, content. Names are ranked before contents are parsed, so unreadable documents use up places of the
+    window. Unknown miners go before anything is summed. The slug is the oldest one in the window that is not empty, else ``unknown``.
+    """
+    if n > 0:
+        names = docs.select("bucket", "evaluation_id").distinct()
+        newest = names.withColumn("id_rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("evaluation_id").desc()))).where(F.col("id_rank") <= n).drop("id_rank")
+        docs = docs.join(newest, ["bucket", "evaluation_id"], "left_semi")
+    rows = participant_rows(docs, ("bucket", "evaluation_id")).join(valid.select("miner").distinct(), "miner", "left_semi")
+    named = F.coalesce(F.col("slug"), F.lit("")) != ""
+    out = rows.groupBy("bucket", "miner").agg(
+        F.count("*").alias("total"),
+        F.sum(F.col("wins").cast("long")).alias("wins"),
+        F.sum("score").alias("score_sum"),
+        F.coalesce(F.min_by(F.when(named, F.col("slug")), F.when(named, F.col("evaluation_id"))), F.lit("unknown")).alias("slug"),
+    )
+    return out.withColumn("win_rate", F.col("wins") / F.col("total")).withColumn("mean_score", F.col("score_sum") / F.col("total"))
+
+
+def configured_buckets(active: DataFrame, configs: DataFrame) -> DataFrame:
+    """Active hotkeys (hotkey, pos) in their order, with the bucket of their configuration; ``missing`` marks those without."""
+    return active.join(configs, "hotkey", "left").withColumn("missing", F.col("bucket_name").isNull()).orderBy("pos")
+
+
+def bucket_labels(rows: DataFrame, configs: DataFrame, prefix: str) -> DataFrame:
+    """Adds ``bucket_name`` (empty if there is none) and ``label``: the bucket without its prefix, else the first eight characters of the hotkey."""
+    out = rows.join(configs.select("hotkey", "bucket_name"), "hotkey", "left").withColumn("bucket_name", F.coalesce("bucket_name", F.lit("")))
+    return out.withColumn("label", file_label(F.coalesce(F.nullif("bucket_name", F.lit("")), F.substring("hotkey", 1, 8)), prefix))
+
+
+def set_weights(places: DataFrame, participants: DataFrame, leader: DataFrame, active: DataFrame, least_active: int, burn_uid: int) -> DataFrame:
+    """``uid, weight`` to set: 1 for the leader and 0 for the other participants, in the order of places (uid, hotkey).
+
+    With fewer than ``least_active`` active buckets, or without a leader, all weight goes to the burn place.
+    """
+    enough = active.agg((F.count("*") >= least_active).alias("enough"))
+    one = F.broadcast(leader.select("winner").crossJoin(enough).select(F.when(F.col("enough"), F.col("winner")).alias("leader")))
+    rows = places.join(participants.select("hotkey").distinct(), "hotkey", "left_semi").crossJoin(one).where("leader is not null")
+    rows = rows.select("uid", F.when(F.col("hotkey") == F.col("leader"), 1.0).otherwise(0.0).alias("weight"))
+    burnt = one.where("leader is null").select(F.lit(burn_uid).cast(places.schema["uid"].dataType).alias("uid"), F.lit(1.0).alias("weight"))
+    return rows.unionByName(burnt).orderBy("uid")
+
+
+def report_order(standing: DataFrame) -> DataFrame:
+    """Adds ``place`` for the decision's report: rate (none: below zero), block, name."""
+    return standing.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.coalesce("known_rate", F.lit(-1.0)).desc(), "block", "miner")))
+
+
+def round_summary(results: DataFrame) -> DataFrame:
+    """Per evaluation id: participants, passes and the mean score (missing scores count as 0)."""
+    return results.groupBy("evaluation_id").agg(F.count("*").alias("n"), F.count_if("wins").alias("passes"), (F.sum(F.coalesce("score", F.lit(0.0))) / F.count("*")).alias("mean_score"))
+
+
+def with_audio(participants: DataFrame, audio: DataFrame, key: str) -> DataFrame:
+    """Participants whose generation gave audio."""
+    return participants.join(audio.where("audio is not null"), key)

@@ -268,7 +268,7 @@ def weighted_elements(s, d):
     return T.load(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round(S.weighted_score(_elements()), 6).alias("score"))
 
 
-@query("weak_elements", f"WITH {_ELEMENTS} SELECT weak, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN script < 0.5 THEN 'script' END, CASE WHEN naturalness < 0.5 THEN 'naturalness' END, CASE WHEN gender < 0.5 THEN 'gender' END, CASE WHEN pitch < 0.5 THEN 'pitch' END], lambda x: x IS NOT NULL), ',') AS weak FROM e) GROUP BY weak")
+@query("weak_elements", f"WITH {_ELEMENTS} SELECT weak, count(*) AS n FROM (SELECT array_to_string(list_filter([CASE WHEN round(script, 4) < 0.5 THEN 'script' END, CASE WHEN round(naturalness, 4) < 0.5 THEN 'naturalness' END, CASE WHEN round(gender, 4) < 0.5 THEN 'gender' END, CASE WHEN round(pitch, 4) < 0.5 THEN 'pitch' END], lambda x: x IS NOT NULL), ',') AS weak FROM e) GROUP BY weak")
 def weak_elements(s, d):
     return T.load(s, d, "lineitem").select(S.weak_elements(_elements()).alias("weak")).groupBy("weak").agg(F.count("*").alias("n"))
 

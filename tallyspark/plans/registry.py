@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tallyspark.plans import more
 from tallyspark.plans.core import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES"]
+__all__ = ["ORACLES", "QUERIES", "more"]

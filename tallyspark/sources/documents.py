@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -13,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyspark.functions.scoring import score_from_json
+from tallyspark.functions.scoring import number_or_zero, score_from_json, strip
 
 _RESULT = "struct<slug: string, evaluation: struct<score: string, generated_wins: boolean>>"
 DOCUMENT = f"struct<participants: map<string, {_RESULT}>, miners: map<string, {_RESULT}>>"
@@ -24,27 +25,73 @@ def evaluation_id(path: Column) -> Column:
     return F.nullif(F.regexp_extract(path, "^(.+)/metadata\\.json$", 1), F.lit(""))
 
 
-def recent_documents(spark: SparkSession, root: str, n: int) -> DataFrame:
-    """``evaluation_id, content`` of the newest ``n`` ids under ``root`` (all if n is not positive).
+def recent_documents(spark: SparkSession, roots: str | dict[str, str], n: int) -> DataFrame:
+    """``bucket, evaluation_id, content`` of the newest ``n`` ids under each root (all if n is not positive); one root is bucket ``''``.
 
-    Names are listed and ranked before any content is read, so unreadable files use up places of the window too.
+    Names are listed and ranked without reading contents, so unreadable files use up places of the window too; then only the
+    files of the window (``n`` a bucket, whose paths pass through the driver) are read.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").load(root)
-    base = root.removeprefix("file://").rstrip("/")
-    path = F.regexp_replace(F.regexp_replace("path", "^file:/+", "/"), f"^{base}/", "")
-    names = files.select(evaluation_id(path).alias("evaluation_id"), "path").where("evaluation_id is not null")
-    if n > 0:
-        names = names.orderBy(F.col("evaluation_id").desc()).limit(n)
-    return files.select("path", F.decode("content", "UTF-8").alias("content")).join(F.broadcast(names), "path").select("evaluation_id", "content")
-
-
-def participant_rows(docs: DataFrame) -> DataFrame:
-    """``evaluation_id, miner, slug, score, wins``: one row per participant; an empty ``participants`` falls back to ``miners``."""
+    buckets = {"": roots} if isinstance(roots, str) else roots
+    found = None
+    for bucket, root in buckets.items():
+        own = _scan(spark, [root]).select(F.lit(bucket).alias("bucket"), _id_under(root).alias("evaluation_id"), *(["path"] if n > 0 else [F.decode("content", "UTF-8").alias("content")]))
+        own = own.where("evaluation_id is not null")
+        own = own.orderBy(F.col("evaluation_id").desc()).limit(n) if n > 0 else own
+        found = own if found is None else found.unionByName(own)
+    if n <= 0:
+        return found
+    names = found.collect()
+    empty = "bucket string, evaluation_id string, content string"
+    if not names:
+        return spark.createDataFrame([], empty)
+    listed = spark.createDataFrame([(r["bucket"], r["evaluation_id"], r["path"]) for r in names], "bucket string, evaluation_id string, path string")
+    return _scan(spark, [r["path"] for r in names]).join(F.broadcast(listed), "path").select("bucket", "evaluation_id", F.decode("content", "UTF-8").alias("content"))
+
+
+def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Files of evaluations; their content is read only where it is selected."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").load(paths)
+
+
+def _id_under(root: str) -> Column:
+    base = re.sub("^file:/+", "/", root).rstrip("/")
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    return evaluation_id(F.when(plain.startswith(f"{base}/"), F.substring(plain, len(base) + 2, 1 << 30)).otherwise(plain))
+
+
+def participant_rows(docs: DataFrame, keys: tuple[str, ...] = ("evaluation_id",)) -> DataFrame:
+    """``keys``, ``miner, slug, score, wins``: one row per participant; an empty ``participants`` falls back to ``miners``."""
     d = docs.withColumn("d", F.from_json("content", DOCUMENT))
     people = F.when(F.coalesce(F.size("d.participants"), F.lit(0)) > 0, F.col("d.participants")).otherwise(F.col("d.miners"))
-    rows = d.select("evaluation_id", F.explode(people).alias("miner", "p"))
+    rows = d.select(*keys, F.explode(people).alias("miner", "p"))
     score = score_from_json(F.col("p.evaluation.score"), F.col("p.evaluation.generated_wins"))
-    return rows.select("evaluation_id", "miner", F.col("p.slug").alias("slug"), score.alias("score"), (score >= 0.9).alias("wins"))
+    return rows.select(*keys, "miner", F.col("p.slug").alias("slug"), score.alias("score"), (score >= 0.9).alias("wins"))
+
+
+def file_listing(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """``path, modified, bytes`` of the files with a suffix; no content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root)
+    return files.select("path", F.col("modificationTime").alias("modified"), F.col("length").alias("bytes"))
+
+
+def commits_at(commits: DataFrame, snapshot: int) -> DataFrame:
+    """The commitments of one snapshot: a filter on the table's ``snapshot_block``, by which it may be partitioned."""
+    return commits.where(F.col("snapshot_block") == snapshot).drop("snapshot_block")
+
+
+def is_language(language: Column, wanted: str) -> Column:
+    """Trimmed, in any case."""
+    return F.lower(strip(F.coalesce(language, F.lit("")))) == wanted
+
+
+def playtime(c: Column) -> Column:
+    """Seconds from text; 0 for what is no number."""
+    return number_or_zero(strip(c))
+
+
+def within(c: Column, least: float, most: float) -> Column:
+    """Whether a size or duration lies in a range, ends included (null: no)."""
+    return F.coalesce(c.between(least, most), F.lit(False))
 
 
 def newest_age(prefixes: DataFrame, now: Column) -> DataFrame:
