@@ -11,7 +11,7 @@ of its target is met as nearly as whole documents allow. That running total is n
 taken whole, cells after it not; only in that one are documents ordered. So texts are not shuffled, but for one cell in 4096.
 
 Null texts have size 0; null sources are one source; a null doc_id is hashed as the word ``null``. Rows that repeat are
-documents of their own (equal ones are interchangeable). An empty table, or one without words, gives targets of 0. Reruns agree.
+documents of their own (equal ones are interchangeable). Input columns named like the new ones are replaced; others are kept. An empty table, or one without words, gives targets of 0. Reruns agree.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fits_broadcast, free_name, kept_table
+from .common import fits_broadcast, kept_table
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -53,30 +53,29 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: floa
 
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS, seed: str = SEED, keep: tuple[str, ...] | None = None) -> DataFrame:
     """The columns ``keep`` (default: all) with ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` for every row."""
-    keep = tuple(docs.columns) if keep is None else keep
     new = ("size", "source_size", "target", "copies", "taken")
-    key, rank, cell = (free_name([*docs.columns, *new], x) for x in ("key_", "rank_", "cell_"))
-    base = docs.drop(*new) if set(new) & set(docs.columns) else docs
-    keep = tuple(c for c in keep if c in base.columns)
-    base = base.select(*dict.fromkeys([*keep, source, doc_id, text])).withColumns(
-        {
-            key: F.coalesce(F.concat(F.lit("v"), F.col(source)), F.lit("n")),
-            rank: F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))),
-        }
-    )
-    base = base.withColumn(cell, F.substring(rank, 1, CELL_DIGITS))
-    cells = base.groupBy(F.col(key).alias("k"), F.col(cell).alias("c")).agg(F.sum(word_count(F.col(text))).alias("words"), F.min(source).alias("source"))
+    keep = tuple(c for c in (docs.columns if keep is None else keep) if c.lower() not in new)
+    # The input's columns travel as one struct, so that none of their names meets one of the operator's.
+    base = docs.select(
+        F.struct(*[F.col(c) for c in keep]).alias("row"),
+        F.col(text).alias("text"),
+        F.col(source).alias("source"),
+        F.col(doc_id).alias("id"),
+        F.coalesce(F.concat(F.lit("v"), F.col(source)), F.lit("n")).alias("key"),
+        F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null")))).alias("place"),
+    ).withColumn("cell", F.substring("place", 1, CELL_DIGITS))
+    cells = base.groupBy(F.col("key").alias("k"), F.col("cell").alias("c")).agg(F.sum(word_count(F.col("text"))).alias("words"), F.min("source").alias("source"))
     plan = kept_table(_plan(kept_table(cells, "cells"), weights, share, max_epochs), "mix")
     # Words are counted after the rows of a source's last cell are told from the others: once a row.
-    placed = base.join(F.broadcast(plan) if fits_broadcast(plan) else plan, F.col(key) == F.col("k"))
-    ends = F.col(cell) == F.col("last_cell")
-    last, others = (placed.where(x).withColumn("size", word_count(F.col(text))) for x in (ends, ~ends))
-    order = Window.partitionBy(key).orderBy(F.col(rank), F.col(doc_id).asc_nulls_last(), F.col("size"))
+    placed = base.join(F.broadcast(plan) if fits_broadcast(plan) else plan, F.col("key") == F.col("k"))
+    ends = F.col("cell") == F.col("last_cell")
+    last, others = (placed.where(x).withColumn("size", word_count(F.col("text"))) for x in (ends, ~ends))
+    order = Window.partitionBy("key").orderBy("place", F.col("id").asc_nulls_last(), "size")
     upto = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0))
     more = F.when(2 * (F.col("start") + upto) - F.col("size") <= 2 * F.col("rest"), 1).otherwise(0)
-    others = others.withColumn("more", F.when(F.col(cell) < F.col("last_cell"), 1).otherwise(0))
+    others = others.withColumn("more", F.when(F.col("cell") < F.col("last_cell"), 1).otherwise(0))
     out = others.unionByName(last.withColumn("more", more)).withColumn("copies", F.col("whole") + F.when(F.col("whole") < max_epochs, F.col("more")).otherwise(F.lit(0)))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*keep, *new)
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*[F.col("row")[c].alias(c) for c in keep], *new)
 
 
 def _plan(cells: DataFrame, weights: tuple[int, ...], share: float, max_epochs: int) -> DataFrame:
