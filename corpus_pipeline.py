@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of ``docs``; all but the last return the columns of documents.
 A document of a duplicate group stays if it is the group's least doc_id. The mixture repeats a document as often as it is taken.
+
+Null, empty and wordless texts fail the quality rules. Null languages and sources are groups, and a source, of their own. Rows with a null
+doc_id are never duplicates of anything and go through all stages. Of rows with one doc_id and one text, one stays; rows with one doc_id and
+different texts stay or go together, and stay if one of them would. An empty table gives no rows, with the same columns. Extra columns
+of ``docs`` are carried to the mixture.
 """
 
 from __future__ import annotations
@@ -25,9 +30,14 @@ def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("gone_id"))
-    gone = kept_table(gone, "gone")
-    return docs.join(F.broadcast(gone) if fits_broadcast(gone) else gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = neardup.near_duplicates(docs).groupBy(F.col("doc_id").alias("gone_id")).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    told = kept_table(gone.where("gone_id is not null and (not kept or n > 1)"), "gone")
+    fits = fits_broadcast(told)
+    marked = docs.join(F.broadcast(told) if fits else told, F.col("doc_id") == F.col("gone_id"), "left").where("kept is null or kept")
+    single = marked.where("n is null").select(*docs.columns)
+    if told.where("kept").isEmpty():
+        return single
+    return single.unionByName(marked.where("n is not null").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
