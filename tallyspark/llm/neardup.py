@@ -40,7 +40,7 @@ SHINGLE = 5
 PART, WHOLE = 100, 75
 TREES = 24
 DEPTH = 6
-#: One for each tree and level.
+#: One for each tree and level: those of the first level come first.
 COORDINATES = TREES * DEPTH
 NODE = 256
 BLOCK, BLOCK_SHINGLES = 1000, 4_000_000
@@ -97,7 +97,10 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text (binary) to doc_id, n, key of the set, minwise values and their low bytes."""
+    """doc_id, text (binary) to doc_id, n, key of the set, minwise values of the first level, 16 bits of those of deeper ones, low bytes.
+
+    Deeper values only tell members of one node apart, for which 16 bits do: that two agree by chance makes a node larger, no more.
+    """
     for batch in batches:
         texts, at = batch.column(1).to_pylist(), 0
         while at < len(texts):
@@ -111,7 +114,8 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if full:
                 sig[full] = signatures([sets[i] for i in full])
             n = len(sets)
-            values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * COORDINATES), pa.array(sig.reshape(-1).view(np.int32)))
+            values = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * TREES), pa.array(np.ascontiguousarray(sig[:, :TREES]).reshape(-1).view(np.int32)))
+            deep = np.ascontiguousarray(sig[:, TREES:].astype(np.uint16))
             low = sig[:, :LOW].astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -119,9 +123,10 @@ def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh128_digest(s.tobytes()) for s in sets], pa.binary()),
                     values,
+                    pa.array([x.tobytes() for x in deep], pa.binary()),
                     pa.array([x.tobytes() for x in low], pa.binary()),
                 ],
-                names=["doc_id", "n", "key", "sig", "low"],
+                names=["doc_id", "n", "key", "sig", "deep", "low"],
             )
             at = upto
 
@@ -252,18 +257,22 @@ def _with_sizes(rows: DataFrame, level: int) -> DataFrame:
         salted = big.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         told = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(salted, same & (F.col("own") == F.col("salt")), "left").drop("own", "salt")
     rest = told.where("size is null").drop("n2", "size", "least").join(small, same)
-    return kept_table(told.where("size is not null").unionByName(rest).drop("n2"), f"level{level}")
+    return told.where("size is not null").unionByName(rest).drop("n2")
 
 
 def _candidates(reps: DataFrame) -> DataFrame:
-    """Edges (a, b) whose components hold every pair that may be linked; ``reps``: rep, sig, low."""
+    """Edges (a, b) whose components hold every pair that may be linked; ``reps``: rep, sig, deep, low."""
     spark = reps.sparkSession
-    at = lambda level: F.element_at("sig", F.col("tree") * DEPTH + level)
     found = []
-    rows = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select("rep", "tree", F.xxhash64("tree", at(1)).alias("node"))
+    rows = reps.select("rep", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"), "sig").select("rep", "tree", F.xxhash64("tree", F.element_at("sig", F.col("tree") + 1)).alias("node"))
+    step = 2 * (DEPTH - 1)
     for level in range(1, DEPTH + 1):
         rows = _with_sizes(rows, level)
-        leaves = rows.where(F.col("size") <= NODE).join(reps.select(F.col("rep").alias("r2"), "low"), F.col("rep") == F.col("r2")).select("node", "rep", "low")
+        if level == 1:  # rows of nodes that go on carry what all further levels need: the tree's own path and the low bytes
+            path = F.expr(f"substring(deep, tree * {step} + 1, {step})").alias("path")
+            rows = rows.join(reps.select(F.col("rep").alias("r2"), "deep", "low"), F.col("rep") == F.col("r2")).select("rep", "tree", "node", "size", "least", "low", path)
+        rows = kept_table(rows, f"level{level}")
+        leaves = rows.where(F.col("size") <= NODE).select("node", "rep", "low")
         found.append(kept_table(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes, "a long, b long").distinct(), "pairs"))
         large = rows.where(F.col("size") > NODE)
         if large.isEmpty():
@@ -271,7 +280,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
         if level == DEPTH:
             found.append(large.select(F.col("rep").alias("a"), F.col("least").alias("b")))
         else:
-            rows = large.join(reps.select(F.col("rep").alias("r2"), "sig"), F.col("rep") == F.col("r2")).select("rep", "tree", F.xxhash64("node", at(level + 1)).alias("node"))
+            rows = large.select("rep", "tree", "low", "path", F.xxhash64("node", F.expr(f"substring(path, {2 * level - 1}, 2)")).alias("node"))
     out = spark.createDataFrame([], "a long, b long")
     for f in found:
         out = out.unionByName(f)
@@ -284,35 +293,28 @@ def _links(rows: DataFrame, dealt: DataFrame) -> DataFrame:
     return texts.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInArrow(_confirm, "a long, b long")
 
 
-def _clusters(maybe: DataFrame, links: DataFrame) -> DataFrame:
-    """``maybe`` (node, component, blocks) with the cluster of each document, only of components that hold more than one."""
-    groups = components(links).select(F.col("node").alias("g_node"), F.col("component").alias("cluster"))
-    told = maybe.join(groups, F.col("node") == F.col("g_node"), "left").select(*maybe.columns, F.coalesce("cluster", "node").alias("cluster"))
-    open_ = told.groupBy(F.col("component").alias("o")).agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("o")
-    return kept_table(told.join(open_, F.col("component") == F.col("o"), "left_semi"), "clusters")
-
-
 def _confirmed(rows: DataFrame, maybe: DataFrame) -> DataFrame:
-    """All links (a spanning forest of them) within the components of ``maybe``: node, component, blocks."""
+    """Components (node, component) of the links within the components of ``maybe``: node, component, blocks."""
     zero = F.lit(0).cast("long")
-    links = _links(rows, maybe.where("blocks = 1").select("node", "component", zero.alias("one"), zero.alias("two"), zero.alias("block"), F.col("node").alias("cluster")))
+    alone = F.col("node").alias("cluster")
+    links = _links(rows, maybe.where("blocks = 1").select("node", "component", zero.alias("one"), zero.alias("two"), zero.alias("block"), alone))
     large = maybe.where("blocks > 1")
     if large.isEmpty():
-        return links
-    open_ = large.withColumn("cluster", F.col("node"))
-    found = None
+        return components(links)
     for turn in (1, 2):
         block = F.pmod(F.xxhash64("node", F.lit(turn)), F.col("blocks"))
-        dealt = open_.withColumn("block", block).select("node", "component", F.col("block").alias("one"), F.col("block").alias("two"), "block", "cluster")
-        new = kept_table(_links(rows, dealt), "links")
-        found = new if found is None else found.unionByName(new)
-        open_ = _clusters(large, found)
-        if open_.isEmpty():
-            return links.unionByName(found)
+        links = links.unionByName(_links(rows, large.withColumn("block", block).select("node", "component", F.col("block").alias("one"), F.col("block").alias("two"), "block", alone)))
+    links = kept_table(links, "links")
+    groups = components(links)
+    told = large.join(groups.select(F.col("node").alias("g_node"), F.col("component").alias("cluster")), F.col("node") == F.col("g_node"), "left").withColumn("cluster", F.coalesce("cluster", "node"))
+    open_ = told.groupBy(F.col("component").alias("o")).agg(F.min("cluster").alias("low"), F.max("cluster").alias("high")).where("low < high").select("o")
+    open_ = kept_table(told.join(open_, F.col("component") == F.col("o"), "left_semi").select(*maybe.columns, "cluster"), "open")
+    if open_.isEmpty():
+        return groups
     other = F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("other")
     pairs = open_.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).select("node", "component", "block", "cluster", other).where("block <> other")
     pairs = kept_table(pairs.select("node", "component", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "cluster"), "blocks")
-    return links.unionByName(found).unionByName(_links(rows, pairs))
+    return components(links.unionByName(_links(rows, pairs)))
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -320,16 +322,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    every = kept_table(rows.mapInArrow(_profile, "doc_id long, n long, key binary, sig array<int>, low binary"), "sets")
+    every = kept_table(rows.mapInArrow(_profile, "doc_id long, n long, key binary, sig array<int>, deep binary, low binary"), "sets")
     some = every.where("n > 0 and doc_id is not null")
-    classes = kept_table(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low")), "classes")
-    maybe = components(_candidates(classes.select("rep", "sig", "low")))
+    classes = kept_table(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("deep").alias("deep"), F.first("low").alias("low")), "classes")
+    maybe = components(_candidates(classes.select("rep", "sig", "deep", "low")))
     maybe = maybe.unionByName(maybe.select(F.col("component").alias("node"), "component").distinct())
     maybe = maybe.join(classes.select(F.col("rep").alias("r2"), "n"), F.col("node") == F.col("r2")).select("node", "component", "n")
     size = F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("long")
     size = maybe.groupBy(F.col("component").alias("c2")).agg(size.alias("blocks"))
     maybe = kept_table(maybe.join(size, F.col("component") == F.col("c2")).select("node", "component", "blocks"), "maybe")
-    groups = components(_confirmed(rows, maybe))
+    groups = _confirmed(rows, maybe)
     least = classes.select("key", "rep").join(groups, F.col("rep") == F.col("node"), "left").select("key", F.coalesce("component", "rep").alias("component_id"))
     out = every.select("doc_id", F.col("n").alias("n_shingles"), "key").join(least.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2"), "left")
     known = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
