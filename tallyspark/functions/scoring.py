@@ -198,6 +198,31 @@ def parsed_traits(response: Column) -> Column:
     return F.struct(text("transcription").alias("transcription"), *traits, text("instruction").alias("instruction"), failed.alias("failed"))
 
 
+# The strict shape of an audio description, with its defaults.
+AUDIO_QUALITY = {"clarity": "slightly noisy", "noise_type": "background", "speaker_count": "single"}
+VOICE_TRAITS = {"pitch": "medium", "speaking_rate": "medium", "energy": "medium", "gender": "unknown", "age_group": "unknown", "emotion": "neutral", "accent": "unknown", "tone_style": "neutral"}
+TIMBRE, MOST_TIMBRES = ["clear"], 4
+
+
+def strict_shape(response: Column) -> Column:
+    """A description of audio as a struct of all fields: texts of the right type over the defaults, confidences within 0..1, at most four timbres.
+
+    Null and empty replies give the defaults; what is no JSON object gives null.
+    """
+    v = F.try_parse_json(trait_object(response))
+    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.lit(""))
+    text = lambda path, default: F.when(kind(path) == "STRING", F.try_variant_get(v, path, "string")).otherwise(F.lit(default))
+    sure = lambda path: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_variant_get(v, path, "double"), F.lit(0.0))))
+    quality = [*[text(f"$.audio_quality.{k}", d).alias(k) for k, d in AUDIO_QUALITY.items()], sure("$.audio_quality.confidence").alias("confidence")]
+    traits = [x for k, d in VOICE_TRAITS.items() for x in (text(f"$.voice_traits.{k}", d).alias(k), sure(f"$.voice_traits.{k}_confidence").alias(f"{k}_confidence"))]
+    several = F.transform(F.filter(F.coalesce(F.try_variant_get(v, "$.voice_traits.timbre", "array<variant>"), F.array()), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.try_variant_get(x, "$", "string"))
+    one = F.try_variant_get(v, "$.voice_traits.timbre", "string")
+    timbre = F.when(kind("$.voice_traits.timbre") == "STRING", F.array(one)).when(F.size(several) > 0, F.slice(several, 1, MOST_TIMBRES)).otherwise(strings(TIMBRE))
+    full = F.struct(text("$.transcript", "").alias("transcript"), F.struct(*quality).alias("audio_quality"), F.struct(*traits, timbre.alias("timbre"), sure("$.voice_traits.timbre_confidence").alias("timbre_confidence")).alias("voice_traits"))
+    empty = F.coalesce(response, F.lit("")) == ""
+    return F.when(empty | F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)), full)
+
+
 def kept_scores(breakdown: Column) -> Column:
     """A map of element to (score, ...) as a map of the scores that are there; null if there are none."""
     kept = F.map_filter(F.transform_values(breakdown, lambda k, v: v["score"].cast("double")), lambda k, v: v.isNotNull())

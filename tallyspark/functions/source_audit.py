@@ -27,6 +27,13 @@ class Policy:
     loader_name: str = "model_name"
 
 
+# What a submitted source must not import or call.
+DEFAULT_POLICY = Policy(
+    modules=frozenset({"requests", "urllib", "urllib2", "urllib3", "httpx", "aiohttp", "socket", "huggingface_hub", "importlib", "torch.hub"}),
+    calls=frozenset({"snapshot_download", "hf_hub_download", "cached_download", "pipeline", "eval", "exec", "compile", "__import__", "import_module", "torch.hub.load"}),
+)
+
+
 def _dotted(node: ast.expr) -> str:
     parts: list[str] = []
     while isinstance(node, ast.Attribute):
@@ -41,8 +48,8 @@ def source_reason(source: str | None, policy: Policy) -> str | None:
         return "miner_py_empty"
     try:
         nodes = list(ast.walk(ast.parse(source)))
-    except (SyntaxError, ValueError):
-        return "miner_py_syntax_error"
+    except (SyntaxError, ValueError) as error:
+        return f"miner_py_syntax_error:{error}"
     banned = lambda name: any(name == m or name.startswith(f"{m}.") for m in policy.modules)
     for node in nodes:
         match node:
@@ -88,6 +95,22 @@ def normalized_hash(source: str | None, masked: tuple[str, ...]) -> str | None:
     return hashlib.sha256(ast.dump(tree).encode()).hexdigest()
 
 
+def script_reason(source: str | None, canonical: str, masked: tuple[str, ...]) -> str | None:
+    """Objection to a deployed script that is not the canonical one but for the text constants of ``masked`` and formatting."""
+    if not (source or "").strip():
+        return "empty_deploy_script"
+    found = normalized_hash(source, masked)
+    if found is None:
+        return "deploy_script_syntax_error"
+    return None if found == normalized_hash(canonical, masked) else "wrapper_hash_mismatch"
+
+
+def hash_reason(source: Column, expected: str) -> Column:
+    """Objection to a source that is not, byte for byte, the one with the expected sha256."""
+    text = F.coalesce(source, F.lit(""))
+    return F.when(text == "", "miner_py_empty").when(F.sha2(text, 256) != expected, "miner_py_hash_mismatch")
+
+
 def config_reason(text: str | None, expected: str, key: str = "model_name") -> str | None:
     """Objection to a flat ``key: value`` configuration whose ``key`` must have the expected value."""
     if not (text or "").strip():

@@ -93,14 +93,13 @@ def hand_over(leases: DataFrame, done: DataFrame, result_ttl: int) -> DataFrame:
 
 
 def batches(rows: DataFrame, size: int = BATCH) -> DataFrame:
-    """Rows (evaluation_id, pos, miner, bucket) as arrays of at most ``size`` per evaluation id, for a paged sink, with the id's first bucket.
+    """Rows (evaluation_id, pos, miner, perhaps bucket) as arrays of at most ``size`` per evaluation id, for a paged sink, with the id's first bucket.
 
     Keys are bounded: one id holds one round.
     """
     numbered = rows.withColumn("n_", F.row_number().over(Window.partitionBy("evaluation_id").orderBy("pos")) - 1)
-    first = rows.groupBy("evaluation_id").agg(F.min_by("bucket", "pos").alias("bucket"))
     pages = numbered.groupBy("evaluation_id", F.floor(F.col("n_") / size).alias("page")).agg(F.array_sort(F.collect_list(F.struct("pos", "miner"))).alias("rows"))
-    return pages.join(first, "evaluation_id")
+    return pages.join(rows.groupBy("evaluation_id").agg(F.min_by("bucket", "pos").alias("bucket")), "evaluation_id") if "bucket" in rows.columns else pages
 
 
 class Picker:

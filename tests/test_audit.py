@@ -15,12 +15,22 @@ POLICY = A.Policy(frozenset({"socket", "urllib"}), frozenset({"eval", "os.system
 
 @pytest.mark.parametrize(
     ("source", "want"),
-    [("", "miner_py_empty"), (None, "miner_py_empty"), ("def", "miner_py_syntax_error"), ("import socket.x", "banned_import:socket.x"), ("from urllib import request", "banned_import_from:urllib"), ("import socketserver", None), ("os.system('x')", "banned_call:os.system"), ("a.eval(1)", "banned_call:a.eval"), ("M.from_pretrained('x')", "from_pretrained_must_use_model_name"), ("M.from_pretrained(model_name)", None), ("# import socket\nx = 1", None)],
+    [("", "miner_py_empty"), (None, "miner_py_empty"), ("import socket.x", "banned_import:socket.x"), ("from urllib import request", "banned_import_from:urllib"), ("import socketserver", None), ("os.system('x')", "banned_call:os.system"), ("a.eval(1)", "banned_call:a.eval"), ("M.from_pretrained('x')", "from_pretrained_must_use_model_name"), ("M.from_pretrained(model_name)", None), ("# import socket\nx = 1", None)],
 )
 def test_source_reason(source, want):
     assert A.source_reason(source, POLICY) == want
 
 
+def test_default_policy_and_scripts(spark):
+    assert A.source_reason("def", A.DEFAULT_POLICY).startswith("miner_py_syntax_error:")
+    assert [A.source_reason(x, A.DEFAULT_POLICY) for x in ("import torch.hub", "import torch", "torch.hub.load('x')", "torch.load('x')", "from importlib import util", "x.pipeline()")] == ["banned_import:torch.hub", None, "banned_call:torch.hub.load", None, "banned_import_from:importlib", "banned_call:x.pipeline"]
+    canonical = 'R = ""\nx = 1\n'
+    assert [A.script_reason(x, canonical, ("R",)) for x in ('R = "a/b"\nx=1', 'R = "a"\nx=2', "(", " ", None)] == [None, "wrapper_hash_mismatch", "deploy_script_syntax_error", "empty_deploy_script", "empty_deploy_script"]
+    digest = "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
+    rows = spark.createDataFrame([("x",), ("y",), ("",), (None,)], "s string").select(A.hash_reason(F.col("s"), digest).alias("r")).collect()
+    assert [r["r"] for r in rows] == [None, "miner_py_hash_mismatch", "miner_py_empty", "miner_py_empty"]
+
+
 def test_constants_and_hash():
     assert A.constants('# R = "no"\nR = "a"\nR = "b"\ndef f():\n    Q = "c"\n', ("R", "Q")) == {"R": "b", "Q": ""}
     one, two = A.normalized_hash('R = "a"\nx=1', ("R",)), A.normalized_hash('R = "b"  # c\n\nx = 1', ("R",))

@@ -70,6 +70,18 @@ def test_displays_round_half_to_even(spark):
     assert one(spark, S.number_or_zero(F.lit("x"))) == 0 and one(spark, S.number_or_zero(F.lit(" 2.5 "))) == 2.5
 
 
+def test_strict_shape(spark):
+    shape = lambda raw: one(spark, S.strict_shape(F.lit(raw).cast("string")))
+    plain = shape("")
+    assert plain["transcript"] == "" and plain["audio_quality"]["clarity"] == "slightly noisy" and plain["voice_traits"]["timbre"] == ["clear"] and plain["voice_traits"]["gender_confidence"] == 0
+    assert shape(None) == plain == shape("{}") and shape("no json") is None and shape("[1]") is None
+    got = shape('```json {"transcript": "t", "audio_quality": {"clarity": 5, "noise_type": "hum", "confidence": "0.5"}, "voice_traits": {"pitch": "high", "pitch_confidence": 3, "energy_confidence": -1, "timbre": ["a", 1, "b", "c", "d", "e"], "timbre_confidence": true}}```')
+    assert (got["transcript"], got["audio_quality"]["clarity"], got["audio_quality"]["noise_type"], got["audio_quality"]["confidence"]) == ("t", "slightly noisy", "hum", 0.5)
+    v = got["voice_traits"]
+    assert (v["pitch"], v["pitch_confidence"], v["energy_confidence"], v["timbre"], v["timbre_confidence"], v["emotion"]) == ("high", 1, 0, ["a", "b", "c", "d"], 1, "neutral")
+    assert shape('{"voice_traits": {"timbre": "warm"}}')["voice_traits"]["timbre"] == ["warm"] and shape('{"voice_traits": {"timbre": [1]}, "audio_quality": 5}')["voice_traits"]["timbre"] == ["clear"]
+
+
 def test_slot_pins(spark):
     pin = lambda block, last: one(spark, S.slot_pin(F.lit(block), F.lit(last).cast("long"), 300, 50))
     assert [pin(650, 600), pin(650, 300), pin(651, 300), pin(651, None), pin(600, None), pin(899, 300)] == [None, 600, None, 651, 600, None]
