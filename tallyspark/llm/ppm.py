@@ -1,23 +1,31 @@
 """LM scoring: prediction by partial matching over bytes.
 
-A text is lower-cased (A-Z), its words are joined by one space, and a line feed ends it. The model is a trie of byte contexts
+The scored string of a text is its bytes, lower-cased (A-Z) and otherwise whole, line feeds and repeated blanks included, and one end symbol
+(a byte that UTF-8 never holds; contexts at the start of a text are filled with it). The model is a trie of byte contexts
 up to ``ORDER``; a symbol is coded in the longest context seen in training, or else escaped to the next shorter one. The escape
 estimate of a context with q distinct among T symbols is ``ESCAPE`` * q / T, taken evenly from its symbols (method D for 0.5);
 symbols of a longer context that was escaped from are
 excluded from the shorter one (the code never returns to them), and what no context holds is uniform over the other bytes.
 
 Pretrained (``score_texts``): counts come from the training documents, so what a context excludes depends on it alone and every
-(context, symbol) has one fixed code length. The trie is never broadcast. Training counts of (ORDER+1)-byte strings are summed
-by Spark; the trie is cut into shards by the last two context bytes, below which all longer contexts lie; only orders 0 and 1
-(65,792 counts at most) go to every task. Documents are dealt into blocks of about ``BLOCK_BYTES``; a block asks each shard once
-for its distinct strings (and for its distinct words, for the unigram base), and sums the answers per document. No step
-holds more than a block, or a shard with the questions of ``BLOCKS_A_SALT`` blocks. Answers travel as 32-bit floats (a relative
-error below 1e-7); results do not depend on the cutting.
+(context, symbol) has one fixed code length. The trie is never broadcast.
+
+1. A training task counts words and (ORDER+1)-byte strings, and writes the strings sorted and packed, a row for each last pair of context bytes.
+   Rows of a pair are merged until they hold ``SHARD_CODES`` strings or are as few as they get.
+2. Pairs are packed into shards of about ``SHARD_CODES`` strings, so that shards grow in number and not in size; a pair with more is
+   dealt over shards by its third byte. All contexts longer than a shard's bytes lie in it; of shorter ones, orders 0 and 1 (65,792
+   counts at most) and the order-2 contexts of the pairs that were dealt (256 counts each) go to every task.
+3. Documents are gathered into blocks of about ``BLOCK_BYTES`` where they are read; texts are written once, compressed, beside the block's questions: its
+   distinct strings and words, a row a shard. Shards answer up to ``BLOCKS_A_SALT`` blocks at a time with code lengths (32-bit floats: a
+   relative error below 1e-7), and a block adds them up over its documents, some positions at a time.
+
+No step holds more than a block, or a shard with the questions of ``BLOCKS_A_SALT`` blocks; results do not depend on the cutting.
 
 Adaptive (``adaptive_scores``): the trie starts empty in every document and counts grow as it is read.
 
 Null and empty texts have one token, the end. Repeated rows are scored each (and each counts in training). Without training
-documents all bytes are equally likely and the base has only its prior. Other columns are not carried.
+documents all bytes are equally likely and the base has only its prior. A document longer than a block is a block of its own. An empty
+table gives no rows. Other columns are not carried, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,23 +39,30 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import kept_table, small_batches
 
-ORDER = 5
+ORDER = 6
 #: What an escape takes from each distinct symbol of a context.
 ESCAPE = 0.5
 BLOCK_BYTES = 6 << 20
-BLOCKS_A_SALT = 1024
-WORD_SHARDS = 64
-TRIE_SHARDS = 64
-END = b"\n"
-#: Positions that are looked up at once: their places fit into 16 bits.
-CHUNK = 1 << 16
+BLOCKS_A_SALT = 512
+#: Strings, or words, that a shard holds, about.
+SHARD_CODES = 1 << 20
+END = b"\xff"
+#: The end as a token of the unigram base: no word holds a line feed.
+WORD_END = b"\n"
+#: Positions that are looked up at once: their places fit into 15 bits.
+CHUNK = 1 << 15
+#: Positions whose codes are held at once.
+SPAN = 1 << 21
 #: Distinct words, and distinct strings, that a training task holds before it passes them on.
 HELD_WORDS, HELD_CODES = 600_000, 4_000_000
+#: Kinds of rows of counts; strings have their pair of bytes, from 0.
+WORDS, LOW = -1, -2
 
 
 def words_of_bytes(text: bytes | None) -> list[bytes]:
@@ -55,26 +70,30 @@ def words_of_bytes(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()
 
 
-def _codes(docs: list[list[bytes]], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """The code (context and symbol as one integer) of every position of all documents, and where each document starts."""
+def _flat(texts: list[bytes | None], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all scored strings, each after ``order`` fill bytes, and where each string starts."""
     pad, parts, lengths = END * order, [], []
-    for words in docs:
-        body = b" ".join(words)
+    for t in texts:
+        body = (t or b"").lower()
         parts += (pad, body, END)
-        lengths.append(len(body) + 1)
-    flat = np.frombuffer(b"".join(parts), dtype=np.uint8)
-    n = len(flat) - order
-    codes = np.zeros(n, dtype=np.uint64)
-    for j in range(order + 1):
-        codes <<= np.uint64(8)
-        codes |= flat[j : j + n]
-    sizes = np.asarray(lengths, dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
-    # The codes that end in the padding of the second and later documents are no positions.
-    keep = np.ones(n, dtype=bool)
-    for j in range(order):
-        keep[starts[1:] + order * np.arange(len(sizes) - 1) + j] = False
-    return codes[keep], starts
+        lengths.append(order + len(body) + 1)
+    ends = np.cumsum(np.asarray(lengths, dtype=np.int64))
+    return np.frombuffer(b"".join(parts), dtype=np.uint8), ends - np.asarray(lengths, dtype=np.int64) + order
+
+
+def _spans(flat: np.ndarray, starts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Codes (context and symbol as one integer) of some positions at a time, with these positions; fill bytes are none."""
+    fill = np.zeros(len(flat) + 1, dtype=bool)
+    for j in range(1, order + 1):
+        fill[starts - j] = True
+    for at in range(order, len(flat), SPAN):
+        upto = min(at + SPAN, len(flat))
+        codes = np.zeros(upto - at, dtype=np.uint64)
+        for j in range(order + 1):
+            codes <<= np.uint64(8)
+            codes |= flat[at - order + j : upto - order + j]
+        keep = ~fill[at:upto]
+        yield codes[keep], np.flatnonzero(keep) + at
 
 
 def _distinct(codes: np.ndarray) -> np.ndarray:
@@ -83,46 +102,108 @@ def _distinct(codes: np.ndarray) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])] if len(s) else s
 
 
-def _look_up(codes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The value of each code among sorted keys that hold all of them.
+def _distinct_of(flat: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
+    parts = [_distinct(c) for c, _ in _spans(flat, starts, order)]
+    return parts[0] if len(parts) == 1 else _distinct(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
 
-    Sorts a few codes at a time, each with its place in the low bits if there is room, so that neighbours look up neighbours.
+class Lookup:
+    """Values by code, among sorted codes that hold all that is asked.
+
+    Sorts a few codes at a time, each with its place in the low bits, so that neighbours look up neighbours. For that, bytes
+    are numbered in their order: up to 128 different ones take 7 bits each.
     """
-    out = np.empty(len(codes))
-    packed = len(codes) and int(keys[-1]) < 1 << 48
-    places = np.arange(CHUNK, dtype=np.uint64)
-    for at in range(0, len(codes), CHUNK):
-        own = codes[at : at + CHUNK]
-        if packed:
-            s = np.sort(own << np.uint64(16) | places[: len(own)])
-            order, s = (s & np.uint64(0xFFFF)).astype(np.int64), s >> np.uint64(16)
-        else:
-            order = np.argsort(own)
-            s = own[order]
-        first = np.concatenate([[True], s[1:] != s[:-1]])
-        out[at + order] = values[np.searchsorted(keys, s[first])][np.cumsum(first) - 1]
-    return out
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, order: int) -> None:
+        self.values, self.order = values, order
+        planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : order + 1]
+        used = np.zeros(256, dtype=bool)
+        for j in range(order + 1):
+            used[planes[:, j]] = True
+        self.number = np.cumsum(used).astype(np.uint64) - np.uint64(1)
+        self.small = int(used.sum()) <= 128 and 7 * (order + 1) <= 49
+        self.keys = self._narrow(keys) if self.small else keys
+
+    def _narrow(self, codes: np.ndarray) -> np.ndarray:
+        planes = codes.astype("<u8").view(np.uint8).reshape(-1, 8)
+        out = np.zeros(len(codes), dtype=np.uint64)
+        for j in range(self.order, -1, -1):
+            out <<= np.uint64(7)
+            out |= self.number[planes[:, j]]
+        return out
+
+    def get(self, codes: np.ndarray) -> np.ndarray:
+        out = np.empty(len(codes))
+        if self.small:
+            codes = self._narrow(codes)
+        places = np.arange(CHUNK, dtype=np.uint64)
+        for at in range(0, len(codes), CHUNK):
+            own = codes[at : at + CHUNK]
+            if self.small:
+                s = np.sort(own << np.uint64(15) | places[: len(own)])
+                order, s = (s & np.uint64(0x7FFF)).astype(np.int64), s >> np.uint64(15)
+            else:
+                order = np.argsort(own)
+                s = own[order]
+            first = np.concatenate([[True], s[1:] != s[:-1]])
+            out[at + order] = self.values[np.searchsorted(self.keys, s[first])][np.cumsum(first) - 1]
+        return out
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """Numbers compressed with their byte planes apart."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes())
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
 def _pack(codes: np.ndarray) -> bytes:
-    """Sorted codes as compressed differences, byte planes apart."""
-    steps = np.diff(codes, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.T).tobytes())
+    """Sorted codes as compressed differences."""
+    return _planes(np.diff(codes, prepend=np.uint64(0)))
 
 
 def _unpack(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).reshape(-1), dtype=np.uint64)
+    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
 
 
-def _shard_of(codes: np.ndarray) -> np.ndarray:
-    """The shard of each code, by its last two context bytes."""
-    pair = (codes >> np.uint64(8)) & np.uint64(0xFFFF)
-    return WORD_SHARDS + ((pair * np.uint64(40503)) >> np.uint64(4) & np.uint64(0xFFF)).astype(np.int64) % TRIE_SHARDS
+def _pair(codes: np.ndarray) -> np.ndarray:
+    """The last two context bytes."""
+    return ((codes >> np.uint64(8)) & np.uint64(0xFFFF)).astype(np.int64)
 
 
-def _word_shard(word: bytes) -> int:
-    return zlib.crc32(word) % WORD_SHARDS
+class Deal:
+    """Which shard holds which strings: by the last two context bytes, and where these have too many strings, by the third too."""
+
+    def __init__(self, sizes: dict[int, int], words: int, limit: int) -> None:
+        self.words = max(8, -(-words // limit))  # shards of words come first
+        self.first, self.parts = np.zeros(1 << 16, dtype=np.int64), np.ones(1 << 16, dtype=np.int64)
+        n, held = self.words, 0
+        for pair, size in sorted(sizes.items()):
+            if size > limit:
+                continue
+            if held and held + size > limit:
+                n, held = n + 1, 0
+            self.first[pair] = n
+            held += size
+        n += 1
+        self.split = sorted(p for p, size in sizes.items() if size > limit)
+        for pair in self.split:
+            self.first[pair], self.parts[pair] = n, min(256, -(-sizes[pair] // limit))
+            n += self.parts[pair]
+        self.shards = int(n)
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """The shard of each code; pairs that training never saw share the first one of strings."""
+        pair = _pair(codes)
+        third = ((codes >> np.uint64(24)) & np.uint64(0xFF)).astype(np.int64)
+        return np.maximum(self.first[pair], self.words) + third * 167 % 256 * self.parts[pair] // 256
+
+    def of_word(self, word: bytes) -> int:
+        return zlib.crc32(word) % self.words
 
 
 def _add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,13 +215,38 @@ def _add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) ->
     return codes, n
 
 
+def _sum_up(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of sorted codes and counts as one, by halves."""
+    while len(parts) > 1:
+        parts = [_add(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0] if parts else (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
+
+
+_COUNTS = "pair int, key binary, codes binary, counts binary, n long"
+_COUNT_NAMES = ["pair", "key", "codes", "counts", "n"]
+
+
+def _count_rows(pairs: list[int], keys: list[bytes | None], codes: list[bytes | None], counts: list[bytes | None], n: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(keys, pa.binary()), pa.array(codes, pa.binary()), pa.array(counts, pa.binary()), pa.array(n, pa.int64())], names=_COUNT_NAMES)
+
+
+def _by_pair(codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Sorted codes and counts for each pair of last context bytes."""
+    pair = _pair(codes)
+    order = np.argsort(pair, kind="stable")
+    pair, codes, n = pair[order], codes[order], n[order]
+    cuts = [*np.flatnonzero(np.diff(pair, prepend=-1)).tolist(), len(pair)]
+    for at, upto in zip(cuts, cuts[1:], strict=False):
+        yield int(pair[at]), codes[at:upto], n[at:upto]
+
+
 def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``shard, key, n``: how often each word (and end) and each (order+1)-byte string stands in the column ``t`` (binary)."""
+    """``pair, key, codes, counts, n``: partial counts of words (and ends), of pairs of bytes, and of (order+1)-byte strings, packed, in the column ``t`` (binary)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
-        empty = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
-        codes, new = empty, []
+        codes, new = _sum_up([]), []
+        low = np.zeros(1 << 16, dtype=np.int64)
 
         def merge() -> None:
             nonlocal codes, new
@@ -149,47 +255,92 @@ def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             new = []
 
         def rows() -> Iterator[pa.RecordBatch]:
-            names = ["shard", "key", "n"]
-            keys, ns = list(words), list(words.values())
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array([_word_shard(k) for k in keys], pa.int32()), pa.array(keys, pa.binary()), pa.array(ns, pa.int64())], names=names)
-            if len(codes[0]):
-                text = codes[0].astype(">u8").tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(_shard_of(codes[0]).astype(np.int32)), pa.array([text[i : i + 8] for i in range(0, len(text), 8)], pa.binary()), pa.array(codes[1])], names=names)
+            nonlocal codes
+            merge()
+            names = list(words)
+            if names:
+                yield _count_rows([WORDS] * len(names), names, [None] * len(names), [None] * len(names), list(words.values()))
+            parts = list(_by_pair(*codes))
+            for i in range(0, len(parts), 512):
+                some = parts[i : i + 512]
+                yield _count_rows([p for p, _, _ in some], [None] * len(some), [_pack(c) for _, c, _ in some], [_planes(n) for _, _, n in some], [len(c) for _, c, _ in some])
+            words.clear()
+            codes = _sum_up([])
 
         for batch in batches:
-            split = [words_of_bytes(x) for x in batch.column(0).to_pylist()]
-            for w in split:
-                words.update(w)
-            words[END] += len(split)
-            new.append(_codes(split, order)[0])
-            if sum(map(len, new)) > 8 << 20:
-                merge()
-            if len(words) > HELD_WORDS or len(codes[0]) > HELD_CODES:
-                merge()
+            texts = batch.column(0).to_pylist()
+            for t in texts:
+                words.update(words_of_bytes(t))
+            words[WORD_END] += len(texts)
+            flat, starts = _flat(texts, order)
+            for c, _ in _spans(flat, starts, order):
+                new.append(c)
+                low += np.bincount((c & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
+                if sum(map(len, new)) > 8 << 20:
+                    merge()
+                if len(codes[0]) > HELD_CODES:
+                    yield from rows()
+            if len(words) > HELD_WORDS:
                 yield from rows()
-                words.clear()
-                codes = empty
-        merge()
         yield from rows()
+        seen = np.flatnonzero(low)
+        yield _count_rows([LOW] * len(seen), [bytes([x >> 8, x & 255]) for x in seen.tolist()], [None] * len(seen), [None] * len(seen), low[seen].tolist())
+
+    return docs.mapInArrow(count, _COUNTS)
+
+
+def merged_counts(packed: DataFrame, limit: int = SHARD_CODES) -> tuple[DataFrame, dict[int, int]]:
+    """Rows of strings merged until each pair's rows hold ``limit`` strings together or hardly fewer than before; with the strings of each pair (65,536 at most)."""
+
+    def merge(key: tuple, rows: pa.Table) -> pa.Table:
+        codes, n = _sum_up([(_unpack(c), _numbers(k, np.int64)) for c, k in zip(rows.column("codes").to_pylist(), rows.column("counts").to_pylist(), strict=True)])
+        return pa.Table.from_batches([_count_rows([key[0].as_py()], [None], [_pack(codes)], [_planes(n)], [len(codes)])])
 
-    return docs.mapInArrow(count, "shard int, key binary, n long").groupBy("shard", "key").agg(F.sum("n").alias("n"))
+    while True:
+        sizes = {r["pair"]: (r["n"], r["k"]) for r in packed.groupBy("pair").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
+        groups = {p: -(-n // (4 * limit)) for p, (n, k) in sizes.items() if n > limit and k > -(-n // (4 * limit))}
+        if not groups:
+            return packed, {p: n for p, (n, _) in sizes.items()}
+        fan = F.element_at(F.create_map(*[F.lit(x) for pair in groups.items() for x in pair]), F.col("pair"))
+        told = packed.withColumn("fan", fan).withColumn("group", F.pmod(F.xxhash64("codes"), F.coalesce("fan", F.lit(1))))
+        new = told.where("fan is not null").select("pair", "group", *_COUNT_NAMES[1:]).groupBy("pair", "group").applyInArrow(merge, _COUNTS)
+        packed = kept_table(told.where("fan is null").select(*_COUNT_NAMES).unionByName(new), "merged")
+        after = sum(r["n"] for r in packed.where(F.col("pair").isin(list(groups))).groupBy().agg(F.sum("n").alias("n")).collect())
+        if after > 0.8 * sum(sizes[p][0] for p in groups):
+            return packed, {r["pair"]: r["n"] for r in packed.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
 
 def low_orders(counts: DataFrame) -> np.ndarray:
     """Counts of (one context byte, symbol): a 256 x 256 table, whatever the size of the corpus."""
-    pair = F.expr("conv(hex(substring(key, 7, 2)), 16, 10)").cast("int").alias("pair")
-    found = counts.where(F.col("shard") >= WORD_SHARDS).groupBy(pair).agg(F.sum("n").alias("n")).collect()
     out = np.zeros((256, 256), dtype=np.int64)
-    for r in found:
-        out[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    for r in counts.where(F.col("pair") == LOW).groupBy("key").agg(F.sum("n").alias("n")).collect():
+        out[r["key"][0], r["key"][1]] = r["n"]
     return out
 
 
+def pair_orders(packed: DataFrame, pairs: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Codes and counts of (two context bytes, symbol) for some pairs: 256 at most for each."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                keys, back = np.unique(_unpack(c) & np.uint64(0xFFFFFF), return_inverse=True)
+                n = np.bincount(back, weights=_numbers(k, np.int64)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n)], names=["code", "n"])
+
+    if not pairs:
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    found = packed.where(F.col("pair").isin(pairs)).select("codes", "counts").mapInArrow(cut, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    return np.asarray([r["code"] for r in found], dtype=np.uint64), np.asarray([r["n"] for r in found], dtype=np.int64)
+
+
 class Trie:
-    """Code lengths of one shard: all contexts of order 2 and more that end in its byte pairs, over the given lower orders."""
+    """Code lengths of one shard: all contexts that end in its bytes, over the given lower orders.
 
-    def __init__(self, codes: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER) -> None:
+    ``known``: the order-2 codes and counts of pairs of which the shard holds a part only.
+    """
+
+    def __init__(self, codes: np.ndarray, n: np.ndarray, low: np.ndarray, order: int = ORDER, known: tuple[np.ndarray, np.ndarray] | None = None) -> None:
         self.order, self.low = order, low
         self.levels = []
         sort = np.argsort(codes)
@@ -204,6 +355,11 @@ class Trie:
                 cut = codes & np.uint64((1 << 8 * (k + 1)) - 1)
                 keys, back = np.unique(cut, return_inverse=True)
                 counts = np.bincount(back, weights=n, minlength=len(keys))
+                if k == 2 and known is not None and len(known[0]):
+                    whole = ~np.isin(keys >> np.uint64(8), known[0] >> np.uint64(8))
+                    keys, counts = np.concatenate([keys[whole], known[0]]), np.concatenate([counts[whole], known[1].astype(np.float64)])
+                    sort = np.argsort(keys)
+                    keys, counts = keys[sort], counts[sort]
             contexts, own = np.unique(keys >> np.uint64(8), return_inverse=True)
             total = np.bincount(own, weights=counts, minlength=len(contexts))
             kinds = np.bincount(own, minlength=len(contexts)).astype(np.float64)
@@ -242,91 +398,137 @@ class Trie:
         return p
 
 
-def _questions(order: int):
+_ASKED = "block long, shard int, asked binary, ids array<long>, held array<boolean>, sizes array<int>"
+_ASKED_NAMES = ["block", "shard", "asked", "ids", "held", "sizes"]
+#: The shard number of a block's texts.
+TEXTS = -1
+
+
+def _questions(order: int, deal: Deal, block_bytes: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """One row per block and shard: its distinct keys in order. Partitions hold whole blocks, sorted by block."""
-        now, words, codes = None, set(), []
+        """Documents (doc_id, held_out, t) as blocks: a row with the texts, and one for each shard with what is asked of it, in order."""
+        part, n = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        ids: list[int | None] = []
+        held: list[bool] = []
+        texts: list[bytes | None] = []
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            by: list[list[bytes]] = [[] for _ in range(WORD_SHARDS)]
-            for w in sorted(words | {END}):
-                by[_word_shard(w)].append(w)
+            block = (part << 32) + n
+            by: list[list[bytes]] = [[] for _ in range(deal.words)]
+            for w in sorted(set().union(*map(words_of_bytes, texts)) | {WORD_END}):
+                by[deal.of_word(w)].append(w)
             asked = [(k, zstandard.compress(b" ".join(w), 1)) for k, w in enumerate(by) if w]
-            all_ = _distinct(np.concatenate(codes))
-            shards = _shard_of(all_)
-            asked += [(int(k), _pack(all_[shards == k])) for k in np.unique(shards)]
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in asked], pa.int32()), pa.array([now] * len(asked), pa.int64()), pa.array([x for _, x in asked], pa.binary())], names=["shard", "block", "asked"])
+            every = _distinct_of(*_flat(texts, order), order)
+            shards = deal.of(every)
+            asked += [(int(k), _pack(every[shards == k])) for k in np.unique(shards)]
+            asked = [(TEXTS, zstandard.compress(b"".join(t or b"" for t in texts), 3)), *asked]
+            none = [None] * (len(asked) - 1)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([block] * len(asked), pa.int64()),
+                    pa.array([k for k, _ in asked], pa.int32()),
+                    pa.array([x for _, x in asked], pa.binary()),
+                    pa.array([ids, *none], pa.list_(pa.int64())),
+                    pa.array([held, *none], pa.list_(pa.bool_())),
+                    pa.array([[len(t or b"") for t in texts], *none], pa.list_(pa.int32())),
+                ],
+                names=_ASKED_NAMES,
+            )
 
         for batch in batches:
-            blocks, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first in [i for i in range(len(blocks)) if not i or blocks[i] != blocks[i - 1]]:
-                last = next((i for i in range(first, len(blocks)) if blocks[i] != blocks[first]), len(blocks))
-                if now is not None and blocks[first] != now:
+            for i, h, t in zip(*[batch.column(c).to_pylist() for c in range(3)], strict=True):
+                if texts and size + len(t or b"") > block_bytes:
                     yield from rows()
-                    words, codes = set(), []
-                now = blocks[first]
-                split = [words_of_bytes(x) for x in texts[first:last]]
-                words.update(*split)
-                codes.append(_distinct(_codes(split, order)[0]))
-                if sum(map(len, codes)) > 2 << 20:
-                    codes = [_distinct(np.concatenate(codes))]
-        if now is not None:
+                    ids, held, texts, size, n = [], [], [], 0, n + 1
+                ids.append(i)
+                held.append(h)
+                texts.append(t)
+                size += len(t or b"")
+        if texts:
             yield from rows()
 
     return ask
 
 
-def _answers(low: np.ndarray, order: int):
+def _answers(low: np.ndarray, order: int, deal: Deal, known: tuple[np.ndarray, np.ndarray]):
     def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
         """The counts of the words, or the code lengths of the strings, in the order asked."""
         out, shards, blocks = [], asked.column("shard").to_pylist(), asked.column("block").to_pylist()
         if not shards:
             pass
-        elif shards[0] < WORD_SHARDS:
+        elif shards[0] < deal.words:
             n = dict(zip(model.column("key").to_pylist(), model.column("n").to_pylist(), strict=True))
-            for x in asked.column("asked").to_pylist():
-                keys = zstandard.decompress(x).split(b" ")
-                out.append(zstandard.compress(np.fromiter((n.get(k, 0) for k in keys), dtype=np.int64, count=len(keys)).tobytes(), 1))
+            for x in asked.column("asked"):
+                keys = zstandard.decompress(x.as_py()).split(b" ")
+                out.append(_planes(np.fromiter((n.get(k, 0) for k in keys), dtype=np.int64, count=len(keys))))
         else:
-            codes = np.frombuffer(b"".join(model.column("key").to_pylist()), dtype=">u8").astype(np.uint64)
-            trie = Trie(codes, np.asarray(model.column("n"), dtype=np.int64), low, order)
-            for x in asked.column("asked").to_pylist():
-                out.append(trie.log10(_unpack(x)).astype(np.float32).tobytes())
+            codes, n = _sum_up([(_unpack(c), _numbers(k, np.int64)) for c, k in zip(model.column("codes").to_pylist(), model.column("counts").to_pylist(), strict=True)])
+            trie = Trie(codes, n, low, order, known)
+            for x in asked.column("asked"):
+                out.append(_planes(trie.log10(_unpack(x.as_py())).astype(np.float32)))
         return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array(shards, pa.int32()), "answer": pa.array(out, pa.binary())})
 
     return answer
 
 
-def _sums(order: int, tokens: int, kinds: int):
+def _routes(deal: Deal):
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows of strings with their shard; rows of a pair that was dealt are cut."""
+        for b in batches:
+            shards, codes, counts = [], [], []
+            for p, c, k in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if deal.parts[p] == 1:
+                    shards.append(int(max(deal.first[p], deal.words)))
+                    codes.append(c)
+                    counts.append(k)
+                    continue
+                every, n = _unpack(c), _numbers(k, np.int64)
+                to = deal.of(every)
+                for s in np.unique(to):
+                    shards.append(int(s))
+                    codes.append(_pack(every[to == s]))
+                    counts.append(_planes(n[to == s]))
+            yield pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(codes, pa.binary()), pa.array(counts, pa.binary())], names=["shard", "codes", "counts"])
+
+    return route
+
+
+def _sums(order: int, tokens: int, kinds: int, deal: Deal):
     den = tokens + 0.5 * (kinds + 1)
 
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """Scores of a block's documents from the answers to its questions."""
         got = dict(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist(), strict=True))
-        texts = docs.column("t").to_pylist()
+        body, at, texts = zstandard.decompress(docs.column("asked")[0].as_py()), 0, []
+        for n in docs.column("sizes")[0].as_py():
+            texts.append(body[at : at + n])
+            at += n
         split = [words_of_bytes(x) for x in texts]
-        by: list[list[bytes]] = [[] for _ in range(WORD_SHARDS)]
-        for w in sorted(set().union(*split) | {END}):
-            by[_word_shard(w)].append(w)
+        by: list[list[bytes]] = [[] for _ in range(deal.words)]
+        for w in sorted(set().union(*split) | {WORD_END}):
+            by[deal.of_word(w)].append(w)
         log, known = {}, {}
         for k, own in enumerate(by):
-            for w, c in zip(own, np.frombuffer(zstandard.decompress(got[k]), dtype=np.int64).tolist() if own else [], strict=True):
+            for w, c in zip(own, _numbers(got[k], np.int64).tolist() if own else [], strict=True):
                 log[w], known[w] = math.log10((c + 0.5) / den), c > 0
-        positions, starts = _codes(split, order)
-        codes = _distinct(positions)
-        shards, p = _shard_of(codes), np.zeros(len(codes))
+        flat, starts = _flat(texts, order)
+        codes = _distinct_of(flat, starts, order)
+        shards, p = deal.of(codes), np.zeros(len(codes))
         for k in np.unique(shards):
-            p[shards == k] = np.frombuffer(got[int(k)], dtype=np.float32)
-        total = np.add.reduceat(_look_up(positions, codes, p), starts)
+            p[shards == k] = _numbers(got[int(k)], np.float32)
+        find, each = Lookup(codes, p, order), np.zeros(len(flat))
+        for c, places in _spans(flat, starts, order):
+            each[places] = find.get(c)
         return pa.table(
             {
-                "doc_id": docs.column("doc_id"),
-                "held_out": docs.column("held_out"),
+                "doc_id": pa.array(docs.column("ids")[0].as_py(), pa.int64()),
+                "held_out": pa.array(docs.column("held")[0].as_py(), pa.bool_()),
                 "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64()),
-                "n_known": pa.array([sum(map(known.__getitem__, w)) + known[END] for w in split], pa.int64()),
+                "n_known": pa.array([sum(map(known.__getitem__, w)) + known[WORD_END] for w in split], pa.int64()),
                 "train_tokens": pa.array([tokens] * len(split), pa.int64()),
-                "base_score": pa.array([math.fsum(map(log.__getitem__, w)) + log[END] for w in split], pa.float64()),
-                "score": pa.array(total),
+                "base_score": pa.array([math.fsum(map(log.__getitem__, w)) + log[WORD_END] for w in split], pa.float64()),
+                "score": pa.array(np.add.reduceat(each, starts)),
             }
         )
 
@@ -338,33 +540,37 @@ def held_out(doc_id: Column, fold: int = 1, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % folds == fold, F.lit(False))
 
 
-def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", order: int = ORDER, block_bytes: int = BLOCK_BYTES, shard_codes: int = SHARD_CODES) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score (unigrams) and score (PPM), both log10.
 
     Learns from the documents that are not held out.
     """
     if not 2 <= order <= 7:
         raise ValueError("order must be 2 to 7: a context and its symbol are one 64-bit code")
-    spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("binary").alias("t"))
-    counts = kept_table(train_counts(rows.where("not held_out").select("t"), order), "trie")
+    counts = kept_table(train_counts(rows.where("not held_out").select("t"), order), "counts")
     low = low_orders(counts)
-    base = counts.where(F.col("shard") < WORD_SHARDS).agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    size = rows.agg(F.sum(F.octet_length("t")).alias("b")).first()["b"] or 0
-    blocks = max(-(-size // block_bytes), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    salts = -(-blocks // BLOCKS_A_SALT)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "t"), F.lit(blocks)).cast("long")).repartition(blocks, "block")
-    asked = dealt.sortWithinPartitions("block").select("block", "t").mapInArrow(_questions(order), "shard int, block long, asked binary").withColumn("salt", (F.col("block") % salts).cast("int"))
-    model = counts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    answers = model.groupBy("shard", "salt").cogroup(asked.groupBy("shard", "salt")).applyInArrow(_answers(low, order), "block long, shard int, answer binary")
+    words = kept_table(counts.where(F.col("pair") == WORDS).groupBy("key").agg(F.sum("n").alias("n")), "words")
+    base = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
+    packed, sizes = merged_counts(counts.where("pair >= 0"), shard_codes)
+    deal = Deal(sizes, base["v"] or 0, shard_codes)
+    known = pair_orders(packed, deal.split)
+    asked = kept_table(rows.select("doc_id", "held_out", "t").mapInArrow(_questions(order, deal, block_bytes), _ASKED), "asked")
+    texts = asked.where(F.col("shard") == TEXTS)
+    salts = max(1, -(-texts.count() // BLOCKS_A_SALT))
+    shard = F.pmod(F.crc32("key"), F.lit(deal.words)).cast("int").alias("shard")
+    strings = packed.select("pair", "codes", "counts").mapInArrow(_routes(deal), "shard int, codes binary, counts binary")
+    model = words.select(shard, "key", "n").unionByName(strings, allowMissingColumns=True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    questions = asked.where(F.col("shard") != TEXTS).select("block", "shard", "asked", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
+    answers = model.groupBy("shard", "salt").cogroup(questions.groupBy("shard", "salt")).applyInArrow(_answers(low, order, deal, known), "block long, shard int, answer binary")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sums(order, base["n"] or 0, base["v"] or 0), out)
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sums(order, base["n"] or 0, base["v"] or 0, deal), out)
 
 
 def adaptive_log10(text: bytes | None, order: int = ORDER) -> float:
     """log10 of the probability of a text under a trie that starts empty and counts as it goes."""
-    data = END * order + b" ".join(words_of_bytes(text)) + END
+    data = END * order + (text or b"").lower() + END
     seen: dict[bytes, dict[int, int]] = {}
     total = 0.0
     for i in range(order, len(data)):
