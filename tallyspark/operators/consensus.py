@@ -24,14 +24,15 @@ def recent_rows(evals: DataFrame, n: int, tie: Column) -> DataFrame:
 
 
 def recent_ids(evals: DataFrame, n: int) -> DataFrame:
-    """Rows of the newest ``n`` distinct evaluation ids per validator.
+    """Rows of the newest ``n`` distinct evaluation ids per validator (all rows if n is not positive).
 
-    Ids are made distinct before they are ranked, so the window sees one row per id and only the short list is joined back.
+    A filter on a rank: Spark drops what is beyond the newest ``n`` ids of a task's own rows before the shuffle, so a validator of
+    any size sends a short list.
     """
-    ids = evals.select("validator", "evaluation_id").distinct()
+    if n <= 0:
+        return evals
     order = Window.partitionBy("validator").orderBy(F.col("evaluation_id").desc())
-    newest = ids.withColumn("id_rank", F.row_number().over(order)).where(F.col("id_rank") <= n).drop("id_rank")
-    return evals.join(newest, ["validator", "evaluation_id"], "left_semi")
+    return evals.withColumn("id_rank", F.dense_rank().over(order)).where(F.col("id_rank") <= n).drop("id_rank")
 
 
 def miner_stats(evals: DataFrame, *keys: str) -> DataFrame:
