@@ -85,11 +85,17 @@ def ratio_bins() -> dict[str, Column]:
 
 def sketches(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     """Counts per (lang, source, ratio, bin) over all documents with a word."""
-    t = F.coalesce(F.col("text"), F.lit(""))
-    base = df.select(F.col(text).alias("text"), F.col(lang).alias("lang"), F.col(source).alias("source"))
-    base = mark_counts(base, "text").withColumns({"n_words": F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long"), "word_chars": F.length(t) - how_many(t, "\\x20\\x09-\\x0D")})
+    t = F.coalesce(F.col(text), F.lit(""))
+    counts = F.struct(
+        how_many(t, MARKS).alias("n_marks"),
+        how_many(t, "A-Z").alias("n_upper"),
+        F.regexp_count(t, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("n_words"),
+        (F.length(t) - how_many(t, "\\x20\\x09-\\x0D")).alias("word_chars"),
+    )
+    # A one-row generator, as in ``repeat_words``: each count is taken once, whatever uses it.
+    base = df.select(F.col(lang).alias("lang"), F.col(source).alias("source"), F.inline(F.array(counts))).where("n_words > 0")
     pairs = F.array(*[F.struct(F.lit(k).alias("ratio"), v.alias("bin")) for k, v in ratio_bins().items()])
-    return base.where("word_chars > 0").select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n"))
+    return base.select("lang", "source", F.inline(pairs)).groupBy("lang", "source", "ratio", "bin").agg(F.count("*").alias("n"))
 
 
 def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
