@@ -21,7 +21,7 @@ from __future__ import annotations
 import heapq
 import struct
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,9 +35,12 @@ from .common import small_batches
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words, and pairs of pieces, that a worker remembers before it starts afresh.
+#: Words that a worker remembers: when half as many are new, the older half goes, but for words met since.
 CACHE_WORDS = 400_000
+#: Pairs of pieces that a worker remembers before it starts afresh.
 CACHE_PAIRS = 400_000
+#: Bytes of text that are encoded at once, about: the more words, the more prefixes are shared.
+TEXT_BYTES = 4 << 20
 #: How far below the worst piece an unknown character scores in a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -76,13 +79,22 @@ def _fields(data: bytes) -> Iterator[tuple[int, object]]:
             raise ValueError("not a piece model")
 
 
+def _shared(a: str, b: str) -> int:
+    """How many first characters two words share."""
+    n = 0
+    for x, y in zip(a, b, strict=False):
+        if x != y:
+            break
+        n += 1
+    return n
+
+
 class PieceModel:
     """Pieces of a model with the encoder and decoder over them."""
 
     def __init__(self, pieces: list[tuple[str, float, int]], kind: int, byte_fallback: bool = False, dummy_prefix: bool = True, normalize=None) -> None:
         self.kind, self.byte_fallback, self.dummy_prefix, self.normalize = kind, byte_fallback, dummy_prefix, normalize
         self.ids = {p: i for i, (p, _, t) in enumerate(pieces) if t in (NORMAL, USER, UNUSED)}
-        self.names = {p: p for p in self.ids}  # one object for each piece, so that remembered pairs are small
         self.score = {p: s for p, s, t in pieces if t in (NORMAL, USER, UNUSED)}
         self.unknown = next((i for i, x in enumerate(pieces) if x[2] == UNKNOWN), 0)
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(pieces) if t == BYTE}
@@ -91,9 +103,17 @@ class PieceModel:
         self.worst = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         self.cut_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.cut_lines = not any("\n" in p and len(p) > 1 for p in self.ids)
-        self.words: dict[str, bytes] = {"": b""}
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.whole: dict[str, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pairs: dict[int, bool] = {}
+        self.whole: dict[int, bool] = {}
+        lengths: dict[str, set[int]] = {}
+        for p in self.ids:
+            lengths.setdefault(p[-2:], set()).add(len(p))
+        single = {p for p in self.ids if len(p) == 1}
+        #: Lengths of the pieces that end in two characters (or are one), longest first.
+        self.ends = {e: tuple(sorted({*n, 1} if e[-1] in single else n, reverse=True)) for e, n in lengths.items()}
+        self.one = dict.fromkeys(single, (1,))
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -145,20 +165,22 @@ class PieceModel:
                 offer(before[a], a)
         return [p for p in parts if p is not None]
 
-    def _fits(self, left: str, right: str) -> bool:
-        found = self.pairs.get((left, right))
-        if found is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(left + right) == [left, right]
+    def _fits(self, left: int, right: int) -> bool:
+        """Whether merges turn the joined text of two pieces into just these two."""
+        if len(self.pairs) > CACHE_PAIRS:
+            self.pairs.clear()
+        a, b = self.text[left], self.text[right]
+        found = self.pairs[left << 24 | right] = self.merged(a + b) == [a, b]
         return found
 
-    def _alone(self, piece: str) -> bool:
-        found = self.whole.get(piece)
-        if found is None:
-            found = self.whole[piece] = self.merged(piece) == [piece]
+    def _alone(self, piece: int) -> bool:
+        found = self.whole[piece] = self.merged(self.text[piece]) == [self.text[piece]]
         return found
 
+    @cached_property
+    def text(self) -> dict[int, str]:
+        return {i: p for p, i in self.ids.items()}
+
     def _ids_of(self, parts: list[str]) -> bytes:
         out: list[int] = []
         gap = False
@@ -175,33 +197,24 @@ class PieceModel:
 
     def walk(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """Each of the sorted distinct words with its pieces; the forward table is kept along common prefixes."""
-        ids, score, longest, bpe = self.ids, self.score, self.longest, self.kind == BPE
-        last: list = [""]  # the last piece of the encoding of each prefix
+        return self._walk_merges(words) if self.kind == BPE else self._walk_scores(words)
+
+    def _walk_scores(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """Viterbi: the best sum of scores of each prefix, and its last piece."""
+        ids, score, longest = self.ids, self.score, self.longest
+        last: list = [""]
         best = [0.0]
         previous = ""
         for word in words:
-            if bpe and MARK * 2 in word:
-                yield word, self.merged(word)
-                continue
-            shared, most = 0, min(len(word), len(previous))
-            while shared < most and word[shared] == previous[shared]:
-                shared += 1
+            shared = _shared(word, previous)
             del last[shared + 1 :], best[shared + 1 :]
             for i in range(shared + 1, len(word) + 1):
                 found, top = None, 0.0
                 for j in range(max(0, i - longest), i):
                     piece = word[j:i]
-                    if piece in ids:
-                        if not bpe:
-                            s = best[j] + score[piece]
-                            if found is None or s > top:
-                                found, top = piece, s
-                        elif self._fits(last[j], self.names[piece]) if j else self._alone(piece):
-                            found = self.names[piece]
-                            break
-                    elif j == i - 1:
-                        s = best[j] + self.worst
-                        if found is None or (not bpe and s > top):
+                    if piece in ids or j == i - 1:
+                        s = best[j] + (score[piece] if piece in ids else self.worst)
+                        if found is None or s > top:
                             found, top = piece, s
                 last.append(found)
                 best.append(top)
@@ -212,6 +225,47 @@ class PieceModel:
                 at -= len(last[at])
             yield word, parts[::-1]
 
+    def _walk_merges(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
+        """The last piece of the encoding of each prefix, as id (-1: a character without piece) and length."""
+        ids, ends, one, pairs, whole = self.ids, self.ends, self.one, self.pairs, self.whole
+        last, size = [0], [0]
+        previous = ""
+        for word in words:
+            if MARK * 2 in word:
+                yield word, self.merged(word)
+                continue
+            shared = _shared(word, previous)
+            del last[shared + 1 :], size[shared + 1 :]
+            for i in range(shared + 1, len(word) + 1):
+                end = word[i - 2 : i] if i > 1 else word[:1]
+                for k in ends.get(end) or one.get(end[-1:], ()):
+                    if k > i:
+                        continue
+                    piece = ids.get(word[i - k : i])
+                    if piece is None:
+                        continue
+                    left = last[i - k] if k < i else -1
+                    if left < 0:
+                        fits = whole.get(piece)
+                        if fits is None:
+                            fits = self._alone(piece)
+                    else:
+                        fits = pairs.get(left << 24 | piece)
+                        if fits is None:
+                            fits = self._fits(left, piece)
+                    if fits:
+                        break
+                else:
+                    piece, k = -1, 1
+                last.append(piece)
+                size.append(k)
+            previous = word
+            parts, at = [], len(word)
+            while at:
+                parts.append(word[at - size[at] : at])
+                at -= size[at]
+            yield word, parts[::-1]
+
     def split(self, text: str) -> list[str]:
         """Marked words of a text, cut where no piece spans."""
         if not text:
@@ -232,11 +286,14 @@ class PieceModel:
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.split(t or "") for t in texts]
-        missing = set().union(*split).difference(self.words) if split else set()
-        if len(self.words) + len(missing) > CACHE_WORDS:
-            self.words = {"": b""}
-            missing = set().union(*split) - {""}
-        for word, parts in self.walk(sorted(missing)):
+        wanted = set().union(*split)
+        missing = wanted.difference(self.words)
+        if len(self.words) + len(missing) > CACHE_WORDS // 2:
+            self.words, self.older, missing = {}, self.words, wanted
+        for word in missing.intersection(self.older):
+            self.words[word] = self.older[word]
+        self.words[""] = b""
+        for word, parts in self.walk(sorted(missing.difference(self.words))):
             self.words[word] = self._ids_of(parts)
         get = self.words.__getitem__
         return [b"".join(map(get, x)) for x in split]
@@ -263,9 +320,23 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
     schema = T.StructType([docs.schema[k] for k in keep])
     schema = schema.add("ids", T.ArrayType(T.IntegerType(), False)).add("n_ids", T.LongType()).add("round_trip", T.BooleanType())
 
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Batches of about ``TEXT_BYTES``, or of one longer row."""
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                size += batch.column(len(keep)).nbytes
+            if size > TEXT_BYTES:
+                yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = load(model)
-        for batch in batches:
+        for batch in gathered(batches):
             texts = batch.column(len(keep)).to_pylist()
             ids = [np.frombuffer(x, dtype="<i4") for x in known.encode(texts)]
             sizes = np.asarray([len(x) for x in ids], dtype=np.int64)
