@@ -313,3 +313,35 @@ def test_idle_keys_are_forgotten(spark, tmp_path):
         got = {r["seq"]: r[key] for r in spark.read.parquet(str(tmp_path / f"{name}-out")).collect()}
         assert got == ({1: True, 2: True, 3: False, 4: True, 5: True, 6: True} if key == "allowed" else {1: True, 2: False, 3: False, 4: True, 5: False, 6: True})
         assert left <= 2
+
+
+# Small ones
+
+
+def test_small_sources_and_predicates(spark):
+    files = spark.sql("select array(named_struct('name','a.safetensors','size',5L), named_struct('name','b.safetensors','size',0L), named_struct('name','c.bin','size',9L)) as f")
+    assert [x["name"] for x in files.select(J.weight_files(F.col("f")).alias("x")).first()["x"]] == ["a.safetensors"] and files.select(R.weight_bytes(F.col("f")).alias("x")).first()["x"] == 5
+    requests = spark.createDataFrame([("post", "/evals/x", "k"), ("GET", "/evals/x", "k"), ("PUT", "/other", "k"), ("DELETE", "/evals", None), ("PATCH", "/evals", "")], "method string, path string, key string")
+    assert [r["method"] for r in L.limited_scope(requests, ("/evals",)).collect()] == ["post"]
+    commits = spark.createDataFrame([("a", 1), ("b", 2)], "hotkey string, snapshot_block long")
+    assert [tuple(r) for r in J.commits_at(commits, 2).collect()] == [("b",)]
+    graph = spark.createDataFrame([(["a", "b"], [1.0, 2.0])], "h array<string>, s array<double>").select(F.inline(R.metagraph(F.col("h"), F.col("s"))))
+    assert [tuple(r) for r in graph.collect()] == [(0, "a", 1.0), (1, "b", 2.0)]
+    rows = spark.createDataFrame([(None, None, None)], "t string, n int, f boolean")
+    assert tuple(R.participant_defaults(rows).first()) == ("", 0, False)
+
+
+def test_leases_in_order(spark):
+    at = lambda x: datetime.datetime(2025, 1, 1, 0, 0, x)
+    rows = spark.createDataFrame([(1, at(1), at(9)), (2, at(3), at(9)), (3, at(3), at(8)), (4, at(5), at(2))], "id int, started_at timestamp, expires_at timestamp")
+    now = F.lit(at(8))
+    assert [r["id"] for r in K.live_leases(rows, now).collect()] == [3, 2, 1] and [r["id"] for r in K.expired(rows, now).collect()] == [4]
+    assert sorted(r["id"] for r in K.delete_expired(rows, now).collect()) == [1, 2, 3]
+
+
+def test_labels_and_reports(spark):
+    rows = spark.createDataFrame([("validator-1",), ("v2",)], "hotkey string")
+    configs = spark.createDataFrame([("v2", "samples-x")], "hotkey string, bucket_name string")
+    assert {r["hotkey"]: (r["bucket_name"], r["label"]) for r in C.bucket_labels(rows, configs, "samples-").collect()} == {"validator-1": ("", "validato"), "v2": ("samples-x", "x")}
+    results = spark.createDataFrame([("e", True, 0.9), ("e", False, None)], "evaluation_id string, wins boolean, score double")
+    assert tuple(C.round_summary(results).first()) == ("e", 2, 1, 0.45)
