@@ -165,7 +165,7 @@ def test_mix_meets_targets(spark):
     rows = [(i if i else None, None if i % 50 == 0 else words(i % 37, i), "en", ["a", "b", None][i % 3], 0) for i in range(600)]
     d = frame(spark, rows).withColumn("taken", F.lit("clash"))
     got = mixing.mix(d).collect()
-    assert len(got) == 600 and got == mixing.mix(d.repartition(7)).orderBy(F.expr("1")).collect() or sorted(map(str, got)) == sorted(map(str, mixing.mix(d.repartition(7)).collect()))
+    assert len(got) == 600 and sorted(map(str, got)) == sorted(map(str, mixing.mix(d.repartition(7)).collect()))
     for s in ("a", "b", None):
         own = [r for r in got if r["source"] == s]
         assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 37
@@ -173,6 +173,17 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(d.limit(0)).count() == 0
 
 
+def test_mix_repeated_and_long_rows(spark):
+    """Equal rows are documents of their own, a very long text is whole, and columns named like the operator's own are replaced or kept."""
+    rows = [(i % 10, words(5, i % 10), "en", "a", 0) for i in range(200)] + [(500, "w " * 300_000, "en", "b", 0), (501, "x", "en", "b", 0)]
+    d = frame(spark, rows).withColumn("size", F.lit("clash")).withColumn("k", F.lit(3)).withColumn("rank_", F.lit(4)).withColumn("words", F.lit(5))
+    got = mixing.mix(d).collect()
+    assert len(got) == 202 and got[0]["k"] == 3 and got[0]["rank_"] == 4 and got[0]["words"] == 5
+    own = [r for r in got if r["source"] == "a"]
+    assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 5 and {r["size"] for r in got if r["doc_id"] == 500} == {300_000}
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(d.repartition(5)).collect()))
+
+
 # Nearest neighbours
 
 
@@ -199,6 +210,28 @@ def test_ann_recall_and_order(spark):
     assert hits / (5 * len(got)) >= 0.9
 
 
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_ann_recall_on_the_supplied_vectors(spark, sf):
+    rows = [r for r in table(spark, f"/root/testdata/{sf}", "embeddings").select("vec_id", "embedding").collect() if r["embedding"] and all(v is not None and math.isfinite(v) for v in r["embedding"])]
+    ids, x = np.asarray([r["vec_id"] for r in rows]), np.asarray([r["embedding"] for r in rows], dtype=np.float64)
+    ids, x = ids[(x != 0).any(axis=1)], x[(x != 0).any(axis=1)]
+    got = {}
+    for r in queries.op3_ann(spark, f"/root/testdata/{sf}").collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    asked = np.flatnonzero(ids % 20 == 0)
+    assert set(got) == set(ids[asked].tolist())
+    near = x[asked] @ x.T
+    near[np.arange(len(asked)), asked] = -np.inf
+    hits = sum(len(got[int(ids[q])] & set(ids[np.lexsort((ids, -row))[:20]].tolist())) for q, row in zip(asked, near, strict=True))
+    assert hits / (20 * len(asked)) >= 0.93
+
+
+def test_ann_clashing_columns(spark):
+    d = frame(spark, [(i, [float(i), 1.0], 9, "x") for i in range(30)], "vec_id long, embedding array<double>, id long, leaf string").withColumn("v", F.lit(1)).withColumn("rank", F.lit(2)).withColumn("score", F.lit("s"))
+    got = ann.nearest(d.unionByName(d.where("vec_id = 7")), F.col("id") == 0, k=3)
+    assert got.columns == ["query_id", "rank", "vec_id", "score"] and [r["vec_id"] for r in got.orderBy("rank").collect()] == [1, 2, 3]
+
+
 def test_ann_few_rows(spark):
     d = frame(spark, [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])], "vec_id long, embedding array<double>")
     assert [tuple(r) for r in ann.nearest(d, F.col("id") == 0).orderBy("rank").collect()] == [(0, 1, 1, 1.0), (0, 2, 2, 0.0)]
@@ -277,9 +310,18 @@ def test_near_duplicates_null_ids_and_empty(spark):
     assert neardup.near_duplicates(d.limit(0)).count() == 0
 
 
-def test_components_of_a_long_path(spark):
-    e = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
-    assert {r["component"] for r in graph.components(e).collect()} == {0}
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components(spark, small):
+    rng = np.random.default_rng(6)
+    pairs = [(i, i + 1) for i in range(40)] + [(int(a), int(b)) for a, b in rng.integers(100, 400, (220, 2))]
+    e = frame(spark, pairs, "a long, b long")
+    root = {x: x for p in pairs for x in p}
+    for _ in range(500):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    got = {r["node"]: r["component"] for r in graph.components(e, small=small).collect()}
+    assert got == {x: c for x, c in root.items() if x != c}
+    assert graph.components(e.limit(0), small=small).count() == 0
 
 
 # PPM
@@ -289,11 +331,11 @@ def static_ppm(train, text, order):
     """The pretrained model, one context at a time."""
     counts = {}
     for t in train:
-        data = b"\n" * order + b" ".join(ppm.words_of_bytes(t)) + b"\n"
+        data = b"\xff" * order + t.lower() + b"\xff"
         for i in range(order, len(data)):
             for k in range(order + 1):
                 counts.setdefault(data[i - k : i], Counter())[data[i]] += 1
-    data = b"\n" * order + b" ".join(ppm.words_of_bytes(text)) + b"\n"
+    data = b"\xff" * order + text.lower() + b"\xff"
     total = 0.0
     for i in range(order, len(data)):
         out = set()
@@ -312,11 +354,15 @@ def static_ppm(train, text, order):
     return total
 
 
-def test_ppm_against_brute_force(spark, monkeypatch):
-    texts = [words(5 + i % 30, i) for i in range(40)] + ["", None, "É à 日本 ABC", words(5)]
+@pytest.mark.parametrize(("shard_codes", "block_bytes", "order"), [(1 << 20, 500, 3), (40, 3000, 4), (9, 1, 6)])
+def test_ppm_against_brute_force(spark, shard_codes, block_bytes, order):
+    """Whole texts, line feeds included, whatever the cutting into blocks and shards; pairs with many strings are dealt by their third byte."""
+    texts = [words(5 + i % 30, i).replace(" ", "\n\n" if i % 3 else " \t", 2) for i in range(40)] + ["", None, "É à 日本 ABC", words(5), words(5)]
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     train = [(t or "").encode() for i, t in enumerate(texts) if not held(i)]
-    got = {r["doc_id"]: r for r in ppm.score_texts(docs(spark, texts).withColumn("score", F.lit(1)), order=3, block_bytes=500).collect()}
+    d = docs(spark, texts).withColumn("score", F.lit(1)).withColumn("block", F.lit(1)).withColumn("t", F.lit(2)).repartition(3)
+    got = {r["doc_id"]: r for r in ppm.score_texts(d, order=order, block_bytes=block_bytes, shard_codes=shard_codes).collect()}
+    assert len(got) == len(texts)
     c = Counter(w for t in train for w in [*ppm.words_of_bytes(t), b"\n"])
     n, v = sum(c.values()), len(c)
     for i, t in enumerate(texts):
@@ -324,7 +370,64 @@ def test_ppm_against_brute_force(spark, monkeypatch):
         r = got[i]
         assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held(i), len(own), sum(c[w] > 0 for w in own), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), rel=1e-9)
-        assert r["score"] == pytest.approx(static_ppm(train, (t or "").encode(), 3), rel=1e-5)
+        assert r["score"] == pytest.approx(static_ppm(train, (t or "").encode(), order), rel=1e-5)
+
+
+def test_ppm_long_and_repeated(spark, monkeypatch):
+    """A text over several spans of positions and more than 128 different bytes; equal rows have equal scores."""
+    monkeypatch.setattr(ppm, "SPAN", 1000)
+    odd = "".join(chr(c) for c in range(32, 3000)) * 3
+    flat, starts = ppm._flat([odd.encode(), b"ab"], 6)
+    codes = np.concatenate([c for c, _ in ppm._spans(flat, starts, 6)])
+    assert len(codes) == len(odd.encode()) + 4 and (ppm._distinct_of(flat, starts, 6) == np.unique(codes)).all()
+    for texts, small in (([odd.encode()], False), ([words(3_000, 2).encode(), b"", "é".encode()], True)):
+        flat, starts = ppm._flat(texts, 6)
+        n = ppm.Narrow(flat, 6)
+        keys = ppm._distinct_of(n.flat, starts, 6, n.bits)
+        assert n.small == small and (n.widen(keys) == ppm._distinct_of(flat, starts, 6)).all()
+        for c, _ in ppm._spans(n.flat, starts, 6, n.bits):
+            assert (n.look_up(c, keys, np.arange(len(keys), dtype=float)) == np.searchsorted(keys, c)).all()
+    rows = [(i, words(200_000, 1) if i == 7 else words(9, 4), "en", "s", 0) for i in (7, 8, 8, 9)]
+    got = ppm.score_texts(frame(spark, rows), order=6).collect()
+    assert len(got) == 4 and len({r["score"] for r in got if r["doc_id"] != 7}) == 1
+
+
+def test_ppm_does_not_depend_on_spans(monkeypatch, tmp_path):
+    """The steps of one block, called in turn: positions held at once do not change a score."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = [words(n, n).encode() for n in (3, 40, 1, 90)] + [b"", None]
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(6)), "held": [False] * 6, "t": pa.array(texts, pa.binary())})
+    codes, n = np.unique(np.concatenate([c for c, _ in ppm._spans(*ppm._flat(texts[:3], 4), 4)]), return_counts=True)
+    low = np.zeros((256, 256), dtype=np.int64)
+    np.add.at(low, ((codes >> np.uint64(8)) & np.uint64(255), codes & np.uint64(255)), n)
+    none = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    scores = []
+    for span in (1 << 20, 64, 7):
+        monkeypatch.setattr(ppm, "SPAN", span)
+        deal = ppm.Deal({int(p): int((ppm._pair(codes) == p).sum()) for p in np.unique(ppm._pair(codes))}, 10, 50)
+        asked = pa.Table.from_batches(list(ppm._questions(4, deal, 1 << 20, f"file://{tmp_path}")(iter([rows]))))
+        answers = []
+        for shard in range(deal.shards):
+            own = deal.of(codes) == shard
+            model = pa.table({"codes": pa.array([ppm._pack(codes[own])] if own.any() else [], pa.binary()), "counts": pa.array([ppm._planes(n[own])] if own.any() else [], pa.binary())})
+            answers.append(ppm._answers(low, 4, deal, none)(model, asked.filter(pc.equal(asked["shard"], shard))))
+        block = asked.filter(pc.equal(asked["shard"], ppm.TEXTS))
+        scores.append(ppm._sums(4, 10, deal, f"file://{tmp_path}")(block, pa.concat_tables(answers)).column("score").to_pylist())
+    assert scores[0] == pytest.approx(scores[1], rel=1e-12) and scores[0] == pytest.approx(scores[2], rel=1e-12)
+    assert scores[0] == pytest.approx([static_ppm(texts[:3], t or b"", 4) for t in texts], rel=1e-5)
+
+
+def test_ppm_merges_partial_counts(spark):
+    texts = [words(50, i) for i in range(30)]
+    raw = ppm.train_counts(docs(spark, texts).select(F.col("text").cast("binary").alias("t")).repartition(10), 4)
+    packed, sizes = ppm.merged_counts(raw.where("pair >= 0").cache(), 20)
+    found = Counter()
+    for r in packed.collect():
+        found.update(dict(zip(ppm._unpack(r["codes"]).tolist(), ppm._numbers(r["counts"], np.int64).tolist(), strict=True)))
+    want = Counter(np.concatenate([c for c, _ in ppm._spans(*ppm._flat([t.encode() for t in texts], 4), 4)]).tolist())
+    assert found == want and sum(sizes.values()) < raw.where("pair >= 0").groupBy().sum("n").first()[0]
 
 
 def test_ppm_probabilities_add_up():
@@ -333,8 +436,7 @@ def test_ppm_probabilities_add_up():
 
 
 def _next_bytes(train, order=2):
-    docs_ = [ppm.words_of_bytes(t) for t in train]
-    codes, n = np.unique(ppm._codes(docs_, order)[0], return_counts=True)
+    codes, n = np.unique(np.concatenate([c for c, _ in ppm._spans(*ppm._flat(train, order), order)]), return_counts=True)
     low = np.zeros((256, 256), dtype=np.int64)
     np.add.at(low, ((codes >> np.uint64(8)) & np.uint64(255), codes & np.uint64(255)), n)
     trie = ppm.Trie(codes, n, low, order)
@@ -381,6 +483,20 @@ def test_token_files_match_library(spark, tmp_path):
     assert token_files.write_token_files(d.limit(0), f"file://{tmp_path}/u", path).count() == 0
 
 
+def test_token_files_of_repeated_and_long_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    path = queries.word_bpe()
+    long = " ".join(f"{w}{i % 97}" for i, w in enumerate(words(60_000, 3).split()))
+    rows = [(7, "one two", "en", "s", 0), (7, "one two", "en", "s", 0), (7, None, "en", "s", 0), (3, long, "en", "s", 0), (None, "x", "en", "s", 0)]
+    d = frame(spark, rows).withColumn("ids", F.lit("clash")).withColumn("start", F.lit(1)).withColumn("n", F.lit(2))
+    got = token_files.read_token_files(spark, token_files.write_token_files(d, f"file://{tmp_path}/t", path, files=2)).orderBy("start").collect()
+    ids = lambda x: np.asarray([*Tokenizer.from_file(path).encode(x or "", add_special_tokens=False).ids, 1], dtype="<u4")
+    assert [r["doc_id"] for r in got] == [None, 3, 7, 7, 7] and got[1]["n_tokens"] == len(ids(long)) and got[1]["ids_crc32"] == zlib.crc32(ids(long).tobytes())
+    assert sorted(r["n_tokens"] for r in got[2:]) == sorted(len(ids(x)) for x in ("one two", "one two", None))
+    assert [r["start"] for r in got] == np.cumsum([0, *[r["n_tokens"] for r in got[:-1]]]).tolist()
+
+
 # Quality classifier
 
 
@@ -458,6 +574,15 @@ def test_url_rules(spark, monkeypatch, limit):
     assert url_rules.judge_urls(d.limit(0), "url").count() == 0
 
 
+def test_url_rules_on_long_and_repeated_rows(spark):
+    rows = [(1, "http://a.example.com/en/" + "x/" * 100_000), (1, "http://a.example.com/en/"), (1, "http://a.example.com/en/"), (None, None)]
+    d = frame(spark, rows, "page_id long, url string").withColumn("rule", F.lit("clash")).withColumn("tokens", F.lit(1))
+    got = url_rules.judge_urls(d, "url", queries.SITE_RULES)
+    assert set(got.columns) >= {"page_id", "url", "tokens", "host", "path", "rule", "verdict"} and len(got.columns) == len(set(got.columns))
+    assert sorted((r["rule"] or "", r["verdict"]) for r in got.collect()) == [("", "block"), *[("example.com/en/", "block")] * 3]
+    assert url_rules.judge_urls(d.limit(0), "url", queries.SITE_RULES).count() == 0
+
+
 def test_rules_are_filed_under_their_rarest_token():
     rule = url_rules.site_rule("block", "example.com", "/en/")
     assert list(url_rules.file_rules((rule,), {"example": 5, "com": 9, "en": 1})) == ["en"]
@@ -481,6 +606,16 @@ def test_pieces_match_library(spark):
     assert got[len(texts)]["ids"] == [] and pieces.encode_documents(d.limit(0), queries.piece_bpe()).count() == 0
 
 
+def test_pieces_of_long_and_repeated_texts(spark):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=queries.piece_bpe())
+    long = "\n".join(words(400, i) for i in range(100))
+    rows = [(1, long, "en", "s", 0), (2, "a b", "en", "s", 0), (2, "a b", "en", "s", 0), (None, "c", None, None, None)]
+    got = pieces.encode_documents(frame(spark, rows).withColumn("n_ids", F.lit("clash")), queries.piece_bpe()).collect()
+    assert sorted((r["doc_id"] or 0, r["ids"]) for r in got) == sorted([(1, sp.encode(long)), (2, sp.encode("a b")), (2, sp.encode("a b")), (0, sp.encode("c"))])
+
+
 def test_unigram_viterbi_against_all_splits():
     table_ = {"▁": -2.0, "a": -1.5, "b": -1.7, "▁a": -2.1, "ab": -2.0, "ba": -2.2, "aba": -3.9, "▁ab": -3.5}
     model = pieces.PieceModel([("<unk>", 0.0, pieces.UNKNOWN), *[(p, s, pieces.NORMAL) for p, s in table_.items()]], pieces.UNIGRAM)
@@ -522,6 +657,13 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.quality_rules(d.limit(0)).count() == 0
 
 
+def test_quality_of_a_long_text(spark):
+    long = "\n".join(words(50, i) for i in range(2_000)) + "\n" + words(50, 0)
+    d = docs(spark, [long, *[words(40, 50 + i) for i in range(60)]]).withColumn("n_words", F.lit("clash")).withColumn("word_len_max", F.lit(1))
+    r = next(r for r in quality_rules.quality_rules(d).collect() if r["doc_id"] == 0)
+    assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute_counts(long) and r["kept"]
+
+
 def test_one_ratio_two_verdicts(spark):
     """A mean word length that is odd in one language and common in the other; copies do not narrow the fences."""
     text = lambda n, k: " ".join(f"{'x' * (n + (j + k) % 3)}{k}y{j}" for j in range(30))
