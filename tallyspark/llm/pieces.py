@@ -23,6 +23,7 @@ import struct
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -107,13 +108,11 @@ class PieceModel:
         self.older: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.whole: dict[int, bool] = {}
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            lengths.setdefault(p[-2:], set()).add(len(p))
-        single = {p for p in self.ids if len(p) == 1}
-        #: Lengths of the pieces that end in two characters (or are one), longest first.
-        self.ends = {e: tuple(sorted({*n, 1} if e[-1] in single else n, reverse=True)) for e, n in lengths.items()}
-        self.one = dict.fromkeys(single, (1,))
+        self.found = ahocorasick.Automaton()  # all pieces that end at a place, longest first
+        for p, i in self.ids.items():
+            self.found.add_word(p, (i, len(p)))
+        if len(self.found):
+            self.found.make_automaton()
 
     @classmethod
     def load(cls, path: str) -> PieceModel:
@@ -227,38 +226,39 @@ class PieceModel:
 
     def _walk_merges(self, words: list[str]) -> Iterator[tuple[str, list[str]]]:
         """The last piece of the encoding of each prefix, as id (-1: a character without piece) and length."""
-        ids, ends, one, pairs, whole = self.ids, self.ends, self.one, self.pairs, self.whole
+        find, pairs, whole, longest = self.found.iter if len(self.found) else lambda *_: (), self.pairs, self.whole, self.longest
         last, size = [0], [0]
         previous = ""
         for word in words:
             if MARK * 2 in word:
                 yield word, self.merged(word)
                 continue
-            shared = _shared(word, previous)
-            del last[shared + 1 :], size[shared + 1 :]
-            for i in range(shared + 1, len(word) + 1):
-                end = word[i - 2 : i] if i > 1 else word[:1]
-                for k in ends.get(end) or one.get(end[-1:], ()):
-                    if k > i:
-                        continue
-                    piece = ids.get(word[i - k : i])
-                    if piece is None:
-                        continue
-                    left = last[i - k] if k < i else -1
-                    if left < 0:
-                        fits = whole.get(piece)
-                        if fits is None:
-                            fits = self._alone(piece)
-                    else:
-                        fits = pairs.get(left << 24 | piece)
-                        if fits is None:
-                            fits = self._fits(left, piece)
-                    if fits:
-                        break
+            known = _shared(word, previous) + 1  # prefixes whose last piece is known
+            del last[known:], size[known:]
+            for end, (piece, k) in find(word, max(0, known - longest)):
+                if end + 1 < known:  # decided
+                    continue
+                while known <= end:  # characters without piece
+                    last.append(-1)
+                    size.append(1)
+                    known += 1
+                left = last[end + 1 - k]
+                if k == end + 1 or left < 0:
+                    fits = whole.get(piece)
+                    if fits is None:
+                        fits = self._alone(piece)
                 else:
-                    piece, k = -1, 1
-                last.append(piece)
-                size.append(k)
+                    fits = pairs.get(left << 24 | piece)
+                    if fits is None:
+                        fits = self._fits(left, piece)
+                if fits:
+                    last.append(piece)
+                    size.append(k)
+                    known += 1
+            while known <= len(word):
+                last.append(-1)
+                size.append(1)
+                known += 1
             previous = word
             parts, at = [], len(word)
             while at:
