@@ -10,14 +10,15 @@ excluded from the shorter one (the code never returns to them), and what no cont
 Pretrained (``score_texts``): counts come from the training documents, so what a context excludes depends on it alone and every
 (context, symbol) has one fixed code length. The trie is never broadcast.
 
-1. A training task counts words and (ORDER+1)-byte strings, and writes the strings sorted and packed, a row for each last pair of context bytes.
-   Rows of a pair are merged until they hold ``SHARD_CODES`` strings or are as few as they get.
+1. A training task counts words and (ORDER+1)-byte strings, and writes them sorted and packed, a row for each last pair of context bytes and
+   for each of ``BUCKETS`` of words. Rows of a pair that hold more than ``MERGE_ABOVE`` strings together are merged.
 2. Pairs are packed into shards of about ``SHARD_CODES`` strings, so that shards grow in number and not in size; a pair with more is
    dealt over shards by its third byte. All contexts longer than a shard's bytes lie in it; of shorter ones, orders 0 and 1 (65,792
    counts at most) and the order-2 contexts of the pairs that were dealt (256 counts each) go to every task.
-3. Documents are gathered into blocks of about ``BLOCK_BYTES`` where they are read; texts are written once, compressed, beside the block's questions: its
-   distinct strings and words, a row a shard. Shards answer up to ``BLOCKS_A_SALT`` blocks at a time with code lengths (32-bit floats: a
-   relative error below 1e-7), and a block adds them up over its documents, some positions at a time.
+3. Documents are gathered into blocks of about ``BLOCK_BYTES`` where they are read. A block's texts are written once, compressed, to a file of
+   the shared folder (of its own name in every attempt), and never shuffled; beside it stand the block's questions, its distinct strings and
+   words, a row a shard. Shards answer up to ``BLOCKS_A_SALT`` blocks at a time with code lengths (32-bit floats: a
+   relative error below 1e-7), and a block reads its texts again and adds these up over its documents, some positions at a time.
 
 No step holds more than a block, or a shard with the questions of ``BLOCKS_A_SALT`` blocks; results do not depend on the cutting.
 
@@ -30,7 +31,9 @@ table gives no rows. Other columns are not carried, whatever their names.
 
 from __future__ import annotations
 
+import itertools
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -43,26 +46,29 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table, small_batches
+from .common import kept_table, scratch, small_batches
+from .token_files import open_fs
 
 ORDER = 6
 #: What an escape takes from each distinct symbol of a context.
 ESCAPE = 0.5
-BLOCK_BYTES = 6 << 20
-BLOCKS_A_SALT = 512
+BLOCK_BYTES = 12 << 20
+BLOCKS_A_SALT, BLOCKS_A_TASK = 256, 4
 #: Strings, or words, that a shard holds, about.
-SHARD_CODES = 1 << 20
+SHARD_CODES = 3 << 18
+#: Strings that a pair's rows hold together before they are merged; up to that, they are added up in their shards.
+MERGE_ABOVE = 64 * SHARD_CODES
+#: Words are dealt into these, and these to shards.
+BUCKETS = 1024
 END = b"\xff"
 #: The end as a token of the unigram base: no word holds a line feed.
 WORD_END = b"\n"
-#: Positions that are looked up at once: their places fit into 15 bits.
-CHUNK = 1 << 15
 #: Positions whose codes are held at once.
 SPAN = 1 << 21
 #: Distinct words, and distinct strings, that a training task holds before it passes them on.
-HELD_WORDS, HELD_CODES = 600_000, 4_000_000
-#: Kinds of rows of counts; strings have their pair of bytes, from 0.
-WORDS, LOW = -1, -2
+HELD_WORDS, HELD_CODES = 300_000, 4_000_000
+#: Kinds of rows of counts: strings have their pair of bytes, from 0; words have WORDS - bucket.
+TOKENS, LOW, WORDS = -1, -2, -3
 
 
 def words_of_bytes(text: bytes | None) -> list[bytes]:
@@ -107,46 +113,97 @@ def _distinct_of(flat: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray
     return parts[0] if len(parts) == 1 else _distinct(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
 
 
-class Lookup:
-    """Values by code, among sorted codes that hold all that is asked.
+class Compact:
+    """Codes in few bits, with the same order: so few that a code and its place among some positions fit into 64.
 
-    Sorts a few codes at a time, each with its place in the low bits, so that neighbours look up neighbours. For that, bytes
-    are numbered in their order: up to 128 different ones take 7 bits each.
+    Up to 128 different bytes are numbered in their order (7 bits), and so are the different runs of three of them; a code is the numbers
+    of its runs and of what is left over. With more different bytes codes stay as they are, and are sorted with an index beside them.
     """
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray, order: int) -> None:
-        self.values, self.order = values, order
-        planes = keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : order + 1]
-        used = np.zeros(256, dtype=bool)
-        for j in range(order + 1):
-            used[planes[:, j]] = True
-        self.number = np.cumsum(used).astype(np.uint64) - np.uint64(1)
-        self.small = int(used.sum()) <= 128 and 7 * (order + 1) <= 49
-        self.keys = self._narrow(keys) if self.small else keys
-
-    def _narrow(self, codes: np.ndarray) -> np.ndarray:
-        planes = codes.astype("<u8").view(np.uint8).reshape(-1, 8)
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, order: int) -> None:
+        self.starts, self.order = starts, order
+        self.runs, self.rest = divmod(order + 1, 3)
+        used = np.flatnonzero(np.bincount(flat, minlength=256))
+        self.small = len(used) <= 128
+        self.flat = flat
+        if self.small:
+            number = np.zeros(256, dtype=np.uint8)
+            number[used] = np.arange(len(used))
+            self.bytes, self.flat = used.astype(np.uint64), number[flat]
+            seen = np.zeros(1 << 21, dtype=bool)
+            for at in range(0, max(0, len(flat) - 2), SPAN):
+                seen[self._grams(at, min(at + SPAN, len(flat) - 2))] = True
+            self.grams = np.flatnonzero(seen)
+            self.number = (np.cumsum(seen) - 1).astype(np.uint32)
+            self.wide = max(1, int(len(self.grams) - 1).bit_length())
+            bits = self.wide * self.runs + 7 * self.rest
+            self.span = min(SPAN, 1 << max(0, 64 - bits))
+            self.small = self.span >= min(SPAN, 1 << 12)
+            self.flat = self.flat if self.small else flat
+        if not self.small:
+            self.span = SPAN
+
+    def _grams(self, at: int, upto: int) -> np.ndarray:
+        """Runs of three numbers from these positions on."""
+        f = self.flat[at : upto + 2].astype(np.uint32)
+        return f[:-2] << np.uint32(14) | f[1:-1] << np.uint32(7) | f[2:]
+
+    def spans(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Codes of some positions at a time, with these positions; fill bytes are none."""
+        order, flat = self.order, self.flat
+        if not self.small:
+            yield from _spans(flat, self.starts, order)
+            return
+        fill = np.zeros(len(flat) + 1, dtype=bool)
+        for j in range(1, order + 1):
+            fill[self.starts - j] = True
+        for at in range(order, len(flat), self.span):
+            upto = min(at + self.span, len(flat))
+            n = upto - at
+            number = self.number[self._grams(at - order, upto - order + 3 * self.runs - 3)].astype(np.uint64)
+            codes = np.zeros(n, dtype=np.uint64)
+            for j in range(self.runs):
+                codes <<= np.uint64(self.wide)
+                codes |= number[3 * j : 3 * j + n]
+            for j in range(3 * self.runs, order + 1):
+                codes <<= np.uint64(7)
+                codes |= flat[at - order + j : upto - order + j]
+            keep = ~fill[at:upto]
+            yield codes[keep], np.flatnonzero(keep) + at
+
+    def distinct(self) -> np.ndarray:
+        parts = [_distinct(c) for c, _ in self.spans()]
+        return parts[0] if len(parts) == 1 else _distinct(np.concatenate(parts)) if parts else np.zeros(0, dtype=np.uint64)
+
+    def widen(self, codes: np.ndarray) -> np.ndarray:
+        """The codes as bytes."""
+        if not self.small:
+            return codes
+        parts = []
+        for j in range(self.rest):
+            parts.append(self.bytes[((codes >> np.uint64(7 * j)) & np.uint64(127)).astype(np.int64)])
+        left = codes >> np.uint64(7 * self.rest)
+        for j in range(self.runs):
+            gram = self.grams[((left >> np.uint64(self.wide * j)) & np.uint64((1 << self.wide) - 1)).astype(np.int64)]
+            parts += [self.bytes[gram >> k & 127] for k in (0, 7, 14)]
         out = np.zeros(len(codes), dtype=np.uint64)
-        for j in range(self.order, -1, -1):
-            out <<= np.uint64(7)
-            out |= self.number[planes[:, j]]
+        for j, part in enumerate(parts):
+            out |= part << np.uint64(8 * j)
         return out
 
-    def get(self, codes: np.ndarray) -> np.ndarray:
-        out = np.empty(len(codes))
+    def look_up(self, codes: np.ndarray, keys: np.ndarray, values: np.ndarray) -> np.ndarray:
+        """The value of each code of a span among sorted keys that hold all of them: sorted first, so that neighbours look up neighbours."""
         if self.small:
-            codes = self._narrow(codes)
-        places = np.arange(CHUNK, dtype=np.uint64)
-        for at in range(0, len(codes), CHUNK):
-            own = codes[at : at + CHUNK]
-            if self.small:
-                s = np.sort(own << np.uint64(15) | places[: len(own)])
-                order, s = (s & np.uint64(0x7FFF)).astype(np.int64), s >> np.uint64(15)
-            else:
-                order = np.argsort(own)
-                s = own[order]
-            first = np.concatenate([[True], s[1:] != s[:-1]])
-            out[at + order] = self.values[np.searchsorted(self.keys, s[first])][np.cumsum(first) - 1]
+            bits = np.uint64(max(1, int(self.span - 1).bit_length()))
+            s = np.sort(codes << bits | np.arange(len(codes), dtype=np.uint64))
+            order = (s & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+            s >>= bits
+        else:
+            order = np.argsort(codes)
+            s = codes[order]
+        first = np.concatenate([[True], s[1:] != s[:-1]]) if len(s) else np.zeros(0, dtype=bool)
+        out = np.empty(len(codes))
+        out[order] = values[np.searchsorted(keys, s[first])][np.cumsum(first) - 1]
         return out
 
 
@@ -179,7 +236,7 @@ class Deal:
     """Which shard holds which strings: by the last two context bytes, and where these have too many strings, by the third too."""
 
     def __init__(self, sizes: dict[int, int], words: int, limit: int) -> None:
-        self.words = max(8, -(-words // limit))  # shards of words come first
+        self.words = min(BUCKETS, max(8, -(-words // limit)))  # shards of words come first
         self.first, self.parts = np.zeros(1 << 16, dtype=np.int64), np.ones(1 << 16, dtype=np.int64)
         n, held = self.words, 0
         for pair, size in sorted(sizes.items()):
@@ -202,8 +259,35 @@ class Deal:
         third = ((codes >> np.uint64(24)) & np.uint64(0xFF)).astype(np.int64)
         return np.maximum(self.first[pair], self.words) + third * 167 % 256 * self.parts[pair] // 256
 
-    def of_word(self, word: bytes) -> int:
-        return zlib.crc32(word) % self.words
+    def of_bucket(self, bucket: int) -> int:
+        """The shard of a bucket of words."""
+        return bucket * self.words // BUCKETS
+
+
+def _bucket(word: bytes) -> int:
+    return zlib.crc32(word) % BUCKETS
+
+
+def _pack_words(words: list[bytes]) -> bytes:
+    """Words, none of which holds a blank."""
+    return zstandard.compress(b" ".join(words), 3)
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    return zstandard.decompress(data).split(b" ")
+
+
+def _pack_floats(x: np.ndarray) -> bytes:
+    """32-bit floats as places in the list of the different ones, which are few, and that list by its differences."""
+    kinds, places = np.unique(x, return_inverse=True)
+    packed = _planes(np.diff(kinds.view(np.uint32), prepend=np.uint32(0)))
+    return len(kinds).to_bytes(4, "little") + len(packed).to_bytes(4, "little") + packed + _planes(places.astype(np.uint16 if len(kinds) <= 1 << 16 else np.uint32))
+
+
+def _unpack_floats(data: bytes) -> np.ndarray:
+    n, size = (int.from_bytes(data[i : i + 4], "little") for i in (0, 4))
+    kinds = np.cumsum(_numbers(data[8 : 8 + size], np.uint32), dtype=np.uint32).view(np.float32)
+    return kinds[_numbers(data[8 + size :], np.uint16 if n <= 1 << 16 else np.uint32)]
 
 
 def _add(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +325,10 @@ def _by_pair(codes: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, np.ndarray
 
 
 def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``pair, key, codes, counts, n``: partial counts of words (and ends), of pairs of bytes, and of (order+1)-byte strings, packed, in the column ``t`` (binary)."""
+    """``pair, key, codes, counts, n``: partial counts of words (and ends), of pairs of bytes, and of (order+1)-byte strings in the column ``t`` (binary).
+
+    Words and strings are packed, with their number in ``n``; ``TOKENS`` rows have the number of all words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter = Counter()
@@ -254,17 +341,22 @@ def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
                 codes = _add(codes, np.unique(np.concatenate(new), return_counts=True))
             new = []
 
-        def rows() -> Iterator[pa.RecordBatch]:
+        def word_rows() -> Iterator[pa.RecordBatch]:
+            by: dict[int, list[bytes]] = {}
+            for w in sorted(words):
+                by.setdefault(_bucket(w), []).append(w)
+            if by:
+                n = [np.asarray([words[w] for w in own], dtype=np.int64) for own in by.values()]
+                yield _count_rows([TOKENS, *[WORDS - k for k in by]], [None] * (len(by) + 1), [None, *map(_pack_words, by.values())], [None, *map(_planes, n)], [sum(words.values()), *map(len, by.values())])
+            words.clear()
+
+        def string_rows() -> Iterator[pa.RecordBatch]:
             nonlocal codes
             merge()
-            names = list(words)
-            if names:
-                yield _count_rows([WORDS] * len(names), names, [None] * len(names), [None] * len(names), list(words.values()))
             parts = list(_by_pair(*codes))
             for i in range(0, len(parts), 512):
                 some = parts[i : i + 512]
                 yield _count_rows([p for p, _, _ in some], [None] * len(some), [_pack(c) for _, c, _ in some], [_planes(n) for _, _, n in some], [len(c) for _, c, _ in some])
-            words.clear()
             codes = _sum_up([])
 
         for batch in batches:
@@ -276,21 +368,25 @@ def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
             for c, _ in _spans(flat, starts, order):
                 new.append(c)
                 low += np.bincount((c & np.uint64(0xFFFF)).astype(np.int64), minlength=1 << 16)
-                if sum(map(len, new)) > 8 << 20:
+                if sum(map(len, new)) > 3 << 20:
                     merge()
                 if len(codes[0]) > HELD_CODES:
-                    yield from rows()
+                    yield from string_rows()
             if len(words) > HELD_WORDS:
-                yield from rows()
-        yield from rows()
+                yield from word_rows()
+        yield from word_rows()
+        yield from string_rows()
         seen = np.flatnonzero(low)
         yield _count_rows([LOW] * len(seen), [bytes([x >> 8, x & 255]) for x in seen.tolist()], [None] * len(seen), [None] * len(seen), low[seen].tolist())
 
     return docs.mapInArrow(count, _COUNTS)
 
 
-def merged_counts(packed: DataFrame, limit: int = SHARD_CODES) -> tuple[DataFrame, dict[int, int]]:
-    """Rows of strings merged until each pair's rows hold ``limit`` strings together or hardly fewer than before; with the strings of each pair (65,536 at most)."""
+def merged_counts(packed: DataFrame, most: int = MERGE_ABOVE, share: int = MERGE_ABOVE // 8) -> tuple[DataFrame, dict[int, int]]:
+    """Rows of strings, those of a pair merged where they hold more than ``most`` strings, about ``share`` in a task, until they do not or are hardly fewer.
+
+    With the strings of each pair (65,536 at most).
+    """
 
     def merge(key: tuple, rows: pa.Table) -> pa.Table:
         codes, n = _sum_up([(_unpack(c), _numbers(k, np.int64)) for c, k in zip(rows.column("codes").to_pylist(), rows.column("counts").to_pylist(), strict=True)])
@@ -298,14 +394,14 @@ def merged_counts(packed: DataFrame, limit: int = SHARD_CODES) -> tuple[DataFram
 
     while True:
         sizes = {r["pair"]: (r["n"], r["k"]) for r in packed.groupBy("pair").agg(F.sum("n").alias("n"), F.count("*").alias("k")).collect()}
-        groups = {p: -(-n // (4 * limit)) for p, (n, k) in sizes.items() if n > limit and k > -(-n // (4 * limit))}
+        groups = {p: -(-n // share) for p, (n, k) in sizes.items() if n > most and k > -(-n // share)}
         if not groups:
             return packed, {p: n for p, (n, _) in sizes.items()}
         fan = F.element_at(F.create_map(*[F.lit(x) for pair in groups.items() for x in pair]), F.col("pair"))
         told = packed.withColumn("fan", fan).withColumn("group", F.pmod(F.xxhash64("codes"), F.coalesce("fan", F.lit(1))))
-        new = told.where("fan is not null").select("pair", "group", *_COUNT_NAMES[1:]).groupBy("pair", "group").applyInArrow(merge, _COUNTS)
-        packed = kept_table(told.where("fan is null").select(*_COUNT_NAMES).unionByName(new), "merged")
-        after = sum(r["n"] for r in packed.where(F.col("pair").isin(list(groups))).groupBy().agg(F.sum("n").alias("n")).collect())
+        new = kept_table(told.where("fan is not null").select("pair", "group", *_COUNT_NAMES[1:]).groupBy("pair", "group").applyInArrow(merge, _COUNTS), "merged")
+        packed = told.where("fan is null").select(*_COUNT_NAMES).unionByName(new)
+        after = new.agg(F.sum("n").alias("n")).first()["n"]
         if after > 0.8 * sum(sizes[p][0] for p in groups):
             return packed, {r["pair"]: r["n"] for r in packed.groupBy("pair").agg(F.sum("n").alias("n")).collect()}
 
@@ -400,14 +496,24 @@ class Trie:
 
 _ASKED = "block long, shard int, asked binary, ids array<long>, held array<boolean>, sizes array<int>"
 _ASKED_NAMES = ["block", "shard", "asked", "ids", "held", "sizes"]
-#: The shard number of a block's texts.
+#: The shard number of a block's texts, whose row names their file.
 TEXTS = -1
 
 
-def _questions(order: int, deal: Deal, block_bytes: int):
+def _words_by_shard(texts: list[bytes | None], deal: Deal) -> list[list[bytes]]:
+    """The distinct words (and the end) of some texts in order, for each shard of words."""
+    by: list[list[bytes]] = [[] for _ in range(deal.words)]
+    for w in sorted(set().union(*map(words_of_bytes, texts)) | {WORD_END}):
+        by[deal.of_bucket(_bucket(w))].append(w)
+    return by
+
+
+def _questions(order: int, deal: Deal, block_bytes: int, folder: str):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Documents (doc_id, held_out, t) as blocks: a row with the texts, and one for each shard with what is asked of it, in order."""
+        """Documents (doc_id, held_out, t) as blocks: a row with the file of the texts, and one for each shard with what is asked of it, in order."""
         part, n = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        fs, path = open_fs(folder)
+        fs.create_dir(path, recursive=True)
         ids: list[int | None] = []
         held: list[bool] = []
         texts: list[bytes | None] = []
@@ -415,14 +521,17 @@ def _questions(order: int, deal: Deal, block_bytes: int):
 
         def rows() -> Iterator[pa.RecordBatch]:
             block = (part << 32) + n
-            by: list[list[bytes]] = [[] for _ in range(deal.words)]
-            for w in sorted(set().union(*map(words_of_bytes, texts)) | {WORD_END}):
-                by[deal.of_word(w)].append(w)
-            asked = [(k, zstandard.compress(b" ".join(w), 1)) for k, w in enumerate(by) if w]
+            name = f"{block}-{uuid.uuid4().hex}"
+            # Every shard of words is asked, if for nothing, since all of them tell how many words there are.
+            asked = [(TEXTS, name.encode()), *((k, _pack_words(w)) for k, w in enumerate(_words_by_shard(texts, deal)))]
+            body = zstandard.compress(b"".join(t or b"" for t in texts), 3)
+            with fs.open_output_stream(f"{path}/{name}") as out:  # the texts, and the words in the order asked
+                out.write(b"".join([len(body).to_bytes(8, "little"), body, *(len(w).to_bytes(8, "little") + w for k, w in asked[1:])]))
             every = _distinct_of(*_flat(texts, order), order)
             shards = deal.of(every)
-            asked += [(int(k), _pack(every[shards == k])) for k in np.unique(shards)]
-            asked = [(TEXTS, zstandard.compress(b"".join(t or b"" for t in texts), 3)), *asked]
+            sort = np.argsort(shards, kind="stable")
+            cuts = [*np.flatnonzero(np.diff(shards[sort], prepend=-1)).tolist(), len(sort)]
+            asked += [(int(shards[sort[a]]), _pack(every[sort[a:b]])) for a, b in zip(cuts, cuts[1:], strict=False)]
             none = [None] * (len(asked) - 1)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -453,31 +562,41 @@ def _questions(order: int, deal: Deal, block_bytes: int):
 
 def _answers(low: np.ndarray, order: int, deal: Deal, known: tuple[np.ndarray, np.ndarray]):
     def answer(model: pa.Table, asked: pa.Table) -> pa.Table:
-        """The counts of the words, or the code lengths of the strings, in the order asked."""
-        out, shards, blocks = [], asked.column("shard").to_pylist(), asked.column("block").to_pylist()
+        """The counts of the words, or the code lengths of the strings, in the order asked; ``kinds``: words of the shard."""
+        out, shards, blocks, kinds = [], asked.column("shard").to_pylist(), asked.column("block").to_pylist(), 0
+        parts = zip(model.column("codes").to_pylist(), model.column("counts").to_pylist(), strict=True)
         if not shards:
             pass
         elif shards[0] < deal.words:
-            n = dict(zip(model.column("key").to_pylist(), model.column("n").to_pylist(), strict=True))
+            n: Counter = Counter()
+            for c, k in parts:
+                for w, x in zip(_unpack_words(c), _numbers(k, np.int64).tolist(), strict=True):
+                    n[w] += x
+            kinds = len(n)
             for x in asked.column("asked"):
-                keys = zstandard.decompress(x.as_py()).split(b" ")
+                keys = _unpack_words(x.as_py())
                 out.append(_planes(np.fromiter((n.get(k, 0) for k in keys), dtype=np.int64, count=len(keys))))
         else:
-            codes, n = _sum_up([(_unpack(c), _numbers(k, np.int64)) for c, k in zip(model.column("codes").to_pylist(), model.column("counts").to_pylist(), strict=True)])
+            codes, n = _sum_up([(_unpack(c), _numbers(k, np.int64)) for c, k in parts])
             trie = Trie(codes, n, low, order, known)
             for x in asked.column("asked"):
-                out.append(_planes(trie.log10(_unpack(x.as_py())).astype(np.float32)))
-        return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array(shards, pa.int32()), "answer": pa.array(out, pa.binary())})
+                out.append(_pack_floats(trie.log10(_unpack(x.as_py())).astype(np.float32)))
+        return pa.table({"block": pa.array(blocks, pa.int64()), "shard": pa.array(shards, pa.int32()), "answer": pa.array(out, pa.binary()), "kinds": pa.array([kinds] * len(shards), pa.int64())})
 
     return answer
 
 
 def _routes(deal: Deal):
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows of strings with their shard; rows of a pair that was dealt are cut."""
+        """Rows of strings and words with their shard; rows of a pair that was dealt are cut."""
         for b in batches:
             shards, codes, counts = [], [], []
             for p, c, k in zip(*[b.column(i).to_pylist() for i in range(3)], strict=True):
+                if p <= WORDS:
+                    shards.append(deal.of_bucket(WORDS - p))
+                    codes.append(c)
+                    counts.append(k)
+                    continue
                 if deal.parts[p] == 1:
                     shards.append(int(max(deal.first[p], deal.words)))
                     codes.append(c)
@@ -494,41 +613,60 @@ def _routes(deal: Deal):
     return route
 
 
-def _sums(order: int, tokens: int, kinds: int, deal: Deal):
-    den = tokens + 0.5 * (kinds + 1)
-
+def _sums(order: int, tokens: int, deal: Deal, folder: str):
     def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
         """Scores of a block's documents from the answers to its questions."""
-        got = dict(zip(answers.column("shard").to_pylist(), answers.column("answer").to_pylist(), strict=True))
-        body, at, texts = zstandard.decompress(docs.column("asked")[0].as_py()), 0, []
+        shards_ = answers.column("shard").to_pylist()
+        got = dict(zip(shards_, answers.column("answer").to_pylist(), strict=True))
+        den = tokens + 0.5 * (sum(n for k, n in zip(shards_, answers.column("kinds").to_pylist(), strict=True) if k < deal.words) + 1)
+        fs, path = open_fs(folder)
+        with fs.open_input_stream(f"{path}/{docs.column('asked')[0].as_py().decode()}") as file:
+            parts = [zstandard.decompress(file.read(int.from_bytes(file.read(8), "little"))) for _ in range(1 + deal.words)]
+        at, texts = 0, []
         for n in docs.column("sizes")[0].as_py():
-            texts.append(body[at : at + n])
+            texts.append(parts[0][at : at + n])
             at += n
-        split = [words_of_bytes(x) for x in texts]
-        by: list[list[bytes]] = [[] for _ in range(deal.words)]
-        for w in sorted(set().union(*split) | {WORD_END}):
-            by[deal.of_word(w)].append(w)
-        log, known = {}, {}
-        for k, own in enumerate(by):
-            for w, c in zip(own, _numbers(got[k], np.int64).tolist() if own else [], strict=True):
-                log[w], known[w] = math.log10((c + 0.5) / den), c > 0
+        place: dict[bytes, int] = {}
+        counts = []
+        for k, own in enumerate(parts[1:]):
+            if own:
+                place.update(zip(own.split(b" "), itertools.count(len(place))))
+                counts.append(_numbers(got[k], np.int64))
+        count = np.concatenate(counts)
+        n_tokens, flat_words = [], []
+        for t in texts:
+            words = words_of_bytes(t)
+            n_tokens.append(len(words) + 1)
+            flat_words.append(np.fromiter(map(place.__getitem__, words), dtype=np.int32, count=len(words)))
+            flat_words.append(np.asarray([place[WORD_END]], dtype=np.int32))
+        token, first = np.concatenate(flat_words), np.cumsum(n_tokens) - n_tokens
+        log = np.log10((count + 0.5) / den)
+        base, n_known = np.add.reduceat(log[token], first), np.add.reduceat((count > 0).astype(np.int64)[token], first)
+        del place, parts, flat_words, token
+
         flat, starts = _flat(texts, order)
-        codes = _distinct_of(flat, starts, order)
-        shards, p = deal.of(codes), np.zeros(len(codes))
+        compact = Compact(flat, starts, order)
+        del flat
+        keys = compact.distinct()
+        shards, p = deal.of(compact.widen(keys)), np.zeros(len(keys))
         for k in np.unique(shards):
-            p[shards == k] = _numbers(got[int(k)], np.float32)
-        find, each = Lookup(codes, p, order), np.zeros(len(flat))
-        for c, places in _spans(flat, starts, order):
-            each[places] = find.get(c)
+            p[shards == k] = _unpack_floats(got[int(k)])
+        total = np.zeros(len(texts))
+        for c, places in compact.spans():
+            found = compact.look_up(c, keys, p)
+            cuts = np.searchsorted(places, starts)
+            one = max(0, int(np.searchsorted(starts, places[0], side="right")) - 1) if len(places) else 0
+            own = np.arange(one, int(np.searchsorted(starts, places[-1], side="right"))) if len(places) else np.zeros(0, dtype=np.int64)
+            total[own] += np.add.reduceat(found, cuts[own]) if len(own) else 0.0
         return pa.table(
             {
                 "doc_id": pa.array(docs.column("ids")[0].as_py(), pa.int64()),
                 "held_out": pa.array(docs.column("held")[0].as_py(), pa.bool_()),
-                "n_tokens": pa.array([len(w) + 1 for w in split], pa.int64()),
-                "n_known": pa.array([sum(map(known.__getitem__, w)) + known[WORD_END] for w in split], pa.int64()),
-                "train_tokens": pa.array([tokens] * len(split), pa.int64()),
-                "base_score": pa.array([math.fsum(map(log.__getitem__, w)) + log[WORD_END] for w in split], pa.float64()),
-                "score": pa.array(np.add.reduceat(each, starts)),
+                "n_tokens": pa.array(n_tokens, pa.int64()),
+                "n_known": pa.array(n_known, pa.int64()),
+                "train_tokens": pa.array([tokens] * len(texts), pa.int64()),
+                "base_score": pa.array(base, pa.float64()),
+                "score": pa.array(total),
             }
         )
 
@@ -547,25 +685,28 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ord
     """
     if not 2 <= order <= 7:
         raise ValueError("order must be 2 to 7: a context and its symbol are one 64-bit code")
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("binary").alias("t"))
     counts = kept_table(train_counts(rows.where("not held_out").select("t"), order), "counts")
     low = low_orders(counts)
-    words = kept_table(counts.where(F.col("pair") == WORDS).groupBy("key").agg(F.sum("n").alias("n")), "words")
-    base = words.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
-    packed, sizes = merged_counts(counts.where("pair >= 0"), shard_codes)
-    deal = Deal(sizes, base["v"] or 0, shard_codes)
+    sums = counts.agg(F.sum(F.when(F.col("pair") == TOKENS, F.col("n"))).alias("tokens"), F.sum(F.when(F.col("pair") <= WORDS, F.col("n"))).alias("words")).first()
+    packed, sizes = merged_counts(counts.where("pair >= 0"), 64 * shard_codes, 8 * shard_codes)
+    deal = Deal(sizes, sums["words"] or 0, shard_codes)
     known = pair_orders(packed, deal.split)
-    asked = kept_table(rows.select("doc_id", "held_out", "t").mapInArrow(_questions(order, deal, block_bytes), _ASKED), "asked")
+    folder = scratch(spark, "texts")
+    asked = kept_table(rows.select("doc_id", "held_out", "t").mapInArrow(_questions(order, deal, block_bytes, folder), _ASKED), "asked")
     texts = asked.where(F.col("shard") == TEXTS)
-    salts = max(1, -(-texts.count() // BLOCKS_A_SALT))
-    shard = F.pmod(F.crc32("key"), F.lit(deal.words)).cast("int").alias("shard")
-    strings = packed.select("pair", "codes", "counts").mapInArrow(_routes(deal), "shard int, codes binary, counts binary")
-    model = words.select(shard, "key", "n").unionByName(strings, allowMissingColumns=True).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    blocks = texts.count()
+    salts = max(1, -(-blocks // BLOCKS_A_SALT))
+    model = packed.unionByName(counts.where(F.col("pair") <= WORDS)).select("pair", "codes", "counts").mapInArrow(_routes(deal), "shard int, codes binary, counts binary")
+    model = model.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     questions = asked.where(F.col("shard") != TEXTS).select("block", "shard", "asked", F.pmod(F.xxhash64("block"), F.lit(salts)).cast("int").alias("salt"))
-    answers = model.groupBy("shard", "salt").cogroup(questions.groupBy("shard", "salt")).applyInArrow(_answers(low, order, deal, known), "block long, shard int, answer binary")
+    answers = model.groupBy("shard", "salt").cogroup(questions.groupBy("shard", "salt")).applyInArrow(_answers(low, order, deal, known), "block long, shard int, answer binary, kinds long")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_sums(order, base["n"] or 0, base["v"] or 0, deal), out)
+    # As many tasks as there are blocks ask for: a task's answers do not grow with the corpus.
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), blocks // BLOCKS_A_TASK)
+    return texts.repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block")).applyInArrow(_sums(order, sums["tokens"] or 0, deal, folder), out)
 
 
 def adaptive_log10(text: bytes | None, order: int = ORDER) -> float:

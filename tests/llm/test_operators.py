@@ -382,10 +382,10 @@ def test_ppm_long_and_repeated(spark, monkeypatch):
     assert len(codes) == len(odd.encode()) + 4 and (ppm._distinct_of(flat, starts, 6) == np.unique(codes)).all()
     for texts, small in (([odd.encode()], False), ([words(3_000, 2).encode(), b"", "é".encode()], True)):
         flat, starts = ppm._flat(texts, 6)
-        n = ppm.Narrow(flat, 6)
-        keys = ppm._distinct_of(n.flat, starts, 6, n.bits)
+        n = ppm.Compact(flat, starts, 6)
+        keys = n.distinct()
         assert n.small == small and (n.widen(keys) == ppm._distinct_of(flat, starts, 6)).all()
-        for c, _ in ppm._spans(n.flat, starts, 6, n.bits):
+        for c, _ in n.spans():
             assert (n.look_up(c, keys, np.arange(len(keys), dtype=float)) == np.searchsorted(keys, c)).all()
     rows = [(i, words(200_000, 1) if i == 7 else words(9, 4), "en", "s", 0) for i in (7, 8, 8, 9)]
     got = ppm.score_texts(frame(spark, rows), order=6).collect()
@@ -422,7 +422,7 @@ def test_ppm_does_not_depend_on_spans(monkeypatch, tmp_path):
 def test_ppm_merges_partial_counts(spark):
     texts = [words(50, i) for i in range(30)]
     raw = ppm.train_counts(docs(spark, texts).select(F.col("text").cast("binary").alias("t")).repartition(10), 4)
-    packed, sizes = ppm.merged_counts(raw.where("pair >= 0").cache(), 20)
+    packed, sizes = ppm.merged_counts(raw.where("pair >= 0").cache(), 20, 100)
     found = Counter()
     for r in packed.collect():
         found.update(dict(zip(ppm._unpack(r["codes"]).tolist(), ppm._numbers(r["counts"], np.int64).tolist(), strict=True)))
