@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.shared import kept_table, scratch
+
+__all__ = ["ascii_lower", "fits_broadcast", "free_name", "kept_table", "scratch", "small_batches", "table", "words_of"]
+
 #: Bytes that separate words: space and U+0009 to U+000D.
-SPACES = " \t\n\x0b\x0c\r"
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
 #: A table with at most this many rows may be broadcast; the caller counts it first.
 BROADCAST_ROWS = 100_000
@@ -23,44 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a local one is set where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        where = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = where.get() if where.isDefined() else None
-    if not found:
-        import tempfile
-
-        found = f"file://{tempfile.mkdtemp(prefix='tallyspark-')}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
-    path = f"{shared_dir(spark)}/tallyspark/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone already; the folder is scratch space
-        pass
-
-
-def kept_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once to the shared folder and read back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the rows of an Arrow batch to ``rows`` if the session allows more."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -89,8 +52,3 @@ def ascii_lower(c: Column) -> Column:
 def words_of(c: Column) -> Column:
     """Array of the words of a text (null: none)."""
     return F.array_remove(F.split(F.coalesce(c, F.lit("")), f"{SPACE_CLASS}+"), "")
-
-
-def letter_count(c: Column, letters: str) -> Column:
-    """How many characters of the text are in ``letters``."""
-    return F.length(c) - F.length(F.translate(c, letters, ""))
