@@ -203,10 +203,14 @@ def cycle_slots(s, d):
 # Scores and text
 
 
-@query("score_coercion", "SELECT event_id, CASE WHEN value IS NULL THEN 0.0 ELSE round(greatest(0.0, least(1.0, value / 100)), 6) END AS score FROM events")
+_RAW = """CASE event_id % 9 WHEN 0 THEN NULL WHEN 1 THEN '"0.95"' WHEN 2 THEN 'true' WHEN 3 THEN 'false' WHEN 4 THEN 'NaN' WHEN 5 THEN 'abc' WHEN 6 THEN '1.7' WHEN 7 THEN ' -1 ' ELSE CAST(value / 100 AS VARCHAR(30)) END"""
+
+
+@query("score_coercion", f"""WITH r AS (SELECT event_id, value, {_RAW} AS raw FROM events) SELECT event_id, CASE WHEN raw IS NULL THEN (CASE WHEN event_id % 2 = 0 AND event_id % 9 = 0 THEN 1.0 ELSE 0.0 END) WHEN event_id % 9 = 1 THEN 0.95 WHEN event_id % 9 IN (2, 4, 6) THEN 1.0 WHEN event_id % 9 IN (3, 5, 7) THEN 0.0
+ ELSE round(greatest(0.0, least(1.0, value / 100)), 6) END AS score FROM r""")
 def score_coercion(s, d):
-    raw = (F.col("value") / 100).cast("string")
-    return T.load(s, d, "events").select("event_id", F.round(S.score_from_json(raw, F.lit(False)), 6).alias("score"))
+    e = T.load(s, d, "events").select("event_id", F.expr(_RAW).alias("raw"))
+    return e.select("event_id", F.round(S.score_from_json(F.col("raw"), (F.col("event_id") % 2 == 0) & (F.col("event_id") % 9 == 0)), 6).alias("score"))
 
 
 @query("trait_normalize", "SELECT DISTINCT lang, CASE WHEN lower(trim(lang)) IN ('us', 'uk', 'au', 'in', 'neutral', 'other') THEN lower(trim(lang)) ELSE 'neutral' END AS accent, source, CASE WHEN replace(replace(lower(trim(source)), ' ', '_'), '-', '_') IN ('src0', 'src1') THEN replace(replace(lower(trim(source)), ' ', '_'), '-', '_') ELSE 'src0' END AS site FROM documents")
@@ -273,9 +277,13 @@ def weak_elements(s, d):
     return T.load(s, d, "lineitem").select(S.weak_elements(_elements()).alias("weak")).groupBy("weak").agg(F.count("*").alias("n"))
 
 
-@query("props_decode", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events")
+_PROPS = """CASE event_id % 6 WHEN 0 THEN props WHEN 1 THEN '{"k": 1, "s": "2", "b": true}' WHEN 2 THEN '[1]' WHEN 3 THEN 'nope' WHEN 4 THEN '{"k": 0.5, "x": null, "c": false}' END"""
+
+
+@query("props_decode", "SELECT event_id, CASE event_id % 6 WHEN 0 THEN CAST(json_extract_string(props, '$.k') AS DOUBLE) WHEN 1 THEN 1.0 WHEN 4 THEN 0.5 END AS k, CASE event_id % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 4 THEN 2 END AS n FROM events")
 def props_decode(s, d):
-    return T.load(s, d, "events").select("event_id", F.element_at(S.numeric_map(F.col("props")), "k").alias("k"))
+    m = S.numeric_map(F.col("props"))
+    return T.load(s, d, "events").select("event_id", F.expr(_PROPS).alias("props")).select("event_id", m.alias("m")).select("event_id", F.element_at("m", "k").alias("k"), F.when(F.col("m").isNotNull(), F.size("m")).cast("long").alias("n"))
 
 
 @query("prompt_format", "SELECT doc_id, CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'lang: ' || lang || ' | source: ' || source ELSE trim(split_part(text, chr(10), 1)) || ' | lang: ' || lang || ' | source: ' || source END AS prompt FROM documents")
@@ -284,10 +292,14 @@ def prompt_format(s, d):
     return T.load(s, d, "documents").select("doc_id", S.prompt_text(first, F.lit(None).cast("string"), {"lang": F.col("lang"), "source": F.col("source")}).alias("prompt"))
 
 
-@query("prompt_parse", "SELECT doc_id, lang AS text, source AS instruction FROM documents")
+_PROMPT = """CASE doc_id % 7 WHEN 0 THEN lang || ' | ' || source WHEN 1 THEN NULL WHEN 2 THEN '  ' WHEN 3 THEN 'pitch: low | tone: warm' WHEN 4 THEN ' | calm' WHEN 5 THEN ' hi there ' ELSE 'hi | a | b' END"""
+
+
+@query("prompt_parse", f"""WITH p AS (SELECT doc_id, lang, source, {_PROMPT} AS prompt FROM documents) SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN lang WHEN 1 THEN 'Hello.' WHEN 2 THEN 'Hello.' WHEN 3 THEN 'Hello.' WHEN 4 THEN '| calm' WHEN 5 THEN 'hi there' ELSE 'hi' END AS text,
+ CASE doc_id % 7 WHEN 0 THEN source WHEN 3 THEN prompt WHEN 6 THEN 'a | b' ELSE 'Neutral tone.' END AS instruction FROM p""")
 def prompt_parse(s, d):
-    text, instruction = S.prompt_parts(F.concat_ws(" | ", "lang", "source"))
-    return T.load(s, d, "documents").select("doc_id", text.alias("text"), instruction.alias("instruction"))
+    text, instruction = S.prompt_parts(F.col("prompt"))
+    return T.load(s, d, "documents").select("doc_id", F.expr(_PROMPT).alias("prompt")).select("doc_id", text.alias("text"), instruction.alias("instruction"))
 
 
 @query("judge_verdicts", "SELECT conv_id, turn, (contains(upper(split_part(trim(text), chr(10), 1)), 'FIRST')) AS first_wins FROM conversations")
@@ -303,9 +315,9 @@ def exact_dups(s, d):
     return D.exact_duplicates(T.models(s, d)).select("uid", "invalid_reason")
 
 
-@query("canonical_hash", """SELECT event_id, sha256('{"k":' || json_extract_string(props, '$.k') || '}') AS hash FROM events""")
+@query("canonical_hash", """SELECT event_id, sha256('{"b":' || (event_id % 7) || ',"k":' || json_extract_string(props, '$.k') || ',"\\u00e4":1}') AS hash FROM events""")
 def canonical_hash(s, d):
-    m = F.map_from_arrays(F.array(F.lit("k")), F.array(F.get_json_object("props", "$.k").cast("long")))
+    m = F.map_from_arrays(F.array(F.lit("k"), F.lit("ä"), F.lit("b")), F.array(F.get_json_object("props", "$.k").cast("long"), F.lit(1).cast("long"), F.col("event_id") % 7))
     return T.load(s, d, "events").select("event_id", D.canonical_map_hash(m).alias("hash"))
 
 
