@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import ctypes
+import gc
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.shared import kept_table, scratch
 
-__all__ = ["ascii_lower", "fits_broadcast", "free_name", "kept_table", "scratch", "small_batches", "table", "words_of"]
+__all__ = ["ascii_lower", "fits_broadcast", "free_name", "kept_table", "release", "scratch", "small_batches", "table", "tidy", "words_of"]
 
 #: Bytes that separate words: space and U+0009 to U+000D.
 SPACE_CLASS = "[\\x20\\x09-\\x0D]"
@@ -24,6 +27,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release() -> None:
+    """Gives memory that a worker has freed back to the system: workers live on through stages that need it elsewhere."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def tidy(step: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *drop: Callable[[], None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A step over Arrow batches that, at its task's end, calls ``drop`` and releases memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from step(batches)
+        for x in drop:
+            x()
+        release()
+
+    return run
+
+
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
     """Lower the rows of an Arrow batch to ``rows`` if the session allows more."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"

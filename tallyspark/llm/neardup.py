@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fits_broadcast, kept_table, small_batches
+from .common import fits_broadcast, kept_table, small_batches, tidy
 from .graph import components
 
 SHINGLE = 5
@@ -63,6 +63,10 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _forget() -> None:
+    _hashes.clear()
+
+
 def shingle_sets(texts: list[bytes | None]) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
     split = [(t or b"").lower().split() for t in texts]
@@ -273,7 +277,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
             rows = rows.join(reps.select(F.col("rep").alias("r2"), "deep", "low"), F.col("rep") == F.col("r2")).select("rep", "tree", "node", "size", "least", "low", path)
         rows = kept_table(rows, f"level{level}")
         leaves = rows.where(F.col("size") <= NODE).select("node", "rep", "low")
-        found.append(kept_table(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(_compare_nodes, "a long, b long").distinct(), "pairs"))
+        found.append(kept_table(leaves.repartition("node").sortWithinPartitions("node").mapInArrow(tidy(_compare_nodes), "a long, b long").distinct(), "pairs"))
         large = rows.where(F.col("size") > NODE)
         if large.isEmpty():
             break
@@ -290,7 +294,7 @@ def _candidates(reps: DataFrame) -> DataFrame:
 def _links(rows: DataFrame, dealt: DataFrame) -> DataFrame:
     """Confirmed links (a, b) of documents (doc_id, t), from ``dealt``: node, component, one, two, block, cluster."""
     texts = rows.join(F.broadcast(dealt) if fits_broadcast(dealt) else dealt, F.col("doc_id") == F.col("node")).select("component", "one", "two", "block", "cluster", "doc_id", "t")
-    return texts.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInArrow(_confirm, "a long, b long")
+    return texts.repartition("component", "one", "two").sortWithinPartitions("component", "one", "two").mapInArrow(tidy(_confirm, _forget), "a long, b long")
 
 
 def _confirmed(rows: DataFrame, maybe: DataFrame) -> DataFrame:
@@ -322,7 +326,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    every = kept_table(rows.mapInArrow(_profile, "doc_id long, n long, key binary, sig array<int>, deep binary, low binary"), "sets")
+    every = kept_table(rows.mapInArrow(tidy(_profile, _forget), "doc_id long, n long, key binary, sig array<int>, deep binary, low binary"), "sets")
     some = every.where("n > 0 and doc_id is not null")
     classes = kept_table(some.groupBy("key").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("sig").alias("sig"), F.first("deep").alias("deep"), F.first("low").alias("low")), "classes")
     maybe = components(_candidates(classes.select("rep", "sig", "deep", "low")))

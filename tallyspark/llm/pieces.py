@@ -31,17 +31,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import small_batches
+from .common import small_batches, tidy
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words that a worker remembers: when half as many are new, the older half goes, but for words met since.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 #: Pairs of pieces that a worker remembers before it starts afresh.
-CACHE_PAIRS = 400_000
+CACHE_PAIRS = 300_000
 #: Bytes of text that are encoded at once, about: the more words, the more prefixes are shared.
-TEXT_BYTES = 4 << 20
+TEXT_BYTES = 2 << 20
 #: How far below the worst piece an unknown character scores in a unigram model.
 UNKNOWN_PENALTY = 10.0
 
@@ -346,7 +346,7 @@ def encode_documents(docs: DataFrame, model: str, text: str = "text", keep: tupl
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(keep))], pa.ListArray.from_arrays(pa.array(ends), flat), pa.array(sizes), pa.array(same, pa.bool_())], names=[*keep, "ids", "n_ids", "round_trip"])
 
     # Positions, not names, tell the columns apart: the text may be one of those that are kept.
-    return docs.select(*keep, F.col(text).alias("text_to_encode")).mapInArrow(run, schema)
+    return docs.select(*keep, F.col(text).alias("text_to_encode")).mapInArrow(tidy(run, lambda: load(model).older.clear()), schema)
 
 
 def decode_documents(docs: DataFrame, model: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

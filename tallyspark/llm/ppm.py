@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept_table, scratch, small_batches
+from .common import kept_table, scratch, small_batches, tidy
 from .token_files import open_fs
 
 ORDER = 6
@@ -379,7 +379,7 @@ def train_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
         seen = np.flatnonzero(low)
         yield _count_rows([LOW] * len(seen), [bytes([x >> 8, x & 255]) for x in seen.tolist()], [None] * len(seen), [None] * len(seen), low[seen].tolist())
 
-    return docs.mapInArrow(count, _COUNTS)
+    return docs.mapInArrow(tidy(count), _COUNTS)
 
 
 def merged_counts(packed: DataFrame, most: int = MERGE_ABOVE, share: int = MERGE_ABOVE // 8) -> tuple[DataFrame, dict[int, int]]:
@@ -695,7 +695,7 @@ def score_texts(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ord
     deal = Deal(sizes, sums["words"] or 0, shard_codes)
     known = pair_orders(packed, deal.split)
     folder = scratch(spark, "texts")
-    asked = kept_table(rows.select("doc_id", "held_out", "t").mapInArrow(_questions(order, deal, block_bytes, folder), _ASKED), "asked")
+    asked = kept_table(rows.select("doc_id", "held_out", "t").mapInArrow(tidy(_questions(order, deal, block_bytes, folder)), _ASKED), "asked")
     texts = asked.where(F.col("shard") == TEXTS)
     blocks = texts.count()
     salts = max(1, -(-blocks // BLOCKS_A_SALT))
