@@ -290,7 +290,7 @@ class PieceModel:
         missing = wanted.difference(self.words)
         if len(self.words) + len(missing) > CACHE_WORDS // 2:
             self.words, self.older, missing = {}, self.words, wanted
-        for word in missing.intersection(self.older):
+        for word in missing - missing.difference(self.older):
             self.words[word] = self.older[word]
         self.words[""] = b""
         for word, parts in self.walk(sorted(missing.difference(self.words))):
