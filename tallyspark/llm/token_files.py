@@ -42,7 +42,7 @@ TRAILER = struct.Struct("<Q8s")
 DOC = np.dtype([("known", "u1"), ("doc_id", "<i8"), ("first", "<u8"), ("n", "<u8")])
 BLOCK = 1 << 16
 #: Words whose ids a worker remembers before it starts afresh.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 #: Ids that a reader unpacks at once, unless one document has more.
 READ_IDS = 1 << 21
 
