@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality_rules, url_rules
+from . import filter_audit, mixing, quality_rules, url_rules
 
 _W = "regexp_extract_all(coalesce({0}, ''), '[^\\x20\\x09-\\x0D]+')"
 
@@ -61,3 +61,25 @@ n AS (SELECT doc_id, count(*) AS k FROM s GROUP BY 1), i AS (SELECT a.doc_id AS
 e AS (SELECT p, q FROM i JOIN n a ON a.doc_id = p JOIN n b ON b.doc_id = q WHERE 100 * i.k >= 75 * (a.k + b.k - i.k)),
 r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT e.q, r.c FROM r JOIN e ON e.p = r.v), m AS (SELECT v, min(c) AS c FROM r GROUP BY 1)
 SELECT doc_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_shingles, m.c AS component_id, doc_id = m.c AS kept FROM documents LEFT JOIN n USING (doc_id) JOIN m ON m.v = doc_id"""
+
+
+def op12() -> str:
+    """Documents by what they fail, then every order and step."""
+    letters = list(filter_audit.FILTERS)
+    given = " AND ".join(f"o.p{i} <> o.p{j}" for i in range(len(letters)) for j in range(i))
+    tables = ", ".join(f"(SELECT unnest({letters}) AS p{i})" for i in range(len(letters)))
+    order = " || ".join(f"p{i}" for i in range(len(letters)))
+    gone = " OR ".join(f"(fails_{x.lower()} AND position('{x}' IN filter_order) < step)" for x in letters)
+    here = "CASE letter " + " ".join(f"WHEN '{x}' THEN fails_{x.lower()}" for x in letters) + " END"
+    alone = " + ".join(f"fails_{x.lower()}::INT" for x in letters)
+    return f"""WITH t AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, {_W.format("text")} AS w FROM documents),
+f AS (SELECT t.doc_id, part, len(w) < 200 AS fails_a, 100 * len(list_distinct(w)) < 50 * len(w) AS fails_b, 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text) AS fails_c,
+ length(text) <> length(translate(text, '{filter_audit.MARKS}', '')) AS fails_d, coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false) AS fails_e FROM t),
+l AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, fails_a, fails_b, fails_c, fails_d, fails_e, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (SELECT {order} AS filter_order FROM (SELECT * FROM {tables}) AS o WHERE {given}), s AS (SELECT filter_order, step, substr(filter_order, CAST(step AS INT), 1) AS letter FROM o, (SELECT unnest(range(1, {len(letters) + 1})) AS step)),
+x AS (SELECT *, ({gone}) AS gone, {here} AS here, {alone} AS n_fails FROM c, s),
+y AS (SELECT part, filter_order, step, letter, sum(CASE WHEN NOT gone AND NOT here THEN n ELSE 0 END) AS kept, sum(CASE WHEN NOT gone AND here THEN n ELSE 0 END) AS removed, sum(CASE WHEN gone AND here THEN n ELSE 0 END) AS redundant,
+ sum(CASE WHEN here AND n_fails = 1 THEN n ELSE 0 END) AS unique_fails, sum(CASE WHEN NOT gone AND here AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN NOT gone AND here AND toxic THEN n ELSE 0 END) AS toxic_lost FROM x GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+ CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM y"""

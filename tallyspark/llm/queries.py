@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, html_text, mixing, neardup, oracles, pieces, ppm, quality_rules, ranking, token_files, url_rules
+from . import ann, filter_audit, html_text, mixing, neardup, oracles, pieces, ppm, quality_rules, ranking, token_files, url_rules
 from .common import scratch, table
 
 #: The site rules that the URL query applies.
@@ -85,6 +85,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_mixing": op2_mixing,
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
+    "op12_filter_audit": op12_filter_audit,
 }
 
-ORACLES: dict[str, str] = {"op2_mixing": oracles.OP2, "op4_neardup": oracles.OP4, "op8_url_rules": oracles.op8(SITE_RULES), "op10_quality_rules": oracles.op10()}
+ORACLES: dict[str, str] = {"op2_mixing": oracles.OP2, "op4_neardup": oracles.OP4, "op8_url_rules": oracles.op8(SITE_RULES), "op10_quality_rules": oracles.op10(), "op12_filter_audit": oracles.op12()}
