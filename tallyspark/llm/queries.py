@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, filter_audit, html_text, mixing, neardup, oracles, pieces, ppm, quality_rules, ranking, token_files, url_rules
+from . import ann, filter_audit, html_text, language, mixing, neardup, oracles, pieces, ppm, quality_rules, ranking, token_files, url_rules
 from .common import scratch, table
 
 #: The site rules that the URL query applies.
@@ -85,6 +85,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(language.fold_of(F.col("doc_id")) == 2, F.lit(False))
+    net = language.train(language.training_words(docs, language.fold_of(F.col("doc_id")) != 2))
+    return language.identify(docs.select("doc_id", "text", held.alias("held_out")), net).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
@@ -101,6 +108,7 @@ QUERIES = {
     "op8_url_rules": op8_url_rules,
     "op9_pieces": op9_pieces,
     "op10_quality_rules": op10_quality_rules,
+    "op11_language": op11_language,
     "op12_filter_audit": op12_filter_audit,
 }
 
