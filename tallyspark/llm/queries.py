@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, filter_audit, html_text, language, mixing, neardup, oracles, pieces, ppm, quality_rules, ranking, token_files, url_rules
+from . import alignment, ann, filter_audit, html_text, language, mixing, neardup, oracles, pieces, ppm, quality_rules, ranking, token_files, url_rules
 from .common import scratch, table
 
 #: The site rules that the URL query applies.
@@ -32,6 +32,13 @@ def piece_bpe() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def byte_bpe() -> str:
+    """Where the public byte-level tokenizer lies."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(table(spark, sf_dir, "pages"))
 
@@ -97,6 +104,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align_documents(table(spark, sf_dir, "documents"), byte_bpe(), piece_bpe())
+
+
 QUERIES = {
     "op1_html_text": op1_html_text,
     "op2_mixing": op2_mixing,
@@ -110,6 +121,7 @@ QUERIES = {
     "op10_quality_rules": op10_quality_rules,
     "op11_language": op11_language,
     "op12_filter_audit": op12_filter_audit,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLES: dict[str, str] = {"op2_mixing": oracles.OP2, "op4_neardup": oracles.OP4, "op8_url_rules": oracles.op8(SITE_RULES), "op10_quality_rules": oracles.op10(), "op12_filter_audit": oracles.op12()}
