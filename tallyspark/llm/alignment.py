@@ -159,23 +159,27 @@ def _cut(lists: pa.Array, whole: list[bool], marked: pa.Array) -> pa.ListArray:
     return lists
 
 
+def _upto(sizes: pa.Array) -> np.ndarray:
+    """Where parts of these sizes (null: 0) begin, and where the last one ends."""
+    return np.concatenate([[0], np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
+
+
 def _slices(docs: pa.Table) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray]]:
     """Documents of about ``SLICE`` bytes, their stretches one after the other, and where each document's begin and end."""
     docs = docs.combine_chunks()
-    size = np.cumsum(pc.fill_null(pc.binary_length(docs.column("marked")), 0).to_numpy())
+    size = _upto(pc.binary_length(docs.column("marked")))[1:]
     edges = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), docs.num_rows]
     for a, b in zip(edges, edges[1:], strict=False):
         own = docs.slice(a, b - a)
         marked = own.column("marked").combine_chunks()
         lists = _cut(pc.split_pattern(marked, SEAM), own.column("whole").to_pylist(), marked)
-        yield own, lists.flatten(), np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        yield own, lists.flatten(), _upto(pc.list_value_length(lists))
 
 
 def _held(known: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
     """A column of arrays as one array and where each row's part begins; the last begins where all end."""
     column = known.column(name).combine_chunks()
-    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy())]).astype(np.int64)
-    return column.flatten().to_numpy(), ends
+    return column.flatten().to_numpy(), _upto(pc.list_value_length(column))
 
 
 def _gathered(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
