@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyspark.plans import more
+from tallyspark.plans import more, streams
 from tallyspark.plans.core import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "more"]
+__all__ = ["ORACLES", "QUERIES", "more", "streams"]

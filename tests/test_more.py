@@ -258,45 +258,6 @@ def test_shared_folder(spark):
 # Streams
 
 
-def feed(spark, tmp_path, name, rows, schema, start):
-    """Runs a stream over the rows, one file and micro-batch a list."""
-    for i, some in enumerate(rows):
-        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"{name}-in"))
-        q = start(spark.readStream.schema(schema).parquet(str(tmp_path / f"{name}-in")), str(tmp_path / name), str(tmp_path / f"{name}-cp"))
-        q.awaitTermination()
-        assert q.exception() is None, i
-    return L.last_version(spark, str(tmp_path / name))
-
-
-def test_pending_stream(spark, tmp_path):
-    rows = [[("pending", "v", "e1"), ("pending", "v", "e2")], [("submission", "v", "e1"), ("submission", "w", "e9")], [("pending", "w", "e9"), ("pending", "w", "e3")]]
-    table = feed(spark, tmp_path, "p", rows, "kind string, validator string, evaluation_id string", lambda s, path, cp: L.pending_stream(s, path, cp, ["validator", "evaluation_id"]))
-    assert sorted((r["validator"], r["evaluation_id"]) for r in L.open_rows(table).collect()) == [("v", "e2"), ("w", "e3")]
-
-
-def test_recent_stream(spark, tmp_path):
-    rows = [[("v", "1", "a"), ("v", "1", "b"), ("w", "5", "a")], [("v", "3", "a")], [("v", "2", "a"), ("w", "4", "a")]]
-    table = feed(spark, tmp_path, "r", rows, "validator string, evaluation_id string, miner string", lambda s, path, cp: L.recent_stream(s, path, cp, 2))
-    assert sorted(map(tuple, table.collect())) == [("v", "2", "a"), ("v", "3", "a"), ("w", "4", "a"), ("w", "5", "a")]
-
-
-def test_lease_stream(spark, tmp_path):
-    at = lambda x: datetime.datetime(2025, 1, 1, 0, 0, x, tzinfo=datetime.UTC)
-    zero = at(0).timestamp()
-    clock = iter([zero + 5, zero + 15, zero + 25])
-    rows = [[("k", "on", at(0), 10), ("q", "on", at(1), 0)], [("k", "off", at(8), 10)], [("z", "on", at(20), 9)]]
-    table = feed(spark, tmp_path, "l", rows, "activity_key string, status string, at timestamp, ttl int", lambda s, path, cp: L.lease_stream(s, path, cp, lambda: next(clock)))
-    assert [r["activity_key"] for r in table.collect()] == ["z"]
-    middle = L.last_version(spark, str(tmp_path / "l"), 2).collect()
-    assert [(r["activity_key"], r["status"], r["started_at"].second) for r in middle] == [("k", "off", 0)]
-
-
-def test_once_per_slot(spark, tmp_path):
-    ran = []
-    feed(spark, tmp_path, "s", [[(15,), (16,), (170,)], [(171,), (320,)]], "block long", lambda s, path, cp: L.once_per_slot(s, path, cp, lambda df: ran.append(sorted(r["slot"] for r in df.collect())), 150, 15))
-    assert ran == [[15, 165], [315]]
-
-
 def test_idle_keys_are_forgotten(spark, tmp_path):
     """With a watermark, the state of a key goes when its window has passed; decisions stay the same."""
     schema = "key string, seq long, ts double, nonce string, at timestamp"
