@@ -1,8 +1,8 @@
 """Tokens of two tokenizers over the same bytes, aligned with joins and windows.
 
-``align`` is relational: tokens are posexploded, a windowed sum of their lengths gives where each ends, an equi-join on key and end finds the cuts (ends of
-both tokenizers), a running count of the cuts before a token is its group, and groups of both sides joined on key and group give the links: all pairs of tokens that share
-a group. Nothing is compared but ends.
+``align`` is relational: tokens are posexploded, a windowed sum of their lengths gives where each ends, the tokens of both sides meet on key and end
+(a full outer equi-join, written as grouping, since a side has an end once at most), an end of both is a cut, the running count of the cuts before a
+token is its group, and the tokens of a key and group are linked, all of one side with all of the other. Nothing is compared but ends.
 
 ``align_documents`` aligns whole documents. Neither tokenizer joins characters across a blank between two printable characters (``SAFE``; a piece model with inner blanks
 is told by its pieces, and texts then stay whole), so a document's tokens are those of its stretches between such blanks, one after the other, and each such blank is a
@@ -24,6 +24,7 @@ import os
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -36,15 +37,11 @@ from .common import fits_broadcast, kept_table, small_batches, tidy
 from .pieces import MARK, PieceModel
 
 #: Bytes of text in a block, about.
-BLOCK = 16 << 20
+BLOCK = 32 << 20
 #: Bytes of text whose tokens are put together at a time.
-SLICE = 2 << 20
+SLICE = 8 << 20
 #: A blank between two of these belongs to the token after it, in both tokenizers.
 SAFE = "[\\p{L}\\p{N}!-~]"
-#: An id pair is one number, a * WIDTH + b.
-WIDTH = 1 << 20
-#: Put before such blanks while a text travels; a text that holds it travels as one stretch.
-SEAM = "\x01\x00\x01"
 RESULT = "doc_id {}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -94,22 +91,29 @@ class Tokenizers:
         letters = _byte_letters()
         with open(a, encoding="utf-8") as f:
             special = {x["id"] for x in json.load(f)["added_tokens"]}
-        self.first_bytes = {i: t.encode() if i in special else bytes(letters[c] for c in t) for t, i in self.first.get_vocab().items()}
+        vocab = {i: t.encode() if i in special else bytes(letters[c] for c in t) for t, i in self.first.get_vocab().items()}
+        self.first_bytes = [vocab.get(i, b"") for i in range(max(vocab) + 1)]
         model = PieceModel.load(b)
         single = set(model.bytes.values())
         self.second_bytes = [x if i in single else x.decode().replace(MARK, " ").encode() for i, x in enumerate(model.raw)]
+        self.width = len(self.second_bytes)
         self.apart = model.cut_marks
         self.many = getattr(self.first, "encode_batch_fast", self.first.encode_batch)
-
-    def encode(self, stretches: list[str]) -> Iterator[tuple[list[int], list[int], list[int], list[int]] | None]:
-        """Ids and byte lengths of each stretch (which starts with a blank) by both; None if the bytes of one differ."""
-        own = self.many(stretches, add_special_tokens=False)
-        other = self.second.encode([x[1:] for x in stretches], num_threads=1)
-        for x, e, b in zip(stretches, own, other, strict=True):
-            a = e.ids
-            raw_a, raw_b = [self.first_bytes[i] for i in a], [self.second_bytes[i] for i in b]
-            want = x.encode("utf-8", "surrogatepass")
-            yield (a, list(map(len, raw_a)), b, list(map(len, raw_b))) if b"".join(raw_a) == want == b"".join(raw_b) else None
+        self.tables = [(pa.array(x, pa.binary()), np.asarray([len(t) for t in x], dtype=np.int32)) for x in (self.first_bytes, self.second_bytes)]
+
+    def encode(self, stretches: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Whether both give the bytes of each stretch (with the blank before it) back, and for each tokenizer how many tokens each has, their ids and lengths."""
+        spaced = [f" {x}" for x in stretches]
+        found = [[e.ids for e in self.many(spaced, add_special_tokens=False)], self.second.encode(stretches, num_threads=1)]
+        fine, out = np.ones(len(stretches), dtype=bool), []
+        want = pa.array(spaced, pa.string()).cast(pa.binary())
+        for ids, (raw, lengths) in zip(found, self.tables, strict=True):
+            sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            flat = np.fromiter(chain.from_iterable(ids), dtype=np.int32, count=int(sizes.sum()))
+            each = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), raw.take(pa.array(flat)))
+            fine &= pc.equal(pc.binary_join(each, b""), want).to_numpy(zero_copy_only=False)
+            out.append((sizes, flat, lengths[flat]))
+        return fine, out
 
 
 @lru_cache(maxsize=2)
@@ -121,28 +125,21 @@ def load(a: str, b: str) -> Tokenizers:
 # Alignment
 
 
-def align(tokens: DataFrame) -> DataFrame:
-    """``key, n_a, n_b, n_groups, n_links, groups, links`` for rows of ``key`` (unique), ``a``, ``a_len``, ``b``, ``b_len`` (arrays).
+def align(tokens: DataFrame, width: int, kind: str = "long") -> DataFrame:
+    """``key, n_a, n_b, n_groups, n_links, groups, links`` for rows of ``key`` (unique), ``ids`` and ``lengths`` (arrays: of the tokens of A, then of B) and ``n_a``.
 
-    ``groups`` is the text of all groups in order, ``links`` an array with ``a * WIDTH + b`` for every link. Keys without tokens have no row.
+    ``groups`` is the text of all groups in order, ``links`` an array with ``a * width + b`` of type ``kind`` for every link. Keys without tokens have no row.
     """
-    dealt = tokens.repartition("key")
     by_key = Window.partitionBy("key")
-
-    def side(ids: str, lengths: str) -> DataFrame:
-        each = dealt.select("key", F.posexplode(F.arrays_zip(F.col(ids).alias("id"), F.col(lengths).alias("len"))).alias("pos", "token"))
-        return each.select("key", F.col("token.id").alias("id"), F.sum("token.len").over(by_key.orderBy("pos")).alias("end"))
-
-    def grouped(own: DataFrame, other: DataFrame, name: str) -> DataFrame:
-        ends = other.select(F.col("key").alias("k2"), F.col("end").alias("e2"))
-        cut = own.join(ends, (F.col("key") == F.col("k2")) & (F.col("end") == F.col("e2")), "left")
-        before = F.count("k2").over(by_key.orderBy("end").rowsBetween(Window.unboundedPreceding, -1))
-        rows = cut.select("key", "end", "id", before.alias("place"))
-        return rows.groupBy("key", "place").agg(F.transform(F.sort_array(F.collect_list(F.struct("end", "id"))), lambda x: x["id"]).alias(name))
-
-    a, b = side("a", "a_len"), side("b", "b_len")
-    groups = grouped(a, b, "a").join(grouped(b, a, "b"), ["key", "place"])
-    links = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: x.cast("long") * WIDTH + y)))
+    each = tokens.repartition("key").select("key", "n_a", F.posexplode(F.arrays_zip("ids", "lengths")).alias("pos", "token"))
+    each = each.select("key", "pos", (F.col("pos") >= F.col("n_a")).alias("other"), F.col("token.ids").alias("id"), F.col("token.lengths").alias("length"))
+    ends = each.select("key", "other", "id", F.sum("length").over(Window.partitionBy("key", "other").orderBy("pos")).alias("end"))
+    met = ends.groupBy("key", "end").agg(F.max(F.when(~F.col("other"), F.col("id"))).alias("a"), F.max(F.when(F.col("other"), F.col("id"))).alias("b"))
+    before = F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).over(by_key.orderBy("end").rowsBetween(Window.unboundedPreceding, -1))
+    ids = lambda x: F.filter(F.transform("tokens", lambda t: t[x]), lambda i: i.isNotNull())
+    groups = met.select("key", "end", "a", "b", F.coalesce(before, F.lit(0)).alias("place")).groupBy("key", "place").agg(F.sort_array(F.collect_list(F.struct("end", "a", "b"))).alias("tokens"))
+    groups = groups.select("key", "place", ids("a").alias("a"), ids("b").alias("b"))
+    links = F.flatten(F.transform("a", lambda x: F.transform("b", lambda y: (x.cast("long") * width + y).cast(kind))))
     groups = groups.select("key", "place", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat_ws("|", F.array_join("a", ","), F.array_join("b", ",")).alias("text"), links.alias("links"))
     parts = F.sort_array(F.collect_list(F.struct("place", "text", "links")))
     out = groups.groupBy("key").agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), F.sum(F.col("n_a").cast("long") * F.col("n_b")).alias("n_links"), parts.alias("parts"))
@@ -152,36 +149,61 @@ def align(tokens: DataFrame) -> DataFrame:
 # Documents
 
 
-def _cut(lists: pa.Array, whole: list[bool], marked: pa.Array) -> pa.ListArray:
-    """Stretches of each text; those that travelled whole as one."""
-    if any(whole):
-        lists = pa.array([[t] if w else x for x, w, t in zip(lists.to_pylist(), whole, marked.to_pylist(), strict=True)], pa.list_(pa.string()))
-    return lists
-
-
 def _upto(sizes: pa.Array) -> np.ndarray:
     """Where parts of these sizes (null: 0) begin, and where the last one ends."""
     return np.concatenate([[0], np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
 
 
-def _slices(docs: pa.Table) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray]]:
+def _has(words: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def stretches_of(texts: pa.Array, apart: bool = True) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of texts (without the blank before each) one after the other, and where each text's begin; null texts have none."""
+    if not apart:
+        return texts.drop_null(), _upto(pc.is_valid(texts).cast(pa.int64()))
+    lists = pc.split_pattern(texts, " ")
+    words, at = lists.flatten(), _upto(pc.list_value_length(lists))
+    named = words.dictionary_encode()
+    plain = _has(named.dictionary, f"^{SAFE}((?s:.*){SAFE})?$")[named.indices.to_numpy()] if len(words) else np.zeros(0, dtype=bool)
+    odd = np.unique(np.repeat(np.arange(len(texts)), np.diff(at))[~plain])
+    if not len(odd):
+        return words, at
+    # Texts with blanks that belong to no word alone: words on both sides of such a blank are one stretch.
+    parts, sizes, done = [], np.diff(at), 0
+    for i in odd.tolist():
+        own = words.slice(at[i], sizes[i])
+        starts, ends = _has(own, f"^{SAFE}"), _has(own, f"{SAFE}$")
+        cut = np.concatenate([[True], starts[1:] & ends[:-1]])
+        plain_words = own.to_pylist()
+        edges = [*np.flatnonzero(cut).tolist(), len(plain_words)]
+        parts += [words.slice(done, at[i] - done), pa.array([" ".join(plain_words[x:y]) for x, y in zip(edges, edges[1:], strict=False)], pa.string())]
+        sizes[i], done = len(edges) - 1, at[i + 1]
+    return pa.concat_arrays([*parts, words.slice(done)]), np.concatenate([[0], np.cumsum(sizes)])
+
+
+def _slices(docs: pa.Table, apart: bool) -> Iterator[tuple[pa.Table, pa.Array, np.ndarray]]:
     """Documents of about ``SLICE`` bytes, their stretches one after the other, and where each document's begin and end."""
     docs = docs.combine_chunks()
-    size = _upto(pc.binary_length(docs.column("marked")))[1:]
-    edges = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), docs.num_rows]
+    size = _upto(pc.binary_length(docs.column("text")))[1:]
+    edges = [0, *(np.flatnonzero(np.diff(size // SLICE)) + 1).tolist(), docs.num_rows] if docs.num_rows else []
     for a, b in zip(edges, edges[1:], strict=False):
         own = docs.slice(a, b - a)
-        marked = own.column("marked").combine_chunks()
-        lists = _cut(pc.split_pattern(marked, SEAM), own.column("whole").to_pylist(), marked)
-        yield own, lists.flatten(), _upto(pc.list_value_length(lists))
+        yield own, *stretches_of(own.column("text").combine_chunks(), apart)
 
 
 def _held(known: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
-    """A column of arrays as one array and where each row's part begins; the last begins where all end."""
-    column = known.column(name).combine_chunks()
+    """A column of arrays as one array, and where each row's part begins; the last begins where all end."""
+    column = known.column(name).combine_chunks() if known.num_rows else pa.array([], pa.list_(pa.int64()))
     return column.flatten().to_numpy(), _upto(pc.list_value_length(column))
 
 
+def _known(known: pa.Table) -> tuple[pa.Array, np.ndarray]:
+    """The stretches of a block, and whether each came back whole."""
+    column = known.column("stretch").combine_chunks() if known.num_rows else pa.array([], pa.string())
+    return column, known.column("fine").to_numpy().astype(bool)
+
+
 def _gathered(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The parts of ``values`` that rows ``at`` have, one after the other, and how long each is."""
     sizes = ends[at + 1] - ends[at]
@@ -189,60 +211,54 @@ def _gathered(values: np.ndarray, ends: np.ndarray, at: np.ndarray) -> tuple[np.
     return values[np.arange(len(start)) + start], sizes
 
 
-def pair_counts_of(docs: pa.Table, known: pa.Table) -> pa.Table:
+def pair_counts_of(docs: pa.Table, known: pa.Table, apart: bool = True) -> pa.Table:
     """In how many documents of a block each id pair is linked."""
-    known = known.combine_chunks()
-    stretches, fine = known.column("stretch").combine_chunks() if known.num_rows else pa.array([], pa.string()), known.column("fine").to_numpy(zero_copy_only=False)
-    links, ends = _held(known, "links") if known.num_rows else (np.zeros(0, dtype=np.int64), np.zeros(1, dtype=np.int64))
+    stretches, fine = _known(known)
+    links, ends = _held(known, "links")
     names, place = np.unique(links, return_inverse=True)
     total = np.zeros(len(names), dtype=np.int64)
-    for own, flat, at in _slices(docs) if docs.num_rows else ():
+    for own, flat, at in _slices(docs, apart):
         which = pc.index_in(flat, value_set=stretches).to_numpy().astype(np.int64)
         doc = np.repeat(np.arange(own.num_rows), np.diff(at))
         bad = np.zeros(own.num_rows, dtype=bool)
         bad[doc[~fine[which]]] = True
         use = np.unique(doc[~bad[doc]] * len(stretches) + which[~bad[doc]])  # each stretch of a document once
-        doc, which = use // len(stretches), use % len(stretches)
+        doc, which = use // max(1, len(stretches)), use % max(1, len(stretches))
         pairs, sizes = _gathered(place, ends, which)
         both = np.unique(np.repeat(doc, sizes) * max(1, len(names)) + pairs)
-        np.add.at(total, both % max(1, len(names)), own.column("n").to_numpy()[both // max(1, len(names))])
+        weights = own.column("n").to_numpy()[both // max(1, len(names))]
+        total += np.bincount(both % max(1, len(names)), weights=weights, minlength=len(names)).astype(np.int64)[: len(names)]
     return pa.table({"pair": pa.array(names.astype(np.int64)), "n": pa.array(total)})
 
 
-def digests_of(docs: pa.Table, known: pa.Table) -> pa.Table:
+def digests_of(docs: pa.Table, known: pa.Table, apart: bool = True) -> pa.Table:
     """The result for the documents of a block."""
-    known = known.combine_chunks()
-    if known.num_rows:
-        stretches, fine, texts = known.column("stretch").combine_chunks(), known.column("fine").to_numpy(zero_copy_only=False), known.column("groups").combine_chunks()
-    else:
-        stretches, fine, texts = pa.array([], pa.string()), np.zeros(0, dtype=bool), pa.array([], pa.string())
+    stretches, fine = _known(known)
+    texts = known.column("groups").combine_chunks() if known.num_rows else pa.array([], pa.string())
     numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    sums = {x: known.column(x).to_numpy() if known.num_rows else np.zeros(0, dtype=np.int64) for x in numbers}
+    sums = {x: known.column(x).to_numpy() for x in numbers}
     out: dict[str, list] = {x: [] for x in ("doc_id", *numbers, "groups_sha256", "n")}
-    for own, flat, at in _slices(docs) if docs.num_rows else ():
+    for own, flat, at in _slices(docs, apart):
         which = pc.index_in(flat, value_set=stretches).to_numpy().astype(np.int64)
         size = np.diff(at)
         doc = np.repeat(np.arange(own.num_rows), size)
         bad = size == 0
         bad[doc[~fine[which]]] = True
         for x in numbers:
-            found = np.bincount(doc, weights=sums[x][which], minlength=own.num_rows) if len(doc) else np.zeros(own.num_rows)
-            if len(doc) and sums[x].max(initial=0) * max(1, size.max(initial=0)) >= 1 << 53:  # beyond what doubles add up exactly
-                found = np.zeros(own.num_rows, dtype=np.int64)
-                np.add.at(found, doc, sums[x][which])
-            out[x].append(np.where(bad, 0, found).astype(np.int64))
+            upto = np.concatenate([[0], np.cumsum(sums[x][which])])
+            out[x].append(np.where(bad, 0, upto[at[1:]] - upto[at[:-1]]))
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), texts.take(pa.array(which))), ";").cast(pa.binary())
-        out["groups_sha256"].append(["" if b else hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for b, x in zip(bad, joined, strict=True)])
+        out["groups_sha256"] += ["" if b else hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for b, x in zip(bad, joined, strict=True)]
         out["doc_id"].append(own.column("doc_id").combine_chunks())
         out["n"].append(own.column("n").to_numpy())
-    ids = pa.chunked_array(out["doc_id"], docs.schema.field("doc_id").type)
     flat = {x: pa.array(np.concatenate(out[x]) if out[x] else np.zeros(0, dtype=np.int64), pa.int64()) for x in (*numbers, "n")}
-    return pa.table({"doc_id": ids, **{x: flat[x] for x in numbers}, "groups_sha256": pa.array([s for x in out["groups_sha256"] for s in x], pa.string()), "n": flat["n"]})
+    ids = pa.chunked_array(out["doc_id"], docs.schema.field("doc_id").type)
+    return pa.table({"doc_id": ids, **{x: flat[x] for x in numbers}, "groups_sha256": pa.array(out["groups_sha256"], pa.string()), "n": flat["n"]})
 
 
-def dealt_documents(docs: DataFrame, text: str, doc_id: str, apart: bool) -> DataFrame:
-    """``block, doc_id, marked, whole, n``: a row for each id and text, with how many rows have them; the marked text is null if there are no tokens."""
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def dealt_documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """``block, doc_id, text, n``: a row for each id and text, with how many rows have them; empty texts are null."""
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.nullif(F.col(text), F.lit("")).alias("text"))
     same = F.xxhash64("text")
     facts = written(rows.groupBy("doc_id", same.alias("h")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")), "rows")
     blocks = max(1, -(-(facts.agg(F.sum("bytes")).first()[0] or 0) // BLOCK))
@@ -253,44 +269,57 @@ def dealt_documents(docs: DataFrame, text: str, doc_id: str, apart: bool) -> Dat
         once = rows.join(known, F.col("doc_id").eqNullSafe(F.col("d2")) & (same == F.col("h")), "left")
         repeated = once.where("h is not null").groupBy("doc_id", "text").agg(F.count("*").alias("n"))
         rows = once.where("h is null").select("doc_id", "text", "n").unionByName(repeated)
-    whole = F.contains("text", F.lit(SEAM)) | F.lit(not apart)
-    spaced = F.concat(F.lit(" "), "text")
-    marked = F.when(F.length("text") > 0, F.when(whole, spaced).otherwise(F.regexp_replace(spaced, f"(?<={SAFE})(?= {SAFE})", SEAM)))
-    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", marked.alias("marked"), F.coalesce(whole, F.lit(False)).alias("whole"), "n")
+    return rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"), "doc_id", "text", "n")
 
 
 def aligned_stretches(dealt: DataFrame, a: str, b: str) -> DataFrame:
-    """``key, stretch, blocks, fine, n_a, n_b, n_groups, n_links, groups, links`` of every distinct stretch."""
-    spark = dealt.sparkSession
-    small_batches(spark, 8192)
-    parts = F.when(F.col("whole"), F.array("marked")).otherwise(F.split("marked", SEAM))
-    # Texts are dealt by block once; the stretches of a block are then distinct without another shuffle.
-    found = dealt.where("marked is not null").select("block", "marked", "whole").repartition("block").select("block", F.explode(F.array_distinct(parts)).alias("stretch")).groupBy("block", "stretch").agg(F.lit(1).alias("one"))
-    found = written(found.select("block", "stretch"), "stretches")
+    """``key, stretch, blocks, fine, n_a, n_b, n_groups, n_links, groups, links`` of every distinct stretch, written once."""
+    small_batches(dealt.sparkSession, 8192)
+    tokenizers = load(a, b)
+    apart, width = tokenizers.apart, tokenizers.width
+    kind = "int" if len(tokenizers.first_bytes) * width < 1 << 31 else "long"
+
+    def distinct(block: pa.Table) -> pa.Table:
+        found = pc.unique(pa.chunked_array([pc.unique(flat) for _, flat, _ in _slices(block, apart)], pa.string()))
+        return pa.table({"block": pa.array(np.full(len(found), block.column("block")[0].as_py()), pa.int64()), "stretch": found})
+
+    found = dealt.where("text is not null").select("block", "text").groupBy("block").applyInArrow(distinct, "block long, stretch string")
     each = found.groupBy("stretch").agg(F.collect_list("block").alias("blocks"))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = load(a, b)
-        ints = pa.list_(pa.int32())
         for x in batches:
-            got = list(both.encode(x.column(0).to_pylist()))
-            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array([g is not None for g in got]), *[pa.array([[] if g is None else g[i] for g in got], ints) for i in range(4)]], names=["stretch", "blocks", "fine", "a", "a_len", "b", "b_len"])
-
-    tokens = each.mapInArrow(tidy(tokenize), "stretch string, blocks array<long>, fine boolean, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
+            fine, (first, second) = both.encode(x.column(0).to_pylist())
+            # The tokens of A, then of B, of each stretch that both give back.
+            sizes = np.stack([first[0] * fine, second[0] * fine], axis=1)
+            ids, lengths = (np.zeros(int(sizes.sum()), dtype=np.int32) for _ in range(2))
+            begin = np.concatenate([[0], np.cumsum(sizes)])[:-1].reshape(sizes.shape) if len(sizes) else sizes
+            for side, (own, i, n) in enumerate((first, second)):
+                use = np.repeat(fine, own)
+                at = np.repeat(begin[:, side], sizes[:, side]) + np.arange(int(sizes[:, side].sum())) - np.repeat(np.cumsum(sizes[:, side]) - sizes[:, side], sizes[:, side])
+                ids[at], lengths[at] = i[use], n[use]
+            ends = pa.array(np.concatenate([[0], np.cumsum(sizes.sum(axis=1))]), pa.int32())
+            arrays = [pa.ListArray.from_arrays(ends, pa.array(v)) for v in (ids, lengths)]
+            yield pa.RecordBatch.from_arrays([x.column(0), x.column(1), pa.array(fine), pa.array(sizes[:, 0].astype(np.int32)), *arrays], names=["stretch", "blocks", "fine", "n_a", "ids", "lengths"])
+
+    tokens = each.mapInArrow(tidy(tokenize), "stretch string, blocks array<long>, fine boolean, n_a int, ids array<int>, lengths array<int>")
     tokens = written(tokens.withColumn("key", F.monotonically_increasing_id()), "tokens")
-    lined = written(align(tokens.where("fine").select("key", "a", "a_len", "b", "b_len")), "aligned")
-    return tokens.select("key", "stretch", "blocks", "fine").join(lined, "key", "left")
+    lined = align(tokens.where("fine").select("key", "n_a", "ids", "lengths"), width, kind)
+    return written(tokens.select("key", "stretch", "blocks", "fine").join(lined, "key", "left"), "aligned")
 
 
 def align_documents(docs: DataFrame, a: str, b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """For each row: tokens by both, groups, links, those that are an A id's most frequent, the sum of their counts, and the hash of the groups."""
     spark = docs.sparkSession
     small_batches(spark)
-    dealt = dealt_documents(docs, text, doc_id, load(a, b).apart)
+    dealt = dealt_documents(docs, text, doc_id)
     each = aligned_stretches(dealt, a, b)
+    tokenizers = load(a, b)
+    apart, width = tokenizers.apart, tokenizers.width
     by_block = each.select(F.explode("blocks").alias("block"), "stretch", "fine", "links")
-    counted = dealt.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(pair_counts_of, "pair long, n long")
-    counts = written(counted.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.expr(f"pair div {WIDTH}")), "pairs")
+    in_block = dealt.where("text is not null").select("block", "text", "n").groupBy("block")
+    counted = in_block.cogroup(by_block.groupBy("block")).applyInArrow(lambda x, y: pair_counts_of(x, y, apart), "pair long, n long")
+    counts = written(counted.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.expr(f"pair div {width}")), "pairs")
     most = counts.groupBy(F.col("a").alias("a2")).agg(F.max("count").alias("most"))
     judged = counts.join(most, F.col("a") == F.col("a2")).select(F.col("pair").alias("p2"), "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
     linked = each.select("key", F.explode("links").alias("pair")).join(judged, F.col("pair") == F.col("p2"))
@@ -298,5 +327,5 @@ def align_documents(docs: DataFrame, a: str, b: str, text: str = "text", doc_id:
     zero = [F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
     by_block = each.drop("links").join(told, "key", "left").select(F.explode("blocks").alias("block"), "stretch", "fine", F.coalesce("groups", F.lit("")).alias("groups"), *zero)
     kind = docs.schema[doc_id].dataType.simpleString()
-    out = dealt.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(digests_of, f"{RESULT.format(kind)}, n long")
+    out = dealt.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(lambda x, y: digests_of(x, y, apart), f"{RESULT.format(kind)}, n long")
     return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n", "col")

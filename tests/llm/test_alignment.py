@@ -7,6 +7,8 @@ import json
 from collections import Counter
 from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -68,7 +70,7 @@ def got(docs):
     return sorted((tuple(r) for r in found.collect()), key=repr)
 
 
-ODD = ["", None, " ", "  ", "a", " a", "a ", "a  b", "a\nb\n\n c \n", "\tx\ty  \n  z", "it's we'll DON'T 'S", "<|endoftext|> <s></s> <0x41> <unk> x", "x▁y z", "▁", "naïve café ÀÉ ß ﬁ ½ ①", "日本語のテキスト と 中文", "🙂 🙂🙂 a🙂b", "a b 　c d e\u0085f", "é x́", "\x00 a\x00b", "12345 67,890.12 $%^ &*()", f"left {alignment.SEAM} right side", "word " * 3000, "q" * 3000, "a" + " " * 50 + "b", "​ x‍ y", "A B C", "A B C"]
+ODD = ["", None, " ", "  ", "a", " a", "a ", "a  b", "a\nb\n\n c \n", "\tx\ty  \n  z", "it's we'll DON'T 'S", "<|endoftext|> <s></s> <0x41> <unk> x", "x▁y z", "▁", "naïve café ÀÉ ß ﬁ ½ ①", "日本語のテキスト と 中文", "🙂 🙂🙂 a🙂b", "a b 　c d e\u0085f", "é x́", "\x00 a\x00b", "12345 67,890.12 $%^ &*()", "left \x01 right side", "word " * 3000, "q" * 3000, "a" + " " * 50 + "b", "​ x‍ y", "A B C", "A B C"]
 
 
 @pytest.mark.parametrize("block", [1 << 24, 300])
@@ -76,7 +78,7 @@ def test_odd_texts(spark, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK", block)
     monkeypatch.setattr(alignment, "SLICE", 500)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "A B C"), (None, "A b"), (None, None), (50, "same row"), (50, "same row"), (50, "same row"), (51, "same row")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("block", "n", "whole", "marked", "key", "d2", "h")})
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("block", "n", "key", "d2", "h", "stretch")})
     assert got(docs) == brute(rows)
 
 
@@ -92,7 +94,17 @@ def test_no_documents(spark):
 
 def test_align_by_ends(spark):
     """Tokens of one key: cuts, groups and links by hand."""
-    rows = [(7, [1, 2, 3], [2, 2, 3], [10, 11, 12, 13], [1, 3, 1, 2]), (8, [5], [4], [6], [4]), (9, [], [], [], [])]
-    tokens = spark.createDataFrame(rows, "key long, a array<int>, a_len array<int>, b array<int>, b_len array<int>")
-    found = {r["key"]: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups"], [divmod(x, alignment.WIDTH) for x in r["links"]]) for r in alignment.align(tokens).collect()}
+    rows = [(7, [1, 2, 3, 10, 11, 12, 13], [2, 2, 3, 1, 3, 1, 2], 3), (8, [5, 6], [4, 4], 1), (9, [], [], 0)]
+    tokens = spark.createDataFrame(rows, "key long, ids array<int>, lengths array<int>, n_a int")
+    found = {r["key"]: (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["groups"], [divmod(x, 100) for x in r["links"]]) for r in alignment.align(tokens, 100).collect()}
     assert found == {7: (3, 4, 2, 6, "1,2|10,11;3|12,13", [(1, 10), (1, 11), (2, 10), (2, 11), (3, 12), (3, 13)]), 8: (1, 1, 1, 1, "5|6", [(5, 6)])}
+
+
+def test_stretches_join_again():
+    rng = np.random.default_rng(0)
+    texts = ["".join(rng.choice(list("ab  \n\té,1▁"), 30)) or "a" for _ in range(200)] + [None, "a", " ", "a b"]
+    flat, at = alignment.stretches_of(pa.array(texts))
+    found = flat.to_pylist()
+    assert [" ".join(found[x:y]) if y > x else None for x, y in zip(at, at[1:], strict=False)] == texts
+    assert alignment.stretches_of(pa.array(["a b", "a  b", "a\n b c"]))[0].to_pylist() == ["a", "b", "a  b", "a\n b", "c"]
+    assert alignment.stretches_of(pa.array(["a b", None]), apart=False)[0].to_pylist() == ["a b"]
