@@ -108,3 +108,11 @@ def test_stretches_join_again():
     assert [" ".join(found[x:y]) if y > x else None for x, y in zip(at, at[1:], strict=False)] == texts
     assert alignment.stretches_of(pa.array(["a b", "a  b", "a\n b c"]))[0].to_pylist() == ["a", "b", "a  b", "a\n b", "c"]
     assert alignment.stretches_of(pa.array(["a b", None]), apart=False)[0].to_pylist() == ["a b"]
+
+
+def test_both_encoders_of_the_first_tokenizer():
+    both = alignment.load(queries.byte_bpe(), queries.piece_bpe())
+    rng = np.random.default_rng(1)
+    texts = [f" {t}" for t in ODD if t] + ["".join(map(chr, rng.choice([*range(1, 128), 0xA0, 0xE9, 0x301, 0x2003, 0x3042, 0x1F642], 40))) for _ in range(2000)]
+    assert both.ranked is not None
+    assert both.first_ids(texts) == [e.ids for e in both.first.encode_batch(texts, add_special_tokens=False)]
