@@ -34,21 +34,24 @@ SELECT page_id, host, path, CASE WHEN host = '' THEN NULL{rule} END AS rule, CAS
 def op10() -> str:
     """Counts, fences by language and source, verdicts."""
     q = quality_rules
-    ratio = {k: f"CASE WHEN {of} > 0 THEN least(({times} * {n}) // {of}, {q.BINS}) ELSE 0 END" for k, (times, n, of) in q.RATIOS.items()}
+    kept = lambda x: f"(({x}) >> greatest(length(bin({x})) - {q.BITS}, 0)) << greatest(length(bin({x})) - {q.BITS}, 0)"
+    ratio = {k: f"CASE WHEN {of} > 0 THEN {kept(f'CAST(({times} * {n}) // {of} AS BIGINT)')} ELSE 0 END" for k, (times, n, of) in q.RATIOS.items()}
     bins = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS ratio, {x} AS bin FROM c WHERE n_words > 0" for k, x in ratio.items())
     quartiles = lambda keys: f"SELECT {keys}ratio, max(total) AS n, min(CASE WHEN upto * 4 >= total THEN bin END) AS q1, min(CASE WHEN upto * 4 >= total * 3 THEN bin END) AS q3 FROM (SELECT {keys}ratio, bin, sum(count(*)) OVER (PARTITION BY {keys}ratio ORDER BY bin) AS upto, sum(count(*)) OVER (PARTITION BY {keys}ratio) AS total FROM b GROUP BY {keys}ratio, bin) GROUP BY {keys}ratio"
     least = " ".join(f"WHEN '{k}' THEN {v}" for k, v in q.LEAST.items())
-    m = q.MIN_ROWS
-    use = lambda x: f"CASE WHEN f1.n >= {m} THEN f1.{x} WHEN f2.n >= {m} THEN f2.{x} ELSE f3.{x} END AS {x}"
+    m = f"{q.PRIOR}::DOUBLE"
+    drawn = lambda n, own, above: f"({n}::DOUBLE * {own}::DOUBLE + {m} * {above}) / ({n}::DOUBLE + {m})"
+    use = lambda x: f"{drawn('f1.n', f'f1.{x}', drawn('f2.n', f'f2.{x}', f'f3.{x}::DOUBLE'))} AS {x}"
     chars = lambda xs: f"length(text) - length(translate(text, '{xs}', ''))"
     ends = ", ".join(f"max(CASE WHEN ratio = '{k}' THEN q1 - {q.REACH} * spread END) AS {k}_min, max(CASE WHEN ratio = '{k}' THEN q3 + {q.REACH} * spread END) AS {k}_max" for k in q.RATIOS)
-    within = " AND ".join(f"{x} BETWEEN coalesce({k}_min, 0) AND coalesce({k}_max, {q.BINS})" for k, x in ratio.items())
+    within = " AND ".join(f"{x} BETWEEN coalesce({k}_min, 0) AND coalesce({k}_max, 1e300)" for k, x in ratio.items())
     return f"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, {_W.format("text")} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM documents),
 c AS (SELECT doc_id, lang, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, {chars(q.SYMBOLS)} AS n_symbols, {chars(q.MARKS)} AS n_marks, {chars("ABCDEFGHIJKLMNOPQRSTUVWXYZ")} AS n_upper, len(lines) - len(list_distinct(lines)) AS n_dup_lines FROM d),
 x AS (SELECT doc_id, unnest(range(greatest(len(w) - 7, 0))) AS p, unnest(list_transform(range(greatest(len(w) - 7, 0)), lambda p: md5(array_to_string(w[p + 1:p + 8], ' ')))) AS g FROM d),
 y AS (SELECT doc_id, g FROM x GROUP BY 1, 2 HAVING count(*) > 1), z AS (SELECT doc_id, count(DISTINCT p + o) AS n_repeat_words FROM x JOIN y USING (doc_id, g) CROSS JOIN range(8) AS t(o) GROUP BY doc_id),
 b AS ({bins}), f1 AS ({quartiles("lang, source, ")}), f2 AS ({quartiles("lang, ")}), f3 AS ({quartiles("")}),
-u AS (SELECT f1.lang, f1.source, f1.ratio, {use("q1")}, {use("q3")}, greatest(f2.q3 - f2.q1, f3.q3 - f3.q1, CASE WHEN f1.n >= {m} THEN f1.q3 - f1.q1 ELSE 0 END, CASE f1.ratio {least} END) AS spread FROM f1 JOIN f2 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.ratio = f2.ratio JOIN f3 ON f1.ratio = f3.ratio),
+v AS (SELECT f1.lang, f1.source, f1.ratio, {use("q1")}, {use("q3")}, greatest(f2.q3 - f2.q1, f3.q3 - f3.q1, CASE f1.ratio {least} END)::DOUBLE AS above FROM f1 JOIN f2 ON f1.lang IS NOT DISTINCT FROM f2.lang AND f1.ratio = f2.ratio JOIN f3 ON f1.ratio = f3.ratio),
+u AS (SELECT lang, source, ratio, q1, q3, greatest(q3 - q1, above) AS spread FROM v),
 g AS (SELECT lang, source, {ends} FROM u GROUP BY 1, 2),
 j AS (SELECT c.*, coalesce(n_repeat_words, 0) AS n_repeat_words, n_words < {q.MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {q.MAX_REPEAT_PC} * n_words AS base_failed, {within} AS within
  FROM c LEFT JOIN z USING (doc_id) LEFT JOIN g ON c.lang IS NOT DISTINCT FROM g.lang AND c.source IS NOT DISTINCT FROM g.source)

@@ -2,14 +2,16 @@
 
 Each rule compares one ratio of a text (``RATIOS``, whole numbers) with a fence on either side, derived from the quartiles of that
 ratio among the documents of the same language and source: ``REACH`` times the spread below the lower quartile and above the
-upper one. The quantile sketch of a group is its count per bin over the
-fixed universe 0..``BINS``; two sketches merge by adding counts, so partial sketches combine before the shuffle, those of
-sources add up to those of languages, and those to the corpus. A group of fewer than ``min_rows`` documents uses the merged
-sketch of its language, and a language with fewer that of the corpus. Quantiles are exact to one bin, and equal on every run.
-The spread is the quartile range of the sketch in use, or the greater one of its language or of the corpus, so that a group half of
+upper one. The quantile sketch of a group is its count per bin. Bins have no end: a ratio is its own bin up to
+``2 ** BITS``, and beyond that keeps its ``BITS`` leading bits, so a bin is never wider than a 128th of what it holds. Two sketches
+merge by adding counts, so partial sketches combine before the shuffle, those of sources add up to those of languages, and those
+to the corpus. Quantiles are exact to one bin, and equal on every run. Every source has quartiles of its own, drawn towards
+those of its language as if ``prior`` documents of the language stood beside its ``n`` (weights n / (n + prior)), and a language's towards those of the
+corpus likewise; no number of documents switches from one to another.
+The spread is the quartile range in use, or the greater one of the language or of the corpus, so that a group half of
 which is copies of one text (range 0) does not reject its other documents; ``LEAST`` only counts where all of these are less.
 
-Nulls: a null text has no words and fails the base rule; null languages and sources are groups of their own. Repeated
+A text of any length is whole: its counts are long, and its ratios have bins however large. Nulls: a null text has no words and fails the base rule; null languages and sources are groups of their own. Repeated
 rows count as often as they stand, and are judged alike; ties share a bin. An empty table gives no rows. Extra columns are kept;
 columns added here take precedence over those of the same name.
 """
@@ -25,13 +27,15 @@ from .common import fits_broadcast, free_name, kept_table, words_of
 SYMBOLS = "#*$%&|<>"
 MARKS = ".,;:!?" + SYMBOLS
 WINDOW = 8
-BINS = 2000
+#: Leading bits that a bin keeps.
+BITS = 8
 #: What the sketches describe: name to (how many, of what, out of). Mean word length in hundredths; marks a thousand words; capitals a thousand characters.
 RATIOS = {"word_len": (100, "word_chars", "n_words"), "mark_pm": (1000, "n_marks", "n_words"), "upper_pm": (1000, "n_upper", "word_chars")}
 LEAST = {"word_len": 10, "mark_pm": 10, "upper_pm": 2}
 #: Where a fence stands: beyond the quartile by this many times the spread.
 REACH = 4
-MIN_ROWS = 50
+#: How many documents of the level above count beside a group's own.
+PRIOR = 50
 MIN_WORDS = 20
 MAX_REPEAT_PC = 30
 
@@ -78,9 +82,15 @@ def repeat_words(df: DataFrame, text: str, out: str = "n_repeat_words") -> DataF
     return df.select(*[c for c in before if c not in ("n_words", "word_chars", out)], new)
 
 
+def bin_of(ratio: Column) -> Column:
+    """The bin of a ratio: its lower end."""
+    drop = F.greatest(F.length(F.bin(ratio)) - BITS, F.lit(0))
+    return F.call_function("shiftleft", F.call_function("shiftright", ratio, drop), drop)
+
+
 def ratio_bins() -> dict[str, Column]:
     """The ratios as bins, from the counts; 0 where there is nothing to divide by."""
-    return {k: F.when(F.col(of) > 0, F.least(F.expr(f"({times} * {n}) div {of}"), F.lit(BINS).cast("long"))).otherwise(F.lit(0).cast("long")) for k, (times, n, of) in RATIOS.items()}
+    return {k: F.when(F.col(of) > 0, bin_of(F.expr(f"({times} * {n}) div {of}"))).otherwise(F.lit(0).cast("long")) for k, (times, n, of) in RATIOS.items()}
 
 
 def sketches(df: DataFrame, text: str, lang: str, source: str) -> DataFrame:
@@ -106,29 +116,33 @@ def _quartiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return upto.groupBy(*keys, "ratio").agg(F.max("all").alias("n"), F.min(F.when(F.col("upto") * 4 >= F.col("all"), F.col("bin"))).alias("q1"), F.min(F.when(F.col("upto") * 4 >= F.col("all") * 3, F.col("bin"))).alias("q3"))
 
 
-def fences(sketch: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
+def fences(sketch: DataFrame, prior: int = PRIOR) -> DataFrame:
     """One row per language and source with two fences per ratio: ``lang, source, <ratio>_min, <ratio>_max``."""
     fine, mid, top = _quartiles(sketch, ["lang", "source"]), _quartiles(sketch, ["lang"]), _quartiles(sketch, [])
     m = mid.select(F.col("lang").alias("l2"), F.col("ratio").alias("r2"), F.struct("n", "q1", "q3").alias("mid"))
     t = top.select(F.col("ratio").alias("r3"), F.struct("n", "q1", "q3").alias("top"))
     all_ = fine.join(m, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("ratio") == F.col("r2"))).join(t, F.col("ratio") == F.col("r3"))
-    use = F.when(F.col("n") >= min_rows, F.struct("n", "q1", "q3")).when(F.col("mid.n") >= min_rows, F.col("mid")).otherwise(F.col("top"))
-    all_ = all_.withColumn("use", use)
-    least = F.create_map(*[x for k, v in LEAST.items() for x in (F.lit(k), F.lit(v).cast("long"))])
+    drawn = lambda n, own, above: (n * own + F.lit(float(prior)) * above) / (n + F.lit(float(prior)))
+    ends = []
+    for x in ("q1", "q3"):
+        of_lang = drawn(F.col("mid.n").cast("double"), F.col(f"mid.{x}").cast("double"), F.col(f"top.{x}").cast("double"))
+        ends.append(drawn(F.col("n").cast("double"), F.col(x).cast("double"), of_lang).alias(x))
+    all_ = all_.withColumn("use", F.struct(*ends))
+    least = F.create_map(*[x for k, v in LEAST.items() for x in (F.lit(k), F.lit(float(v)))])
     ranges = [F.col(f"{x}.q3") - F.col(f"{x}.q1") for x in ("use", "mid", "top")]
     spread = F.lit(REACH) * F.greatest(*ranges, F.element_at(least, F.col("ratio")))
     all_ = all_.select("lang", "source", "ratio", (F.col("use.q1") - spread).alias("low"), (F.col("use.q3") + spread).alias("high"))
     return all_.groupBy("lang", "source").agg(*[F.max(F.when(F.col("ratio") == k, F.col(x))).alias(f"{k}_{end}") for k in RATIOS for x, end in (("low", "min"), ("high", "max"))])
 
 
-def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", min_rows: int = MIN_ROWS) -> DataFrame:
+def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "source", prior: int = PRIOR) -> DataFrame:
     """All rows of ``df`` with the counts, ``base_failed``, the ratios, their fences and ``kept``.
 
     Base rule: fewer than ``MIN_WORDS`` words, or more than ``MAX_REPEAT_PC`` per cent of them in repeated windows. A document
     is kept if it passes the base rule and no ratio is beyond its group's fences. Two passes over the texts: one for the
     sketches, one to judge; between them go only the fences, which are broadcast if they are few and else joined on salted keys.
     """
-    limits = kept_table(fences(sketches(df, text, lang, source), min_rows), "fences")
+    limits = kept_table(fences(sketches(df, text, lang, source), prior), "fences")
     ends = [f"{k}_{end}" for k in RATIOS for end in ("min", "max")]
     t = F.coalesce(F.col(text), F.lit(""))
     out = mark_counts(df, text).withColumns({"n_symbols": how_many(t, SYMBOLS), "n_dup_lines": dup_lines(t)})
@@ -147,5 +161,5 @@ def quality_rules(df: DataFrame, text: str = "text", lang: str = "lang", source:
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PC * F.col("n_words"))
     kept = ~failed
     for k in RATIOS:
-        kept = kept & (F.col(k) >= F.coalesce(F.col(f"{k}_min"), F.lit(0))) & (F.col(k) <= F.coalesce(F.col(f"{k}_max"), F.lit(BINS)))
+        kept = kept & F.coalesce(F.col(k).between(F.col(f"{k}_min"), F.col(f"{k}_max")), F.lit(True))
     return out.withColumns({"base_failed": failed, "kept": kept}).drop(l, s)

@@ -235,7 +235,34 @@ def test_ann_recall_on_the_supplied_vectors(spark, sf):
     near = x[asked] @ x.T
     near[np.arange(len(asked)), asked] = -np.inf
     hits = sum(len(got[int(ids[q])] & set(ids[np.lexsort((ids, -row))[:20]].tolist())) for q, row in zip(asked, near, strict=True))
-    assert hits / (20 * len(asked)) >= 0.93
+    assert hits / (20 * len(asked)) >= (0.97 if sf == "sf0.01" else 0.96)
+
+
+def test_ann_repeated_queries(spark):
+    """A query id that stands two or three times has all its neighbours, once each; candidates that repeat an id are rows each."""
+    rng = np.random.default_rng(2)
+    x = np.round(rng.standard_normal((203, 4)), 2)
+    rows = [(i, x[i].tolist()) for i in range(200)] + [(20, x[20].tolist())] * 2 + [(40, x[40].tolist()), (7, x[7].tolist())]
+    got = {}
+    for r in ann.nearest(frame(spark, rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    assert set(got) == set(range(0, 200, 20)) and all(sorted(r for r, _, _ in found) == list(range(1, 21)) for found in got.values())
+    dot = lambda a, b: float(ann.exact(np.asarray(a), np.asarray(b)[None, :])[0])
+    for q, found in got.items():
+        want = sorted(((-dot(x[q], v), i) for i, v in rows if i != q))[:20]
+        assert [(i, s) for _, i, s in sorted(found)] == [(i, -s) for s, i in want]
+        assert all(i == 7 for i in {i for _, i, _ in found} if [j for _, j, _ in found].count(i) > 1 and i % 20)
+
+
+def test_ann_walk_holds_little():
+    """Distances of many queries to 40,000 centres come in slices."""
+    import tracemalloc
+
+    tree = ann.Tree(np.zeros((40_000, 9)), np.full(40_000, -1), np.zeros(40_000, dtype=int), np.arange(40_000), 40_000)
+    tracemalloc.start()
+    assert sum(len(d) for d in tree.distances(np.ones((200, 9)))) == 200 * 40_000
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
 
 
 def test_ann_clashing_columns(spark):
@@ -669,6 +696,21 @@ def test_quality_counts_and_verdicts(spark):
     assert quality_rules.quality_rules(d.limit(0)).count() == 0
 
 
+def test_bins_have_no_end(spark):
+    values = [0, 1, 255, 256, 257, 511, 512, 1023, 1024, 99_999, 10**12, 2**40 - 1, 2**40]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v long").select(quality_rules.bin_of(F.col("v")).alias("x")).collect()]
+    keep = lambda v: v >> max(v.bit_length() - 8, 0) << max(v.bit_length() - 8, 0)
+    assert got == [keep(v) for v in values] and all(0 <= v - b <= v / 128 for v, b in zip(values, got, strict=True))
+
+
+def test_long_words_are_told_apart(spark):
+    """Words of 20 code points and more: each length has its ratio, and the odd one out goes."""
+    text = lambda n, i: " ".join(f"{i:03}{j:03}" + chr(97 + j % 26) * (n - 6) for j in range(40))
+    rows = [(i, text(20 + i % 6, i), "zh", "s", 0) for i in range(60)] + [(60, text(400, 60), "zh", "s", 0)]
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame(spark, rows)).collect()}
+    assert len({r["word_len"] for r in got.values()}) == 7 and not got[60]["kept"] and all(got[i]["kept"] for i in range(60))
+
+
 def test_quality_of_a_long_text(spark):
     long = "\n".join(words(50, i) for i in range(2_000)) + "\n" + words(50, 0)
     d = docs(spark, [long, *[words(40, 50 + i) for i in range(60)]]).withColumn("n_words", F.lit("clash")).withColumn("word_len_max", F.lit(1))
@@ -689,7 +731,7 @@ def test_one_ratio_two_verdicts(spark):
 def test_fences_of_the_supplied_documents_differ(spark):
     sketch = quality_rules.sketches(table(spark, "/root/testdata/sf0.01", "documents"), "text", "lang", "source")
     limits = quality_rules.fences(sketch).collect()
-    assert all(len({r[f"{k}_max"] for r in limits}) > 1 for k in quality_rules.RATIOS)
+    assert all(len({r[f"{k}_max"] for r in limits}) > len(limits) / 2 for k in quality_rules.RATIOS)  # each source has its own, however few documents it has
 
 
 def test_sketches_merge(spark):
