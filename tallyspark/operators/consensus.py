@@ -1,8 +1,8 @@
 """From evaluations to a winner: recent windows, stake weights, global rates, margin rule, ranking.
 
 Every function maps DataFrames to a DataFrame; ``now`` and block heights are arguments. Rows of a window are ranked per
-validator, so the widest shuffle is by validator; everything after the first aggregate has a row per (validator, miner). Participants and validators are bounded (a network
-has a fixed number of places), so windows over all participants are small.
+validator, so the widest shuffle is by validator; everything after the first aggregate has a row per (validator, miner). What goes in
+one order over all participants (margins, ranks, reports) is a prefix scan over ranges.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tallyspark.functions.scoring import file_label
+from tallyspark.operators.scan import last_before, max_before, numbered
 from tallyspark.sources.documents import participant_rows
 
 
@@ -92,28 +93,27 @@ def _is_prior() -> Column:
 def margin_passes(standing: DataFrame, margin: float) -> DataFrame:
     """Adds ``prior_best`` and ``passed``: whether a candidate beats every strictly earlier prior by the margin.
 
-    Beating all is beating the best, so a running maximum over earlier blocks replaces the pairwise comparison.
+    Beating all is beating the best, so the greatest rate at earlier blocks, a prefix scan, replaces the pairwise comparison.
     """
-    earlier = Window.partitionBy().orderBy(F.col("block").cast("long")).rangeBetween(Window.unboundedPreceding, -1)
-    best = F.max(F.when(_is_prior(), F.col("win_rate"))).over(earlier)
-    out = standing.withColumn("prior_best", best)
+    out = max_before(standing, F.col("block"), F.when(_is_prior(), F.col("win_rate")), "prior_best")
     return out.withColumn("passed", F.col("eligible") & (F.col("prior_best").isNull() | (F.col("win_rate") >= F.col("prior_best") + margin)))
 
 
 def first_failures(standing: DataFrame, margin: float) -> DataFrame:
     """``f_miner, prior_miner, prior_block``: for each candidate that fails, the first prior (by block, name) that it does not beat.
 
-    That prior sets a record among the priors before it, so only record setters are asked: one row of an array in block order, which
-    is at most as long as the participants are many (a network has a fixed number of places) and in general much shorter.
+    That prior sets a record among the priors before it. Records rise with their place, so the first that a candidate does not beat is the
+    least one above its rate: candidates and records (at their rate plus the margin) are put in one order of rates, and a scan from the
+    top gives each candidate the record next above it, which counts if its block is earlier.
     """
     p = standing.where(_is_prior()).select(F.col("block").cast("long").alias("b"), F.col("miner").alias("m"), F.col("win_rate").alias("r"))
-    items = F.array_sort(F.collect_list(F.struct("b", "m", "r")))
-    higher = lambda a, x: (F.size(a) == 0) | (F.get(a, F.size(a) - 1).getField("r") < x["r"])
-    records = F.aggregate("items", F.expr("cast(array() as array<struct<b: bigint, m: string, r: double>>)"), lambda a, x: F.when(higher(a, x), F.concat(a, F.array(x))).otherwise(a))
-    steps = F.broadcast(p.agg(items.alias("items")).select(records.alias("records")))
-    c = standing.where("eligible").select("miner", "block", "win_rate").crossJoin(steps)
-    hit = F.get(F.filter("records", lambda x: (x["b"] < F.col("block")) & ~(F.col("win_rate") >= x["r"] + margin)), F.lit(0))
-    return c.select(F.col("miner").alias("f_miner"), hit.alias("hit")).where("hit is not null").select("f_miner", F.col("hit.m").alias("prior_miner"), F.col("hit.b").alias("prior_block"))
+    # Of a block's priors the first by name that exceeds all before it in the block is a record too: names are places within a block.
+    named = numbered(p, [F.col("b"), F.col("m")], "place")
+    records = max_before(named, F.col("place"), F.col("r"), "best").where("best is null or r > best")
+    marks = records.select((F.col("r") + margin).alias("rate"), F.lit(1).alias("kind"), F.col("m").alias("name"), F.struct("b", "m").alias("mark"), F.lit(None).cast("long").alias("block"))
+    asking = standing.where("eligible").select(F.col("win_rate").alias("rate"), F.lit(0).alias("kind"), F.col("miner").alias("name"), F.lit(None).cast("struct<b: bigint, m: string>").alias("mark"), F.col("block").cast("long").alias("block"))
+    found = last_before(marks.unionByName(asking), [-F.col("rate"), F.col("kind"), F.col("name")], F.col("mark"), "next")
+    return found.where("kind = 0 and next.b < block").select(F.col("name").alias("f_miner"), F.col("next.m").alias("prior_miner"), F.col("next.b").alias("prior_block"))
 
 
 def margin_checks(standing: DataFrame, margin: float) -> DataFrame:
@@ -139,7 +139,7 @@ def winner(passes: DataFrame) -> DataFrame:
 def ranking(standing: DataFrame) -> DataFrame:
     """Adds ``rank``: rate (none: below zero), eligible validators, weighted evaluations, then earlier block and smaller name."""
     order = [F.coalesce("known_rate", F.lit(-1.0)).desc(), F.col("eligible_validator_count").desc(), F.col("weighted_evals").desc(), F.col("block").asc(), F.col("miner").asc()]
-    return standing.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
+    return numbered(standing, order, "rank")
 
 
 def status_reasons(passes: DataFrame, failures: DataFrame, leader: DataFrame, compete_above: int, least_validators: int) -> DataFrame:
@@ -226,7 +226,7 @@ def set_weights(places: DataFrame, participants: DataFrame, leader: DataFrame, a
 
 def report_order(standing: DataFrame) -> DataFrame:
     """Adds ``place`` for the decision's report: rate (none: below zero), block, name."""
-    return standing.withColumn("place", F.row_number().over(Window.partitionBy().orderBy(F.coalesce("known_rate", F.lit(-1.0)).desc(), "block", "miner")))
+    return numbered(standing, [F.coalesce("known_rate", F.lit(-1.0)).desc(), F.col("block").asc(), F.col("miner").asc()], "place")
 
 
 def round_summary(results: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from tallyspark.operators.scan import last_before
 
 
 def latest(log: DataFrame, keys: list[str], seq: list[str]) -> DataFrame:
@@ -94,12 +95,12 @@ def expired(rows: DataFrame, now: Column) -> DataFrame:
 def snapshot_changes(history: DataFrame, ignore: list[str]) -> DataFrame:
     """Snapshots (seq, ...) that differ from the one before, hashed without the ignored columns (the time of writing).
 
-    Only (seq, hash) are put in order, in one task: a row a snapshot, of which there is one a cycle. The snapshots are joined back.
+    Only (seq, hash) are put in order, by a prefix scan; the snapshots are joined back.
     """
     used = [c for c in history.columns if c not in (*ignore, "seq")]
     hashed = history.withColumn("snapshot_hash", F.sha2(F.to_json(F.struct(*used)), 256))
-    before = F.lag("snapshot_hash").over(Window.orderBy("seq"))
-    marks = hashed.select("seq", "snapshot_hash").withColumn("changed", before.isNull() | (before != F.col("snapshot_hash"))).select(F.col("seq").alias("m_seq"), "changed")
+    marks = last_before(hashed.select("seq", "snapshot_hash"), [F.col("seq")], F.col("snapshot_hash"), "before")
+    marks = marks.withColumn("changed", F.col("before").isNull() | (F.col("before") != F.col("snapshot_hash"))).select(F.col("seq").alias("m_seq"), "changed")
     last = F.broadcast(history.agg(F.max("seq").alias("last_seq")))
     return hashed.join(marks.where("changed"), F.col("seq") == F.col("m_seq")).crossJoin(last).withColumn("is_latest", F.col("seq") == F.col("last_seq")).drop("changed", "m_seq", "last_seq")
 
