@@ -49,26 +49,42 @@ def stake_weights(stakes: DataFrame, exponent: float) -> DataFrame:
     return raw.crossJoin(best).withColumn("weight", F.when(F.col("best_weight") > 0, F.col("weight")).otherwise(F.lit(1.0))).drop("best_weight")
 
 
-def ordered_sum(validator: Column, value: Column) -> Column:
-    """A sum in the order of validators, so that its last bits do not depend on partitions; groups have a row per validator."""
-    pairs = F.array_sort(F.collect_list(F.struct(validator.alias("k"), value.alias("v"))))
-    return F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x["v"])
+#: A fraction is summed in so many parts of 32 bits; what lies below 2 ** -128 is cut off.
+PARTS, STEP = 4, float(1 << 32)
+
+
+def exact_sum(value: Column) -> Column:
+    """A sum of finite doubles whose bits do not depend on the order of rows: a partial aggregate, of which nothing is gathered.
+
+    Each value is cut into its whole part and parts of 32 bits, without rounding (a product with a power of two and the difference to the part below are
+    exact). Parts are whole numbers and add up exactly as decimals, in any order; the sums are folded once, from the least.
+    """
+    part, rest = F.floor(value), value
+    parts = [part]
+    for _ in range(PARTS):
+        rest = (rest - part.cast("double")) * STEP
+        part = F.floor(rest)
+        parts.append(part)
+    total = F.lit(0.0)
+    for p in reversed(parts[1:]):
+        total = (total + F.sum(p.cast("decimal(20,0)")).cast("double")) / STEP
+    return total + F.sum(parts[0].cast("decimal(20,0)")).cast("double")
 
 
 def global_scores(stats: DataFrame, weights: DataFrame, compete_above: int, least_per_validator: int = 1) -> DataFrame:
-    """Stake-weighted rates per miner from ``validator, miner, total, wins`` and ``validator, weight``."""
+    """Stake-weighted rates per miner from ``validator, miner, total, wins`` and ``validator, weight``; sums do not depend on partitions, only the lists of validators are gathered."""
     w = weights.select(F.col("validator").alias("w_validator"), "weight")
     rows = stats.where(F.col("total") >= least_per_validator).join(w, F.col("validator") == F.col("w_validator"), "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)))
     rows = rows.where(F.col("weight") > 0).withColumn("rate", F.col("wins") / F.col("total"))
     v = F.col("validator")
     out = rows.groupBy("miner").agg(
-        ordered_sum(v, F.col("weight") * F.col("rate")).alias("weighted_sum"),
-        ordered_sum(v, F.col("weight")).alias("weight_sum"),
+        exact_sum(F.col("weight") * F.col("rate")).alias("weighted_sum"),
+        exact_sum(F.col("weight")).alias("weight_sum"),
         F.sum("total").alias("total"),
         F.sum("wins").alias("wins"),
         F.count("*").alias("validator_count"),
         F.count_if(F.col("total") > compete_above).alias("eligible_validator_count"),
-        ordered_sum(v, F.col("weight") * F.col("total")).alias("weighted_evals"),
+        exact_sum(F.col("weight") * F.col("total")).alias("weighted_evals"),
         F.array_sort(F.collect_list(v)).alias("validators"),
         F.array_sort(F.collect_list(F.when(F.col("total") > compete_above, v))).alias("eligible_validators"),
         F.map_from_entries(F.array_sort(F.collect_list(F.struct(v, F.struct("wins", "total", "rate", "weight"))))).alias("per_validator_stats"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import pytest
@@ -43,3 +44,17 @@ def test_nothing_grows_in_one_task(spark):
         windows = [x for x in plan.split("\n") if "Window [" in x]
         assert len(windows) == 2 and sum("handed_" in x for x in windows) == 1  # one by partition, one over what partitions hand on
     assert C.margin_passes(df, 0.02).where("passed").count() == len([1 for i in range(1000) if all(i % 7 / 10 >= (j % 7) / 10 + 0.02 for j in range(min(i, 7)))])
+
+
+def test_sums_do_not_depend_on_partitions(spark):
+    draw = random.Random(2)
+    values = [draw.choice([1, -1]) * draw.random() * 10.0 ** draw.randint(-12, 9) for _ in range(3000)] + [0.1] * 500 + [1e15, -1e15, 0.0, 2.0**-70]
+    seen = set()
+    for n in (1, 3, 7):
+        draw.shuffle(values)
+        df = spark.createDataFrame([(v,) for v in values], "v double").repartition(n)
+        seen.add(df.agg(C.exact_sum(F.col("v")).alias("s")).first()["s"])
+    assert len(seen) == 1 and abs(seen.pop() - math.fsum(values)) <= 1e-6
+    assert spark.createDataFrame([(0.1,), (0.2,), (0.3,)], "v double").agg(C.exact_sum(F.col("v")).alias("s")).first()["s"] == 0.6
+    plan = spark.range(9).groupBy((F.col("id") % 2).alias("k")).agg(C.exact_sum(F.col("id") / 7).alias("s"))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "partial_sum" in plan
