@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fits_broadcast, kept_table, small_batches, tidy
+from .common import fits_broadcast, scratch, small_batches, tidy
 from .pieces import MARK, PieceModel
 
 #: Bytes of text in a block, about.
@@ -44,6 +44,7 @@ SLICE = 2 << 20
 SAFE = "[\\p{L}\\p{N}!-~]"
 # Fixed value: the words of byte-level vocabularies.
 WORDS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+NUMBERS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 RESULT = "doc_id {}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
@@ -61,10 +62,23 @@ def settings(spark: SparkSession, **wanted: str) -> Iterator[None]:
             spark.conf.set(names[k], v)
 
 
+def dropped(table: DataFrame) -> None:
+    """Removes a table of ``written`` that nothing reads any more."""
+    spark = table.sparkSession
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(table.path_)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``kept_table`` whose shuffles go when it is written, and whose joins by a key and more reuse what lies by that key: keys here are ids of short stretches, so none is hot."""
-    with settings(df.sparkSession, requireAllClusterKeysForCoPartition="false", classic_shuffleDependency_fileCleanup_enabled="true"):
-        return kept_table(df, name)
+    """A table in the shared folder whose shuffles go when it is written, and whose joins by a key and more reuse what lies by that key: keys here are ids of short stretches, so none is hot."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    with settings(spark, requireAllClusterKeysForCoPartition="false", classic_shuffleDependency_fileCleanup_enabled="true"):
+        df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.path_ = path
+    return out
 
 
 # Tokens
@@ -237,6 +251,7 @@ def pair_counts_of(docs: pa.Table, known: pa.Table, apart: bool = True) -> pa.Ta
     stretches, fine = _known(known)
     links, ends = _held(known, "links")
     names, place = np.unique(links, return_inverse=True)
+    place = place.astype(np.int32)
     total = np.zeros(len(names), dtype=np.int64)
     for own, flat, at in _slices(docs, apart):
         which = pc.index_in(flat, value_set=stretches).to_numpy().astype(np.int64)
@@ -246,7 +261,8 @@ def pair_counts_of(docs: pa.Table, known: pa.Table, apart: bool = True) -> pa.Ta
         use = np.unique(doc[~bad[doc]] * len(stretches) + which[~bad[doc]])  # each stretch of a document once
         doc, which = use // max(1, len(stretches)), use % max(1, len(stretches))
         pairs, sizes = _gathered(place, ends, which)
-        both = np.unique(np.repeat(doc, sizes) * max(1, len(names)) + pairs)
+        small = np.int32 if own.num_rows * max(1, len(names)) < 1 << 31 else np.int64
+        both = np.unique(np.repeat((doc * max(1, len(names))).astype(small), sizes) + pairs).astype(np.int64)
         weights = own.column("n").to_numpy()[both // max(1, len(names))]
         total += np.bincount(both % max(1, len(names)), weights=weights, minlength=len(names)).astype(np.int64)[: len(names)]
     return pa.table({"pair": pa.array(names.astype(np.int64)), "n": pa.array(total)})
@@ -254,27 +270,28 @@ def pair_counts_of(docs: pa.Table, known: pa.Table, apart: bool = True) -> pa.Ta
 
 def digests_of(docs: pa.Table, known: pa.Table, apart: bool = True) -> pa.Table:
     """The result for the documents of a block."""
-    stretches, fine = _known(known)
-    texts = known.column("groups").combine_chunks() if known.num_rows else pa.array([], pa.string())
-    numbers = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-    sums = {x: known.column(x).to_numpy() for x in numbers}
-    out: dict[str, list] = {x: [] for x in ("doc_id", *numbers, "groups_sha256", "n")}
+    known = known.combine_chunks()
+    stretches, written_, texts = (known.column(x).combine_chunks() if known.num_rows else pa.array([], pa.string()) for x in ("stretch", "numbers", "groups"))
+    fine = pc.is_valid(written_).to_numpy(zero_copy_only=False)
+    each = pc.split_pattern(pc.fill_null(written_, " ".join("0" * len(NUMBERS))), " ").flatten().cast(pa.int64()).to_numpy().reshape(-1, len(NUMBERS))
+    sums = {x: each[:, i] for i, x in enumerate(NUMBERS)}
+    out: dict[str, list] = {x: [] for x in ("doc_id", *NUMBERS, "groups_sha256", "n")}
     for own, flat, at in _slices(docs, apart):
         which = pc.index_in(flat, value_set=stretches).to_numpy().astype(np.int64)
         size = np.diff(at)
         doc = np.repeat(np.arange(own.num_rows), size)
         bad = size == 0
         bad[doc[~fine[which]]] = True
-        for x in numbers:
+        for x in NUMBERS:
             upto = np.concatenate([[0], np.cumsum(sums[x][which])])
             out[x].append(np.where(bad, 0, upto[at[1:]] - upto[at[:-1]]))
         joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), texts.take(pa.array(which))), ";").cast(pa.binary())
         out["groups_sha256"] += ["" if b else hashlib.sha256(memoryview(x.as_buffer())).hexdigest() for b, x in zip(bad, joined, strict=True)]
         out["doc_id"].append(own.column("doc_id").combine_chunks())
         out["n"].append(own.column("n").to_numpy())
-    flat = {x: pa.array(np.concatenate(out[x]) if out[x] else np.zeros(0, dtype=np.int64), pa.int64()) for x in (*numbers, "n")}
+    flat = {x: pa.array(np.concatenate(out[x]) if out[x] else np.zeros(0, dtype=np.int64), pa.int64()) for x in (*NUMBERS, "n")}
     ids = pa.chunked_array(out["doc_id"], docs.schema.field("doc_id").type)
-    return pa.table({"doc_id": ids, **{x: flat[x] for x in numbers}, "groups_sha256": pa.array(out["groups_sha256"], pa.string()), "n": flat["n"]})
+    return pa.table({"doc_id": ids, **{x: flat[x] for x in NUMBERS}, "groups_sha256": pa.array(out["groups_sha256"], pa.string()), "n": flat["n"]})
 
 
 def dealt_documents(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -326,7 +343,9 @@ def aligned_stretches(dealt: DataFrame, a: str, b: str) -> DataFrame:
     tokens = each.mapInArrow(tidy(tokenize), "stretch string, blocks array<long>, fine boolean, n_a int, ids array<int>, lengths array<int>")
     tokens = written(tokens.withColumn("key", F.monotonically_increasing_id()), "tokens")
     lined = align(tokens.where("fine").select("key", "n_a", "ids", "lengths"), width, kind)
-    return written(tokens.select("key", "stretch", "blocks", "fine").join(lined, "key", "left"), "aligned")
+    each = written(tokens.select("key", "stretch", "blocks", "fine").join(lined, "key", "left"), "aligned")
+    dropped(tokens)
+    return each
 
 
 def align_documents(docs: DataFrame, a: str, b: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -344,9 +363,12 @@ def align_documents(docs: DataFrame, a: str, b: str, text: str = "text", doc_id:
     most = counts.groupBy(F.col("a").alias("a2")).agg(F.max("count").alias("most"))
     judged = counts.join(most, F.col("a") == F.col("a2")).select(F.col("pair").alias("p2"), "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
     linked = each.select("key", F.explode("links").alias("pair")).join(judged, F.col("pair") == F.col("p2"))
-    told = written(linked.groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum")), "counts")
-    zero = [F.coalesce(F.col(x), F.lit(0)).cast("long").alias(x) for x in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")]
-    by_block = each.drop("links").join(told, "key", "left").select(F.explode("blocks").alias("block"), "stretch", "fine", F.coalesce("groups", F.lit("")).alias("groups"), *zero)
+    told = linked.groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
+    # What a document adds up, as one short text; null where the stretch did not come back.
+    numbers = F.when(F.col("fine"), F.concat_ws(" ", *[F.coalesce(F.col(x), F.lit(0)).cast("string") for x in NUMBERS]))
+    whole = written(each.drop("links").join(told, "key", "left").select("stretch", "blocks", numbers.alias("numbers"), F.coalesce("groups", F.lit("")).alias("groups")), "told")
+    dropped(each)
+    by_block = whole.select(F.explode("blocks").alias("block"), "stretch", "numbers", "groups")
     kind = docs.schema[doc_id].dataType.simpleString()
     out = dealt.groupBy("block").cogroup(by_block.groupBy("block")).applyInArrow(lambda x, y: digests_of(x, y, apart), f"{RESULT.format(kind)}, n long")
     return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), "n"))).drop("n", "col")
