@@ -1,8 +1,8 @@
 """Sliding-window limiter, replay protection and leases: the same decisions in batch and as a stream.
 
-A key's state is bounded: at most ``most`` times for the limiter, nonces of one time-to-live for the replay check. In batch, rows are
-sorted by key and time and read in Arrow batches with the state of one key at a time, so a key of any size is never
-held; its decisions depend on each other and are one task. As a stream, events of a micro-batch are handled in time order within their key,
+A key's state is bounded: at most ``most`` times for the limiter, nonces of one time-to-live for the replay check. In batch, replays are found by
+pointer jumping and the limiter's requests are cut at quiet times, so that one key is many tasks; a stretch without quiet times is read in order, in Arrow
+batches, with the state of one key at a time. As a stream, events of a micro-batch are handled in time order within their key,
 and a key's state goes when the event-time watermark has passed its last event by the window.
 """
 
@@ -19,6 +19,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from tallyspark.operators.scan import last_before
+from tallyspark.shared import kept_table
+
 DECISIONS = "key string, seq long, ts double, allowed boolean, retry_after int"
 VERDICTS = "key string, nonce string, seq long, ts double, accepted boolean"
 WRITES = ("POST", "PUT", "PATCH", "DELETE")
@@ -60,13 +63,48 @@ def _in_order(events: DataFrame, keys: list[str], order: list[str], step: Callab
 
 
 def limit_batch(events: DataFrame, most: int, window: float) -> DataFrame:
-    """Decisions for (key, seq, ts)."""
+    """Decisions for (key, seq, ts).
+
+    A request before which fewer than ``most`` others stand within the window is allowed, whatever was decided. Where that holds for all requests of a
+    window, what the limiter remembers is known, and the key's requests are cut there: stretches of a key are decided apart from each other, so
+    a key of any size is as many tasks as it has quiet times. Which requests are quiet is counted by (key, span of one window), a span with the one before it. Only stretches
+    with more requests than the limit are folded in order, for there each decision depends on those before.
+    """
+    rows = events.select("key", F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq"))
+    span = F.floor(F.col("ts") / (window + 1e-6)).cast("long")
+    both = rows.withColumn("span", F.explode(F.array(span, span + 1))).withColumn("own", span == F.col("span"))
+    # The frame of times counts requests of the same time that come later too; those are taken off by places.
+    # A microsecond more than the window, so that no rounding takes a request for a quiet one.
+    wide, micros = window + 1e-6, F.round(F.col("ts") * 1e6).cast("long")
+    within = F.count("*").over(Window.partitionBy("key", "span").orderBy(micros).rangeBetween(-round(wide * 1e6), Window.currentRow))
+    after = F.count("*").over(Window.partitionBy("key", "span", micros)) - F.row_number().over(Window.partitionBy("key", "span", micros).orderBy("ts", "seq"))
+    counted = both.withColumn("before", within - after - 1)
+    counted = kept_table(counted.where("own").select("key", "ts", "seq", (F.col("before") < most).alias("quiet")), "requests")
+    # A cut: a quiet request with only quiet ones in its window.
+    loud = counted.where("not quiet").select("key", F.col("ts").alias("loud_ts"), "seq")
+    if loud.isEmpty():
+        return counted.select("key", "seq", "ts", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"))
+    marks = last_before(counted, [F.col("key"), F.col("ts"), F.col("seq")], F.when(~F.col("quiet"), F.struct("key", "ts")), "loud")
+    marks = marks.withColumn("cut", F.col("quiet") & (F.col("loud").isNull() | (F.col("loud.key") != F.col("key")) | (F.col("loud.ts") < F.col("ts") - wide)))
+    marks = last_before(marks.drop("loud"), [F.col("key"), F.col("ts"), F.col("seq")], F.when(F.col("cut"), F.struct("key", "ts", "seq")), "since")
+    # Behind a cut the requests of its window are what the limiter remembers; a stretch begins with the last cut that has a loud request behind it.
+    begin = F.when(F.col("cut"), F.struct("key", "ts", "seq")).otherwise(F.col("since"))
+    marks = kept_table(marks.select("key", "ts", "seq", "quiet", "cut", begin["ts"].alias("b_ts"), begin["seq"].alias("b_seq")), "cuts")
+    busy = marks.where("not cut").select("key", "b_ts", "b_seq").distinct()
+    lead = marks.select("key", "ts", "seq").join(busy, "key").where((F.col("ts") >= F.col("b_ts") - wide) & (F.struct("ts", "seq") < F.struct("b_ts", "b_seq")))
+    inside = marks.join(busy, ["key", "b_ts", "b_seq"], "left_semi").select("key", "ts", "seq", "b_ts", "b_seq", F.lit(False).alias("known"))
+    folded = inside.unionByName(lead.withColumn("known", F.lit(True)))
+    free = marks.where("cut").join(busy, ["key", "b_ts", "b_seq"], "left_anti").select("key", "seq", "ts", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"))
 
     def step(times: list, row: tuple) -> dict:
-        times[:], ok, wait = limiter_step(times, row[1], most, window)
-        return {"key": row[0], "seq": row[2], "ts": row[1], "allowed": ok, "retry_after": wait}
+        if row[5]:  # decided before the stretch
+            times.append(row[3])
+            return {"key": row[0], "seq": row[4], "ts": row[3], "allowed": True, "retry_after": 0, "known": True}
+        times[:], ok, wait = limiter_step(times, row[3], most, window)
+        return {"key": row[0], "seq": row[4], "ts": row[3], "allowed": ok, "retry_after": wait, "known": False}
 
-    return _in_order(events.select("key", F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq")), ["key"], ["ts", "seq"], step, DECISIONS)
+    decided = _in_order(folded, ["key", "b_ts", "b_seq"], ["ts", "seq"], step, f"{DECISIONS}, known boolean")
+    return free.unionByName(decided.where("not known").drop("known"))
 
 
 def limit_stream(events: DataFrame, most: int, window: float) -> DataFrame:
@@ -90,15 +128,35 @@ def limit_stream(events: DataFrame, most: int, window: float) -> DataFrame:
 
 
 def replay_batch(events: DataFrame, ttl: float) -> DataFrame:
-    """Whether each (key, nonce) is new within the time to live; a rejected repeat does not refresh it. Tasks are dealt by single nonces."""
-
-    def step(last: list, row: tuple) -> dict:
-        seen = {row[1]: last[0]} if last else {}
-        ok = replay_step(seen, row[1], row[2], ttl)
-        last[:] = [seen[row[1]]]
-        return {"key": row[0], "nonce": row[1], "seq": row[3], "ts": row[2], "accepted": ok}
-
-    return _in_order(events.select("key", "nonce", F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq")), ["key", "nonce"], ["ts", "seq"], step, VERDICTS)
+    """Whether each (key, nonce) is new within the time to live; a rejected repeat does not refresh it.
+
+    After an accepted time the next one accepted is the first beyond it by more than the time to live: a link from each time to one other, found by a
+    scan. What is accepted are the times reached from those with nothing in the time to live before them; they are found by
+    pointer jumping, in as many rounds as the longest chain has binary digits. All of it is joins, so a nonce of any size is many tasks. Times count in whole microseconds.
+    """
+    rows = events.select("key", "nonce", F.col("ts").cast("double").alias("ts"), F.col("seq").cast("long").alias("seq"))
+    who, micros, life = F.struct("key", "nonce"), F.round(F.col("ts") * 1e6).cast("long"), round(ttl * 1e6)
+    times = kept_table(rows.groupBy(who.alias("who"), micros.alias("t")).agg(F.min("seq").alias("first")), "times")
+    # In falling order: the last time seen before ``t + life`` is the least one beyond it.
+    asked = times.select("who", (F.col("t") + life).alias("at"), F.lit(0).alias("kind"), "t").unionByName(times.select("who", F.col("t").alias("at"), F.lit(1).alias("kind"), "t"))
+    ordered = [F.xxhash64("who"), F.col("who"), -F.col("at"), F.col("kind")]
+    found = last_before(asked, ordered, F.when(F.col("kind") == 1, F.struct("who", "t")), "next").where("kind = 0 and next.who <=> who")
+    links = kept_table(found.select("who", "t", F.col("next.t").alias("to")), "links")
+    back = last_before(times, [F.xxhash64("who"), F.col("who"), F.col("t")], F.struct("who", "t"), "before")
+    free = back.where(~F.col("before.who").eqNullSafe(F.col("who")) | (F.col("t") - F.col("before.t") > life))
+    accepted = kept_table(free.select("who", "t"), "accepted")
+    same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
+    while True:
+        step = links.select(F.col("who").alias("w2"), F.col("t").alias("t2"), "to")
+        more = accepted.join(step, same("who", "w2") & (F.col("t") == F.col("t2"))).select("who", F.col("to").alias("t")).distinct()
+        new = kept_table(more.join(accepted.select(F.col("who").alias("w3"), F.col("t").alias("t3")), same("who", "w3") & (F.col("t") == F.col("t3")), "left_anti"), "reached")
+        if new.isEmpty():
+            break
+        accepted = kept_table(accepted.unionByName(new), "accepted")
+        links = kept_table(links.join(step.withColumnRenamed("to", "further"), same("who", "w2") & (F.col("to") == F.col("t2"))).select("who", "t", F.col("further").alias("to")), "links")
+    once = times.join(accepted.select(F.col("who").alias("w4"), F.col("t").alias("t4")), same("who", "w4") & (F.col("t") == F.col("t4"))).select("w4", "t4", "first")
+    out = rows.withColumns({"who": who, "t": micros}).join(once, same("who", "w4") & (F.col("t") == F.col("t4")), "left")
+    return out.select("key", "nonce", "seq", "ts", F.coalesce(F.col("seq") == F.col("first"), F.lit(False)).alias("accepted"))
 
 
 def replay_stream(events: DataFrame, ttl: float) -> DataFrame:
