@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import re
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -12,9 +11,9 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyspark.functions.scoring import number_or_zero, score_from_json, strip
+from tallyspark.sources.connectors import evaluation_documents
 
 _RESULT = "struct<slug: string, evaluation: struct<score: string, generated_wins: boolean>>"
 DOCUMENT = f"struct<participants: map<string, {_RESULT}>, miners: map<string, {_RESULT}>>"
@@ -29,34 +28,9 @@ def recent_documents(spark: SparkSession, roots: str | dict[str, str], n: int) -
     """``bucket, evaluation_id, content`` of the newest ``n`` ids under each root (all if n is not positive); one root is bucket ``''``.
 
     Names are listed and ranked without reading contents, so unreadable files use up places of the window too; then only the
-    files of the window (``n`` a bucket, whose paths pass through the driver) are read.
+    files of the window are read. Listing, ranking and reading are one scan on executors: no path passes through the driver.
     """
-    buckets = {"": roots} if isinstance(roots, str) else roots
-    found = None
-    for bucket, root in buckets.items():
-        own = _scan(spark, [root]).select(F.lit(bucket).alias("bucket"), _id_under(root).alias("evaluation_id"), *(["path"] if n > 0 else [F.decode("content", "UTF-8").alias("content")]))
-        own = own.where("evaluation_id is not null")
-        own = own.orderBy(F.col("evaluation_id").desc()).limit(n) if n > 0 else own
-        found = own if found is None else found.unionByName(own)
-    if n <= 0:
-        return found
-    names = found.collect()
-    empty = "bucket string, evaluation_id string, content string"
-    if not names:
-        return spark.createDataFrame([], empty)
-    listed = spark.createDataFrame([(r["bucket"], r["evaluation_id"], r["path"]) for r in names], "bucket string, evaluation_id string, path string")
-    return _scan(spark, [r["path"] for r in names]).join(F.broadcast(listed), "path").select("bucket", "evaluation_id", F.decode("content", "UTF-8").alias("content"))
-
-
-def _scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Files of evaluations; their content is read only where it is selected."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "metadata.json").load(paths)
-
-
-def _id_under(root: str) -> Column:
-    base = re.sub("^file:/+", "/", root).rstrip("/")
-    plain = F.regexp_replace("path", "^file:/+", "/")
-    return evaluation_id(F.when(plain.startswith(f"{base}/"), F.substring(plain, len(base) + 2, 1 << 30)).otherwise(plain))
+    return evaluation_documents(spark, {"": roots} if isinstance(roots, str) else roots, n)
 
 
 def participant_rows(docs: DataFrame, keys: tuple[str, ...] = ("evaluation_id",)) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from tallyspark.operators import registry as R
 from tallyspark.operators import sinks
 from tallyspark.operators import state as K
 from tallyspark.plans import more, registry
+from tallyspark.sources import connectors
 from tallyspark.sources import documents as J
 from tallyspark.streaming import limits as L
 
@@ -189,7 +191,7 @@ def test_first_failures_match_the_pairs(spark):
 # Sources and sinks
 
 
-def test_only_the_window_is_read(spark, tmp_path):
+def test_only_the_window_is_read(spark, tmp_path, monkeypatch):
     def put(name, text):
         (tmp_path / name).mkdir(parents=True)
         (tmp_path / name / "metadata.json").write_text(text)
@@ -197,16 +199,14 @@ def test_only_the_window_is_read(spark, tmp_path):
     put("a/2025/01", "x" * 5000)
     put("a/2025/02", '{"participants": {"m": {"evaluation": {"score": 1}}}}')
     put("b/2025/01", '{"participants": {"m": {"evaluation": {"score": 0}}}}')
-    key = "spark.sql.sources.binaryFile.maxLength"
-    spark.conf.set(key, "1000")
-    try:
-        docs = J.recent_documents(spark, {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}, 1)
-        assert sorted((r["bucket"], r["evaluation_id"]) for r in docs.collect()) == [("a", "2025/02"), ("b", "2025/01")]
-        with pytest.raises(Exception, match="length"):
-            J.recent_documents(spark, str(tmp_path / "a"), 0).collect()
-        assert {r["bytes"] for r in J.file_listing(spark, str(tmp_path), ".json").collect()} == {5000, 53}
-    finally:
-        spark.conf.unset(key)
+    roots = {"a": str(tmp_path / "a"), "b": str(tmp_path / "b")}
+    assert sorted((r["bucket"], r["evaluation_id"]) for r in J.recent_documents(spark, roots, 1).collect()) == [("a", "2025/02"), ("b", "2025/01")]
+    read = []
+    monkeypatch.setattr(connectors, "_content", lambda place, path: read.append(path) or "")
+    reader = connectors.EvaluationReader({"buckets": json.dumps(roots), "newest": "1"})
+    assert len([list(reader.read(p)) for p in reader.partitions()]) == 1
+    assert read == [f"{tmp_path}/a/2025/02/metadata.json", f"{tmp_path}/b/2025/01/metadata.json"]
+    assert {r["bytes"] for r in J.file_listing(spark, str(tmp_path), ".json").collect()} == {5000, 53}
 
 
 def test_document_stats(spark):
