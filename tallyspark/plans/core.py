@@ -286,10 +286,12 @@ def props_decode(s, d):
     return T.load(s, d, "events").select("event_id", F.expr(_PROPS).alias("props")).select("event_id", m.alias("m")).select("event_id", F.element_at("m", "k").alias("k"), F.when(F.col("m").isNotNull(), F.size("m")).cast("long").alias("n"))
 
 
-@query("prompt_format", "SELECT doc_id, CASE WHEN trim(split_part(text, chr(10), 1)) = '' THEN 'lang: ' || lang || ' | source: ' || source ELSE trim(split_part(text, chr(10), 1)) || ' | lang: ' || lang || ' | source: ' || source END AS prompt FROM documents")
+_STRIPPED = "regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g')"
+
+
+@query("prompt_format", f"""WITH p AS (SELECT doc_id, {_STRIPPED} AS spoken, concat_ws(' | ', 'lang: ' || nullif(lang, ''), 'source: ' || nullif(source, '')) AS rest FROM documents) SELECT doc_id, concat_ws(' | ', nullif(spoken, ''), nullif(rest, '')) AS prompt FROM p""")
 def prompt_format(s, d):
-    first = F.get(F.split("text", "\n"), F.lit(0))
-    return T.load(s, d, "documents").select("doc_id", S.prompt_text(first, F.lit(None).cast("string"), {"lang": F.col("lang"), "source": F.col("source")}).alias("prompt"))
+    return T.load(s, d, "documents").select("doc_id", S.prompt_text(F.col("text"), F.lit(None).cast("string"), {"lang": F.col("lang"), "source": F.col("source")}).alias("prompt"))
 
 
 _PROMPT = """CASE doc_id % 7 WHEN 0 THEN lang || ' | ' || source WHEN 1 THEN NULL WHEN 2 THEN '  ' WHEN 3 THEN 'pitch: low | tone: warm' WHEN 4 THEN ' | calm' WHEN 5 THEN ' hi there ' ELSE 'hi | a | b' END"""
@@ -481,10 +483,12 @@ def bulk_lookup(s, d):
     return T.load(s, d, "documents").select("doc_id").join(T.load(s, d, "labels").select("doc_id", "quality"), "doc_id")
 
 
-@query("newest_prefix", f"WITH {EV} SELECT validator AS bucket, max(evaluation_id) AS newest FROM ev GROUP BY 1")
+@query("newest_prefix", f"WITH {EV}, n AS (SELECT max(l_shipdate) AS now FROM ev) SELECT validator AS bucket, max(evaluation_id) AS newest, CAST(epoch(now) AS BIGINT) - CAST(epoch(strptime(max(evaluation_id), '%Y-%m-%d_%H-%M-%S')) AS BIGINT) AS age FROM ev, n GROUP BY validator, now")
 def newest_prefix(s, d):
-    ev = T.evaluations(s, d).select(F.col("validator").alias("bucket"), F.col("evaluation_id").alias("prefix"))
-    return J.newest_age(ev, F.current_timestamp()).select("bucket", "newest")
+    ev = T.evaluations(s, d)
+    now = F.broadcast(ev.agg(F.max("l_shipdate").cast("timestamp").alias("now")))
+    rows = ev.select(F.col("validator").alias("bucket"), F.col("evaluation_id").alias("prefix"))
+    return J.newest_age(rows, F.col("now"), now).select("bucket", "newest", "age")
 
 
 @query("status_update", "SELECT l_orderstatus, updated, count(*) AS n FROM (SELECT CASE WHEN o_orderstatus = 'P' THEN 'F' ELSE o_orderstatus END AS l_orderstatus, o_orderstatus = 'P' AS updated FROM orders) GROUP BY 1, 2")

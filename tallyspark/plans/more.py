@@ -13,9 +13,10 @@ from tallyspark.functions import scoring as S
 from tallyspark.operators import consensus as C
 from tallyspark.operators import registry as R
 from tallyspark.operators import state as K
+from tallyspark.operators import tables as B
 from tallyspark.plans import tables as T
 from tallyspark.plans.core import EV, GLOBAL, LEAST, WINDOW_IDS, _commits, _passes, _standings, query
-from tallyspark.shared import kept_table
+from tallyspark.shared import kept_table, scratch
 from tallyspark.sources import documents as J
 
 INPUTS = {
@@ -214,11 +215,11 @@ def round_summary(s, d):
     return C.round_summary(rows).select("evaluation_id", "n", F.col("passes").cast("long").alias("passes"), F.round("mean_score", 6).alias("mean_score"))
 
 
-@query("with_audio", "SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL AND turn > 0")
+@query("with_audio", "SELECT conv_id, turn FROM conversations WHERE text IS NOT NULL")
 def with_audio(s, d):
     c = T.load(s, d, "conversations")
     key = F.concat_ws(":", "conv_id", "turn")
-    return C.with_audio(c.where("turn > 0").select(key.alias("hotkey"), "conv_id", "turn"), c.select(key.alias("hotkey"), F.col("text").alias("audio")).dropDuplicates(["hotkey"]), "hotkey").select("conv_id", "turn")
+    return C.with_audio(c.select(key.alias("hotkey"), "conv_id", "turn"), c.select(key.alias("hotkey"), F.col("text").alias("audio")).dropDuplicates(["hotkey"]), "hotkey").select("conv_id", "turn")
 
 
 @query("slot_pins", "WITH b AS (SELECT o_orderkey AS block, o_orderkey // 300 * 300 AS boundary FROM orders), l AS (SELECT *, CASE block % 3 WHEN 1 THEN boundary WHEN 2 THEN boundary - 300 END AS last FROM b) SELECT block, CASE WHEN last IS NOT NULL AND last = boundary THEN NULL WHEN block - boundary <= 50 THEN boundary WHEN last IS NULL THEN block END AS pin FROM l")
@@ -309,11 +310,32 @@ def set_weights(s, d):
     return _set_weights(s, d, "stake > 0")
 
 
-@query("burnt_weights", "SELECT 0::BIGINT AS uid, 1.0::DOUBLE AS weight")
+@query("burnt_weights", f"""WITH {GLOBAL}, richest AS (SELECT max(s_acctbal) AS most FROM supplier), n AS (SELECT count(*) FILTER (WHERE s_acctbal >= most) AS active, count(*) FILTER (WHERE s_acctbal < most) AS others FROM supplier, richest),
+l AS (SELECT CASE WHEN (SELECT active FROM n) >= {LEAST} THEN (SELECT winner FROM lead_) END AS leader) SELECT block - 1 AS uid, CASE WHEN miner = leader THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS weight FROM people, l WHERE leader IS NOT NULL
+UNION ALL SELECT (SELECT min(block) - 1 FROM people), 1.0::DOUBLE FROM l WHERE leader IS NULL""")
 def burnt_weights(s, d):
-    return _set_weights(s, d, "stake > 1e12")
+    """Only validators with the greatest stake count as active, which are fewer than are needed unless stakes tie; the earliest place burns."""
+    people = T.participants(s, d)
+    places = kept_table(people.select((F.col("block") - 1).alias("uid"), F.col("miner").alias("hotkey")), "places")
+    stakes = T.stakes(s, d)
+    active = stakes.join(F.broadcast(stakes.agg(F.max("stake").alias("most"))), F.col("stake") >= F.col("most"))
+    return C.set_weights(places, places, C.winner(_passes(s, d)), active, LEAST, places.agg(F.min("uid")).first()[0])
 
 
 @query("report_order", f"WITH {GLOBAL} SELECT miner, row_number() OVER (ORDER BY coalesce(known_rate, -1) DESC, block, miner) AS place FROM st")
 def report_order(s, d):
     return C.report_order(_standings(s, d)).select("miner", F.col("place").cast("long").alias("place"))
+
+
+@query("fingerprint_upsert", """WITH t AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS name FROM documents),
+r AS (SELECT doc_id, source, sum(strlen(line)) AS total_bytes, count(*) AS tensor_count, '{' || string_agg('"' || name || '":"' || sha256(line) || '"', ',' ORDER BY CAST(name AS VARCHAR)) || '}' AS tensors FROM t GROUP BY 1, 2)
+SELECT CAST(doc_id AS VARCHAR) AS model, source AS revision, CAST(total_bytes AS BIGINT) AS total_bytes, CAST(tensor_count AS INT) AS tensor_count, sha256(tensors) AS tensors_hash, doc_id + CASE WHEN tensor_count > 1 THEN 1 ELSE 0 END AS commit_block FROM r""")
+def fingerprint_upsert(s, d):
+    """All documents' fingerprints are put in, then those of more than one line once more with a later block, and read back."""
+    lines = T.load(s, d, "documents").select("doc_id", "source", F.split("text", "\n").alias("lines"))
+    tensors = lines.select(F.col("doc_id").cast("string").alias("model"), F.col("source").alias("revision"), F.col("doc_id").alias("block"), F.posexplode("lines").alias("name", "line"))
+    rows = kept_table(B.fingerprint_rows(tensors.select("model", "revision", "block", "name", F.sha2("line", 256).alias("hash"), F.octet_length("line").alias("bytes"))), "rows")
+    table = B.fingerprint_table(s, scratch(s, "fingerprints"), 16)
+    table.upsert(rows)
+    table.upsert(rows.where("tensor_count > 1").withColumn("commit_block", F.col("commit_block") + 1))
+    return table.read().drop("tensors")

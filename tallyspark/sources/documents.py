@@ -68,9 +68,10 @@ def within(c: Column, least: float, most: float) -> Column:
     return F.coalesce(c.between(least, most), F.lit(False))
 
 
-def newest_age(prefixes: DataFrame, now: Column) -> DataFrame:
-    """Seconds since the greatest first path segment; null if that is no time (even if smaller ones are)."""
+def newest_age(prefixes: DataFrame, now: Column, clock: DataFrame | None = None) -> DataFrame:
+    """Seconds since the greatest first path segment; null if that is no time (even if smaller ones are). ``clock``: one row with columns that ``now`` names."""
     top = prefixes.groupBy("bucket").agg(F.max("prefix").alias("newest"))
+    top = top if clock is None else top.crossJoin(clock)
     return top.withColumn("age", F.unix_timestamp(now) - F.unix_timestamp(F.try_to_timestamp("newest", F.lit("yyyy-MM-dd_HH-mm-ss"))))
 
 
