@@ -346,6 +346,23 @@ def fingerprint_collision(s, d):
     return D.collisions(T.tensors(s, d), T.tensors(s, d), DEFAULTS.clone_share)
 
 
+_ARRIVAL = "{0} * 1103515245 % 2147483647"
+
+
+@query("fingerprint_audit", f"""WITH RECURSIVE {_OVERLAP}, p AS (SELECT one AS m, other AS e FROM o JOIN z ON uid = one WHERE shared / size >= {DEFAULTS.clone_share}), k AS (SELECT m AS uid FROM p UNION SELECT e FROM p),
+l AS (SELECT uid, row_number() OVER (ORDER BY {_ARRIVAL.format("uid")}) AS n, list(e) FILTER (WHERE e IS NOT NULL) AS found FROM k LEFT JOIN p ON p.m = uid GROUP BY uid),
+s AS (SELECT 0::BIGINT AS n, []::BIGINT[] AS alive, NULL::BIGINT AS uid, NULL::BIGINT AS hit, []::BIGINT[] AS gone UNION ALL
+ SELECT n, CASE WHEN hit IS NULL THEN list_append(list_filter(alive, lambda a: NOT list_contains(ms, a)), uid) ELSE alive END, uid, hit, CASE WHEN hit IS NULL THEN ms ELSE [] END
+ FROM (SELECT *, list_min(list_filter(ms, lambda e: NOT (uid > 0 AND uid < e))) AS hit FROM (SELECT l.n, l.uid, s.alive, coalesce(list_filter(l.found, lambda e: list_contains(s.alive, e)), []) AS ms FROM s JOIN l ON l.n = s.n + 1))),
+g AS (SELECT unnest(gone) AS evicted, uid AS evicted_by FROM s)
+SELECT z.uid, s.hit IS NULL AS accepted, s.hit AS collides_with, g.evicted_by FROM z LEFT JOIN s ON s.uid = z.uid LEFT JOIN g ON g.evicted = z.uid""")
+def fingerprint_audit(s, d):
+    """Documents arrive in an order of their own, all into an empty store."""
+    t = T.tensors(s, d)
+    verdicts, evicted = D.audit_arrivals(t.withColumn("seq", F.expr(_ARRIVAL.format("uid"))), t.limit(0), DEFAULTS.clone_share)
+    return verdicts.join(evicted.withColumnRenamed("uid", "e_uid"), F.col("uid") == F.col("e_uid"), "left").drop("e_uid")
+
+
 @query("blocklist_mark", "SELECT doc_id AS uid, coalesce(doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1), false) AS blocked FROM documents")
 def blocklist_mark(s, d):
     blocked = T.load(s, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("uid"))
