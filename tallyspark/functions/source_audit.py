@@ -16,6 +16,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyspark.functions.yaml_text import top_level
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -112,23 +114,19 @@ def hash_reason(source: Column, expected: str) -> Column:
 
 
 def config_reason(text: str | None, expected: str, key: str = "model_name") -> str | None:
-    """Objection to a flat ``key: value`` configuration whose ``key`` must have the expected value."""
+    """Objection to a YAML configuration whose top-level ``key`` must have the expected value."""
     if not (text or "").strip():
         return "config_empty"
-    found: dict[str, str] = {}
-    for line in text.splitlines():
-        line = line.partition(" #")[0].rstrip()
-        if not line or line.lstrip().startswith("#") or line in ("---", "..."):
-            continue
-        if line[0] in " \t":  # nested values do not matter here
-            continue
-        m = re.match(r"([\w.-]+)\s*:(?:\s+(.*))?$", line)
-        if not m:
-            return "config_not_a_mapping" if line.startswith("- ") or ":" not in line else "config_parse_error"
-        found[m[1]] = (m[2] or "").strip().strip("'\"")
-    if not found.get(key):
+    try:
+        found = top_level(text)
+    except ValueError:
+        return "config_parse_error"
+    if found is None:
+        return "config_not_a_mapping"
+    value = (found.get(key) or "").strip()
+    if not value or value in ("False", "0", "0.0"):
         return f"config_missing_{key}"
-    return None if found[key] == expected else f"{key}_mismatch:yaml={found[key]}"
+    return None if value == expected else f"{key}_mismatch:yaml={value}"
 
 
 def text_column(check: Callable[[str | None], str | None], column: Column) -> Column:

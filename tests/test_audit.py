@@ -37,7 +37,21 @@ def test_constants_and_hash():
     assert one == two != A.normalized_hash('R = "a"\nx=2', ("R",)) and A.normalized_hash("(", ()) is None
 
 
-@pytest.mark.parametrize(("text", "want"), [("", "config_empty"), ("- a", "config_not_a_mapping"), ("a: 1", "config_missing_model_name"), ("model_name: 'm'  # x\nz:\n  y: 1", None), ("model_name: q", "model_name_mismatch:yaml=q")])
+CONFIGS = [
+    ("model_name: m",None),('"model_name": m',None),("'model_name': m",None),("{model_name: m}",None),('{"model_name": "m", other: [1, 2]}',None),
+    ("model_name: >-\n  m\n",None),("model_name: |\n  m\n",None),("list: [a,\n  b]\nmodel_name: m",None),("a key: 1\nmodel_name: m",None),
+    ("model_name: m # which\n",None),("# c\n---\nmodel_name: m\n...\n",None),("%YAML 1.1\n---\nmodel_name: m",None),("model_name: 'm'",None),('model_name: "\\x6d"',None),
+    ("model_name:\n  m\n",None),("x: &a m\nmodel_name: *a",None),("model_name: !!str m",None),("deep:\n  model_name: z\nmodel_name: m",None),("list:\n- a\n- b: c\nmodel_name: m",None),
+    ("  model_name: m\n  x: y",None),("x: 'two\n  lines'\nmodel_name: m",None),("model_name: z\nmodel_name: m",None),("model_name: org/name:v1","model_name_mismatch:yaml=org/name:v1"),
+    ("model_name: n","model_name_mismatch:yaml=n"),("model_name: a b","model_name_mismatch:yaml=a b"),("model_name: a\n  b","model_name_mismatch:yaml=a b"),
+    ("model_name:","config_missing_model_name"),("model_name: ~","config_missing_model_name"),("model_name: ''","config_missing_model_name"),("other: m","config_missing_model_name"),("model_name:\n  nested: m","config_missing_model_name") ,
+    ("# only a comment","config_missing_model_name"),("",  "config_empty"),(None,"config_empty"),(" \n","config_empty"),
+    ("- a\n- b","config_not_a_mapping"),("[a, b]","config_not_a_mapping"),("just text","config_not_a_mapping"),("'quoted'","config_not_a_mapping"),
+    ("model_name: 'm","config_parse_error"),("model_name: [a","config_parse_error"),("{model_name: m","config_parse_error"),("model_name: m\n\tx: y","config_parse_error"),("model_name: a: b","config_parse_error"),("model_name: m\n x: y","config_parse_error"),("a: 1\nno entry","config_parse_error"),("model_name: *none","config_parse_error"),("model_name: @m","config_parse_error"),("a: 1\n---\nb: 2","config_parse_error"),
+]
+
+
+@pytest.mark.parametrize(("text", "want"), CONFIGS)
 def test_config(text, want):
     assert A.config_reason(text, "m") == want
 
