@@ -82,18 +82,22 @@ def constants(source: str | None, names: tuple[str, ...]) -> dict[str, str]:
     return {n: bound.get(n, "") for n in names}
 
 
+def masked_text(source: str, masked: tuple[str, ...]) -> str:
+    """The source with what is assigned to the masked names emptied, wherever it stands: from the first quote after the sign to the next one."""
+    for name in masked:
+        source = re.sub(rf"""{re.escape(name)}\s*=\s*["'].*?["']""", f'{name} = ""', source, flags=re.DOTALL)
+    return source
+
+
 def normalized_hash(source: str | None, masked: tuple[str, ...]) -> str | None:
-    """sha256 of the syntax tree without positions and with the text constants of ``masked`` emptied; null for a syntax error.
+    """sha256 of the syntax tree, without positions, of the source with ``masked`` emptied in its text; null for a syntax error.
 
     Comparable only between runs of one Python version.
     """
     try:
-        tree = ast.parse(source or "")
+        tree = ast.parse(masked_text(source or "", masked))
     except (SyntaxError, ValueError):
         return None
-    for s in tree.body:
-        if isinstance(s, ast.Assign) and len(s.targets) == 1 and isinstance(s.targets[0], ast.Name) and s.targets[0].id in masked:
-            s.value = ast.Constant("")
     return hashlib.sha256(ast.dump(tree).encode()).hexdigest()
 
 

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 NAME = "metadata.json"
 
 
-def _place(uri: str) -> tuple[fs.FileSystem, str]:
+def place_of(uri: str) -> tuple[fs.FileSystem, str]:
     """Filesystem and path of a URI or a local path."""
     if "://" not in uri and not uri.startswith("file:"):
         return fs.LocalFileSystem(), uri.rstrip("/")
@@ -87,7 +87,7 @@ class EvaluationReader(DataSourceReader):
 
     def read(self, partition: _Buckets) -> Iterator[tuple]:
         for bucket, uri in partition.value:
-            place, root = _place(uri)
+            place, root = place_of(uri)
             for x in newest_ids(place, root, self.n):
                 yield bucket, x, _content(place, f"{root}/{x}/{NAME}")
 
@@ -109,7 +109,7 @@ class EvaluationSource(DataSource):
 
 def folder_page(path: str, offset: int, limit: int) -> list:
     """A page from a folder that stands for the service: ``<offset>.json`` holds the rows from there, under ``books``; no file, no rows."""
-    place, root = _place(path)
+    place, root = place_of(path)
     name = f"{root}/{offset}.json"
     if place.get_file_info(name).type != fs.FileType.File:
         return []
@@ -198,7 +198,7 @@ class BlockReader(SimpleDataSourceStreamReader):
         return {"at": 0, "block": -1}
 
     def _lines(self, start: dict, end: int | None = None) -> tuple[list[tuple], dict]:
-        place, path = _place(self.path)
+        place, path = place_of(self.path)
         if place.get_file_info(path).type != fs.FileType.File:
             return [], start
         with place.open_input_file(path) as f:

@@ -6,14 +6,13 @@ import hashlib
 import json
 import struct
 from collections.abc import Iterator
-from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.functions.scoring import number_or_zero, score_from_json, strip
-from tallyspark.sources.connectors import evaluation_documents
+from tallyspark.sources.connectors import evaluation_documents, place_of
 
 _RESULT = "struct<slug: string, evaluation: struct<score: string, generated_wins: boolean>>"
 DOCUMENT = f"struct<participants: map<string, {_RESULT}>, miners: map<string, {_RESULT}>>"
@@ -94,35 +93,67 @@ def bucket_config(text: str) -> list[dict[str, str]]:
     return out
 
 
-def tensor_hashes(path: str) -> dict[str, str]:
-    """sha256 per tensor of a safetensors file, over ``name|dtype|shape|`` and its bytes."""
-    out: dict[str, str] = {}
-    with Path(path).open("rb") as f:
-        n = struct.unpack("<q", f.read(8))[0]
-        header = json.loads(f.read(n))
-        for name, t in header.items():
-            span = t.get("data_offsets") if isinstance(t, dict) else None
-            if name == "__metadata__" or not span or len(span) != 2 or span[1] < span[0]:
-                continue
-            h = hashlib.sha256(f"{name}|{t.get('dtype')}|{t.get('shape')}|".encode())
-            f.seek(8 + n + span[0])
-            left = span[1] - span[0]
-            while left > 0 and (piece := f.read(min(left, 4 << 20))):
-                h.update(piece)
-                left -= len(piece)
-            out[name] = h.hexdigest()
-    return out
-
-
-def tensor_rows(paths: DataFrame) -> DataFrame:
-    """``path, name, hash`` of every tensor; executors read the files themselves, no bytes enter rows."""
+#: Bytes of a tensor that are read at a time.
+PIECE = 4 << 20
+#: A header of more bytes than this is taken for a broken one.
+MOST_HEADER = 256 << 20
+
+
+def header_ranges(path: str) -> list[tuple[str, str | None, str | None, int, int, str | None]]:
+    """``path, name, tag, start, bytes, reason`` of every tensor of a safetensors file; a file that cannot be read, or whose header is broken, is one row with a reason."""
+    try:
+        place, at = place_of(path)
+        with place.open_input_file(at) as f:
+            (n,) = struct.unpack("<Q", f.read(8))
+            if n > MOST_HEADER:
+                raise ValueError("header too long")
+            header = json.loads(f.read(n))
+            out = []
+            for name, t in header.items():
+                span = t.get("data_offsets") if isinstance(t, dict) else None
+                if name == "__metadata__" or not isinstance(span, list) or len(span) != 2 or int(span[1]) < int(span[0]):
+                    continue
+                tag = f"{name}|{t.get('dtype', '')}|{tuple(t.get('shape') or [])}|"
+                out.append((path, name, tag, 8 + n + int(span[0]), int(span[1]) - int(span[0]), None))
+            return out
+    except FileNotFoundError:
+        return [(path, None, None, 0, 0, "no_file")]
+    except (OSError, ValueError, AttributeError, TypeError, struct.error):
+        return [(path, None, None, 0, 0, "bad_header")]
+
+
+def range_hash(path: str, tag: str, start: int, size: int) -> str:
+    """sha256 over a tag and a range of bytes of a file (as many as there are), a piece at a time."""
+    place, at = place_of(path)
+    h = hashlib.sha256(tag.encode())
+    with place.open_input_file(at) as f:
+        f.seek(min(start, f.size()))
+        while size > 0 and (piece := f.read(min(size, PIECE))):
+            h.update(piece)
+            size -= len(piece)
+    return h.hexdigest()
+
+
+def tensor_rows(paths: DataFrame, tasks: int | None = None) -> DataFrame:
+    """``path, name, hash, reason`` of every tensor: sha256 over ``name|dtype|shape|`` and its bytes.
+
+    Headers are read first; each tensor is then a row of its own that is dealt to a task by name, so the tensors of one file are many tasks. Executors
+    read byte ranges through ``pyarrow.fs``, from local paths or URIs; no bytes enter rows. A broken file is a row with a reason.
+    """
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p in b["path"]:
-                yield pd.DataFrame([(p, n, h) for n, h in tensor_hashes(p).items()], columns=["path", "name", "hash"])
+                yield pd.DataFrame(header_ranges(p), columns=["path", "name", "tag", "start", "bytes", "reason"]).astype({"start": "int64", "bytes": "int64"})
+
+    def hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = [None if r.tag is None else range_hash(r.path, r.tag, r.start, r.bytes) for r in b.itertuples()]
+            yield pd.DataFrame({"path": b["path"], "name": b["name"], "hash": found, "reason": b["reason"]})
 
-    return paths.select("path").mapInPandas(read, "path string, name string, hash string")
+    ranges = paths.select("path").mapInPandas(headers, "path string, name string, tag string, start long, bytes long, reason string")
+    dealt = ranges.repartition(tasks, "path", "name") if tasks else ranges.repartition("path", "name")
+    return dealt.mapInPandas(hashes, "path string, name string, hash string, reason string")
 
 
 def scale_text(raw: Column) -> Column:

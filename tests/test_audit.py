@@ -56,6 +56,14 @@ def test_config(text, want):
     assert A.config_reason(text, "m") == want
 
 
+def test_masks_are_set_in_the_text():
+    canonical = 'R = ""\nx = 1\n'
+    same = lambda x: A.script_reason(x, canonical, ("R",)) is None
+    assert same("R = 'a'\nx = 1") and same('R="a\nb"\nx = 1') and not same('S = "a"\nx = 1') and not same('R = f("a")\nx = 1')
+    # Text of a comment or of another string is masked too, as far as the next quote.
+    assert A.masked_text('# R = "q"\ny = "R = \'z\'"', ("R",)) == '# R = ""\ny = "R = """'
+
+
 def test_audit_column(spark):
     rows = spark.createDataFrame([("import socket",), (None,)], "s string").select(A.audit_column(F.col("s"), POLICY).alias("r")).collect()
     assert [r["r"] for r in rows] == ["banned_import:socket", "miner_py_empty"]

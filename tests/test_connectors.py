@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import random
+import struct
 
 import pytest
 from pyarrow import fs
+from pyspark.sql import functions as F
 
 from tallyspark.sources import connectors
 from tallyspark.sources import documents as J
@@ -131,3 +134,25 @@ def test_a_stale_clock_stops_its_query(spark, tmp_path):
     guard._seen(False)
     query.awaitTermination(20)
     assert not query.isActive and guard.stale == {str(query.id)}
+
+
+def test_tensors_by_ranges(spark, tmp_path):
+    """Two tensors of one file are two tasks; URIs; broken files are rows with reasons."""
+
+    def write(name, header, data, size=None):
+        text = json.dumps(header).encode() if isinstance(header, dict) else header
+        (tmp_path / name).write_bytes(struct.pack("<Q", len(text) if size is None else size) + text + data)
+
+    good = {"__metadata__": {"a": "b"}, "v": {"dtype": "F32", "shape": [2, 1], "data_offsets": [0, 4]}, "w": {"dtype": "I8", "shape": [], "data_offsets": [4, 7]}, "bad": {"data_offsets": [5, 2]}, "none": {"dtype": "I8"}}
+    write("a.safetensors", good, b"abcdefg")
+    write("short.safetensors", {"v": {"dtype": "I8", "shape": [9], "data_offsets": [0, 9]}}, b"abc")
+    write("text.safetensors", b"{no json", b"")
+    write("long.safetensors", b"{}", b"", 1 << 60)
+    (tmp_path / "tiny.safetensors").write_bytes(b"123")
+    names = [f"file://{tmp_path}/a.safetensors", *[f"{tmp_path}/{x}.safetensors" for x in ("short", "text", "long", "tiny", "absent")]]
+    rows = J.tensor_rows(spark.createDataFrame([(x,) for x in names], "path string"), 8)
+    digest = lambda x: hashlib.sha256(x).hexdigest()
+    got = {(r["path"].split("/")[-1].split(".")[0], r["name"]): (r["hash"], r["reason"]) for r in rows.collect()}
+    assert got == {("a", "v"): (digest(b"v|F32|(2, 1)|abcd"), None), ("a", "w"): (digest(b"w|I8|()|efg"), None), ("short", "v"): (digest(b"v|I8|(9,)|abc"), None)} | {(x, None): (None, "bad_header") for x in ("text", "long", "tiny")} | {("absent", None): (None, "no_file")}
+    parts = rows.where("path like '%a.safetensors' and name is not null").select(F.spark_partition_id()).distinct().count()
+    assert parts == 2

@@ -202,5 +202,5 @@ def test_small_sources(spark, tmp_path):
     header = json.dumps({"__metadata__": {}, "w": {"dtype": "F32", "shape": [1], "data_offsets": [0, 4]}, "bad": {"data_offsets": [4, 0]}}).encode()
     (tmp_path / "x.safetensors").write_bytes(struct.pack("<q", len(header)) + header + b"abcd")
     paths = spark.createDataFrame([(str(tmp_path / "x.safetensors"),)], "path string")
-    assert [(r["name"], r["hash"]) for r in J.tensor_rows(paths).collect()] == [("w", hashlib.sha256(b"w|F32|[1]|abcd").hexdigest())]
+    assert [(r["name"], r["hash"]) for r in J.tensor_rows(paths).collect()] == [("w", hashlib.sha256(b"w|F32|(1,)|abcd").hexdigest())]
     assert one(spark, J.scale_text(F.lit("0x14" + b"hello".hex()))) == "hello" and one(spark, J.scale_text(F.lit("0x" + (1 | 5 << 2).to_bytes(2, "little").hex() + b"hello".hex()))) == "hello"
