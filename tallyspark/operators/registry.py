@@ -198,3 +198,10 @@ def last_match(items: Column, fields: tuple[str, ...], value: Column, wanted: st
     """A field of the last struct of a list in which one of ``fields`` has the value."""
     hit = lambda x: F.greatest(*[F.coalesce(x[f] == value, F.lit(False)) for f in fields]) if len(fields) > 1 else F.coalesce(x[fields[0]] == value, F.lit(False))
     return F.get(F.reverse(F.filter(items, hit)), F.lit(0))[wanted]
+
+
+def participants_view(participants: DataFrame, valid_only: bool) -> DataFrame:
+    """Participants (with ``is_valid``), all or the valid ones, each row with ``total`` and ``valid`` counts of all; an undecided one is not valid."""
+    valid = F.coalesce(F.col("is_valid"), F.lit(False))
+    counts = F.broadcast(participants.agg(F.count("*").alias("total"), F.count_if(valid).alias("valid")))
+    return (participants.where(valid) if valid_only else participants).crossJoin(counts)

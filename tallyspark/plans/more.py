@@ -339,3 +339,27 @@ def fingerprint_upsert(s, d):
     table.upsert(rows)
     table.upsert(rows.where("tensor_count > 1").withColumn("commit_block", F.col("commit_block") + 1))
     return table.read().drop("tensors")
+
+
+@query("commits_as_of", "WITH c AS (SELECT o_orderkey AS hotkey, o_custkey AS raw, o_orderkey // 1000 * 1000 AS snapshot_block FROM orders), n AS (SELECT max(o_orderkey) // 2 AS now FROM orders) SELECT hotkey, raw FROM c WHERE snapshot_block = (SELECT max(snapshot_block) FROM c, n WHERE snapshot_block <= now)")
+def commits_as_of(s, d):
+    o = T.load(s, d, "orders")
+    commits = o.select(F.col("o_orderkey").alias("hotkey"), F.col("o_custkey").alias("raw"), F.expr("o_orderkey div 1000 * 1000").alias("snapshot_block"))
+    return J.commits_as_of(commits, F.col("now"), F.broadcast(o.agg(F.expr("max(o_orderkey) div 2").alias("now"))))
+
+
+_PEOPLE = "WITH p AS (SELECT doc_id AS uid, CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) THEN true WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) THEN false END AS is_valid FROM documents) SELECT *, (SELECT count(*) FROM p) AS total, (SELECT count(*) FROM p WHERE is_valid) AS valid FROM p"
+
+
+def _people(s, d):
+    return T.models(s, d).select("uid", (F.col("quality") == 1).alias("is_valid"))
+
+
+@query("participants_all", _PEOPLE)
+def participants_all(s, d):
+    return R.participants_view(_people(s, d), False)
+
+
+@query("participants_valid", f"{_PEOPLE} WHERE is_valid")
+def participants_valid(s, d):
+    return R.participants_view(_people(s, d), True)

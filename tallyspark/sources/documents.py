@@ -52,6 +52,14 @@ def commits_at(commits: DataFrame, snapshot: int) -> DataFrame:
     return commits.where(F.col("snapshot_block") == snapshot).drop("snapshot_block")
 
 
+def commits_as_of(commits: DataFrame, block: Column, clock: DataFrame | None = None) -> DataFrame:
+    """The commitments of the last snapshot not after a block; ``clock``: one row with columns that ``block`` names. The snapshot is an aggregate of ``snapshot_block`` alone."""
+    heights = commits.select("snapshot_block").distinct()
+    heights = heights if clock is None else heights.crossJoin(clock)
+    last = F.broadcast(heights.where(F.col("snapshot_block") <= block).agg(F.max("snapshot_block").alias("last_block")))
+    return commits.join(last, F.col("snapshot_block") == F.col("last_block")).drop("snapshot_block", "last_block")
+
+
 def is_language(language: Column, wanted: str) -> Column:
     """Trimmed, in any case."""
     return F.lower(strip(F.coalesce(language, F.lit("")))) == wanted
