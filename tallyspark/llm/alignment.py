@@ -40,6 +40,8 @@ from .pieces import MARK, PieceModel
 BLOCK = 16 << 20
 #: Bytes of text whose tokens are put together at a time.
 SLICE = 2 << 20
+#: So many id pairs (three numbers each) may be broadcast; more are joined.
+PAIRS = 400_000
 #: A blank between two of these belongs to the token after it, in both tokenizers.
 SAFE = "[\\p{L}\\p{N}!-~]"
 # Fixed value: the words of byte-level vocabularies.
@@ -362,7 +364,8 @@ def align_documents(docs: DataFrame, a: str, b: str, text: str = "text", doc_id:
     counts = written(counted.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.expr(f"pair div {width}")), "pairs")
     most = counts.groupBy(F.col("a").alias("a2")).agg(F.max("count").alias("most"))
     judged = counts.join(most, F.col("a") == F.col("a2")).select(F.col("pair").alias("p2"), "count", (F.col("count") == F.col("most")).cast("int").alias("best"))
-    linked = each.select("key", F.explode("links").alias("pair")).join(judged, F.col("pair") == F.col("p2"))
+    judged = written(judged, "judged")
+    linked = each.select("key", F.explode("links").alias("pair")).join(F.broadcast(judged) if fits_broadcast(judged, PAIRS) else judged, F.col("pair") == F.col("p2"))
     told = linked.groupBy("key").agg(F.sum("best").alias("n_best"), F.sum("count").alias("count_sum"))
     # What a document adds up, as one short text; null where the stretch did not come back.
     numbers = F.when(F.col("fine"), F.concat_ws(" ", *[F.coalesce(F.col(x), F.lit(0)).cast("string") for x in NUMBERS]))

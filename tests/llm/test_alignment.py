@@ -77,6 +77,7 @@ ODD = ["", None, " ", "  ", "a", " a", "a ", "a  b", "a\nb\n\n c \n", "\tx\ty  \
 def test_odd_texts(spark, monkeypatch, block):
     monkeypatch.setattr(alignment, "BLOCK", block)
     monkeypatch.setattr(alignment, "SLICE", 500)
+    monkeypatch.setattr(alignment, "PAIRS", block)
     rows = [(i, t) for i, t in enumerate(ODD)] + [(3, "A B C"), (None, "A b"), (None, None), (50, "same row"), (50, "same row"), (50, "same row"), (51, "same row")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in ("block", "n", "key", "d2", "h", "stretch")})
     assert got(docs) == brute(rows)
