@@ -24,15 +24,17 @@ def recent_rows(evals: DataFrame, n: int, tie: Column) -> DataFrame:
     return evals.withColumn("row_rank", F.row_number().over(order)).where(F.col("row_rank") <= n).drop("row_rank")
 
 
-def recent_ids(evals: DataFrame, n: int) -> DataFrame:
+def recent_ids(evals: DataFrame, n: int, by: Column | None = None, key: str = "validator") -> DataFrame:
     """Rows of the newest ``n`` distinct evaluation ids per validator (all rows if n is not positive).
 
+    ``by``: what tells ids apart and puts them in order, if not the id itself: the time that the id writes out, say, so that no text is made of rows that go.
+
     A filter on a rank: Spark drops what is beyond the newest ``n`` ids of a task's own rows before the shuffle, so a validator of
     any size sends a short list.
     """
     if n <= 0:
         return evals
-    order = Window.partitionBy("validator").orderBy(F.col("evaluation_id").desc())
+    order = Window.partitionBy(key).orderBy((F.col("evaluation_id") if by is None else by).desc())
     return evals.withColumn("id_rank", F.dense_rank().over(order)).where(F.col("id_rank") <= n).drop("id_rank")
 
 
@@ -201,10 +203,7 @@ def document_stats(docs: DataFrame, valid: DataFrame, n: int) -> DataFrame:
     ``docs``: bucket, evaluation_id, content. Names are ranked before contents are parsed, so unreadable documents use up places of the
     window. Unknown miners go before anything is summed. The slug is the oldest one in the window that is not empty, else ``unknown``.
     """
-    if n > 0:
-        names = docs.select("bucket", "evaluation_id").distinct()
-        newest = names.withColumn("id_rank", F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("evaluation_id").desc()))).where(F.col("id_rank") <= n).drop("id_rank")
-        docs = docs.join(newest, ["bucket", "evaluation_id"], "left_semi")
+    docs = recent_ids(docs, n, key="bucket")  # one pass; a task sends its own newest documents only
     rows = participant_rows(docs, ("bucket", "evaluation_id")).join(valid.select("miner").distinct(), "miner", "left_semi")
     named = F.coalesce(F.col("slug"), F.lit("")) != ""
     out = rows.groupBy("bucket", "miner").agg(

@@ -64,7 +64,7 @@ def r6(c: str):
 
 
 def _recent(s, d):
-    return C.recent_ids(T.evaluations(s, d), WINDOW_IDS)
+    return C.recent_ids(T.evaluations(s, d), WINDOW_IDS, F.unix_seconds(F.col("l_shipdate").cast("timestamp")))
 
 
 def _stats(s, d):

@@ -14,6 +14,7 @@ from tallyspark.operators import consensus as C
 from tallyspark.operators import registry as R
 from tallyspark.operators import state as K
 from tallyspark.operators import tables as B
+from tallyspark.operators.scan import numbered
 from tallyspark.plans import tables as T
 from tallyspark.plans.core import EV, GLOBAL, LEAST, WINDOW_IDS, _commits, _passes, _standings, query
 from tallyspark.shared import kept_table, scratch
@@ -286,9 +287,8 @@ def _configs(s, d):
 
 @query("configured_buckets", f"WITH {_BUCKETS} SELECT CAST(s_suppkey AS VARCHAR) AS hotkey, row_number() OVER (ORDER BY s_acctbal DESC, s_suppkey) AS pos, bucket_name, bucket_name IS NULL AS missing FROM supplier LEFT JOIN c ON c.hotkey = s_suppkey")
 def configured_buckets(s, d):
-    from pyspark.sql.window import Window
-
-    active = T.load(s, d, "supplier").select(F.col("s_suppkey").cast("string").alias("hotkey"), F.row_number().over(Window.orderBy(F.desc("s_acctbal"), "s_suppkey")).cast("long").alias("pos"))
+    ranked = numbered(T.load(s, d, "supplier").select("s_suppkey", "s_acctbal"), [F.col("s_acctbal").desc(), F.col("s_suppkey").asc()], "pos")
+    active = ranked.select(F.col("s_suppkey").cast("string").alias("hotkey"), F.col("pos").cast("long").alias("pos"))
     return C.configured_buckets(active, _configs(s, d)).select("hotkey", "pos", "bucket_name", "missing")
 
 
