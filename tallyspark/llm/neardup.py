@@ -17,7 +17,7 @@ shingle. Documents are linked if the Jaccard similarity of their sets is at leas
    that leaves more than one cluster are blocks compared with each other, each pair of blocks a task, and only across clusters.
 4. Components of the confirmed links.
 
-Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows with equal doc_id have
+A text of any length is whole: its set has a hash a shingle, and is confirmed with all of them. Null and empty texts, and texts without words, have an empty set and are linked with nothing. Rows with equal doc_id have
 the links of their own text each. A null doc_id is linked with nothing: its component is null, and it is kept. An empty table
 gives no rows. Other columns are not carried.
 """
@@ -45,6 +45,7 @@ COORDINATES = TREES * DEPTH
 NODE = 256
 BLOCK, BLOCK_SHINGLES = 1000, 4_000_000
 #: Coordinates whose low bytes are compared, and how many must agree for a pair to be looked at: 5.8 standard deviations below the threshold.
+#: AGREE of 0 switches this off: all pairs of a small node are then looked at.
 LOW, AGREE = 64, 28
 SALTS = 64
 CACHE_WORDS = 250_000

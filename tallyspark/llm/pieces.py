@@ -13,7 +13,7 @@ whose merges tie in score, are merged directly. Ids equal those of the sentencep
 
 Characters without a piece become byte pieces (or the unknown id in models without these). Decoding joins pieces and bytes,
 turns marks into spaces and drops the first. Null and empty texts have no ids. Repeated rows are encoded each.
-Columns named in ``keep`` are carried; the columns added are ``ids``, ``n_ids`` and ``round_trip``.
+Columns named in ``keep`` are carried; the columns added are ``ids``, ``n_ids`` and ``round_trip``, and a column of ``keep`` with one of these names gives way.
 """
 
 from __future__ import annotations

@@ -302,6 +302,25 @@ def brute_components(texts):
     return [(len(s), of(i)) for i, s in enumerate(sets)]
 
 
+def test_near_duplicates_of_very_long_texts(spark):
+    """Texts of 60,000 words: a near copy is linked, a text that shares less is not; nothing is cut."""
+    w = words(60_000, 8).split()
+    near, far = list(w), list(w)
+    near[::400] = ["x"] * len(near[::400])
+    far[::12] = ["y"] * len(far[::12])
+    texts = [" ".join(w), " ".join(near), " ".join(far), "short text of a few words", None]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, texts)).collect()}
+    assert [got[i] for i in range(5)] == [(n, c) for n, c in brute_components(texts)] and got[0][0] > 59_000 and got[1][1] == 0 and got[2][1] == 2
+
+
+def test_all_pairs_of_a_node_without_the_filter(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "AGREE", 0)
+    base = words(80, 5).split()
+    texts = [" ".join(base[:k] + ["z"] + base[k + 1 :]) for k in range(0, 80, 4)] + [words(50, 60 + i) for i in range(10)]
+    assert [(r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(docs(spark, texts)).orderBy("doc_id").collect()] == [tuple(x) for x in brute_components(texts)]
+
+
+
 def near_copies(n=90, seed=4):
     """Exact copies, near copies around the threshold, short and empty texts, shared passages."""
     rng = np.random.default_rng(seed)
