@@ -91,7 +91,10 @@ def limit_batch(events: DataFrame, most: int, window: float) -> DataFrame:
     begin = F.when(F.col("cut"), F.struct("key", "ts", "seq")).otherwise(F.col("since"))
     marks = kept_table(marks.select("key", "ts", "seq", "quiet", "cut", begin["ts"].alias("b_ts"), begin["seq"].alias("b_seq")), "cuts")
     busy = marks.where("not cut").select("key", "b_ts", "b_seq").distinct()
-    lead = marks.select("key", "ts", "seq").join(busy, "key").where((F.col("ts") >= F.col("b_ts") - wide) & (F.struct("ts", "seq") < F.struct("b_ts", "b_seq")))
+    # Stretches begin more than a window apart, so a span meets two beginnings at most.
+    begun = F.floor(F.col("b_ts") / wide).cast("long")
+    starts = busy.withColumn("span", F.explode(F.array(begun, begun - 1)))
+    lead = marks.select("key", "ts", "seq", span.alias("span")).join(starts, ["key", "span"]).drop("span").where((F.col("ts") >= F.col("b_ts") - wide) & (F.struct("ts", "seq") < F.struct("b_ts", "b_seq")))
     inside = marks.join(busy, ["key", "b_ts", "b_seq"], "left_semi").select("key", "ts", "seq", "b_ts", "b_seq", F.lit(False).alias("known"))
     folded = inside.unionByName(lead.withColumn("known", F.lit(True)))
     free = marks.where("cut").join(busy, ["key", "b_ts", "b_seq"], "left_anti").select("key", "seq", "ts", F.lit(True).alias("allowed"), F.lit(0).alias("retry_after"))
