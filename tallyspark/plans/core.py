@@ -328,9 +328,12 @@ o AS (SELECT a.uid AS one, b.uid AS other, count(*) AS shared FROM t a JOIN t b
 _PAIRS = f"""{_OVERLAP}, pairs AS (SELECT one AS earlier, other AS later, shared, shared / size AS ratio FROM o JOIN z ON uid = other WHERE one < other AND shared / size >= {DEFAULTS.clone_share})"""
 
 
-@query("near_dup_pairs", f"WITH {_PAIRS} SELECT earlier, later, shared, round(ratio, 6) AS ratio FROM pairs")
+@query("near_dup_pairs", f"""WITH {_PAIRS}, c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS rep, max(doc_id) OVER (PARTITION BY text) AS last FROM documents WHERE text IS NOT NULL)
+SELECT earlier, later, shared, round(ratio, 6) AS ratio FROM pairs JOIN c AS x ON x.doc_id = earlier AND x.rep = earlier JOIN c AS y ON y.doc_id = later AND y.rep <> x.rep AND later = CASE WHEN y.rep > earlier THEN y.rep ELSE y.last END
+UNION ALL SELECT rep, doc_id, size, 1.0::DOUBLE FROM c JOIN z ON uid = doc_id WHERE rep <> doc_id""")
 def near_dup_pairs(s, d):
-    return D.overlap_pairs(T.tensors(s, d), DEFAULTS.clone_share).select("earlier", "later", "shared", r6("ratio"))
+    """Pairs between classes of equal documents, and each copy with the first of its class."""
+    return D.class_pairs(T.tensors(s, d), DEFAULTS.clone_share).select("earlier", "later", "shared", r6("ratio"))
 
 
 @query("near_dup_greedy", f"""WITH RECURSIVE {_PAIRS}, l AS (SELECT later, row_number() OVER (ORDER BY later) AS n, list({{'e': earlier, 'r': ratio}} ORDER BY earlier) AS found FROM pairs GROUP BY later),
