@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import fits_broadcast, scratch, small_batches, tidy
+from .common import fits_broadcast, release, scratch, small_batches, tidy
 from .pieces import MARK, PieceModel
 
 #: Bytes of text in a block, about.
@@ -273,6 +273,7 @@ def pair_counts_of(docs: pa.Table, known: pa.Table, apart: bool = True) -> pa.Ta
         both = _distinct(np.repeat((doc * max(1, len(names))).astype(small), sizes) + pairs).astype(np.int64)
         weights = own.column("n").to_numpy()[both // max(1, len(names))]
         total += np.bincount(both % max(1, len(names)), weights=weights, minlength=len(names)).astype(np.int64)[: len(names)]
+    release()  # workers live on through stages that need memory elsewhere
     return pa.table({"pair": pa.array(names.astype(np.int64)), "n": pa.array(total)})
 
 
@@ -298,6 +299,7 @@ def digests_of(docs: pa.Table, known: pa.Table, apart: bool = True) -> pa.Table:
         out["doc_id"].append(own.column("doc_id").combine_chunks())
         out["n"].append(own.column("n").to_numpy())
     flat = {x: pa.array(np.concatenate(out[x]) if out[x] else np.zeros(0, dtype=np.int64), pa.int64()) for x in (*NUMBERS, "n")}
+    release()
     ids = pa.chunked_array(out["doc_id"], docs.schema.field("doc_id").type)
     return pa.table({"doc_id": ids, **{x: flat[x] for x in NUMBERS}, "groups_sha256": pa.array(out["groups_sha256"], pa.string()), "n": flat["n"]})
 
