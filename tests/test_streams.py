@@ -135,3 +135,30 @@ def test_slots_run_once_and_again_after_a_failure(spark, tmp_path):
     feed.put([("c", 470)], [("c", 600), ("c", 616)])
     run(2)  # 465 is reached too late, 615 in time
     assert ran == [[15, 165], [315], [615]]
+
+
+def test_requests_in_few_buckets(spark, tmp_path, monkeypatch):
+    """State grows with buckets, not with keys, and keys of one bucket open, end and start anew each for itself, though the bucket is touched in every micro-batch."""
+    monkeypatch.setattr(keyed, "BUCKETS", 2, raising=False)
+    draw = random.Random(4)
+    feed = Feed(spark, tmp_path, "kind string, validator string, evaluation_id long, at timestamp")
+    every = []
+    for i in range(12):
+        batch = [(draw.choice(["pending", "pending", "submission"]), draw.choice("vw"), draw.randrange(40), at(30 * i + draw.randrange(30))) for _ in range(40)]
+        every += batch
+        feed.put(batch)
+        if i == 5:
+            feed.run(lambda s: keyed.pending_changes(s, ["validator", "evaluation_id"], 60))
+    log = feed.run(lambda s: keyed.pending_changes(s, ["validator", "evaluation_id"], 60))
+    assert max(feed.state) <= 2 * 3  # a bucket's value and its timer
+    want, end = set(), max(r[3] for r in every)
+    for key in {(v, e) for _, v, e, _ in every}:
+        last, done = None, False
+        for t, submitted in sorted((t, k == "submission") for k, v, e, t in every if (v, e) == key):
+            done = submitted or done and t - last <= datetime.timedelta(seconds=60)
+            last = t
+        if not done and end - last <= datetime.timedelta(seconds=60):
+            want.add(key)
+    assert want and set(map(tuple, keyed.open_requests(log, ["validator", "evaluation_id"]).collect())) == want
+    dropped = log.where("change = 'dropped'").count()
+    assert dropped and dropped + log.where("change = 'answered'").count() > 20
