@@ -162,3 +162,27 @@ def test_requests_in_few_buckets(spark, tmp_path, monkeypatch):
     assert want and set(map(tuple, keyed.open_requests(log, ["validator", "evaluation_id"]).collect())) == want
     dropped = log.where("change = 'dropped'").count()
     assert dropped and dropped + log.where("change = 'answered'").count() > 20
+
+
+def test_slots_meet_as_first_heights(spark, tmp_path, monkeypatch):
+    """A partition sends on the least height of a slot, whatever it gathers at once; negative heights and tolerances as by hand."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(keyed, "FEW", 10)
+    draw = random.Random(6)
+    rows = [(c, b // 10 * 10, b) for c in "cd" for b in (draw.randrange(200) for _ in range(300))]
+    batches = [pa.RecordBatch.from_pydict({k: [r[j] for r in rows[i : i + 7]] for j, k in enumerate(("clock", "slot", "block"))}) for i in range(0, len(rows), 7)]
+    got = [tuple(r.values()) for b in keyed._first_blocks(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == sorted({(c, s, min(b for k, z, b in rows if (k, z) == (c, s))) for c, s, _ in rows})
+    feed = Feed(spark, tmp_path, "clock string, block long", timed=False)
+    heights = [[(c, draw.randrange(-3000 + 900 * i, 900 * i)) for c in "ccd" for _ in range(40)] for i in range(5)]
+    feed.put(*heights)
+    log = feed.run(lambda s: keyed.slots_due(s, 150, -35, 20))
+    want, last = [], {}
+    for batch in heights:
+        for c, b in sorted(batch):
+            slot = (b + 35) // 150 * 150 - 35
+            if slot > last.get(c, -(10**9)) and b - slot <= 20:
+                last[c] = slot
+                want.append((c, slot, b))
+    assert len(want) > 10 and sorted(tuple(r) for r in log.collect()) == sorted(want)
