@@ -143,6 +143,16 @@ def test_supplied_pages(spark):
     assert got == {i: plain_article(x) for i, x in source.items()}
 
 
+def test_a_run_counts_wherever_its_second_page_lies(spark, monkeypatch):
+    """On a host dealt into groups, a run of an open page whose only other page has an article goes, in whatever group that page lies."""
+    monkeypatch.setattr(html_text, "GROUP", 4)
+    rows = [(i, "http://h.org/", f"<article>text {i}</article><p>{words(12, i)}</p>") for i in range(60)]
+    own = {100 + i: words(30, 100 + i) for i in range(12)}
+    rows += [(k, "http://h.org/", f"<p>{t}</p><div>{words(12, k - 100)}</div>") for k, t in own.items()]
+    got = texts_of(spark, rows)
+    assert {k: got[k] for k in own} == own and all(got[i] == f"text {i}" for i in range(60))
+
+
 def test_extract_text_rows(spark):
     rows = [(1, "http://h/a", PAGE.format("<article><p>é</p></article>"), 7), (2, None, None, 7), (2, "http://h/a", "", 7), (2, "http://h/a", "", 7), (None, "", "x", None)]
     pages = frame(spark, rows, "page_id long, url string, html string, text int").withColumn("host", F.lit("clash")).withColumn("blocks", F.lit(1))
